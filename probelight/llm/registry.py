@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import line_dedup, quality_rules
+from . import decontaminate, line_dedup, packing, quality_rules, simhash
 
 
 def queries() -> dict:
     return {
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op6_quality_rules": quality_rules.op6_quality_rules,
+        "op8_packing": packing.op8_packing,
+        "op9_decontaminate": decontaminate.op9_decontaminate,
+        "op10_simhash": simhash.op10_simhash,
     }
 
 
@@ -16,4 +19,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_line_dedup": line_dedup.SQL,
         "op6_quality_rules": quality_rules.SQL,
+        "op9_decontaminate": decontaminate.SQL,
     }
