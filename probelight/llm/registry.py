@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, packing, quality_rules, simhash
+from . import decontaminate, line_dedup, packing, quality_rules, simhash, substring_dedup
 
 
 def queries() -> dict:
     return {
         "op4_line_dedup": line_dedup.op4_line_dedup,
+        "op5_substring_dedup": substring_dedup.op5_substring_dedup,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op8_packing": packing.op8_packing,
         "op9_decontaminate": decontaminate.op9_decontaminate,
@@ -18,6 +19,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_line_dedup": line_dedup.SQL,
+        "op5_substring_dedup": substring_dedup.SQL,
         "op6_quality_rules": quality_rules.SQL,
         "op9_decontaminate": decontaminate.SQL,
     }
