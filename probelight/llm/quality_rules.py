@@ -51,7 +51,7 @@ def _repeat_words(w: Column, h: Column) -> Column:
 
 def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` and the columns of COUNTS (long)."""
-    docs = without(docs, *COUNTS, "_w", "_l", "_h")
+    docs = without(docs, *COUNTS, "_w", "_l", "_h", "_c")
     text = F.coalesce(F.col(text_col), F.lit(""))
     a = docs.withColumns({"_w": words(F.col(text_col)), "_l": F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(WS)) != "")})
     window = lambda i: F.xxhash64(*(F.get("_w", i + k) for k in range(5)))
@@ -66,7 +66,10 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_lines": F.size("_l"),
         "n_stop_words": F.size(F.array_intersect("_w", plain)),
     }
-    return b.withColumns({k: v.cast("long") for k, v in out.items()}).drop("_w", "_l", "_h")
+    # exploding one struct keeps later filters above the counts: pushed below, they would repeat every expression
+    counted = F.explode(F.array(F.struct(*(v.cast("long").alias(k) for k, v in out.items()))))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return b.select(*names, counted.alias("_c")).select(*names, "_c.*")
 
 
 def compile_rules(thresholds=THRESHOLDS) -> dict[str, Column]:
