@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, packing, quality_rules, simhash, substring_dedup
+from . import decontaminate, line_dedup, packing, quality_rules, simhash, substring_dedup, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op5_substring_dedup": substring_dedup.op5_substring_dedup,
         "op6_quality_rules": quality_rules.op6_quality_rules,
+        "op7_warc": warc.op7_warc,
         "op8_packing": packing.op8_packing,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_simhash": simhash.op10_simhash,
@@ -21,5 +22,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_line_dedup": line_dedup.SQL,
         "op5_substring_dedup": substring_dedup.SQL,
         "op6_quality_rules": quality_rules.SQL,
+        "op7_warc": warc.SQL,
         "op9_decontaminate": decontaminate.SQL,
     }
