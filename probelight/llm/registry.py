@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, packing, quality_rules, simhash, substring_dedup, warc
+from . import decontaminate, line_dedup, packing, quality_rules, secrets, simhash, substring_dedup, warc
 
 
 def queries() -> dict:
     return {
+        "op2_secrets": secrets.op2_secrets,
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op5_substring_dedup": substring_dedup.op5_substring_dedup,
         "op6_quality_rules": quality_rules.op6_quality_rules,
@@ -19,6 +20,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_secrets": secrets.SQL,
         "op4_line_dedup": line_dedup.SQL,
         "op5_substring_dedup": substring_dedup.SQL,
         "op6_quality_rules": quality_rules.SQL,
