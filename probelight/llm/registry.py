@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, packing, quality_rules, secrets, simhash, substring_dedup, warc
+from . import decontaminate, licenses, line_dedup, packing, quality_rules, secrets, simhash, substring_dedup, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op1_licenses": licenses.op1_licenses,
         "op2_secrets": secrets.op2_secrets,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op5_substring_dedup": substring_dedup.op5_substring_dedup,
         "op6_quality_rules": quality_rules.op6_quality_rules,
