@@ -26,7 +26,7 @@ from . import linear
 from .common import slices, table, utf8, without
 from .decontaminate import norm_words
 
-MOST_LINES, PRECISION, SHARE, VARIANTS, LONGEST = 1500, 0.98, 0.6, 60, 3
+MOST_LINES, PRECISION, SHARE, LEAST_SHARED, VARIANTS, LONGEST = 1500, 0.98, 0.6, 5, 60, 3
 
 #: Usual notices and opening sentences of licences, by family.
 TEMPLATES = {
@@ -100,7 +100,7 @@ class Model:
         self.seen: dict[bytes, tuple[str, float]] = {}
 
     def confirmed(self, family: str, g: set[bytes]) -> bool:
-        return any(len(g & t) >= SHARE * min(len(t), len(g)) for t in self.templates[family])
+        return any(len(g & t) >= max(LEAST_SHARED, SHARE * min(len(t), len(g))) for t in self.templates[family])
 
     def judge(self, line: bytes) -> tuple[str, float]:
         """(family, unknown or none; its probability)."""
