@@ -12,7 +12,8 @@ in the same document) is a repeat, and every word under a repeat goes.  Windows
   and as frequent, every copy goes on alike; such paths are joined up along their first source's coordinates and only
   their heads are looked up again, one lookup for a whole repeated path.
 * Coordinates.  Occurrences of heads join the paths and give repeated spans, except at the path's own first source.
-  Under branching anchors a second scan gives the single windows, which are compared by their own first coordinates.
+  Edges of branching anchors join their content's first source in the same way; of these first sources alone a second
+  scan gives the single windows, which are compared by their own first coordinates.
 
 Bloom filters of fixed largest size only thin out what is sent to these joins.  Word sequences are compared by 64-bit
 hash under a shared anchor (another 64 bits).  Null or blank text has no words.  Rows with a null id are returned whole
@@ -34,16 +35,16 @@ from pyspark.sql import types as T
 from . import bloom
 from .common import materialize, slices, spread, table, utf8, without
 
-WINDOW, ANCHOR, MOST_BITS = 20, 6, 1 << 28
+WINDOW, ANCHOR, MOST_BITS, BATCH_BYTES = 20, 6, 1 << 28, 2 << 20
 _STEPS = WINDOW - ANCHOR + 1
 _B = [pow(0x9E3779B97F4A7C15, 1 << k, 1 << 64) for k in range(6)]  # odd base and its powers 1, 2, 4, ...
 
 
 class Words(dict):
-    """64-bit hash of a word, remembered for about the last million words."""
+    """64-bit hash of a word, remembered for about the last quarter million words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 250_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -104,7 +105,8 @@ class Edges:
         a, b = self.window[self.place], self.window[self.place + self.n - 1]
         self.content = _mix(_mix(_mix(a + shape) * p[1] + b) * p[2] + following)
 
-    def first_in_doc(self, key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def first_in_doc(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """True where a key is met for the first time in its document (rows in order)."""
         order = np.lexsort((np.arange(key.size), key, doc))
         k, d = key[order], doc[order]
@@ -122,7 +124,7 @@ def edges(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Per document with a window: id, anchors a, contents c, places rn = start * 16 + windows, or ~rn where the anchor isn't the document's first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col, 8 << 20):
+        for batch in slices(batches, text_col, BATCH_BYTES):
             e = Edges(utf8(batch.column(text_col)))
             rn = e.start * 16 + e.n
             rn = np.where(e.first_in_doc(e.anchor, e.doc), rn, ~rn)
@@ -189,32 +191,40 @@ def paths(anchors: DataFrame) -> DataFrame:
 
 
 def _occurrences(found: DataFrame, filt) -> DataFrame:
+    """Edges whose anchor the filter has: a, c, id, start, n; first: the content's first in its document."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a = batch.column("a")
-            ids = np.repeat(batch.column("id").to_numpy(), np.diff(a.offsets.to_numpy()))
-            anchors, rn = a.flatten().to_numpy(), batch.column("rn").flatten().to_numpy()
-            hit = bloom.has(filt.value, anchors.view(np.uint64))
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(a.offsets.to_numpy()))
+            anchors, c, rn = (x.flatten().to_numpy() for x in (a, batch.column("c"), batch.column("rn")))
+            hit = np.flatnonzero(bloom.has(filt.value, anchors.view(np.uint64)))
             rn = np.where(rn < 0, ~rn, rn)[hit]
-            yield pa.RecordBatch.from_pydict({"a": pa.array(anchors[hit]), "id": pa.array(ids[hit]), "start": pa.array(rn >> 4)})
+            ids = batch.column("id").to_numpy()[doc[hit]]
+            first = Edges.first_in_doc(anchors[hit] ^ c[hit], doc[hit])
+            yield pa.RecordBatch.from_pydict({"a": pa.array(anchors[hit]), "c": pa.array(c[hit]), "id": pa.array(ids), "start": pa.array(rn >> 4), "n": pa.array(rn & 15), "first": pa.array(first)})
+
+    return found.select("id", "a", "c", "rn").mapInArrow(run, "a long, c long, id long, start long, n long, first boolean")
 
-    return found.select("id", "a", "rn").mapInArrow(run, "a long, id long, start long")
+
+def _place_key(ids: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return _mix(_mix(ids.astype(np.int64).view(np.uint64)) + start.astype(np.int64).view(np.uint64))
 
 
 def _windows(docs: DataFrame, id_col: str, text_col: str, filt) -> DataFrame:
-    """Windows under anchors that the filter has: a, h, id, start, or ~start where the window isn't the document's first."""
+    """Windows of the edges whose place the filter has: a, h, id, start, or ~start where the window isn't the document's first of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col, 8 << 20):
+        for batch in slices(batches, text_col, BATCH_BYTES):
             e = Edges(utf8(batch.column(text_col)))
-            hit = np.flatnonzero(bloom.has(filt.value, e.anchor))
+            ids = batch.column(id_col).to_numpy()
+            hit = np.flatnonzero(bloom.has(filt.value, _place_key(ids[e.doc], e.start)))
             n = e.n[hit]
             step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             doc, start = np.repeat(e.doc[hit], n), np.repeat(e.start[hit], n) + step
             h = e.window[np.repeat(e.place[hit], n) + step] if n.size else np.empty(0, np.uint64)
             start = np.where(e.first_in_doc(h, doc), start, ~start)
-            ids = batch.column(id_col).to_numpy()[doc]
-            yield pa.RecordBatch.from_pydict({"a": pa.array(np.repeat(e.anchor[hit], n).view(np.int64)), "h": pa.array(h.view(np.int64)), "id": pa.array(ids), "start": pa.array(start.astype(np.int64))})
+            yield pa.RecordBatch.from_pydict({"a": pa.array(np.repeat(e.anchor[hit], n).view(np.int64)), "h": pa.array(h.view(np.int64)), "id": pa.array(ids[doc]), "start": pa.array(start.astype(np.int64))})
 
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias(id_col), text_col)
     return rows.mapInArrow(run, "a long, h long, id long, start long")
@@ -226,31 +236,62 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = materialize(edges(docs, id_col, text_col), "edges")
     anchors = materialize(repeated_anchors(found), "anchors")
     heads = materialize(paths(anchors), "paths")
-    seen = _occurrences(found, sc.broadcast(key_filter(heads.select("a"), most_bits)))
+    seen = _occurrences(found, sc.broadcast(key_filter(heads.select("a"), most_bits))).select("a", "id", "start")
     on_paths = (
         seen.join(heads, "a").filter("NOT (id = first_id AND start = first_start)")
         .select("id", "start", (F.col("start") + F.col("n") + WINDOW - 1).alias("end"))
     )
     branching = anchors.filter("branching").select("a")
-    wins = materialize(_windows(docs, id_col, text_col, sc.broadcast(key_filter(branching, most_bits))), "windows")
+    edge = materialize(_occurrences(found, sc.broadcast(key_filter(branching, most_bits))), "branching-edges")
+    classes = edge.groupBy("a", "c").agg(F.min("id").alias("first_id"), F.min_by("start", F.when(F.col("first"), F.col("id"))).alias("first_start"))
+    classes = materialize(classes, "edge-contents")
+    not_first = "NOT (id = first_id AND start = first_start)"
+    copies = edge.join(classes, ["a", "c"]).filter(not_first).select("id", "start", (F.col("start") + F.col("n") + WINDOW - 1).alias("end"))
+    places = classes.select("first_id", "first_start").mapInArrow(_keys, "k long")
+    wins = materialize(_windows(docs, id_col, text_col, sc.broadcast(key_filter(places, most_bits))), "windows")
     first = wins.groupBy("a", "h").agg(
         F.count("*").alias("m"), F.min("id").alias("first_id"), F.min_by("start", F.when(F.col("start") >= 0, F.col("id"))).alias("first_start"),
     ).filter("m > 1").drop("m")
     place = F.when(F.col("start") < 0, -1 - F.col("start")).otherwise(F.col("start"))
     single = (
-        wins.withColumn("start", place).join(first, ["a", "h"]).filter("NOT (id = first_id AND start = first_start)")
+        wins.withColumn("start", place).join(first, ["a", "h"]).filter(not_first)
         .select("id", "start", (F.col("start") + WINDOW).alias("end"))
     )
-    return on_paths.union(single)
+    return on_paths.union(copies).union(single)
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_pydict({"k": pa.array(_place_key(batch.column(0).to_numpy(), batch.column(1).to_numpy()).view(np.int64))})
+
+
+def _having(docs: DataFrame, id_col: str, filt, wanted: bool) -> DataFrame:
+    """The rows whose id the filter has (or doesn't have)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(id_col).cast(pa.int64())
+            hit = bloom.has(filt.value, _mix(ids.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64))) & ids.is_valid().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(hit == wanted))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_pydict({"k": pa.array(_mix(batch.column(0).to_numpy().view(np.uint64)).view(np.int64))})
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bits: int = MOST_BITS) -> DataFrame:
     """``docs`` with the kept words, joined by one space, as text, and n_words and n_removed (long)."""
     docs = without(docs, "n_words", "n_removed", "_spans", "_span_id")
     spans = repeated_spans(docs.select(id_col, text_col), id_col, text_col, most_bits)
-    by_doc = spans.groupBy(F.col("id").alias("_span_id")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    joined = docs.join(by_doc, F.col(id_col) == F.col("_span_id"), "left").drop("_span_id")
+    by_doc = materialize(spans.groupBy(F.col("id").alias("_span_id")).agg(F.collect_list(F.struct("start", "end")).alias("_spans")), "spans")
     names = docs.columns
+    # only documents that may have spans are shuffled; a document wrongly taken for one costs its shuffle alone
+    filt = docs.sparkSession.sparkContext.broadcast(key_filter(by_doc.select("_span_id").mapInArrow(_mixed, "k long"), most_bits))
+    joined = _having(docs, id_col, filt, True).join(by_doc, F.col(id_col) == F.col("_span_id"), "left").drop("_span_id")
+    whole = _having(docs, id_col, filt, False).withColumn("_spans", F.lit(None).cast(by_doc.schema["_spans"].dataType))
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +314,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             cols = [pa.array(texts, pa.binary()).cast(pa.string()) if c == text_col else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=[*names, "n_words", "n_removed"])
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema).union(whole.mapInArrow(run, schema))
 
 
 def op5_substring_dedup(spark, sf_dir):
