@@ -129,7 +129,7 @@ def registered() -> dict:
     return {
         "j1_build_validation": (
             lambda t: validate_builds(expected(t), t["raw_build_methods"], t["raw_methods"], F.to_timestamp_ntz(F.lit("1999-01-01 00:30:00"))).select("build_id", "methods_count", "status"),
-            "SELECT b.build_id, count(*) AS methods_count, CASE WHEN y % 3 = 0 THEN CASE WHEN TIMESTAMP '1999-01-01 00:30:00' > created_day + INTERVAL 60 MINUTE THEN 'INVALID' ELSE 'PENDING' END WHEN y % 3 = 1 THEN 'VALID' ELSE 'INVALID' END AS status FROM raw_build_methods x JOIN builds b ON x.build_id = b.build_id GROUP BY b.build_id, y, created_day",
+            "SELECT b.build_id, count(*) AS methods_count, CASE WHEN y % 3 = 0 THEN CASE WHEN TIMESTAMP '1999-01-01 00:30:00' > b.created_day + INTERVAL 60 MINUTE THEN 'INVALID' ELSE 'PENDING' END WHEN y % 3 = 1 THEN 'VALID' ELSE 'INVALID' END AS status FROM raw_build_methods x JOIN builds b ON x.build_id = b.build_id GROUP BY b.build_id, y, b.created_day",
         ),
         "j2_combined_checksum": (
             lambda t: build_checksums(t["raw_build_methods"], t["raw_methods"]).select("build_id", F.conv("methods_checksum", 36, -10).cast("long").alias("total")),

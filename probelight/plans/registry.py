@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from probelight.functions import probes
 from probelight.operators import extract, transform, upsert
 
-from . import coverage, impact, jobs, report, treemap, views
+from . import coverage, impact, ingest_queries, jobs, report, treemap, views
 from .derive import raw
 from .metrics import facts, metrics, sql
 
@@ -221,6 +221,12 @@ _add("r14_treemap", lambda t: treemap.treemap(coverage.methods_with_coverage(t,
 _add("r15_changes_treemap", lambda t: treemap.treemap(coverage.changes_with_coverage(t, BUILD, BASE, include_deleted=True), covered="isolated_covered").filter("type = 'method'").agg(F.count("*").alias("n"), F.sum("probes_count").alias("probes"), F.sum("covered_probes").alias("covered")),
      "SELECT count(*) AS n, sum(probes)::BIGINT AS probes, sum(covered)::BIGINT AS covered FROM (SELECT ch.signature, max(CASE WHEN b.build_id = '" + BUILD + "' THEN m.probes_count END) AS p1, coalesce(max(CASE WHEN b.build_id = '" + BUILD + "' THEN m.probes_count END), max(m.probes_count)) AS probes, coalesce(max(f2.isolated_covered), 0) AS covered FROM ch JOIN methods m ON m.signature = ch.signature JOIN build_methods b ON b.method_id = m.method_id AND b.app_id = m.app_id LEFT JOIN f2 ON f2.signature = ch.signature WHERE change <> 'equal' AND b.build_id IN (" + _PAIR + ") GROUP BY ch.signature)", _CHANGES, *_f2(f"'{BUILD}'", BASE))
 
+# --- ingest and streams -------------------------------------------------------------------------------------------
+for _name, (_job, _query, *_more) in ingest_queries.REGISTERED.items():
+    _add(_name, _job, _query, *_more)
+_Q["i2_quarantine"] = (ingest_queries.quarantine, ingest_queries.QUARANTINE_SQL)
+_Q["s9_daily_stream"] = (ingest_queries.daily_stream, ingest_queries.DAILY_SQL)
+
 
 def queries() -> dict:
     return {k: f for k, (f, _) in _Q.items()}
