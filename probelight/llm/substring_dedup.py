@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from . import bloom
 from .common import materialize, slices, spread, table, utf8, without
 
-WINDOW, ANCHOR, MOST_BITS, BATCH_BYTES = 20, 6, 1 << 28, 2 << 20
+WINDOW, ANCHOR, MOST_BITS, BATCH_BYTES, BATCH_ROWS = 20, 6, 1 << 28, 1 << 20, 1000
 _STEPS = WINDOW - ANCHOR + 1
 _B = [pow(0x9E3779B97F4A7C15, 1 << k, 1 << 64) for k in range(6)]  # odd base and its powers 1, 2, 4, ...
 
@@ -285,6 +285,8 @@ def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bits: int = MOST_BITS) -> DataFrame:
     """``docs`` with the kept words, joined by one space, as text, and n_words and n_removed (long)."""
     docs = without(docs, "n_words", "n_removed", "_spans", "_span_id")
+    # whole texts go to Python: the usual 10,000 rows a batch would hold hundreds of MB where texts are long
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spans = repeated_spans(docs.select(id_col, text_col), id_col, text_col, most_bits)
     by_doc = materialize(spans.groupBy(F.col("id").alias("_span_id")).agg(F.collect_list(F.struct("start", "end")).alias("_spans")), "spans")
     names = docs.columns
