@@ -26,7 +26,7 @@ from . import linear
 from .common import slices, table, utf8, without
 from .decontaminate import norm_words
 
-MOST_LINES, PRECISION, SHARE, LEAST_SHARED, VARIANTS, LONGEST = 1500, 0.98, 0.6, 5, 60, 3
+MOST_LINES, PRECISION, SHARE, LEAST_SHARED, LEAST_PHRASES, VARIANTS, LONGEST = 1500, 0.98, 0.6, 5, 2, 60, 3
 
 #: Usual notices and opening sentences of licences, by family.
 TEMPLATES = {
@@ -112,6 +112,8 @@ class Model:
             return got
         g = grams(ws)
         at = [k for x in g if (k := self.vocab.get(x)) is not None]
+        if sum(b" " in x and x in self.vocab for x in g) < LEAST_PHRASES:
+            return NONE, 1.0
         p = linear.softmax(((self.w[at].sum(axis=0) / max(len(g), 1) ** 0.5) + self.b) / self.heat)
         best = int(p.argmax())
         family = CLASSES[best]
