@@ -11,12 +11,12 @@ from probelight.functions import probes
 from probelight.functions.formats import format_duration, format_duration_rounded, method_pattern
 from probelight.sources import payloads
 
-TS = F.to_timestamp_ntz(F.lit("2001-01-01 00:00:00"))
+TS = "TIMESTAMP_NTZ '2001-01-01 00:00:00'"
 
 
 def _records(df: DataFrame, key: str) -> DataFrame:
     """One JSON record for each row."""
-    return df.select(F.lit(key).alias("key"), F.to_json(F.struct("*")).alias("value"), TS.alias("ts"))
+    return df.select(F.lit(key).alias("key"), F.to_json(F.struct("*")).alias("value"), F.expr(TS).alias("ts"))
 
 
 def _parsed(df: DataFrame, key: str) -> DataFrame:
