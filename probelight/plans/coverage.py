@@ -51,7 +51,7 @@ def methods_with_coverage(t: Tables, builds: Sequence[str], baseline: str | None
     own = where_given(t["build_method_coverage"].filter(F.col("build_id").isin(list(builds))), *given, since("created_at_day"))
     out = base.join(_covered(own, ["build_id", *METHOD], "_own"), ["build_id", *METHOD], "left")
     if include_smart:
-        days = where_given(t["method_daily_coverage"], *given, among("branch", branches), since("day"))
+        days = where_given(t["method_daily_coverage"], *given, among("branch", branches), since("day")).select(*METHOD, "day", "probes")
         wanted = base.select("build_id", *METHOD).join(t["builds"].select("build_id", "created_day"), "build_id")
         hit = days.join(wanted, METHOD)
         hit = hit.filter("day <= created_day") if smart_before_build else hit
