@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh_path, materialize, slices, spread, table, utf8
 
-LEAST, LEVEL, PIECE, MOST_ARCHIVE = 1000, 2, 1 << 20, 256 << 20
+LEAST, LEVEL, PIECE, MOST_ARCHIVE = 1000, 6, 1 << 20, 256 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
