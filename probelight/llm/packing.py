@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import bisect
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import repeat
@@ -35,10 +36,13 @@ class Encoder:
     """Ids of ``tokenizers`` as little-endian 32-bit bytes, with a memory of the pieces between spaces.
 
     Before a space that other text follows there is always a break between pre-tokens, so what stands between such
-    spaces can be encoded alone.  Texts with other runs of space, or with a special token's name, are encoded whole.
+    spaces can be encoded alone.  Texts with other runs of space, or with a special token's name, are encoded whole; the
+    latter and texts with a run of ``LONG_RUN`` white space by ``tokenizers``, as the stack of ``tiktoken`` overflows.
     """
 
     MOST = 400_000
+    LONG_RUN = 100_000
+    LONG = re.compile(r"\s{%d}" % LONG_RUN)
 
     def __init__(self, vocabulary: str):
         import json
@@ -67,7 +71,7 @@ class Encoder:
         return got
 
     def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
+        if any(s in text for s in self.special) or (len(text) >= self.LONG_RUN and self.LONG.search(text)):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         head, *rest = text.split(" ")
         try:

@@ -221,3 +221,9 @@ def test_supersteps_are_best_fit(seed):
 ])
 def test_empty_table(spark, f):
     assert f(spark.createDataFrame([], DOCS), spark).count() == 0
+
+
+@pytest.mark.parametrize("text", ["x" + " " * 2_000_000 + "b", "a b" + "\n" * 2_000_000 + "c d"])
+def test_ids_of_a_long_white_space_run(text):
+    enc = packing.Encoder(packing.default_vocabulary())
+    assert enc.encode(text) == np.array(enc.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
