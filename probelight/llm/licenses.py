@@ -1,12 +1,17 @@
 """Licence scan: a trained paragraph classifier, a calibrated unknown class, and template comparison.
 
 A paragraph is a line.  Multinomial logistic regression over its word 1- to 3-grams tells ``none`` from the licence
-families of ``TEMPLATES``.  Training paragraphs come from the templates by rule (parts of them, dropped words, words
-around them) and, as ``none``, from at most ``MOST_LINES`` lines of the corpus without a template's phrase, chosen by
-hash.  A held-out fold sets the temperature of the probabilities and the least probability at which families are right
+families of ``TEMPLATES``.  Training paragraphs come by rule from the templates (parts of them, dropped words, words
+around them) and from short marks (``FORMS`` of ``NAMES``); ``none`` is at most ``MOST_LINES`` lines of the corpus without
+a template's phrase, at most ``MOST_MENTIONS`` lines that have a licence's words but no notice, both chosen by hash, and
+``HARD``.  Templates, names and sentences are dealt whole into ``FOLDS``; what the folds' models say of those that they
+haven't seen sets the temperature of the probabilities and the least probability at which families are right
 ``PRECISION`` of the time; a licence-like paragraph below it is ``unknown``.  A predicted family is confirmed if enough of
 one of its templates' n-grams, or of the paragraph's own, are shared; else it is unknown as well.
 
+A longer line is judged in the overlapping ``WINDOWS``, so a notice within it isn't diluted;
+it has each family that a window has, less those whose shared n-grams another family of the line accounts for.
+
 Scoring is one scan of whole texts without a shuffle; the model has a bounded vocabulary.  Null or empty text has no
 licence paragraph.  Rows with null or repeated ids are scored like others.  An empty corpus trains on templates alone.
 """
@@ -14,6 +19,9 @@ licence paragraph.  Rows with null or repeated ids are scored like others.  An e
 from __future__ import annotations
 
 import random
+import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import linear
-from .common import slices, table, utf8, without
+from .common import materialize, slices, table, utf8, without
 from .decontaminate import norm_words
 
-MOST_LINES, PRECISION, SHARE, LEAST_SHARED, LEAST_PHRASES, VARIANTS, LONGEST = 1500, 0.98, 0.6, 5, 2, 60, 3
+MOST_LINES, PRECISION, SHARE, LEAST_SHARED, VARIANTS, LONGEST = 1500, 0.98, 0.6, 5, 60, 3
+MOST_MENTIONS, FOLDS, WINDOW, DAMP = 700, 3, 24, 3
+#: (words, step) of the windows of longer lines
+WINDOWS = ((WINDOW, 8), (12, 4))
 
 #: Usual notices and opening sentences of licences, by family.
 TEMPLATES = {
@@ -63,6 +74,41 @@ OTHER = (
     "Licensed under the terms that the vendor sets out elsewhere.", "Use of this work is governed by a separate license agreement.",
     "This work is licensed for internal use only.", "Released under the Orchard Community License, version 7.", "See the file COPYING for the license terms.",
 )
+#: Names of licences in short marks, by family.
+NAMES = {
+    "Apache-2.0": ("Apache", "Apache-2.0", "Apache 2.0", "Apache License 2.0", "ASL 2.0"),
+    "MIT": ("MIT", "MIT/X11", "Expat", "MIT-0"),
+    "BSD": ("BSD", "BSD-3-Clause", "BSD-2-Clause", "BSD 3-Clause", "New BSD", "Simplified BSD"),
+    "GPL": ("GPL", "GPL-3.0", "GPL-2.0", "GPL-3.0-or-later", "GPL-2.0-only", "GPLv3", "GPLv2", "GNU GPL", "GNU General Public"),
+    "LGPL": ("LGPL", "LGPL-2.1", "LGPL-3.0", "LGPL-3.0-or-later", "LGPLv3", "GNU LGPL", "GNU Lesser General Public"),
+    "AGPL": ("AGPL", "AGPL-3.0", "AGPL-3.0-only", "AGPLv3", "GNU AGPL", "GNU Affero General Public"),
+    "MPL-2.0": ("MPL", "MPL-2.0", "MPL 2.0", "Mozilla Public", "Mozilla"),
+    "CC-BY": ("CC BY", "CC-BY-4.0", "CC BY 3.0", "Creative Commons Attribution"),
+    "CC-BY-SA": ("CC BY-SA", "CC-BY-SA-4.0", "CC BY-SA 3.0", "Creative Commons Attribution-ShareAlike"),
+    "CC-BY-NC": ("CC BY-NC", "CC-BY-NC-4.0", "CC BY-NC 3.0", "Creative Commons Attribution-NonCommercial"),
+    "Public-Domain": ("CC0", "CC0-1.0", "CC0 1.0", "Unlicense", "Public Domain"),
+    "Proprietary": ("Proprietary", "Commercial Proprietary"),
+}
+OTHER_NAMES = (
+    "ISC", "Zlib", "WTFPL", "EPL-2.0", "EPL 1.0", "Artistic-2.0", "BSL-1.0", "EUPL-1.2", "MS-PL", "OFL-1.1", "PostgreSQL", "Beerware", "SSPL-1.0", "CDDL-1.0", "Elastic",
+    "Orchard Community", "Python-2.0", "Vim", "NCSA", "Boost Software", "custom", "Harbour Source", "ODbL", "PHP-3.01", "CC BY-NC-ND 4.0", "CC BY-ND 4.0", "CC-BY-NC-SA-4.0",
+)
+#: What short marks look like.
+FORMS = (
+    "{} License", "The {} License", "{} Licence", "{} licensed", "License: {}", "Licence: {}", "License {}", "SPDX-License-Identifier: {}", "Licensed under {}.", "Licensed under the {} License.",
+    "Released under {}.", "Released under the {} license.", "Distributed under the {} license", "Available under {} license", "This project is licensed under {}",
+)
+#: Sentences with a licence's words that are no notices.
+HARD = (
+    "He lost his driving license in May.", "The council granted a fishing licence to the harbour.", "She studied at MIT before she joined the firm.", "An Apache helicopter landed near the river.",
+    "Permission to land was refused by the tower.", "The copyright dispute went on for years.", "Poets take some license with the facts.", "They drove without a license.", "Mit der Bahn in die Stadt.",
+    "The rights of the tenants were under review.", "The mozilla foundation hired two people.", "The public domain of the king was sold.", "The pub lost its license to sell beer.", "A licensed doctor must be present.",
+    "The creative commons of the village.", "Free software conferences are held each spring.", "Version 2 of the plan was released under pressure.", "The shop was released from its lease.",
+)
+PHRASE = "(?i)licen[sc]|copyright|rights reserved|public domain|permission is|redistribut|free software"
+MENTION = PHRASE + r"|\b(mit|bsd|gnu|apache|mozilla|proprietary|creative commons|permission|version)\b"
+#: what makes a line with such words a notice, or too near to one to be an example of none
+NOTICE = re.compile(r"(?i)(licen[sc]ed|released|distributed|available|provided|published|covered) (under|by)|spdx|licen[sc]e\s*[:=]|rights reserved|copyright\s*(\(c\)|©|\d)|permission is|redistribut|free software|public domain|licen[sc]e\W*$|licen[sc]e,? (version|v)|^\W*licen[sc]e\b|governed by|terms of")
 UNKNOWN, NONE = "unknown", "none"
 CLASSES = (NONE, UNKNOWN, *TEMPLATES)
 
@@ -71,50 +117,100 @@ def grams(ws: list[bytes], longest: int = LONGEST) -> set[bytes]:
     return {b" ".join(ws[k : k + n]) for n in range(1, longest + 1) for k in range(len(ws) - n + 1)}
 
 
-def examples(lines: list[bytes], seed: int = 11) -> list[tuple[list[bytes], int]]:
-    """(words, class) for training: variants of the templates by rule, and corpus lines as ``none``."""
+def sources() -> list[tuple[int, str, list[str]]]:
+    """(class, template or name, its texts): what folds hold out whole."""
+    out = [(1, t, [t]) for t in OTHER] + [(1, n, [f.format(n) for f in FORMS]) for n in OTHER_NAMES]
+    for k, family in enumerate(TEMPLATES):
+        out += [(k + 2, t, [t]) for t in TEMPLATES[family]] + [(k + 2, n, [f.format(n) for f in FORMS]) for n in NAMES[family]]
+    return out
+
+
+def fold(source: str) -> int:
+    return zlib.crc32(source.encode()) % FOLDS
+
+
+def examples(lines: list[bytes], mentions: list[bytes] = (), seed: int = 11) -> list[tuple[list[bytes], int, int]]:
+    """(words, class, fold) for training: variants of templates and marks by rule; as ``none``, corpus lines and ``HARD``."""
     rng = random.Random(seed)
     around = [w for x in lines for w in norm_words(x)] or [b"text"]
-    out = [(norm_words(x), 0) for x in lines]
-    for c, texts in [(1, OTHER), *((k + 2, t) for k, t in enumerate(TEMPLATES.values()))]:
-        for t in texts:
-            ws = norm_words(t.encode())
-            out.append((ws, c))
-            for _ in range(VARIANTS):
+    pad = lambda most: [rng.choice(around) for _ in range(rng.choice((0, 0, 1, 4, most, rng.randint(4, most))))]
+    out = [(norm_words(x), 0, k % FOLDS) for k, x in enumerate([*lines, *mentions])]
+    out += [(ws[a : a + WINDOW], 0, k % FOLDS) for k, x in enumerate(mentions) if (ws := norm_words(x)) for a in [rng.randrange(len(ws))]]
+    parts = [ws for x in lines if (ws := norm_words(x))]
+    for k in range(MOST_LINES if parts else 0):  # windows of prose, however few lines there are
+        ws, n = rng.choice(parts), rng.randint(3, WINDOW)
+        a = rng.randrange(max(1, len(ws) - n + 1))
+        out.append((ws[a : a + n], 0, k % FOLDS))
+    telling = {w for names in NAMES.values() for n in names for w in norm_words(n.encode())}
+    whole = [(c, grams(norm_words(t.encode()))) for c, _, texts in sources() if c > 1 for t in texts if len(texts) == 1]
+    # a single word of a notice is none
+    single = {w for _, _, texts in sources() for t in texts for w in norm_words(t.encode())}
+    out += [([w], 0, fold(str(w))) for w in sorted(single) for _ in range(48 if w in telling else 4)]
+    for t in HARD:
+        out += [(pad(12) + norm_words(t.encode()) + pad(12), 0, fold(t)) for _ in range(VARIANTS // 3)]
+    for c, name, texts in sources():
+        for text in texts:
+            ws = norm_words(text.encode())
+            out.append((ws, c, fold(name)))
+            names = NAMES.get(CLASSES[c], ())
+            for _ in range(VARIANTS if len(texts) == 1 else 1 if c == 1 else max(2, 16 // len(names)) * (3 if name == names[0] else 1)):
                 a = rng.randint(0, max(0, len(ws) - 8)) if len(ws) > 12 else 0
                 part = ws[a : a + rng.randint(8, len(ws))] if len(ws) > 12 else ws
-                part = [w for w in part if rng.random() > 0.05]
-                pad = lambda: [rng.choice(around) for _ in range(rng.choice((0, 0, 1, 4)))]
-                out.append((pad() + part + pad(), c))
+                part = [w for w in part if w in telling or rng.random() > 0.05]
+                if not any(c != o and grams(part) <= t for o, t in whole):  # what two families have in common tells nothing
+                    out.append((pad(12) + part + pad(12), c, fold(name)))
     return out
 
 
 class Model:
     """Weights by n-gram, temperature and least probability, and the templates' n-grams."""
 
-    def __init__(self, vocab: dict[bytes, int], w: np.ndarray, b: np.ndarray, heat: float, least: float):
+    def __init__(self, vocab: dict[bytes, int], w: np.ndarray, b: np.ndarray, heat: float = 1.0, least: float = 0.5, held: int | None = None, common: Counter | None = None):
         self.vocab, self.w, self.b, self.heat, self.least = vocab, w.astype(np.float32), b, heat, least
-        self.templates = {k: [grams(norm_words(t.encode())) for t in v] for k, v in TEMPLATES.items()}
-        #: words whose weights alone favour a licence: a line without any is none
-        self.cues = {g for g, k in vocab.items() if b" " not in g and (w[k, 1:].max() > w[k, 0])}
+        self.templates = {f: [] for f in TEMPLATES}
+        for c, name, texts in sources():
+            if c > 1 and fold(name) != held:
+                self.templates[CLASSES[c]] += [grams(norm_words(t.encode())) for t in texts]
+        #: words of a family's templates that no other family has
+        words = {f: {x for t in ts for x in t if b" " not in x} for f, ts in self.templates.items()}
+        self.own = {f: ws.difference(*(words[o] for o in words if o != f)) for f, ws in words.items()}
+        #: the most that n-grams can add to a class above none, each counted with its rarest word
+        common, tops = common or Counter(), {}
+        for g, k in vocab.items():
+            at = min(g.split(), key=lambda x: (common[x], x))
+            tops[at] = np.maximum(tops.get(at, 0.0), 0.0) + np.maximum(w[k, 1:] - w[k, 0], 0.0)
+        self.top = {x: float(top.max()) for x, top in tops.items()}
+        self.floor = float((b[0] - b[1:]).min()) - 1e-3  # less the error of 32-bit weights
+        #: of d other words none can add more than floor * sqrt(3 / WINDOW), so a window of them, with 3 d - 3 + DAMP n-grams or more, is none
+        self.needed = {x for x, top in self.top.items() if top >= self.floor * (3 / WINDOW) ** 0.5}
         self.seen: dict[bytes, tuple[str, float]] = {}
 
+    def shared(self, family: str, g: set[bytes]) -> set[bytes]:
+        """The n-grams that ``g`` shares with the templates of a family that confirm it."""
+        out: set[bytes] = set()
+        for t in self.templates[family]:
+            both = g & t
+            if len(both) >= max(min(LEAST_SHARED, len(t)), SHARE * min(len(t), len(g))):
+                own = self.own[family] & t
+                if not own or own & both:
+                    out |= both
+        return out
+
     def confirmed(self, family: str, g: set[bytes]) -> bool:
-        return any(len(g & t) >= max(LEAST_SHARED, SHARE * min(len(t), len(g))) for t in self.templates[family])
+        """Whether templates of the family share enough, and no other family's share all of that and more."""
+        mine = self.shared(family, g)
+        return bool(mine) and not any(mine < self.shared(o, g) for o in self.templates if o != family)
 
-    def judge(self, line: bytes) -> tuple[str, float]:
-        """(family, unknown or none; its probability)."""
-        ws = norm_words(line)
-        if self.cues.isdisjoint(ws):
-            return NONE, 1.0
+    def scores(self, g: set[bytes]) -> np.ndarray:
+        at = [k for x in g if (k := self.vocab.get(x)) is not None]
+        return self.w[at].sum(axis=0) / (len(g) + DAMP) ** 0.5 + self.b
+
+    def _words(self, ws: list[bytes]) -> tuple[str, float]:
         key = b" ".join(ws) if len(ws) < 60 else b""
         if key and (got := self.seen.get(key)):
             return got
         g = grams(ws)
-        at = [k for x in g if (k := self.vocab.get(x)) is not None]
-        if sum(b" " in x and x in self.vocab for x in g) < LEAST_PHRASES:
-            return NONE, 1.0
-        p = linear.softmax(((self.w[at].sum(axis=0) / max(len(g), 1) ** 0.5) + self.b) / self.heat)
+        p = linear.softmax(self.scores(g) / self.heat)
         best = int(p.argmax())
         family = CLASSES[best]
         if best > 1 and (p[best] < self.least or not self.confirmed(family, g)):
@@ -123,46 +219,88 @@ class Model:
             self.seen[key] = (family, float(p[best]))
         return family, float(p[best])
 
+    def judge(self, line: bytes) -> tuple[str, float]:
+        """(family, unknown or none; its probability) of a line as a whole."""
+        return self._words(norm_words(line))
+
+    def families(self, line: bytes) -> list[str]:
+        """The families of a line's windows, sorted; ``[unknown]`` if it has only unknown ones, ``[]`` if none."""
+        ws = norm_words(line)
+        if self.floor > 0 and self.needed.isdisjoint(ws):
+            return []
+        places = [k for k, w in enumerate(ws) if self.floor <= 0 or w in self.needed]
+        found = []
+        for size, step in WINDOWS:
+            size = min(size, len(ws))
+            starts = {min(a, len(ws) - size) for k in places for a in range(max(0, -(-(k - size + 1) // step)) * step, k + 1, step)}
+            for a in sorted(starts):
+                x = ws[a : a + size]
+                words = set(x)
+                if sum([self.top.get(w, 0.0) for w in words]) >= self.floor * (max(1, 3 * len(words) - 3) + DAMP) ** 0.5 and (f := self._words(x)[0]) != NONE:
+                    found.append((f, x))
+        if not found:
+            return []
+        known: dict[str, set[bytes]] = {}
+        for f, x in found:
+            if f != UNKNOWN:
+                known[f] = known.get(f, set()) | self.shared(f, grams(x))
+        # part of one family's notice may read like another's; then it shares no n-grams of its own with the other
+        kept = [f for f in known if not any(f != o and known[f] < known[o] for o in known)]
+        return sorted(kept) or ([UNKNOWN] if found else [])
+
+
+def fit(rows: list[tuple[list[bytes], int, int]]) -> Model:
+    """The model of all examples, calibrated by models that lack one fold each."""
+    sets = [grams(ws) for ws, _, _ in rows]
+    y, folds = np.array([c for _, c, _ in rows]), np.array([f for _, _, f in rows])
+
+    # n-grams of notices and of hard negatives, but not of the words around them
+    allowed = {g for _, _, texts in sources() for t in texts for g in grams(norm_words(t.encode()))} | {g for t in HARD for g in grams(norm_words(t.encode()))}
+
+    def part(inside: np.ndarray, held: int | None) -> Model:
+        df: dict[bytes, int] = {}
+        for k in np.flatnonzero(inside):
+            for g in sets[k] & allowed:
+                df[g] = df.get(g, 0) + 1
+        vocab = {g: k for k, g in enumerate(sorted(g for g, n in df.items() if n >= 15))}
+        at = np.flatnonzero(inside)
+        x = np.zeros((len(at), len(vocab)), np.float64)
+        for row, k in enumerate(at):
+            x[row, [vocab[g] for g in sets[k] if g in vocab]] = 1 / (len(sets[k]) + DAMP) ** 0.5
+        return Model(vocab, *linear.softmax_fit(x, y[at], len(CLASSES), l2=0.02, steps=250), held=held, common=common)
 
-def train(docs: DataFrame, text_col: str = "text", most_lines: int = MOST_LINES) -> Model:
-    phrase = "(?i)licen[sc]|copyright|rights reserved|public domain|permission is|redistribut|free software"
+    common = Counter(w for ws, c, _ in rows if c == 0 for w in ws)
+    z = np.zeros((len(rows), len(CLASSES)))
+    fine = np.zeros(len(rows), bool)
+    for f in range(FOLDS):
+        m = part(folds != f, f)
+        for k in np.flatnonzero(folds == f):
+            z[k] = m.scores(sets[k])
+            best = int(z[k].argmax())
+            fine[k] = best > 1 and m.confirmed(CLASSES[best], sets[k])
+    model = part(np.ones(len(rows), bool), None)
+    model.heat = linear.temperature(z, y)
+    p = linear.softmax(z / model.heat)
+    best, model.least = p.argmax(axis=1), 0.95
+    for c in np.linspace(0.3, 0.95, 27):
+        sure = fine & (p.max(axis=1) >= c)
+        if sure.any() and (best == y)[sure].mean() >= PRECISION:
+            model.least = float(c)
+            break
+    return model
+
+
+def train(docs: DataFrame, text_col: str = "text", most_lines: int = MOST_LINES, most_mentions: int = MOST_MENTIONS) -> Model:
     line = F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))
-    lines = docs.select(line.alias("line")).filter(F.length("line").between(20, 2000) & ~F.col("line").rlike(phrase))
+    lines = docs.select(line.alias("line")).filter(F.length("line").between(3, 2000))
     # a slice of the hash range that holds enough lines (a document has one at least), so that little is sorted or sent
     share = min(1.0, 20 * most_lines / max(docs.count(), 1))
     lines = lines.withColumn("h", F.xxhash64("line")).filter(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)))
-    chosen = [r.line.encode() for r in lines.groupBy("h").agg(F.min("line").alias("line")).orderBy("h").limit(most_lines).collect()]
-    rows = examples(chosen)
-    random.Random(5).shuffle(rows)
-    held = rows[: len(rows) // 5]
-    fitted = rows[len(rows) // 5 :]
-    df: dict[bytes, int] = {}
-    for ws, c in fitted:
-        if c:
-            for g in grams(ws):
-                df[g] = df.get(g, 0) + 1
-    vocab = {g: k for k, g in enumerate(sorted(g for g, n in df.items() if n >= 15))}
-
-    def matrix(part):
-        x = np.zeros((len(part), len(vocab)), np.float32)
-        for k, (ws, _) in enumerate(part):
-            g = grams(ws)
-            x[k, [vocab[y] for y in g if y in vocab]] = 1 / max(len(g), 1) ** 0.5
-        return x, np.array([c for _, c in part])
-
-    x, y = matrix(fitted)
-    w, b = linear.softmax_fit(x, y, len(CLASSES), l2=0.02, steps=120)
-    hx, hy = matrix(held)
-    z = hx @ w + b
-    heat = linear.temperature(z, hy)
-    p = linear.softmax(z / heat)
-    best, least = p.argmax(axis=1), 0.5
-    for c in np.linspace(0.3, 0.95, 27):
-        sure = (best > 1) & (p.max(axis=1) >= c)
-        if sure.any() and (best == hy)[sure].mean() >= PRECISION:
-            least = float(c)
-            break
-    return Model(vocab, w, b, heat, least)
+    lines = materialize(lines.groupBy("h").agg(F.min("line").alias("line")), "licence-lines")
+    first = lambda which, most: [r.line for r in lines.filter(which).orderBy("h").limit(most).collect()]
+    plain = first((F.length("line") >= 20) & ~F.col("line").rlike(PHRASE), most_lines)
+    mentions = [x for x in first(F.col("line").rlike(MENTION), most_mentions) if not NOTICE.search(x)]
+    return fit(examples([x.encode() for x in plain], [x.encode() for x in mentions]))
 
 
 FOUND = "n_lines long, n_licence long, n_unknown long, families string, spans string"
@@ -175,14 +313,14 @@ def scan(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     names, shared = docs.columns, docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = shared.value.judge
+        families = shared.value.families
         for batch in slices(batches, text_col):
             rows = []
             for text in utf8(batch.column(text_col)):
                 lines = text.split(b"\n")
-                got = [(f, k) for k, x in enumerate(lines) if (f := judge(x)[0]) != NONE]
-                sure = [f for f, _ in got if f != UNKNOWN]
-                rows.append((len(lines), len(sure), len(got) - len(sure), ",".join(sorted(set(sure))), ",".join(f"{f}:{k}" for f, k in got)))
+                got = [(fs, k) for k, x in enumerate(lines) if (fs := families(x))]
+                sure = [fs for fs, _ in got if fs != [UNKNOWN]]
+                rows.append((len(lines), len(sure), len(got) - len(sure), ",".join(sorted({f for fs in sure for f in fs})), ",".join(f"{f}:{k}" for fs, k in got for f in fs)))
             cols = list(zip(*rows))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.string()) for c in cols[3:])], names=[*names, *fields.names])
 

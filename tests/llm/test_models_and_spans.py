@@ -159,6 +159,19 @@ def test_licence_of_no_known_family_is_unknown(spark):
     assert m.judge(b"the river and the stone")[0] == licenses.NONE
 
 
+def test_licences_of_short_marks_and_long_lines(spark):
+    m = licenses.train(spark.createDataFrame(licence_rows()[0], "doc_id long, text string, x string"))
+    for mark, family in {"MIT License": "MIT", "Apache License": "Apache-2.0", "SPDX-License-Identifier: MIT": "MIT", "License: GPL-3.0": "GPL", "Licensed under ISC.": licenses.UNKNOWN}.items():
+        assert m.families(mark.encode()) == [family], mark
+    # sentences and a name that training doesn't have
+    assert m.families(b"Licensed under the Quarry Source terms.") == [licenses.UNKNOWN]
+    assert m.families(b"The harbour was quiet and the version of the map was old.") == [] == m.families(b"mit")
+    text = say(random.Random(4), 150)
+    notices = [licenses.TEMPLATES["MPL-2.0"][0], "Released under the MIT License."]
+    assert m.families(f"{text} {notices[0]} {text} {notices[1]} {text}".encode()) == ["MIT", "MPL-2.0"]
+    assert m.families(text.encode()) == []
+
+
 def test_toxicity_on_held_out_documents(spark):
     rng = random.Random(9)
     rows, labels = [], []
