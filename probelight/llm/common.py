@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,24 +21,68 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else (tests) one of our own."""
+    """The folder that driver and executors share, ``spark.checkpoint.dir``.
+
+    Where it is unset, as in tests, a local session gets a temporary folder of this machine; a cluster is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        sc = spark.sparkContext
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if sc.applicationId not in _own:
+            _own[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-")
+        path = _own[sc.applicationId]
     return path.rstrip("/")
 
 
+def _fs(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; whatever is there goes when the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    where, fs = _fs(spark, path)
+    fs.deleteOnExit(where)
+    return path
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    where, fs = _fs(spark, path)
+    fs.delete(where, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it again: lineage is cut and a lost executor loses nothing."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Deletes what ``materialize`` wrote, once no frame needs it any more."""
+    for df in written:
+        delete_path(df.sparkSession, df._written_at)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Inclusive prefix totals of an array under an associative ``join``, in steps that double their reach."""
+    reach = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int")), lambda k: F.call_function("shiftleft", F.lit(1), k))
+    step = lambda acc, by: F.transform(acc, lambda x, i: F.when(i >= by, join(x, F.get(acc, i - by))).otherwise(x))
+    return F.aggregate(reach, values, step)
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

@@ -4,11 +4,12 @@ import gzip
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from probelight.llm import licenses, linear, secrets, substring_dedup, toxicity, warc
+from probelight.llm import common, licenses, linear, secrets, substring_dedup, toxicity, warc
 
 VOCAB = [a + b for a in "the of and stone river light".split() for b in ("", "s", "X", "é", "42")]
 
@@ -17,37 +18,82 @@ def say(rng, n):
     return " ".join(rng.choice(VOCAB) for _ in range(n))
 
 
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
 def secret_rows():
     k = "AKIA" + "Q1" * 10
     texts = [
         'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" é end', "password: short", f"x{k} {k}", "API_KEY='abcDEF123456789'; secret=abc", None, "",
         "deadbeefdeadbeef0 deadbeef", 'pässwörd token:"p/a+b=c.d-e_fGhijk" Token=zzz', 'secret = "abc": "abcdefghijklmnop"', "bare 04dbebab91ab85687d33eeaaf9ac699e1188f962 abcDEF123456789x",
+        "see abcDEF123456789. and auth=abcDEF123456789 v/abcDEF123456789/ abcDEF123456789", "password=token: abcdefghijklmnop", "." * 3000 + "abcdefghijklmnop", "x=p/a+b=c.d-e_fGhijk p/a+b=c.d-e_fGhijk...",
+        "secret=onlyletters token=onlyletters. onlyletters", "token: abcdefghijklmnop secret=abcdefghijkl", "go abcdefghijkl, abcdefghijklmnop=abcdefghijkl",
     ]
-    return [(i, t, f"src{i % 3}", None if i == 2 else "en", "clash") for i, t in enumerate(texts)] + [(None, texts[0], "s", "en", "c"), (0, texts[0], "src0", "en", "c")]
+    return [(i, t, f"src{i % 3}", None if i == 2 else "en", "clash", "clash", "clash") for i, t in enumerate(texts)] + [(None, texts[0], "s", "en", "c", "c", "c"), (0, "abcDEF123456789 and no more", "src0", "en", "c", "c", "c"), (0, texts[0], "src0", "en", "c", "c", "c")]
+
+
+def brute_secrets(rows):
+    """Base and reused spans of each row, by plain Python."""
+    cut = lambda v: v.rstrip(".") if len(v.rstrip(".")) >= 12 else v
+    base = []
+    for _, t, *_ in rows:
+        spans = [(m.start(), 0, m.end(), "assign", cut(m[2])) for m in ASSIGN.finditer(t or "") if len(m[2]) >= 12]
+        spans += [(m.start(), 1, m.end(), "access", m[0]) for m in re.finditer("AKIA[A-Z0-9]+", t or "") if len(m[0]) >= 18]
+        base.append(spans + [(m.start(), 2, m.end(), "hex", m[0]) for m in re.finditer("[0-9a-f]+", t or "") if len(m[0]) >= 16])
+    values, out = {s[4] for spans in base for s in spans}, []
+    for (_, t, *_), spans in zip(rows, base):
+        found = set()
+        for pattern in ("[A-Za-z0-9+/_.=-]+", "[A-Za-z0-9+_.-]+"):
+            for m in re.finditer(pattern, t or ""):
+                found |= {(m.start() + k, m[0][k:].rstrip(".")) for k in (0, m[0].find("=") + 1)}
+        extra = {(a, 3, a + len(v), "reuse", v) for a, v in found if len(v) >= 12 and v in values and not any(s[0] < a + len(v) and a < s[2] for s in spans)}
+        out.append(sorted({*spans, *extra}))
+    return out
 
 
 def test_secrets_by_brute_force(spark):
-    docs = spark.createDataFrame(secret_rows(), "doc_id long, text string, source string, lang string, n_live string")
-    found = secrets.find_secrets(docs)
-    got = sorted((str(r.doc_id), r.n_assign, r.n_access, r.n_hex, ",".join(f"{x.kind}:{x.start}:{x.end}" for x in r.base)) for r in found.collect())
-    assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
-    want = []
-    for i, t, *_ in secret_rows():
-        spans = [(m.start(), 0, "assign", m.end()) for m in assign.finditer(t or "") if len(m[2]) >= 12]
-        spans += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t or "") if len(m[0]) >= 18]
-        spans += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", t or "") if len(m[0]) >= 16]
-        want.append((str(i), *(sum(s[1] == k for s in spans) for k in range(3)), ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(spans))))
-    assert got == sorted(want)
+    rows = secret_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_live string, spans string, row string").repartition(3)
+    got = sorted((str(r.doc_id), [(x.start, x.n, x.end, x.kind) for x in r.spans]) for r in secrets.find_secrets(docs).collect())
+    want = brute_secrets(rows)
+    assert sum(x[3] == "reuse" for spans in want for x in spans) >= 10
+    assert got == sorted((str(i), [x[:4] for x in spans]) for (i, *_), spans in zip(rows, want))
 
 
 def test_secret_ownership(spark):
     key = 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'
-    rows = [(1, key, "a", "en"), (2, key, "b", "en"), (3, "secret=qW8rT2yU5iO1pAsD", "a", "en"), (4, "see qW8rT2yU5iO1pAsD there", "c", "en"), (5, "password=changeme_changeme", "a", "en")]
-    out = {r.doc_id: r for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()}
-    assert (out[1].n_shared, out[1].n_live) == (2, 0)  # the assignment and its hexadecimal value
-    assert (out[3].n_live, out[3].n_shared) == (1, 0)
-    assert [(x.start, x.end) for x in out[4].reuse] == [(4, 20)] and out[4].n_live == 1
-    assert (out[5].n_live, out[5].n_shared) == (0, 0)
+    jwt = "eyJhbGciOi.eyJzdWIiOiIx.SflKxwRJSM"
+    rows = [
+        (1, key, "a", "en"), (2, key, "b", "en"), (3, "secret=qW8rT2yU5iO1pAsD", "a", "en"), (4, "see qW8rT2yU5iO1pAsD there", "a", "en"), (5, "password=changeme_changeme", "a", "en"),
+        (6, f"token={jwt}", "a", "en"), (7, f"pasted {jwt} and key={jwt}", "c", "en"), (8, "secret=Zx9yW8vU7tS6", "a", "x"), (8, "Zx9yW8vU7tS6", "a", "y"), (9, "Zx9yW8vU7tS6.", "a", "z"),
+    ]
+    out = {}
+    for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect():
+        out.setdefault(r.doc_id, []).extend((x.kind, x.verdict, x.n_owners) for x in r.spans)
+    assert out[1] == [("assign", "shared", 2), ("hex", "shared", 2)]
+    assert out[3] == [("assign", "live", 1)] and out[4] == [("reuse", "live", 1)]
+    assert out[5] == [("assign", "placeholder", 1)]
+    assert out[6] == [("assign", "shared", 2)] and out[7] == [("reuse", "shared", 2)] * 2  # pasted bare by another owner
+    assert sorted(out[8]) == [("assign", "shared", 1), ("reuse", "shared", 1)] and out[9] == [("reuse", "shared", 1)]  # three repositories
+
+
+def test_secrets_of_a_key_dump_in_linear_time(spark):
+    n = 32_000
+    text = " ".join(f"secret={k:016x} q{k:015x}" for k in range(n // 2)) + " " + " ".join(f"{k:016x}" for k in range(n // 2))
+    docs = spark.createDataFrame([(1, text, "s", "en"), (2, f"secret=q{7:015x}", "s", "en")], "doc_id long, text string, source string, lang string")
+    start = time.time()
+    r = {r.doc_id: r.spans for r in secrets.find_secrets(docs).collect()}[1]
+    assert time.time() - start < 30  # a quadratic scan takes minutes
+    assert len(r) == n // 2 * 3 + 1 and [(x.start, x.end) for x in r if x.kind == "reuse"] == [(text.index(f"q{7:015x}"), text.index(f"q{7:015x}") + 16)]
+
+
+def test_secrets_leave_no_values_on_disk(spark, tmp_path, monkeypatch):
+    value = "qW8rT2yU5iO1pAsD"
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    docs = spark.createDataFrame([(1, f"secret={value}", "a", "en"), (2, f"see {value}", "a", "en")], "doc_id long, text string, source string, lang string")
+    assert sum(len(r.spans) for r in secrets.find_secrets(docs).collect()) == 2
+    files = [f for f in tmp_path.rglob("*") if f.is_file()]
+    assert files and not any(value.encode() in f.read_bytes() for f in files)
 
 
 def span_rows(seed):
