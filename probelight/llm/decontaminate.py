@@ -3,33 +3,43 @@
 Texts are normalised (A-Z in lower case; words are runs of ASCII letters, digits and all characters from U+0080).  A
 window is ``width`` consecutive words of an item; an item with fewer words, but some, is one window.  The automaton
 holds all items; a document's words stream through it, which tracks the longest match that ends at each word.  Where
-that reaches the width, or a whole short item ends, the words of that window are hit.  Spans are cut from the text, or
-documents flagged, where the hit words reach ``1 / share`` of all words.
+that reaches the width, or a whole short item ends, the words of that window are hit; hit words in a row are a span.
 
-Only runs of words that the items know, at least as long as the shortest window, are streamed; others can't match.
-Items are dealt into blocks of at most ``block_words`` words, so an automaton's size is bounded; it is broadcast and
-each block scans the documents once (a usual set of benchmarks is one block).
+* ``find_spans`` gives the spans, ``flag`` the documents of which hit words are at least ``1 / share``.
+* ``remove_spans`` cuts spans from the text that are longer than ``most_words`` words or more than ``1 / share`` of the
+  document: from the first byte of a span's first word to the last byte of its last one.
+
+Items are cut into overlapping pieces and dealt by hash into blocks of some ``block_words`` words.  Tasks build a block's
+automaton, whose moves are packed in arrays (most states have one move), so a block is some megabytes whatever the
+benchmark.  ``BLOCKS_A_SCAN`` blocks are broadcast at a time and the documents are scanned once for all of these.  Only runs
+of words that a block's items know, at least as long as its shortest window, are streamed; others can't match.
 
 Null or empty text has no words.  Items with null text have none either; items with a null id hit words but aren't
-counted or listed.  Repeated ids count once.  Very long texts stream.  An empty benchmark hits nothing.
+counted or listed.  Repeated ids count once, repeated rows are judged alike.  Very long texts stream.  Ties don't arise.  An
+empty benchmark hits nothing, an empty table gives no rows.  Input columns named like an added column are replaced by it.
 """
 
 from __future__ import annotations
 
-import hashlib
+import pickle
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import materialize, slices, table, utf8, without
 
-WIDTH, SHARE, BLOCK_WORDS = 13, 20, 1_000_000
+WIDTH, SHARE, MOST_WORDS = 13, 20, 20
+BLOCK_WORDS, BLOCKS_A_SCAN, PIECE = 100_000, 8, 4096
 
 #: Letters to lower case, ASCII that isn't a letter or digit to a space, bytes of other characters as they are.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+_WORD = re.compile(rb"[^ ]+")
 
 
 def norm_words(text: bytes) -> list[bytes]:
@@ -37,71 +47,89 @@ def norm_words(text: bytes) -> list[bytes]:
 
 
 class Automaton:
-    """Suffix automaton of several word sequences.  Per state: longest length, suffix link, moves, items."""
+    """Suffix automaton of several word sequences.
+
+    Per state: longest length, suffix link and one move in arrays, further moves in one dictionary by state and word; the
+    windows that end at a state, by length, with their items.
+    """
 
-    def __init__(self, items: list[tuple[object, list[bytes]]], width: int = WIDTH):
-        self.width = width
+    def __init__(self, items: list[tuple[str | None, list[bytes], bool]], width: int = WIDTH):
+        """items: (id, words, whether these are a whole item of fewer words than the width)."""
         self.vocab: dict[bytes, int] = {}
-        self.length, self.link, self.moves = [0], [-1], [{}]
-        ends: list[tuple[int, int, object]] = []  # state, window length, item id
-        for item, seq in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab)) for w in seq]
+        length, link, moves = [0], [-1], [{}]
+        self._parts = length, link, moves
+        seqs = [[self.vocab.setdefault(w, len(self.vocab)) for w in seq] for _, seq, _ in items]
+        for ids in seqs:
             last = 0
             for w in ids:
                 last = self._add(last, w)
-        for item, seq in items:  # states are final now: note where each item's windows end
+        del self._parts
+        self.length, self.link = array("i", length), array("i", link)
+        self.word, self.to = array("i", [-1]) * len(link), array("i", [-1]) * len(link)
+        self.more: dict[int, int] = {}
+        for state, out in enumerate(moves):
+            for k, (w, to) in enumerate(out.items()):
+                if k:
+                    self.more[state * len(self.vocab) + w] = to
+                else:
+                    self.word[state], self.to[state] = w, to
+        self.windows: dict[int, dict[int, set]] = {}  # state -> window length -> items
+        self.shortest = width
+        for (item, _, short), ids in zip(items, seqs):  # states are final now: note where each item's windows end
             state, n = 0, 0
-            for w in (self.vocab[x] for x in seq):
+            for w in ids:
                 state, n = self.step(state, n, w)
-                if len(seq) < width:
-                    if n == len(seq):
-                        ends.append((self._of(state, n), n, item))
-                elif n >= width:
-                    ends.append((self._of(state, width), width, item))
-        self.windows: dict[int, dict[int, set]] = {}  # state -> window length -> items
-        for state, n, item in ends:
-            self.windows.setdefault(state, {}).setdefault(n, set()).add(item)
-        self.shortest = min((n for _, n, _ in ends), default=width)
+                size = len(ids) if short else width
+                if n >= size:
+                    self.windows.setdefault(self._of(state, size), {}).setdefault(size, set()).add(item)
+                    self.shortest = min(self.shortest, size)
         # nearest state on the suffix path, itself included, at which some window ends
-        self.near = [-1] * len(self.link)
-        for s in sorted(range(len(self.link)), key=self.length.__getitem__):
+        self.near = array("i", [-1]) * len(link)
+        for s in sorted(range(len(link)), key=self.length.__getitem__):
             self.near[s] = s if s in self.windows else self.near[self.link[s]] if self.link[s] >= 0 else -1
 
-    def _new(self, length: int, link: int, moves: dict) -> int:
-        self.length.append(length)
-        self.link.append(link)
-        self.moves.append(moves)
-        return len(self.length) - 1
+    def _new(self, longest: int, to: int, out: dict) -> int:
+        length, link, moves = self._parts
+        length.append(longest)
+        link.append(to)
+        moves.append(out)
+        return len(length) - 1
 
     def _split(self, p: int, q: int, w: int) -> int:
         """A state for the strings of ``q`` that are at most one longer than ``p``'s longest."""
-        clone = self._new(self.length[p] + 1, self.link[q], dict(self.moves[q]))
-        self.link[q] = clone
-        while p >= 0 and self.moves[p].get(w) == q:
-            self.moves[p][w] = clone
-            p = self.link[p]
+        length, link, moves = self._parts
+        clone = self._new(length[p] + 1, link[q], dict(moves[q]))
+        link[q] = clone
+        while p >= 0 and moves[p].get(w) == q:
+            moves[p][w] = clone
+            p = link[p]
         return clone
 
     def _add(self, last: int, w: int) -> int:
-        if (q := self.moves[last].get(w)) is not None:
-            return q if self.length[q] == self.length[last] + 1 else self._split(last, q, w)
-        cur = self._new(self.length[last] + 1, 0, {})
+        length, link, moves = self._parts
+        if (q := moves[last].get(w)) is not None:
+            return q if length[q] == length[last] + 1 else self._split(last, q, w)
+        cur = self._new(length[last] + 1, 0, {})
         p = last
-        while p >= 0 and w not in self.moves[p]:
-            self.moves[p][w] = cur
-            p = self.link[p]
+        while p >= 0 and w not in moves[p]:
+            moves[p][w] = cur
+            p = link[p]
         if p >= 0:
-            q = self.moves[p][w]
-            self.link[cur] = q if self.length[q] == self.length[p] + 1 else self._split(p, q, w)
+            q = moves[p][w]
+            link[cur] = q if length[q] == length[p] + 1 else self._split(p, q, w)
         return cur
 
     def step(self, state: int, n: int, w: int) -> tuple[int, int]:
         """The state and length of the longest match after one more word."""
-        while state and w not in self.moves[state]:
+        size = len(self.vocab)
+        while True:
+            to = self.to[state] if self.word[state] == w else self.more.get(state * size + w, -1)
+            if to >= 0:
+                return to, n + 1
+            if not state:
+                return 0, 0
             state = self.link[state]
             n = self.length[state]
-        nxt = self.moves[state].get(w)
-        return (0, 0) if nxt is None else (nxt, n + 1)
 
     def _of(self, state: int, n: int) -> int:
         """The state that holds the suffix of length ``n``."""
@@ -125,6 +153,16 @@ class Automaton:
                 spans.append((at + 1 - longest, at + 1))
         return spans, items
 
+    def find(self, ws: list[bytes]) -> tuple[list[tuple[int, int]], set]:
+        """As ``match``, for the words of a whole text."""
+        ids = np.fromiter((self.vocab.get(w, -1) for w in ws), np.int64, len(ws))
+        spans, items = [], set()
+        for a, b in _known_runs(ids >= 0, self.shortest):
+            found, mine = self.match(ids[a:b].tolist())
+            spans += [(a + x, a + y) for x, y in found]
+            items |= mine
+        return spans, items
+
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
@@ -142,87 +180,114 @@ def _known_runs(known: np.ndarray, least: int) -> list[tuple[int, int]]:
     return runs[runs[:, 1] - runs[:, 0] >= least].tolist()
 
 
-def _scan(shared, text_col: str, names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto: Automaton = shared.value
-        get = auto.vocab.get
-        for batch in slices(batches, text_col):
-            n_words, starts, ends, items = [], [], [], []
-            for text in utf8(batch.column(text_col)):
+def automata(benchmark: DataFrame, id_col: str, text_col: str, width: int, block_words: int) -> tuple[DataFrame, int]:
+    """(block, automaton) as rows in the shared folder, and the number of blocks; tasks build them."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "t"):
+            rows = []
+            for item, text in zip(batch.column("item").to_pylist(), utf8(batch.column("t"))):
                 ws = norm_words(text)
-                ids = np.fromiter((get(w, -1) for w in ws), np.int64, len(ws))
-                spans, who = [], set()
-                for a, b in _known_runs(ids >= 0, auto.shortest):
-                    found, mine = auto.match(ids[a:b].tolist())
-                    spans += [(a + x, a + y) for x, y in found]
-                    who |= mine
-                spans = merge(spans)
-                n_words.append(len(ws))
-                starts.append([a for a, _ in spans])
-                ends.append([b for _, b in spans])
-                items.append(sorted(str(x) for x in who if x is not None))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(n_words, pa.int64()), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=[*names, "n_words", "starts", "ends", "items"])
+                for a in range(0, max(len(ws) - width + 1, min(len(ws), 1)), PIECE):
+                    rows.append((item, b" ".join(part := ws[a : a + PIECE + width - 1]), len(part), len(ws) < width))
+            item, words, n, short = zip(*rows) if rows else ([],) * 4
+            yield pa.RecordBatch.from_arrays([pa.array(item, pa.string()), pa.array(words, pa.binary()), pa.array(n, pa.int64()), pa.array(short, pa.bool_())], names=["item", "words", "n", "short"])
 
-    return run
+    pieces = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("t")).mapInArrow(cut, "item string, words binary, n long, short boolean")
+    pieces = materialize(pieces, "benchmark-pieces")
+    total = pieces.agg(F.sum("n")).first()[0] or 0
+    n_blocks = -(-total // block_words)
 
+    def build(rows: pa.Table) -> pa.Table:
+        items = [(i, w.split(b" "), s) for i, w, s in zip(*(rows.column(c).to_pylist() for c in ("item", "words", "short")))]
+        made = pickle.dumps(Automaton(items, width), protocol=5)
+        return pa.table({"block": pa.array([rows.column("block")[0].as_py()], pa.int64()), "automaton": pa.array([made], pa.binary())})
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[object, list[bytes]]]]:
-    """Items in blocks of at most ``block_words`` words (one item at least), streamed."""
-    block, size = [], 0
-    for row in benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).toLocalIterator():
-        seq = norm_words((row.t or "").encode())
-        if not seq:
-            continue
-        if block and size + len(seq) > block_words:
-            yield block
-            block, size = [], 0
-        block.append((row.i, seq))
-        size += len(seq)
-    yield block
+    # several items may be equal: the item's id takes part in the hash
+    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(max(n_blocks, 1))))
+    return materialize(dealt.groupBy("block").applyInArrow(build, "block long, automaton binary"), "automata"), n_blocks
 
 
-OUT = "n_words long, starts array<long>, ends array<long>, items array<string>"
+FOUND = "n_words long, starts array<long>, ends array<long>, items array<string>"
 
 
-def find_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` with n_words, the hit spans in words (starts, ends; merged) and items (sorted strings)."""
-    docs = without(docs, "n_words", "starts", "ends", "items")
-    from pyspark.sql.types import StructType
-
-    names, schema = docs.columns, StructType([*docs.schema.fields, *StructType.fromDDL(OUT).fields])
-    blocks = item_blocks(benchmark, item_id, item_text, block_words)
-    scan = lambda df, block: df.mapInArrow(_scan(df.sparkSession.sparkContext.broadcast(Automaton(block, width)), text_col, df.columns), StructType([*df.schema.fields, *StructType.fromDDL(OUT).fields]))
-    out = scan(docs, next(blocks))
-    for block in blocks:  # more blocks: one more scan each, spans and items joined per row
-        old = {c: f"_{c}" for c in ("starts", "ends", "items")}
-        out = materialize(scan(out.withColumnsRenamed(old).drop("n_words"), block), "decontaminate")
-        out = out.withColumns({
-            "starts": F.concat("_starts", "starts"), "ends": F.concat("_ends", "ends"),
-            "items": F.array_sort(F.array_union("_items", "items"))}).drop(*old.values())
-        out = out.mapInArrow(_merged(out.columns), schema)
-    return out.select(*names, "n_words", "starts", "ends", "items")
-
-
-def _merged(names: list[str]):
-    def run(batches):
-        for batch in batches:
-            spans = [merge(list(zip(a, b))) for a, b in zip(batch.column("starts").to_pylist(), batch.column("ends").to_pylist())]
-            new = {"starts": pa.array([[a for a, _ in s] for s in spans], pa.list_(pa.int64())), "ends": pa.array([[b for _, b in s] for s in spans], pa.list_(pa.int64()))}
-            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names=names)
+def _scan(shared, text_col: str, names: list[str], into: str):
+    """Adds column ``into`` (of FOUND), or adds to it where it is there already."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        autos: list[Automaton] = [pickle.loads(x) for x in shared.value]
+        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()))
+        for batch in slices(batches, text_col):
+            rows = []
+            before = batch.column(into).to_pylist() if into in batch.schema.names else [None] * batch.num_rows
+            for text, old in zip(utf8(batch.column(text_col)), before):
+                ws = norm_words(text)
+                spans, who = (list(zip(old["starts"], old["ends"])), set(old["items"])) if old else ([], set())
+                for auto in autos:
+                    found, mine = auto.find(ws)
+                    spans += found
+                    who |= mine
+                spans = merge(spans)
+                rows.append((len(ws), [a for a, _ in spans], [b for _, b in spans], sorted(x for x in who if x is not None)))
+            cols = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
+            struct = pa.StructArray.from_arrays(cols, names=["n_words", "starts", "ends", "items"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), struct], names=[*names, into])
 
     return run
 
 
+def find_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, block_words: int = BLOCK_WORDS, blocks_a_scan: int = BLOCKS_A_SCAN) -> DataFrame:
+    """``docs`` with n_words, the hit spans in words (starts, ends; merged) and items (sorted strings)."""
+    added = StructType.fromDDL(FOUND)
+    docs = without(docs, *added.names)
+    names, sc = docs.columns, docs.sparkSession.sparkContext
+    into = "_found"
+    while into in {n.lower() for n in names}:
+        into += "_"
+    schema = StructType([*docs.schema.fields, StructField(into, added)])
+    built, n_blocks = automata(benchmark, item_id, item_text, width, block_words)
+    out = docs
+    for first in range(0, max(n_blocks, 1), blocks_a_scan):
+        mine = built.filter(F.col("block").between(first, first + blocks_a_scan - 1)).select("automaton")
+        some = sc.broadcast([bytes(r.automaton) for r in mine.collect()])  # blocks_a_scan blocks of bounded size
+        out = materialize(out, "decontaminate") if first else out
+        out = out.mapInArrow(_scan(some, text_col, names, into), schema)
+    return out.select(*(F.col(f"`{c}`") for c in names), f"{into}.*")
+
+
 def flag(found: DataFrame, share: int = SHARE) -> DataFrame:
     """Adds n_hit, n_items and contaminated to what ``find_spans`` returns."""
+    found = without(found, "n_hit", "n_items", "contaminated")
     n_hit = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
     return found.withColumns({"n_hit": n_hit, "n_items": F.size("items").cast("long")}).withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 
+def remove_spans(found: DataFrame, text_col: str = "text", most_words: int = MOST_WORDS, share: int = SHARE) -> DataFrame:
+    """What ``find_spans`` returns, its text without the spans beyond a limit; adds n_cut (words cut)."""
+    found = without(found, "n_cut")
+    names = found.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_col):
+            texts, cut = [], []
+            for text, valid, n, starts, ends in zip(utf8(batch.column(text_col)), batch.column(text_col).is_valid().to_pylist(), *(batch.column(c).to_pylist() for c in ("n_words", "starts", "ends"))):
+                gone = [(a, b) for a, b in zip(starts, ends) if b - a > most_words or share * (b - a) > n]
+                cut.append(sum(b - a for a, b in gone))
+                if gone:
+                    places = [m.span() for m in _WORD.finditer(text.translate(_FOLD))]
+                    edges = [0, *(x for a, b in gone for x in (places[a][0], places[b - 1][1])), len(text)]
+                    text = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
+                texts.append(text if valid else None)
+            cols = [pa.array(texts, pa.binary()).cast(pa.string()) if c == text_col else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(cut, pa.int64())], names=[*names, "n_cut"])
+
+    return found.mapInArrow(run, StructType([*found.schema.fields, *StructType.fromDDL("n_cut long").fields]))
+
+
 def op9_decontaminate(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = flag(find_spans(docs, table(spark, sf_dir, "benchmark")))
-    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    out = flag(remove_spans(find_spans(docs, table(spark, sf_dir, "benchmark"))))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "n_cut")
 
 
 SQL = r"""
@@ -239,10 +304,17 @@ WITH b AS (
   SELECT doc_id, i, dw.n, item_id FROM dw JOIN win ON dw.n = win.n AND dw.k = win.k
 ), cov AS (
   SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id
+), cut AS (
+  SELECT doc_id, sum(n) FILTER (n > 20 OR 20 * n > n_words) AS n_cut FROM (
+    SELECT doc_id, any_value(n_words) AS n_words, count(*) AS n FROM (
+      SELECT doc_id, len(w) AS n_words, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS island
+      FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM hit) JOIN d USING (doc_id)
+    ) GROUP BY doc_id, island
+  ) GROUP BY doc_id
 ), it AS (
   SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM hit GROUP BY doc_id
 )
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
-       (coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w)) AS contaminated
-FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id)
+       (coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w)) AS contaminated, coalesce(n_cut, 0)::BIGINT AS n_cut
+FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN cut USING (doc_id)
 """

@@ -74,7 +74,7 @@ def test_quality_counts(spark, docs):
             assert r.base_failed == (len(w) < 10 or 100 * len(rep) > 20 * len(w))
 
 
-def test_decontaminate_by_brute_force(spark, docs):
+def test_decontaminate_by_brute_force(spark, docs, monkeypatch):
     rows = corpus()
     items = [(1, rows[5][1]), (2, "Stone river"), (3, None), (4, rows[60][1] if rows[60][1] else "x"), (None, "lights"), (2, "stone river"), (5, "!!"), (6, " ".join(rows[50][1].split()[100:130]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -83,9 +83,13 @@ def test_decontaminate_by_brute_force(spark, docs):
     for i, t in items:
         w = norm(t)
         wins += [(i, w[k : k + min(13, len(w))]) for k in range(len(w) - min(13, len(w)) + 1) if w]
-    for most in (1_000_000, 20):  # one block, many blocks
+    clash = docs.withColumns({c: F.lit("clash") for c in ("_found", "_starts", "_ends", "_items", "starts", "items", "block")})
+    for most, piece in ((1_000_000, 4096), (20, 16)):  # one block, many blocks of cut items
+        monkeypatch.setattr(decontaminate, "PIECE", piece)
         got = {}
-        for r in decontaminate.flag(decontaminate.find_spans(docs, bench, block_words=most)).collect():
+        found = decontaminate.find_spans(clash, bench, block_words=most, blocks_a_scan=3)
+        assert found.columns[: len(clash.columns) - 2] == [c for c in clash.columns if c not in ("starts", "items")]
+        for r in decontaminate.flag(found).collect():
             got[(r.doc_id, r.text)] = (r.n_words, r.n_hit, r.n_items, tuple(r["items"]), r.contaminated)
         for i, t, *_ in rows:
             w, hit, who = norm(t), set(), set()
@@ -97,6 +101,37 @@ def test_decontaminate_by_brute_force(spark, docs):
             assert got[(i, t)] == (len(w), len(hit), len(who), tuple(sorted(who)), bool(hit) and 20 * len(hit) >= len(w))
 
 
+def test_decontaminate_removes_spans_beyond_the_limits(spark):
+    item = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen".split()
+    rest = [f"w{k}" for k in range(400)]
+    long = " ".join(rest)
+    rows = [
+        (1, " ".join(rest[:300]) + " ... ZERO, " + " ".join(item[1:]) + "! " + " ".join(rest[300:])),  # 15 of 415 words: stays
+        (2, "intro " + " ".join(item) + " (" + " ".join(item[:13]) + ") end"),  # over a twentieth: both go
+        (3, long + " ü" + "; ".join([*item, *item[:13]]) + " tail " + long),  # 28 words in a row: over 20
+        (4, None), (5, ""), (6, " ".join(item)), (7, long * 50),
+    ]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(item + item[:13]))], "item_id long, text string")
+    out = {r.doc_id: r for r in decontaminate.remove_spans(decontaminate.find_spans(spark.createDataFrame(rows, "doc_id long, text string"), bench)).collect()}
+    text = dict(rows)
+    assert (out[1].text, out[1].n_cut) == (text[1], 0)
+    assert (out[2].text, out[2].n_cut) == ("intro ) end", 28)  # one span, the bracket inside it
+    first, last = text[3].index("ü") + 1 + len("zero; "), text[3].index(" tail")
+    assert out[3].n_cut == 28 - 1 and out[3].text == text[3][:first] + text[3][last:]  # "üzero" is another word
+    assert (out[4].text, out[4].n_cut, out[5].text) == (None, 0, "") and (out[6].text, out[6].n_cut) == ("", 15) and out[7].text == text[7]
+
+
+def test_automaton_is_packed():
+    import pickle
+
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(20_000)}".encode() for _ in range(100_000)]
+    auto = decontaminate.Automaton([("i", words[k : k + 4000], False) for k in range(0, len(words), 4000)])
+    assert len(pickle.dumps(auto)) < 40_000_000
+    spans, items = auto.find([b"x", *words[8100:8113], b"x", *words[50:62]])
+    assert spans == [(1, 14)] and items == {"i"}
+
+
 def test_decontaminate_empty_benchmark(spark, docs):
     out = decontaminate.flag(decontaminate.find_spans(docs, spark.createDataFrame([], "item_id long, text string")))
     assert out.filter("n_hit > 0 OR contaminated").count() == 0
