@@ -17,8 +17,9 @@ in the same document) is a repeat, and every word under a repeat goes.  Windows
 
 Bloom filters of fixed largest size only thin out what is sent to these joins.  Word sequences are compared by 64-bit
 hash under a shared anchor (another 64 bits).  Null or blank text has no words.  Rows with a null id are returned whole
-and are no source.  Rows that repeat an id are taken as one document: its spans apply to each by position.  Input
-columns named like an added column are replaced by it.
+and are no source.  Rows that repeat an id are taken as one document: its spans apply to each by position.  Very long
+texts are taken whole; their paths are cut every ``REACH`` words of the first source.  Of equal windows the first by id and
+place stays, so ties don't arise.  Input columns named like an added column are replaced by it.  An empty table gives none.
 """
 
 from __future__ import annotations
@@ -33,9 +34,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bloom
-from .common import materialize, slices, spread, table, utf8, without
+from .common import free_name, materialize, settings, slices, table, utf8, without
 
-WINDOW, ANCHOR, MOST_BITS, BATCH_BYTES, BATCH_ROWS = 20, 6, 1 << 28, 1 << 20, 1000
+WINDOW, ANCHOR, MOST_BITS, BATCH_BYTES, BATCH_ROWS, REACH = 20, 6, 1 << 28, 1 << 20, 1000, 1 << 16
 _STEPS = WINDOW - ANCHOR + 1
 _B = [pow(0x9E3779B97F4A7C15, 1 << k, 1 << 64) for k in range(6)]  # odd base and its powers 1, 2, 4, ...
 
@@ -135,39 +136,6 @@ def edges(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, "id long, a array<long>, c array<long>, rn array<long>").filter(F.size("a") > 0)
 
 
-def key_filter(keys: DataFrame, most_bits: int = MOST_BITS) -> np.ndarray:
-    """A Bloom filter of a long column, built in tasks and merged by segment; ``most_bits`` / 8 bytes at most."""
-    bits = bloom.size_for(keys.count(), 12, most_bits)
-    name = keys.columns[0]
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filt = np.zeros(bits // 8, np.uint8)
-        for batch in batches:
-            bloom.put(filt, batch.column(name).to_numpy().view(np.uint64))
-        for k in range(0, filt.size, bloom.SEGMENT_BYTES):
-            if (part := filt[k : k + bloom.SEGMENT_BYTES]).any():
-                yield pa.RecordBatch.from_pydict({"segment": pa.array([k // bloom.SEGMENT_BYTES], pa.int64()), "bits": pa.array([part.tobytes()], pa.binary())})
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, bitset = None, None
-        out = lambda: pa.RecordBatch.from_pydict({"segment": pa.array([at], pa.int64()), "bits": pa.array([bitset.tobytes()], pa.binary())})
-        for batch in batches:
-            for s, b in zip(batch.column("segment").to_pylist(), batch.column("bits").to_pylist()):
-                if s != at:
-                    if at is not None:
-                        yield out()
-                    at, bitset = s, np.frombuffer(b, np.uint8).copy()
-                else:
-                    bitset |= np.frombuffer(b, np.uint8)
-        if at is not None:
-            yield out()
-
-    ddl, filt = "segment long, bits binary", np.zeros(bits // 8, np.uint8)
-    for row in keys.mapInArrow(fill, ddl).repartition(spread(keys), "segment").sortWithinPartitions("segment").mapInArrow(fold, ddl).collect():
-        filt[row.segment * bloom.SEGMENT_BYTES : (row.segment + 1) * bloom.SEGMENT_BYTES] = np.frombuffer(row.bits, np.uint8)
-    return filt
-
-
 def repeated_anchors(found: DataFrame) -> DataFrame:
     """Anchors of at least two edges: a, m (edges), branching, first_id, first_start, first_n."""
     rows = found.select("id", F.explode(F.arrays_zip("a", "c", "rn")).alias("e")).select("id", "e.a", "e.c", "e.rn")
@@ -181,12 +149,13 @@ def repeated_anchors(found: DataFrame) -> DataFrame:
 
 def paths(anchors: DataFrame) -> DataFrame:
     """Unbranched paths: head anchor a, m, first_id, first_start and n windows."""
-    w = Window.partitionBy("first_id").orderBy("first_start")
+    reach = F.floor(F.col("first_start") / REACH)  # a very long document's paths are cut there, so that groups are bounded
+    w = Window.partitionBy("first_id", reach).orderBy("first_start")
     end = F.col("first_start") + F.col("first_n")
     goes_on = (F.lag(end).over(w) == F.col("first_start")) & (F.lag("m").over(w) == F.col("m"))
     marked = anchors.filter("NOT branching").withColumn("head", ~F.coalesce(goes_on, F.lit(False)))
     numbered = marked.withColumn("path", F.sum(F.col("head").cast("int")).over(w))
-    whole = Window.partitionBy("first_id", "path")
+    whole = Window.partitionBy("first_id", reach, "path")
     return numbered.withColumn("n", F.max(end).over(whole) - F.col("first_start")).filter("head").select("a", "m", "first_id", "first_start", "n")
 
 
@@ -236,22 +205,24 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = materialize(edges(docs, id_col, text_col), "edges")
     anchors = materialize(repeated_anchors(found), "anchors")
     heads = materialize(paths(anchors), "paths")
-    seen = _occurrences(found, sc.broadcast(key_filter(heads.select("a"), most_bits))).select("a", "id", "start")
+    seen = _occurrences(found, sc.broadcast(bloom.key_filter(heads.select("a"), most_bits))).select("a", "id", "start")
     on_paths = (
         seen.join(heads, "a").filter("NOT (id = first_id AND start = first_start)")
         .select("id", "start", (F.col("start") + F.col("n") + WINDOW - 1).alias("end"))
     )
     branching = anchors.filter("branching").select("a")
-    edge = materialize(_occurrences(found, sc.broadcast(key_filter(branching, most_bits))), "branching-edges")
+    edge = materialize(_occurrences(found, sc.broadcast(bloom.key_filter(branching, most_bits))), "branching-edges")
     classes = edge.groupBy("a", "c").agg(F.min("id").alias("first_id"), F.min_by("start", F.when(F.col("first"), F.col("id"))).alias("first_start"))
     classes = materialize(classes, "edge-contents")
     not_first = "NOT (id = first_id AND start = first_start)"
     copies = edge.join(classes, ["a", "c"]).filter(not_first).select("id", "start", (F.col("start") + F.col("n") + WINDOW - 1).alias("end"))
     places = classes.select("first_id", "first_start").mapInArrow(_keys, "k long")
-    wins = materialize(_windows(docs, id_col, text_col, sc.broadcast(key_filter(places, most_bits))), "windows")
+    wins = materialize(_windows(docs, id_col, text_col, sc.broadcast(bloom.key_filter(places, most_bits))), "windows")
     first = wins.groupBy("a", "h").agg(
         F.count("*").alias("m"), F.min("id").alias("first_id"), F.min_by("start", F.when(F.col("start") >= 0, F.col("id"))).alias("first_start"),
     ).filter("m > 1").drop("m")
+    # written first, as the other tables are, so that both sides of each join are plain shuffles: Spark splits a hot key only then
+    first = materialize(first, "window-firsts")
     place = F.when(F.col("start") < 0, -1 - F.col("start")).otherwise(F.col("start"))
     single = (
         wins.withColumn("start", place).join(first, ["a", "h"]).filter(not_first)
@@ -265,41 +236,25 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"k": pa.array(_place_key(batch.column(0).to_numpy(), batch.column(1).to_numpy()).view(np.int64))})
 
 
-def _having(docs: DataFrame, id_col: str, filt, wanted: bool) -> DataFrame:
-    """The rows whose id the filter has (or doesn't have)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(id_col).cast(pa.int64())
-            hit = bloom.has(filt.value, _mix(ids.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64))) & ids.is_valid().to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(hit == wanted))
-
-    return docs.mapInArrow(run, docs.schema)
-
-
-def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_pydict({"k": pa.array(_mix(batch.column(0).to_numpy().view(np.uint64)).view(np.int64))})
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bits: int = MOST_BITS) -> DataFrame:
     """``docs`` with the kept words, joined by one space, as text, and n_words and n_removed (long)."""
-    docs = without(docs, "n_words", "n_removed", "_spans", "_span_id")
+    docs = without(docs, "n_words", "n_removed")
+    names, key, mine, listed = docs.columns, free_name(docs, "_key"), free_name(docs, "_span_id"), free_name(docs, "_spans")
     # whole texts go to Python: the usual 10,000 rows a batch would hold hundreds of MB where texts are long
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spans = repeated_spans(docs.select(id_col, text_col), id_col, text_col, most_bits)
-    by_doc = materialize(spans.groupBy(F.col("id").alias("_span_id")).agg(F.collect_list(F.struct("start", "end")).alias("_spans")), "spans")
-    names = docs.columns
+    with settings(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS)}):
+        spans = repeated_spans(docs.select(id_col, text_col), id_col, text_col, most_bits)
+        by_doc = materialize(spans.groupBy(F.col("id").alias(mine)).agg(F.collect_list(F.struct("start", "end")).alias(listed)), "spans")
     # only documents that may have spans are shuffled; a document wrongly taken for one costs its shuffle alone
-    filt = docs.sparkSession.sparkContext.broadcast(key_filter(by_doc.select("_span_id").mapInArrow(_mixed, "k long"), most_bits))
-    joined = _having(docs, id_col, filt, True).join(by_doc, F.col(id_col) == F.col("_span_id"), "left").drop("_span_id")
-    whole = _having(docs, id_col, filt, False).withColumn("_spans", F.lit(None).cast(by_doc.schema["_spans"].dataType))
+    filt = docs.sparkSession.sparkContext.broadcast(bloom.key_filter(by_doc.select(F.xxhash64(mine).alias(key)), most_bits))
+    keyed = docs.withColumn(key, F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col).cast("long"))))
+    joined = bloom.having(keyed, key, filt, True).join(by_doc, F.col(id_col) == F.col(mine), "left").drop(mine)
+    whole = bloom.having(keyed, key, filt, False).withColumn(listed, F.lit(None).cast(by_doc.schema[listed].dataType))
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
             texts, n_words, n_removed = [], [], []
-            spans = batch.column("_spans")
+            spans = batch.column(listed)
             for k, text in enumerate(utf8(batch.column(text_col))):
                 ws = text.split()
                 n = len(ws)
