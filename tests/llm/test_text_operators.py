@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from probelight.llm import components, decontaminate, line_dedup, packing, quality_rules, simhash
 
-DOCS = "doc_id long, text string, lang string, n_lines string, fp string"
+DOCS = "doc_id long, text string, lang string, n_lines string, fp string, _key string, _line_id string, _drop string, _spans string, _span_id string"
 LINE = "A line of more than forty characters, as it happens to be."
 
 
@@ -26,7 +26,7 @@ def corpus():
     near = [long, long + " more", long.replace("stone", "rock", 1), long.upper()]
     texts += [*near, None, "", "   \n\t ", "x", "one two three", "a  b\n\n c ", f"{say(3000)}", " lead", "trail ", "<|endoftext|> it's 'quoted'  twice"]
     texts += [texts[0], texts[0]]
-    return [(i, t, None if i % 3 else "en", "clash", "clash") for i, t in enumerate(texts)] + [(None, f"{LINE}\nnull id", None, None, None), (3, texts[3], "en", "c", "c")]
+    return [(i, t, None if i % 3 else "en", *["clash"] * 7) for i, t in enumerate(texts)] + [(None, f"{LINE}\nnull id", *[None] * 8), (3, texts[3], "en", *["c"] * 7)]
 
 
 @pytest.fixture(scope="module")
