@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import time
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -147,14 +148,15 @@ def test_warc_round_trip(spark, tmp_path):
         b = (h or "").encode()
         to = keep.get(h) if i is not None and keep.get(h) not in (None, i) else None
         want.append((str(i), len(b), hashlib.sha1(b).hexdigest(), "revisit" if to is not None else "response", to, None if to is not None else b))
-    assert sorted(map(repr, ((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, None if r.payload is None else bytes(r.payload)) for r in out))) == sorted(map(repr, want))
+    assert sorted(map(repr, ((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to_page, None if r.payload is None else bytes(r.payload)) for r in out))) == sorted(map(repr, want))
     # each member stands alone at its indexed place; the monolithic archives are one member each
     index = warc.read_index(spark, f"file://{tmp_path}/w/members/index").collect()
     for r in index:
         with open(r.path.removeprefix("file://"), "rb") as f:
             f.seek(r.offset)
             assert gzip.decompress(f.read(r.length)).startswith(b"WARC/1.1\r\nWARC-Type: " + r.type.encode())
-    assert len(index) == len(page_rows())
+    assert sum(r.type != "warcinfo" for r in index) == len(page_rows()) and any(r.type == "warcinfo" for r in index)
+    assert not (tmp_path / "w" / "monolithic").exists()
 
 
 def test_warc_streams_split_anywhere():
@@ -167,6 +169,58 @@ def test_warc_streams_split_anywhere():
     assert list(warc.split_records(warc.inflate(io.BytesIO(data)))) == raw
 
 
+def foreign_archive():
+    block = b"HTTP/1.1 200 OK\r\ncontent-type:text/html\r\n\r\n<p>hi</p>"
+    digest = hashlib.sha1(b"<p>hi</p>").hexdigest().upper()
+    one = lambda head, body: b"WARC/1.0\r\n" + head + b"\r\ncontent-length:%d" % len(body) + b"\r\n\r\n" + body + b"\r\n\r\n"
+    return [
+        one(b"WARC-TYPE:warcinfo\r\nwarc-record-id:<urn:uuid:0>", b"software: x\r\n"),
+        one(b"warc-type: response\r\nWarc-Record-Id:<urn:uuid:1>\r\ncontent-type:application/http\r\n ; msgtype=response\r\nwarc-payload-digest:sha1:" + digest.encode(), block),
+        one(b"WARC-Type: metadata\r\nWARC-Record-ID: <urn:uuid:2>\r\nWARC-Target-URI: http://h/", b"a\r\n\r\nb"),
+        one(b"WARC-Type: revisit\r\nWARC-Record-ID: <urn:uuid:3>\r\nWARC-Refers-To: <urn:uuid:1>\r\nContent-Type: application/http", b"HTTP/1.1 200 OK\r\n\r\n"),
+    ]
+
+
+def test_warc_of_others_is_normalised(spark, tmp_path):
+    (tmp_path / "x.warc.gz").write_bytes(gzip.compress(b"".join(foreign_archive())))
+    archives = spark.createDataFrame([(f"file://{tmp_path}/x.warc.gz",)], "path string")
+    got = warc.read_records(warc.read_index(spark, warc.normalise(archives, f"file://{tmp_path}/m"))).orderBy("offset").collect()
+    assert [(r.record_id, r.record_type, r.url, r.payload and bytes(r.payload), r.refers_to) for r in got] == [
+        ("<urn:uuid:0>", "warcinfo", None, b"software: x\r\n", None), ("<urn:uuid:1>", "response", None, b"<p>hi</p>", None),
+        ("<urn:uuid:2>", "metadata", "http://h/", b"a\r\n\r\nb", None), ("<urn:uuid:3>", "revisit", None, None, "<urn:uuid:1>"),
+    ]
+
+
+@pytest.mark.parametrize("cut", [1, 8, 9, 200])
+def test_warc_truncated_streams_are_errors(cut):
+    import io
+
+    rng = random.Random(1)
+    raw = b"".join(warc.record(k, "u", rng.randbytes(50), None) for k in range(20))
+    whole = gzip.compress(raw)
+    assert len(list(warc.split_records(warc.inflate(io.BytesIO(whole))))) == 20
+    with pytest.raises((EOFError, ValueError)):
+        list(warc.split_records(warc.inflate(io.BytesIO(whole[:-cut]))))
+    with pytest.raises((EOFError, ValueError)):  # cut between two records, and the second member damaged
+        list(warc.split_records(warc.inflate(io.BytesIO(gzip.compress(raw) + whole[: len(whole) - cut]))))
+    with pytest.raises(zlib.error):
+        list(warc.split_records(warc.inflate(io.BytesIO(whole + b"trailing"))))
+
+
+def test_warc_inflates_in_bounded_pieces():
+    import io
+
+    data = gzip.compress(b"\0" * (100 << 20))
+    sizes = [len(x) for x in warc.inflate(io.BytesIO(data))]
+    assert sum(sizes) == 100 << 20 and max(sizes) <= warc.PIECE
+
+
+def test_warc_wrong_length_is_an_error():
+    raw = warc.record(1, "u", b"abc", None).replace(b"Content-Length: ", b"Content-Length: 1")
+    with pytest.raises(ValueError):
+        list(warc.split_records(iter([raw * 3])))
+
+
 def test_warc_empty(spark, tmp_path):
     assert warc.archive_and_read(spark.createDataFrame([], "page_id long, url string, html string"), f"file://{tmp_path}/e").count() == 0
 
