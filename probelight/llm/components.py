@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
-Every round is two aggregations and two joins over the edges; hot nodes are split by partial aggregation and Spark's
-skew join.  Each round's edges go to the shared folder, so lineage stays short and a lost executor costs one round.
+Every round is two aggregations and two joins over the edges; a hot node's edges are combined before the shuffle, and its
+least neighbour is written before it meets them, so that Spark can split the join.  Each round's edges go to the shared
+folder, so lineage stays short and a lost executor costs one round; the last round's are deleted when they are used up.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -24,11 +25,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     state = _state(e)
     while state[0]:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "components-low")
+        large = materialize(both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "components-large")
+        discard(e, low)
+        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "components-low")
         small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
         e = materialize(small, "components")
+        discard(large, low)
         if (now := _state(e)) == state:
             break
         state = now

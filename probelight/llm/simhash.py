@@ -4,8 +4,10 @@ A fingerprint comes from the XXH64 values (seed 42) of a text's word shingles, r
 case.  Fingerprints link if at most ``most`` bits differ; classes are connected components.
 
 * Equal fingerprints collapse first (partial aggregation), so groups of copies are one row.
-* Six bit blocks: two fingerprints with at most four differing bits agree in two whole blocks, so each fingerprint
-  goes to 15 buckets of about 21 bits, and every link meets in at least one.
+* Bit blocks: of ``b`` blocks two fingerprints with at most four differing bits agree in ``b`` - 4 whole ones, so each
+  fingerprint goes to a bucket for each choice of so many blocks, and every link meets in at least one.  Six blocks give 15
+  buckets of about 21 bits; more fingerprints get more and wider blocks (``blocks_for``), so that buckets of unrelated
+  fingerprints stay small at any size.
 * In a bucket, pairs are judged by pivot tables: the Hamming distances of each fingerprint to ``PIVOTS`` reference
   fingerprints.  By the triangle inequality a pair whose largest coordinate difference exceeds ``most`` is no link and
   is discarded; survivors are verified.  Tasks return spanning forests of their links, never all pairs.
@@ -13,7 +15,8 @@ case.  Fingerprints link if at most ``most`` bits differ; classes are connected
   chunks whose coordinate ranges are further apart than ``most`` are dropped, the others are tasks of their own.
 
 Null or blank text has fingerprint zero, which links like any other.  Rows with a null id get the class of their
-fingerprint.  Repeated rows and ids are kept.  Input columns named like an added column are replaced by it.
+fingerprint.  Repeated rows and ids are kept; of a class the smallest id names it, so ties don't arise.  Very long texts are
+read whole, in slices of hashes.  Of the input's columns only the id is returned.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,11 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, slices, spread, table, utf8, without
+from .common import discard, materialize, slices, spread, table, utf8, without
 from .components import connected_components
 
 SHINGLE, MOST, SEED, PIVOTS, CHUNK = 4, 4, 42, 16, 2048
-BLOCKS = (11, 11, 11, 11, 10, 10)
+#: So many unrelated fingerprints may share a bucket, as a power of two.
+CROWD = 4
 
 
 def _pivots(n: int = PIVOTS) -> np.ndarray:
@@ -70,7 +74,16 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", keep: list[str] |
     return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in names), T.StructField("fp", T.LongType())]))
 
 
-def band_masks(blocks=BLOCKS, most: int = MOST) -> list[int]:
+def blocks_for(n: int, most: int = MOST) -> tuple[int, ...]:
+    """Bits of each block: as few blocks (``most`` + 2 at least) as keep buckets of ``n`` random fingerprints small."""
+    for b in range(most + 2, 2 * most + 1):
+        sizes = tuple(64 // b + (k < 64 % b) for k in range(b))
+        if n <= 1 << (sum(sorted(sizes)[: b - most]) + CROWD):
+            break
+    return sizes
+
+
+def band_masks(blocks: tuple[int, ...], most: int = MOST) -> list[int]:
     """For each choice of ``len(blocks) - most`` blocks, the mask of their bits."""
     at = np.cumsum((0, *blocks))
     one = [((1 << w) - 1) << int(a) for w, a in zip(blocks, at)]
@@ -214,9 +227,9 @@ def _of_chunks(most: int):
     return run
 
 
-def links(fps: DataFrame, most: int = MOST, chunk: int = CHUNK) -> DataFrame:
+def links(fps: DataFrame, most: int = MOST, chunk: int = CHUNK, blocks: tuple[int, ...] | None = None) -> DataFrame:
     """Links (a, b) that connect the distinct fingerprints of column ``fp`` exactly as all pairs within ``most`` would."""
-    blocks = BLOCKS if most == MOST else tuple(len(p) for p in np.array_split(np.arange(64), most + 2))
+    blocks = blocks or blocks_for(fps.count(), most)
     keys = [F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(band_masks(blocks, most))]
     first = F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(int(_pivots(1)[0])))))
     dealt = fps.select(F.explode(F.array(*keys)).alias("bucket"), "fp").repartition(spread(fps), "bucket").sortWithinPartitions("bucket", first)
@@ -230,11 +243,14 @@ def links(fps: DataFrame, most: int = MOST, chunk: int = CHUNK) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
     """Rows (id, fp, component_id): component_id is the smallest id of the class."""
     fp = materialize(with_fingerprint(docs.select(id_col, text_col), text_col, [id_col]), "fingerprints")
-    nodes = fp.groupBy("fp").agg(F.min(id_col).alias("_first"))
+    nodes = materialize(fp.groupBy("fp").agg(F.min(id_col).alias("_first")), "simhash-nodes")
     comp = connected_components(links(nodes.select("fp"), most))
     own = nodes.join(comp, nodes["fp"] == comp["node"], "left").select("fp", "_first", F.coalesce("component", "fp").alias("_class"))
-    least = own.groupBy("_class").agg(F.min("_first").alias("component_id"))
+    own = materialize(own, "simhash-own")
+    # written first, so that both sides of the join are plain shuffles: Spark splits a large class only then
+    least = materialize(own.groupBy("_class").agg(F.min("_first").alias("component_id")), "simhash-least")
     classes = materialize(own.join(least, "_class").select("fp", "component_id"), "simhash-classes")
+    discard(nodes, own, least)
     return fp.join(classes, "fp").select(id_col, "fp", "component_id")
 
 

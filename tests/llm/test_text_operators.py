@@ -188,6 +188,19 @@ def test_links_of_clustered_fingerprints(spark, chunk):
     assert len(set(zip(label, mine))) == len(set(label)) == len(set(mine))
 
 
+def test_more_fingerprints_get_wider_blocks(spark):
+    assert [len(simhash.blocks_for(n)) for n in (0, 1 << 20, 1 << 26, 1 << 40)] == [6, 6, 7, 8]
+    rng = random.Random(8)
+    fps = [rng.getrandbits(64) for _ in range(60)]
+    fps = list({*fps, *(f ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 6))) for f in fps for _ in range(4))})
+    label = brute_components(fps)
+    frame = spark.createDataFrame([(simhash._signed(x),) for x in fps], "fp long")
+    for n in (1 << 26, 1 << 40):
+        comp = {r.node: r.component for r in components.connected_components(simhash.links(frame, blocks=simhash.blocks_for(n))).collect()}
+        mine = [comp.get(simhash._signed(f), simhash._signed(f)) for f in fps]
+        assert len(set(zip(label, mine))) == len(set(label)) == len(set(mine))
+
+
 def test_packing_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
