@@ -2,9 +2,14 @@
 
 Counts (words are runs without ASCII white space; null text has none): n_words, word_chars (code points in words),
 n_symbols (characters of ``#*$%&|<>``), n_dup_lines (lines with a word that equal an earlier line), n_repeat_words (words
-in 5-word windows that occur at least twice in the text).  Windows are compared by a 64-bit hash of their words.
+in 5-word windows that occur at least twice in the text), n_lines (lines with a word), n_stop_words (words that are in
+``STOP_WORDS`` as they stand).  Windows are compared by a 64-bit hash of their words.
 Each row of ``THRESHOLDS`` bounds one ratio of these counts; a document is kept if no base rule and no threshold fails.
-No user function, no shuffle: one scan, any column may be null, repeated rows are judged alike.
+The stop words' share is smoothed by one word, so the same rule holds at every length: a short text without any passes.
+
+No user function, no shuffle: one scan.  Null and empty texts have no words and fail the base rule.  Very long texts are
+counted whole.  Any other column may be null, repeated rows are judged alike, and there are no ties.  Input columns named
+like an added column are replaced by it.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, table, without, words
+from .common import WS, free_name, table, without, words
 
 #: Frequent function words of the four languages of the corpus.
 STOP_WORDS = (
@@ -24,12 +29,12 @@ STOP_WORDS = (
     "el", "los", "las", "del", "y", "con", "por", "para", "una", "su", "al", "no", "se", "lo",
 )
 
-#: (rule, numerator, denominator or "1", least, most); None is no bound, and a ratio over nothing passes.
+#: (rule, numerator, denominator, least, most); None is no bound, and a ratio over nothing passes.
 THRESHOLDS = (
     ("mean_word_length", "word_chars", "n_words", 2.0, 15.0),
     ("symbols_per_word", "n_symbols", "n_words", None, 0.25),
     ("duplicate_lines", "n_dup_lines", "n_lines", None, 0.5),
-    ("stop_words", "CASE WHEN n_words < 50 THEN 1 ELSE n_stop_words END", "1", 1, None),
+    ("stop_words", "n_stop_words + 1", "n_words", 0.02, None),
     ("words_per_line", "n_words", "n_lines", 1.5, None),
 )
 
@@ -51,25 +56,25 @@ def _repeat_words(w: Column, h: Column) -> Column:
 
 def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` and the columns of COUNTS (long)."""
-    docs = without(docs, *COUNTS, "_w", "_l", "_h", "_c")
+    docs = without(docs, *COUNTS)
+    w, l, h, found = (free_name(docs, x) for x in ("_w", "_l", "_h", "_c"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    a = docs.withColumns({"_w": words(F.col(text_col)), "_l": F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(WS)) != "")})
-    window = lambda i: F.xxhash64(*(F.get("_w", i + k) for k in range(5)))
-    b = a.withColumn("_h", F.when(F.size("_w") >= 5, F.transform(F.sequence(F.lit(0), F.size("_w") - 5), window)).otherwise(F.array().cast("array<bigint>")))
-    plain = F.array(*(F.lit(x) for x in dict.fromkeys(STOP_WORDS)))
+    a = docs.withColumns({w: words(F.col(text_col)), l: F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(WS)) != "")})
+    window = lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(5)))
+    b = a.withColumn(h, F.when(F.size(w) >= 5, F.transform(F.sequence(F.lit(0), F.size(w) - 5), window)).otherwise(F.array().cast("array<bigint>")))
     out = {
-        "n_words": F.size("_w"),
-        "word_chars": F.length(F.array_join("_w", "")),
+        "n_words": F.size(w),
+        "word_chars": F.length(F.array_join(w, "")),
         "n_symbols": F.length(text) - F.length(F.regexp_replace(text, "[#*$%&|<>]", "")),
-        "n_dup_lines": F.size("_l") - F.size(F.array_distinct("_l")),
-        "n_repeat_words": _repeat_words(F.col("_w"), F.col("_h")),
-        "n_lines": F.size("_l"),
-        "n_stop_words": F.size(F.array_intersect("_w", plain)),
+        "n_dup_lines": F.size(l) - F.size(F.array_distinct(l)),
+        "n_repeat_words": _repeat_words(F.col(w), F.col(h)),
+        "n_lines": F.size(l),
+        "n_stop_words": F.size(F.filter(w, lambda x: x.isin(*dict.fromkeys(STOP_WORDS)))),
     }
     # exploding one struct keeps later filters above the counts: pushed below, they would repeat every expression
     counted = F.explode(F.array(F.struct(*(v.cast("long").alias(k) for k, v in out.items()))))
     names = [F.col(f"`{c}`") for c in docs.columns]
-    return b.select(*names, counted.alias("_c")).select(*names, "_c.*")
+    return b.select(*names, counted.alias(found)).select(*names, f"{found}.*")
 
 
 def compile_rules(thresholds=THRESHOLDS) -> dict[str, Column]:
@@ -114,7 +119,7 @@ WITH d AS (
   SELECT d.r, doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
          length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
          len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(l) AS n_lines,
-         len(list_intersect(list_distinct(w), [{", ".join("'" + x + "'" for x in dict.fromkeys(STOP_WORDS))}])) AS n_stop_words
+         len(list_filter(w, lambda x: list_contains([{", ".join("'" + x + "'" for x in dict.fromkeys(STOP_WORDS))}], x))) AS n_stop_words
   FROM d LEFT JOIN rep USING (r)
 ), f AS (
   SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed, concat_ws(',',

@@ -37,13 +37,12 @@ def expected(docs, items):
         count = {}
         for x in wins:
             count[x] = count.get(x, 0) + 1
-        v = {"n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": sum(c in "#*$%&|<>" for c in t or ""), "n_dup_lines": len(lines) - len(set(lines)), "n_lines": len(lines), "1": 1}
+        v = {"n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": sum(c in "#*$%&|<>" for c in t or ""), "n_dup_lines": len(lines) - len(set(lines)), "n_lines": len(lines)}
         v["n_repeat_words"] = len({k + d for k, x in enumerate(wins) if count[x] > 1 for d in range(5)})
-        stop = len(set(w) & set(quality_rules.STOP_WORDS))
+        v["n_stop_words + 1"] = sum(x in quality_rules.STOP_WORDS for x in w) + 1
         ok = v["n_words"] >= 10 and 100 * v["n_repeat_words"] <= 20 * v["n_words"]
         for _, a, b, lo, hi in quality_rules.THRESHOLDS:
-            top = (1 if v["n_words"] < 50 else stop) if a.startswith("CASE") else v[a]
-            if v[b] and (lo is not None and top / v[b] < lo or hi is not None and top / v[b] > hi):
+            if v[b] and (lo is not None and v[a] / v[b] < lo or hi is not None and v[a] / v[b] > hi):
                 ok = False
         if ok:
             out.append((i, t))

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -64,14 +65,23 @@ def test_quality_counts(spark, docs):
         t = t or ""
         w = re.findall(r"[^\x20\x09-\x0D]+", t)
         wins = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
-        rep = {k + d for k, x in enumerate(wins) if wins.count(x) > 1 for d in range(5)} if len(w) < 500 else None
+        times = Counter(wins)
+        rep = {k + d for k, x in enumerate(wins) if times[x] > 1 for d in range(5)}
         lines = [x for x in t.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
         r = got[i]
         assert (r.n_words, r.word_chars, r.n_dup_lines) == (len(w), sum(map(len, w)), len(lines) - len(set(lines)))
         assert r.n_symbols == sum(c in "#*$%&|<>" for c in t)
-        if rep is not None:
-            assert r.n_repeat_words == len(rep)
-            assert r.base_failed == (len(w) < 10 or 100 * len(rep) > 20 * len(w))
+        assert r.n_repeat_words == len(rep) and r.n_stop_words == sum(x in quality_rules.STOP_WORDS for x in w)
+        assert r.base_failed == (len(w) < 10 or 100 * len(rep) > 20 * len(w))
+
+
+def test_quality_stop_words_by_share_at_every_length(spark):
+    rng = random.Random(2)
+    plain = lambda n: " ".join(f"{rng.randrange(10**6)}x" for _ in range(n))
+    texts = [plain(12), plain(49), plain(51), plain(48) + " the of and", plain(60_000), " ".join(plain(30) + " the" for _ in range(2000))]
+    out = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [out[k].kept for k in range(6)] == [True, True, False, True, False, True]
+    assert out[5].n_stop_words == 2000 and out[4].failed_rules == "stop_words"
 
 
 def test_decontaminate_by_brute_force(spark, docs, monkeypatch):
