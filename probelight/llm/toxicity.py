@@ -1,52 +1,66 @@
 """Toxicity by a classifier chain.
 
-Categories are predicted one after the other; each linear model sees the words and the earlier categories' probabilities.
-For training those are out-of-fold predictions, so that later models learn from probabilities as good as they will get.
-
-* Training rows: at most ``MOST_ROWS`` labelled documents of each class, those with the least hash of their id.
-* Folds go by the least word hash of a document, so near-copies tend to share a fold.
-* Words: counted over the sample with Spark, by class and fold; kept are at most ``MOST_WORDS`` that are much more
-  frequent in one class and are so in several folds (a word from copies of one document isn't).
+Categories are label columns, predicted one after the other; each linear model sees the words and the probabilities of the
+categories before it.  For training those are out-of-fold predictions, so that later models learn from probabilities as
+good as they will get.
+
+* Training rows: at most ``MOST_ROWS`` labelled documents of each combination of labels, those with the least hash of
+  their id.  The bound is a parameter; scoring covers all rows.
+* Folds go by the least hash of a document's 3-word shingles, so near-copies tend to share a fold and others don't.
+* Words: one aggregation counts them by category and fold.  For each fold's models words are chosen from the other folds
+  alone, for the final models from all.  Kept are at most ``MOST_WORDS``, an equal share for each category, that are much
+  more frequent in one class and are so in several folds (a word from copies of one document isn't).
 * Scoring: one scan of whole texts, no shuffle; the model is a small dictionary sent with the task.
 
-The labels table has one toxicity column.  The chain's finer categories are labelled by it and the words that the
-selection finds most telling: ``insult`` (a telling word occurs), ``repeated`` (at least three occurrences), then ``toxic``,
-the given label.  Null or empty text has no words.  Labels with nulls are left out; of repeated labels any counts.  With
-no positive or no negative labels every probability is zero.  Rows with null or repeated ids are scored like others.
+The last category decides ``toxic``, at the threshold with the best F1 of out-of-fold probabilities.  Ties among words go by
+the word, among thresholds to the middle one.  Null or empty text has no words; very long texts are read whole.  Labels
+with nulls are left out; of repeated labels any counts.  A category without positive or negative labels has probability
+zero.  Rows with null or repeated ids are scored like others.  Input columns named like an added column are replaced by
+it.  An empty table gives no rows, and no labels a model that calls nothing toxic.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import linear
-from .common import materialize, slices, table, utf8, without
+from .common import free_name, materialize, slices, table, utf8, without
 from .decontaminate import norm_words
 
-MOST_ROWS, MOST_WORDS, FOLDS, L2, STEM = 4000, 256, 5, 1.0, 6
-CATEGORIES = ("insult", "repeated", "toxic")
+MOST_ROWS, MOST_WORDS, FOLDS, L2, STEM = 4000, 512, 5, 1.0, 6
+#: Label columns in order of the chain.
+CATEGORIES = ("quality", "toxic")
+
+
+def stem(word: bytes) -> bytes:
+    """^ and the first characters, which stand for a family of words."""
+    return b"^" + (word[:STEM] if word.isascii() else word.decode(errors="ignore")[:STEM].encode())
 
 
 def tokens(text: bytes) -> list[bytes]:
-    """The normalised words, and ^ with the first bytes of the longer ones, which stand for a family of words."""
+    """The normalised words, and the stems of the longer ones."""
     ws = norm_words(text)
-    return ws + [b"^" + w[:STEM] for w in ws if len(w) > STEM]
+    return ws + [stem(w) for w in ws if len(w) > STEM]
 
 
+def fold_of(ws: list[bytes]) -> int:
+    return min((xxhash.xxh3_64_intdigest(b" ".join(ws[k : k + 3])) for k in range(max(len(ws) - 2, 1))), default=0) % FOLDS
+
 
 class Chain:
-    """A fitted chain.  words: place of each feature word; models: weights and bias of each category, in order."""
+    """A fitted chain.  words: place of each feature word; models: weights and bias of each category, None if it has none."""
 
-    def __init__(self, words: dict[bytes, int], telling: set[bytes], models: list[tuple[np.ndarray, float]], cut: float):
-        self.words, self.telling, self.models, self.cut = words, telling, models, cut
+    def __init__(self, categories: Sequence[str], words: dict[bytes, int], models: list[tuple[np.ndarray, float] | None], cut: float):
+        self.categories, self.words, self.models, self.cut = tuple(categories), words, models, cut
 
     def features(self, text: bytes) -> Counter:
         get = self.words.get
@@ -54,81 +68,121 @@ class Chain:
 
     def predict(self, found: Counter) -> list[float]:
         """Probabilities of the categories, each fed to the next model."""
-        if not self.models:
-            return [0.0] * len(CATEGORIES)
         at = np.fromiter(found, np.int64, len(found))
         x = np.log1p(np.fromiter(found.values(), np.float64, len(found)))
         out: list[float] = []
-        for w, b in self.models:
-            n = len(self.words)
-            out.append(float(linear.sigmoid(np.array(w[at] @ x + b + sum(p * v for p, v in zip(out, w[n:]))))))
+        for model in self.models:
+            if model is None:
+                out.append(0.0)
+                continue
+            w, b = model
+            out.append(float(linear.sigmoid(np.array(w[at] @ x + b + sum(p * v for p, v in zip(out, w[len(self.words) :]))))))
         return out
 
 
-def sample(labels: DataFrame, id_col: str, label_col: str, most: int) -> DataFrame:
-    """(id, y): at most ``most`` ids of each class, by least hash."""
-    rows = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("y"))
-    part = lambda y: rows.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(most)
-    return part(1).union(part(0))
+def sample(labels: DataFrame, id_col: str, categories: Sequence[str], most: int) -> DataFrame:
+    """(id, y): at most ``most`` ids of each combination of labels (y is an array of 0 and 1), by least hash."""
+    given = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in (id_col, *categories)))
+    y = F.array(*(F.max((F.col(c) > 0).cast("int")) for c in categories))
+    rows = labels.filter(given).groupBy(F.col(id_col).cast("long").alias("id")).agg(y.alias("y"))
+    kinds = [F.array(*(F.lit(k >> n & 1) for n in range(len(categories)))) for k in range(1 << len(categories))]
+    return reduce(DataFrame.union, (rows.filter(F.col("y") == k).orderBy(F.xxhash64("id"), "id").limit(most) for k in kinds))
 
 
-def bags(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, y, fold, words, counts) for labelled rows."""
+def bags(docs: DataFrame, text_col: str) -> DataFrame:
+    """(id, y, fold, words, counts) of rows (id, y, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
             bag = [Counter(tokens(t)) for t in utf8(batch.column(text_col))]
-            fold = [min(map(xxhash.xxh3_64_intdigest, b), default=0) % FOLDS for b in bag]
+            fold = [fold_of(norm_words(t)) for t in utf8(batch.column(text_col))]
             names = [[w.decode("latin-1") for w in b] for b in bag]  # bytes as characters, one for one
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column("y"), pa.array(fold, pa.int32()), pa.array(names, pa.list_(pa.string())), pa.array([list(b.values()) for b in bag], pa.list_(pa.int32()))], names=["id", "y", "fold", "words", "counts"])
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_col, "y").mapInArrow(run, "id long, y int, fold int, words array<string>, counts array<int>")
-
-
-def choose_words(rows: DataFrame, most: int) -> list[tuple[str, float]]:
-    """At most ``most`` (word, log odds) by how much likelier they are in one class, each supported by several folds."""
-    total = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    pos, neg = max(total.get(1, 0), 1), max(total.get(0, 0), 1)
-    by_fold = rows.select("y", "fold", F.explode("words").alias("w")).groupBy("w", "fold").agg(F.sum("y").alias("p"), F.count("*").alias("n"))
-    by_word = by_fold.groupBy("w").agg(F.sum("p").alias("p"), (F.sum("n") - F.sum("p")).alias("q"), F.count_if(F.col("p") * neg > 2 * (F.col("n") - F.col("p")) * pos).alias("up"), F.count_if(2 * F.col("p") * neg < (F.col("n") - F.col("p")) * pos).alias("down"))
-    odds = F.log((F.col("p") + 0.5) / (pos + 1.0)) - F.log((F.col("q") + 0.5) / (neg + 1.0))
-    z = odds / F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("q") + 0.5))
-    kept = by_word.filter(f"p + q >= 5 AND greatest(up, down) >= {FOLDS - 1}").select("w", odds.alias("odds"), z.alias("z"))
-    return [(r.w, r.odds) for r in kept.orderBy(F.desc(F.abs("z")), "w").limit(most).collect()]
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = MOST_ROWS, most_words: int = MOST_WORDS) -> Chain:
-    ids = materialize(sample(labels, id_col, label_col, most_rows), "labelled")
-    joined = docs.select(id_col, text_col).join(F.broadcast(ids), F.col(id_col) == F.col("id")).drop("id")  # 2 * most_rows ids
-    rows = materialize(bags(joined, id_col, text_col), "bags")
-    chosen = choose_words(rows, most_words)
-    words = {w.encode("latin-1"): k for k, (w, _) in enumerate(chosen)}
-    names = F.array(*(F.lit(w) for w, _ in chosen)).cast("array<string>")
-    pairs = F.filter(F.arrays_zip("words", "counts"), lambda x: F.array_contains(names, x["words"]))
-    got = rows.select("id", "y", "fold", pairs.alias("pairs")).orderBy("id").collect()  # 2 * most_rows rows of chosen words
-    y = np.array([r.y for r in got])
-    if not chosen or y.min() == y.max():
-        return Chain(words, set(), [], 1.0)
-    x = np.zeros((len(got), len(words)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(fold, pa.int32()), pa.array(names, pa.list_(pa.string())), pa.array([list(b.values()) for b in bag], pa.list_(pa.int32()))], names=["id", "y", "fold", "words", "counts"])
+
+    return docs.mapInArrow(run, "id long, y array<int>, fold int, words array<string>, counts array<int>")
+
+
+def word_counts(rows: DataFrame, n_categories: int) -> DataFrame:
+    """(w, cells): for each word, by fold the documents with it and those of each category."""
+    by_fold = rows.select("y", "fold", F.explode("words").alias("w")).groupBy("w", "fold").agg(F.array(F.count("*"), *(F.sum(F.get("y", k)) for k in range(n_categories))).alias("cell"))
+    return by_fold.groupBy("w").agg(F.map_from_entries(F.collect_list(F.struct("fold", "cell"))).alias("cells"))
+
+
+def choose_words(counts: DataFrame, totals: dict[int, list[int]], sets: Sequence[tuple[int, int | None]], most: int) -> list[list[str]]:
+    """For each (category, fold left out or None), at most ``most`` words by how much likelier they are in one class of the category."""
+    add = lambda xs: reduce(lambda a, b: a + b, xs)
+    cell = lambda f, k: F.coalesce(F.get(F.element_at("cells", F.lit(f)), k), F.lit(0))
+    scored = []
+    for number, (category, left_out) in enumerate(sets):
+        folds = [f for f in range(FOLDS) if f != left_out]
+        here = [totals[f] for f in folds if f in totals]
+        pos = max(sum(t[category + 1] for t in here), 1)
+        neg = max(sum(t[0] for t in here) - pos, 1)
+        p, q = [cell(f, category + 1) for f in folds], [cell(f, 0) - cell(f, category + 1) for f in folds]
+        up = add([(a * neg > 2 * b * pos).cast("int") for a, b in zip(p, q)])
+        down = add([(2 * a * neg < b * pos).cast("int") for a, b in zip(p, q)])
+        odds = F.log((add(p) + 0.5) / (pos + 1.0)) - F.log((add(q) + 0.5) / (neg + 1.0))
+        z = F.abs(odds / F.sqrt(1 / (add(p) + 0.5) + 1 / (add(q) + 0.5)))
+        kept = (add(p) + add(q) >= 5) & (F.greatest(up, down) >= len(folds) - 1)
+        scored.append(F.when(kept, F.struct(F.lit(number).alias("number"), z.alias("z"))))
+    rows = counts.select("w", F.explode(F.array_compact(F.array(*scored))).alias("s")).select("w", "s.number", "s.z")
+    place = F.row_number().over(Window.partitionBy("number").orderBy(F.desc("z"), "w"))
+    out: list[list[str]] = [[] for _ in sets]
+    for r in rows.withColumn("place", place).filter(F.col("place") <= most).orderBy("number", "place").collect():  # most words a set
+        out[r.number].append(r.w)
+    return out
+
+
+def _numbered(number: dict[str, int]):
+    """Rows of ``bags`` with the numbers and counts of the words that have a number, at most (FOLDS + 1) * most_words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [[(number[w], n) for w, n in zip(ws, ns) if w in number] for ws, ns in zip(batch.column("words").to_pylist(), batch.column("counts").to_pylist())]
+            lists = [pa.array([[x[k] for x in r] for r in rows], pa.list_(pa.int32())) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "y", "fold")), *lists], names=["id", "y", "fold", "w", "n"])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", categories: Sequence[str] = CATEGORIES, most_rows: int = MOST_ROWS, most_words: int = MOST_WORDS, fed: bool = True) -> Chain:
+    """The chain; without ``fed`` its models don't see each other, for comparison."""
+    ids = materialize(sample(labels, id_col, categories, most_rows), "labelled")
+    mine = free_name(docs, "_id")
+    joined = docs.select(F.col(id_col).cast("long").alias(mine), F.col(text_col).alias("text")).join(F.broadcast(ids), F.col(mine) == F.col("id"))  # most_rows ids a combination
+    rows = materialize(bags(joined.select("id", "y", "text"), "text"), "bags")
+    counts = materialize(word_counts(rows, len(categories)), "word-counts")
+    totals = {r.fold: [r.n, *r.y] for r in rows.groupBy("fold").agg(F.count("*").alias("n"), F.array(*(F.sum(F.get("y", k)) for k in range(len(categories)))).alias("y")).collect()}
+    lots = (*range(FOLDS), None)
+    found = choose_words(counts, totals, [(c, f) for f in lots for c in range(len(categories))], max(most_words // len(categories), 1))
+    chosen = [list(dict.fromkeys(w for ws in found[k : k + len(categories)] for w in ws)) for k in range(0, len(found), len(categories))]
+    number = {w: k for k, w in enumerate(sorted({w for ws in chosen for w in ws}))}
+    got = rows.mapInArrow(_numbered(number), "id long, y array<int>, fold int, w array<int>, n array<int>").orderBy("id").collect()  # bounded by most_rows and these words
+    y, fold = np.array([r.y for r in got], float).reshape(len(got), len(categories)), np.array([r.fold for r in got])
+    every = np.zeros((len(got), len(number)), np.float32)
     for k, r in enumerate(got):
-        for p in r.pairs:
-            x[k, words[p["words"].encode("latin-1")]] = np.log1p(p["counts"])
-    telling = {w.encode("latin-1") for w, o in chosen if o > 3}
-    hits = np.array([sum(p["counts"] for p in r.pairs if p["words"].encode("latin-1") in telling) for r in got])
-    targets = [y * (hits > 0), y * (hits > 2), y]
-    fold = np.array([r.fold for r in got])
-    models, feed, last = [], x, y * 0.0
-    for t in targets:
-        t = t.astype(float)
+        every[k, np.array(r.w, np.int64)] = np.log1p(r.n)
+    parts = [every[:, [number[w] for w in ws]].astype(float) for ws in chosen]
+    words, whole = {w.encode("latin-1"): k for k, w in enumerate(chosen[-1])}, parts[-1]
+    models: list[tuple[np.ndarray, float] | None] = []
+    feed = np.zeros((len(got), 0))
+    for c in range(len(categories)):
+        t = y[:, c]
         oof = np.zeros(len(got))
         for f in range(FOLDS):
             there = fold != f
-            if there.any() and (~there).any():
-                w, b = linear.logistic(feed[there], t[there], L2)
-                oof[~there] = linear.sigmoid(feed[~there] @ w + b)
-        models.append(linear.logistic(feed, t, L2))
-        feed, last = np.column_stack((feed, oof)), oof
-    return Chain(words, telling, models, best_cut(last, y))
+            if len(got) and t[there].size and t[there].min() < t[there].max() and (~there).any():
+                x = np.column_stack((parts[f], feed)) if fed else parts[f]
+                w, b = linear.logistic(x[there], t[there], L2)
+                oof[~there] = linear.sigmoid(x[~there] @ w + b)
+        if not t.size or t.min() == t.max() or not words:
+            models.append(None)
+        else:
+            w, b = linear.logistic(np.column_stack((whole, feed)) if fed else whole, t, L2)
+            models.append((np.concatenate((w, np.zeros(len(words) + c - w.size))), b))
+        feed = np.column_stack((feed, oof))
+    cut = best_cut(feed[:, -1], y[:, -1]) if models[-1] is not None else 1.0
+    return Chain(categories, words, models, cut)
 
 
 def best_cut(p: np.ndarray, y: np.ndarray) -> float:
@@ -140,8 +194,8 @@ def best_cut(p: np.ndarray, y: np.ndarray) -> float:
 
 
 def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
-    """``docs`` with p_insult, p_repeated, p_toxic (double) and toxic (boolean)."""
-    added = [f"p_{c}" for c in CATEGORIES]
+    """``docs`` with a probability p_ for each category (double) and toxic (boolean)."""
+    added = [f"p_{c}" for c in chain.categories]
     docs = without(docs, *added, "toxic")
     names = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(chain)  # at most most_words words and weights
