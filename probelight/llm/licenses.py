@@ -1,6 +1,6 @@
 """Licence scan: a trained paragraph classifier, a calibrated unknown class, and template comparison.
 
-A paragraph is a line.  Multinomial logistic regression over its word 1- to 3-grams tells ``none`` from the licence
+The unit is a line.  Multinomial logistic regression over its word 1- to 3-grams tells ``none`` from the licence
 families of ``TEMPLATES``.  Training paragraphs come by rule from the templates (parts of them, dropped words, words
 around them) and from short marks (``FORMS`` of ``NAMES``); ``none`` is at most ``MOST_LINES`` lines of the corpus without
 a template's phrase, at most ``MOST_MENTIONS`` lines that have a licence's words but no notice, both chosen by hash, and
@@ -11,9 +11,13 @@ one of its templates' n-grams, or of the paragraph's own, are shared; else it is
 
 A longer line is judged in the overlapping ``WINDOWS``, so a notice within it isn't diluted;
 it has each family that a window has, less those whose shared n-grams another family of the line accounts for.
+Paragraphs of several lines (up to a blank one) are also judged in the windows that cross a line break, so a notice may be
+wrapped anywhere; a family found so counts for the window's first line, unless a line of the window has it already.
 
-Scoring is one scan of whole texts without a shuffle; the model has a bounded vocabulary.  Null or empty text has no
-licence paragraph.  Rows with null or repeated ids are scored like others.  An empty corpus trains on templates alone.
+Scoring is one scan of whole texts without a shuffle, however long they are; the model has a bounded vocabulary.  Null or
+empty text has no licence line.  Of equal scores the first class counts, families of a line are sorted.  Rows with null or
+repeated ids are scored like others.  Input columns named like an added column are replaced by it.  An empty corpus trains
+on templates alone and gives no rows.
 """
 
 from __future__ import annotations
@@ -72,7 +76,7 @@ TEMPLATES = {
 #: Sentences about licences that belong to no family, as training for ``unknown``.
 OTHER = (
     "Licensed under the terms that the vendor sets out elsewhere.", "Use of this work is governed by a separate license agreement.",
-    "This work is licensed for internal use only.", "Released under the Orchard Community License, version 7.", "See the file COPYING for the license terms.",
+    "This work is licensed for internal use only.", "Released under the Meadow Shared License, version 4.", "See the file COPYING for the license terms.",
 )
 #: Names of licences in short marks, by family.
 NAMES = {
@@ -90,8 +94,8 @@ NAMES = {
     "Proprietary": ("Proprietary", "Commercial Proprietary"),
 }
 OTHER_NAMES = (
-    "ISC", "Zlib", "WTFPL", "EPL-2.0", "EPL 1.0", "Artistic-2.0", "BSL-1.0", "EUPL-1.2", "MS-PL", "OFL-1.1", "PostgreSQL", "Beerware", "SSPL-1.0", "CDDL-1.0", "Elastic",
-    "Orchard Community", "Python-2.0", "Vim", "NCSA", "Boost Software", "custom", "Harbour Source", "ODbL", "PHP-3.01", "CC BY-NC-ND 4.0", "CC BY-ND 4.0", "CC-BY-NC-SA-4.0",
+    "Zlib", "EPL-2.0", "NPL-1.1", "RPL-1.5", "EPL 1.0", "Artistic-2.0", "BSL-1.0", "EUPL-1.2", "MS-PL", "OFL-1.1", "PostgreSQL", "Beerware", "SSPL-1.0", "CDDL-1.0", "Sleepycat",
+    "Meadow Shared", "Python-2.0", "Vim", "NCSA", "Boost Software", "custom", "Harbour Source", "ODbL", "PHP-3.01", "CC BY-NC-ND 4.0", "CC BY-ND 4.0", "CC-BY-NC-SA-4.0",
 )
 #: What short marks look like.
 FORMS = (
@@ -249,6 +253,42 @@ class Model:
         return sorted(kept) or ([UNKNOWN] if found else [])
 
 
+    def document(self, text: bytes) -> tuple[int, list[tuple[int, list[str]]]]:
+        """The number of lines, and (line, its families) of those that have any."""
+        lines = text.split(b"\n")
+        got = {k: fs for k, x in enumerate(lines) if (fs := self.families(x))}
+        if self.floor <= 0 or not self.needed.isdisjoint(norm_words(text)):
+            first = 0
+            for k in range(len(lines) + 1):
+                if k == len(lines) or not lines[k].strip():
+                    if k - first > 1:
+                        self._wrapped(lines[first:k], first, got)
+                    first = k + 1
+        return len(lines), sorted(got.items())
+
+    def _wrapped(self, lines: list[bytes], first: int, got: dict[int, list[str]]) -> None:
+        """Adds the families of windows that cross a break between ``lines``, of which ``first`` is the number of the first."""
+        split = [norm_words(x) for x in lines]
+        ws, of = [w for x in split for w in x], [first + k for k, x in enumerate(split) for _ in x]
+        size, step = min(WINDOWS[0][0], len(ws)), WINDOWS[0][1]
+        places = [k for k, w in enumerate(ws) if self.floor <= 0 or w in self.needed]
+        for a in sorted({min(a, len(ws) - size) for k in places for a in range(max(0, -(-(k - size + 1) // step)) * step, k + 1, step)}):
+            if of[a] == of[a + size - 1]:
+                continue
+            x = ws[a : a + size]
+            words = set(x)
+            if sum([self.top.get(w, 0.0) for w in words]) >= self.floor * (max(1, 3 * len(words) - 3) + DAMP) ** 0.5:
+                f = self._words(x)[0]
+                if f in (NONE, UNKNOWN):
+                    continue
+                inside = range(of[a], of[a + size - 1] + 1)
+                for k in inside:  # what reads like some licence on its own line is part of this one
+                    if got.get(k) == [UNKNOWN]:
+                        del got[k]
+                if not any(f in got.get(k, ()) for k in inside):
+                    got[of[a]] = sorted({f, *got.get(of[a], ())})
+
+
 def fit(rows: list[tuple[list[bytes], int, int]]) -> Model:
     """The model of all examples, calibrated by models that lack one fold each."""
     sets = [grams(ws) for ws, _, _ in rows]
@@ -313,14 +353,13 @@ def scan(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     names, shared = docs.columns, docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        families = shared.value.families
+        document = shared.value.document
         for batch in slices(batches, text_col):
             rows = []
             for text in utf8(batch.column(text_col)):
-                lines = text.split(b"\n")
-                got = [(fs, k) for k, x in enumerate(lines) if (fs := families(x))]
-                sure = [fs for fs, _ in got if fs != [UNKNOWN]]
-                rows.append((len(lines), len(sure), len(got) - len(sure), ",".join(sorted({f for fs in sure for f in fs})), ",".join(f"{f}:{k}" for fs, k in got for f in fs)))
+                n, got = document(text)
+                sure = [fs for _, fs in got if fs != [UNKNOWN]]
+                rows.append((n, len(sure), len(got) - len(sure), ",".join(sorted({f for fs in sure for f in fs})), ",".join(f"{f}:{k}" for k, fs in got for f in fs)))
             cols = list(zip(*rows))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.string()) for c in cols[3:])], names=[*names, *fields.names])
 

@@ -2,8 +2,10 @@
 
 import gzip
 import hashlib
+import math
 import random
 import re
+import textwrap
 import time
 import zlib
 
@@ -253,50 +255,154 @@ def test_licences_on_held_out_documents(spark):
         assert got[i].families == ",".join(want) and got[i].n_unknown == 0
 
 
-def test_licence_of_no_known_family_is_unknown(spark):
-    m = licenses.train(spark.createDataFrame(licence_rows()[0], "doc_id long, text string, x string"))
-    assert m.judge(b"Released under the Orchard Community License, version 7.")[0] == licenses.UNKNOWN
-    assert m.judge(b"the river and the stone")[0] == licenses.NONE
+@pytest.fixture(scope="module")
+def model(spark):
+    return licenses.train(spark.createDataFrame(licence_rows()[0], "doc_id long, text string, x string"))
 
 
-def test_licences_of_short_marks_and_long_lines(spark):
-    m = licenses.train(spark.createDataFrame(licence_rows()[0], "doc_id long, text string, x string"))
-    for mark, family in {"MIT License": "MIT", "Apache License": "Apache-2.0", "SPDX-License-Identifier: MIT": "MIT", "License: GPL-3.0": "GPL", "Licensed under ISC.": licenses.UNKNOWN}.items():
-        assert m.families(mark.encode()) == [family], mark
-    # sentences and a name that training doesn't have
-    assert m.families(b"Licensed under the Quarry Source terms.") == [licenses.UNKNOWN]
-    assert m.families(b"The harbour was quiet and the version of the map was old.") == [] == m.families(b"mit")
+def seen_in_training():
+    return " ".join([*licenses.OTHER, *licenses.OTHER_NAMES, *licenses.HARD, *(t for ts in licenses.TEMPLATES.values() for t in ts), *(n for ns in licenses.NAMES.values() for n in ns)])
+
+
+def test_licence_of_no_known_family_is_unknown(model):
+    for name, line in {
+        "Orchard": "Released under the Orchard Community License, version 7.", "WTFPL": "SPDX-License-Identifier: WTFPL", "ISC": "Licensed under ISC.", "Quarry": "Licensed under the Quarry Source terms.",
+        "Elastic": "Licensed under the Elastic License 2.0; you may not use this file except in compliance with the Elastic License.",
+    }.items():
+        assert name not in seen_in_training() and model.families(line.encode()) == [licenses.UNKNOWN], line
+    assert model.families(b"The harbour was quiet and the version of the map was old.") == [] == model.families(b"mit")
+    assert model.judge(b"the river and the stone")[0] == licenses.NONE
+
+
+def test_licences_of_short_marks_and_long_lines(model):
+    for mark, family in {"MIT License": "MIT", "Apache License": "Apache-2.0", "SPDX-License-Identifier: MIT": "MIT", "License: GPL-3.0": "GPL"}.items():
+        assert model.families(mark.encode()) == [family], mark
     text = say(random.Random(4), 150)
     notices = [licenses.TEMPLATES["MPL-2.0"][0], "Released under the MIT License."]
-    assert m.families(f"{text} {notices[0]} {text} {notices[1]} {text}".encode()) == ["MIT", "MPL-2.0"]
-    assert m.families(text.encode()) == []
+    assert model.families(f"{text} {notices[0]} {text} {notices[1]} {text}".encode()) == ["MIT", "MPL-2.0"]
+    assert model.families(text.encode()) == []
 
 
-def test_toxicity_on_held_out_documents(spark):
-    rng = random.Random(9)
+def test_licences_wrapped_over_lines(model):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"
+    for width in (30, 45, 60, 76):
+        wrapped = textwrap.fill(mit, width)
+        n, got = model.document(f"some prose here\n\n{wrapped}\n\n{say(random.Random(2), 40)}".encode())
+        assert n == wrapped.count("\n") + 5 and {f for _, fs in got for f in fs} == {"MIT"} and all(2 <= k <= n - 3 for k, _ in got), width
+    assert model.document(say(random.Random(2), 40).encode() + b"\n" + say(random.Random(3), 40).encode())[1] == []
+
+
+def test_licence_scores_by_brute_force(model):
+    """The probability of a line, by plain sums over the n-grams that the vocabulary has."""
+    for line in ("Licensed under the MIT License", "He lost the license in May", "Redistributions of source code must retain the above copyright notice", "River and stone"):
+        ws = re.findall("[a-z0-9]+", line.lower())
+        grams = {" ".join(ws[k : k + n]) for n in (1, 2, 3) for k in range(len(ws) - n + 1)}
+        z = [float(b) + sum(float(model.w[model.vocab[g.encode()], c]) for g in grams if g.encode() in model.vocab) / math.sqrt(len(grams) + licenses.DAMP) for c, b in enumerate(model.b)]
+        e = [math.exp(x / model.heat - max(z) / model.heat) for x in z]
+        family, p = model.judge(line.encode())
+        best = max(range(len(z)), key=z.__getitem__)
+        assert p == pytest.approx(e[best] / sum(e), abs=1e-5)
+        assert family == licenses.CLASSES[best] or family in (licenses.UNKNOWN, licenses.NONE) and (p < model.least or best > 1)
+
+
+def test_windows_skip_nothing_that_would_be_found(model, monkeypatch):
+    """The bound that spares most windows gives the same families as judging every window."""
+    rng = random.Random(6)
+    marks = ["Released under the MIT License.", "license", "permission is", "Apache", "public domain", "version 2", *(t for ts in licenses.TEMPLATES.values() for t in ts)]
+    texts = [f"{say(rng, rng.randint(0, 40))} {rng.choice(marks)} {say(rng, rng.randint(0, 40))}" for _ in range(60)]
+    fast = [model.families(t.encode()) for t in texts]
+    monkeypatch.setattr(model, "floor", 0.0)
+    assert [model.families(t.encode()) for t in texts] == fast
+
+
+BAD, POOR = ("grumph", "snarl", "blech"), ("zzlow", "zzmeh")
+
+
+def toxic_rows(seed=9):
+    rng = random.Random(seed)
     rows, labels = [], []
     for i in range(600):
-        bad = rng.random() < 0.3
+        poor = rng.random() < 0.4
+        bad = rng.random() < (0.5 if poor else 0.1)
         ws = say(rng, rng.randint(5, 200)).split()
-        if bad:
-            for _ in range(rng.randint(1, 5)):
-                ws.insert(rng.randrange(len(ws)), rng.choice(["grumph", "snarl", "blech"]))
-        rows.append((i, " ".join(ws), "x"))
+        for words, some in ((BAD, bad), (POOR, poor)):
+            for _ in range(rng.randint(1, 5) if some else 0):
+                ws.insert(rng.randrange(len(ws)), rng.choice(words))
+        rows.append((i, " ".join(ws), "x", "y", "z"))
         if i < 400:
-            labels.append((i, int(bad) if rng.random() > 0.03 else 1))
-    rows += [(600, None, "x"), (601, "", "x"), (None, "grumph snarl", "x")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic string")
-    chain = toxicity.fit(docs, spark.createDataFrame([*labels, (None, 1), (5, None)], "doc_id long, toxic int"))
-    got = {r.doc_id: r for r in toxicity.score(docs, chain).collect()}
-    truth = {i: any(w in t for w in ("grumph", "snarl", "blech")) for i, t, _ in rows[:600]}
+            labels.append((i, int(bad) if rng.random() > 0.03 else 1, int(not poor)))
+    rows += [(600, None, "x", "y", "z"), (601, "", "x", "y", "z"), (None, "grumph snarl", "x", "y", "z"), (602, "the of stone " * 100_000 + "grumph snarl blech " * 2000, "x", "y", "z")]
+    return rows, [*labels, (None, 1, 0), (5, None, 1), (6, 0, None)]
+
+
+TOXIC_DOCS, TOXIC_LABELS = "id long, text string, toxic string, p_toxic string, _id string", "id long, toxic int, quality int"
+
+
+def test_toxicity_on_held_out_documents(spark):
+    rows, labels = toxic_rows()
+    docs = spark.createDataFrame(rows, TOXIC_DOCS)
+    chain = toxicity.fit(docs, spark.createDataFrame(labels, TOXIC_LABELS), id_col="id")
+    got = {r.id: r for r in toxicity.score(docs, chain).collect()}
+    truth = {i: any(w in t for w in BAD) for i, t, *_ in rows[:600]}
+    good = {i: not any(w in t for w in POOR) for i, t, *_ in rows[:600]}
     assert sum(got[i].toxic == truth[i] for i in range(400, 600)) >= 196
-    assert not got[600].toxic and not got[601].toxic and got[None].toxic
-    assert all(0 <= r.p_insult <= 1 and 0 <= r.p_toxic <= 1 for r in got.values())
+    assert sum((got[i].p_quality > 0.5) == good[i] for i in range(400, 600)) >= 190
+    assert not got[600].toxic and not got[601].toxic and got[None].toxic and got[602].toxic
+    assert chain.models[1][0].size == len(chain.words) + 1 and chain.models[1][0][-1] != 0  # the first category feeds the second
+
+
+def test_toxicity_scores_by_brute_force(spark):
+    rows, labels = toxic_rows(3)
+    docs = spark.createDataFrame(rows, TOXIC_DOCS).repartition(3)
+    chain = toxicity.fit(docs, spark.createDataFrame(labels, TOXIC_LABELS), id_col="id")
+    got = {r.id: r for r in toxicity.score(docs, chain).collect()}
+    for i, t, *_ in rows:
+        words = re.findall("[a-z0-9]+|[^\x00-\x7f]+", (t or "").lower()) if (t or "").isascii() else re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t))
+        count = {}
+        for w in words:
+            for x in (w, *(["^" + w[:6]] if len(w.encode()) > 6 else [])):
+                count[x] = count.get(x, 0) + 1
+        before = []
+        for weights, bias in chain.models:
+            z = bias + sum(float(weights[k]) * math.log(1 + count[w.decode()]) for w, k in chain.words.items() if w.decode() in count)
+            z += sum(p * float(v) for p, v in zip(before, weights[len(chain.words) :]))
+            before.append(1 / (1 + math.exp(-min(max(z, -30), 30))))
+        assert got[i].p_quality == pytest.approx(before[0], abs=1e-9) and got[i].p_toxic == pytest.approx(before[1], abs=1e-9)
+        assert got[i].toxic == (before[1] >= chain.cut)
+
+
+def test_toxicity_words_of_a_fold_are_chosen_outside_it(spark):
+    rng = random.Random(4)
+    rows = [(i, [i % 2, int(f == 1 and i % 3 == 0)], f, list({rng.choice("abcdefgh") for _ in range(4)} | ({"leak"} if f == 1 and i % 3 == 0 else set()) | ({"odd"} if i % 2 else set()))) for i in range(200) for f in [i % 5]]
+    frame = spark.createDataFrame(rows, "id long, y array<int>, fold int, words array<string>").withColumn("counts", F.array_repeat(F.lit(1), F.size("words")))
+    counts = toxicity.word_counts(frame, 2)
+    totals = {f: [sum(r[2] == f for r in rows), *(sum(r[1][c] for r in rows if r[2] == f) for c in range(2))] for f in range(5)}
+    for held in (0, 1, None):
+        for c in range(2):
+            inside = [r for r in rows if r[2] != held]
+            pos, score_of = max(sum(r[1][c] for r in inside), 1), {}
+            neg = max(len(inside) - pos, 1)
+            for w in {x for r in inside for x in r[3]}:
+                cell = lambda f, y: sum(w in r[3] and r[1][c] == y for r in inside if r[2] == f)  # noqa: E731, B023
+                fs = [f for f in range(5) if f != held]
+                p, q = [cell(f, 1) for f in fs], [cell(f, 0) for f in fs]
+                up, down = sum(a * neg > 2 * b * pos for a, b in zip(p, q)), sum(2 * a * neg < b * pos for a, b in zip(p, q))
+                if sum(p) + sum(q) >= 5 and max(up, down) >= len(fs) - 1:
+                    odds = math.log((sum(p) + 0.5) / (pos + 1)) - math.log((sum(q) + 0.5) / (neg + 1))
+                    score_of[w] = abs(odds / math.sqrt(1 / (sum(p) + 0.5) + 1 / (sum(q) + 0.5)))
+            want = sorted(score_of, key=lambda w: (-round(score_of[w], 9), w))[:3]
+            assert toxicity.choose_words(counts, totals, [(c, held)], 3) == [want]
+    leak, odd = toxicity.choose_words(counts, totals, [(1, 1), (0, 1)], 9)
+    assert "leak" not in leak and "odd" in odd
+
+
+def test_stems_are_whole_characters():
+    assert toxicity.stem("ééééééé".encode()) == b"^" + "éééééé".encode() and toxicity.stem(b"abcdefgh") == b"^abcdef"
 
 
 def test_models_without_labels_or_rows(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
-    none = spark.createDataFrame([], "doc_id long, toxic int")
+    none = spark.createDataFrame([], "doc_id long, toxic int, quality int")
     assert [r.toxic for r in toxicity.score(docs, toxicity.fit(docs, none)).collect()] == [False]
     empty = docs.limit(0)
     assert licenses.scan(empty, licenses.train(empty)).count() == 0
