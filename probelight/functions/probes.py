@@ -33,11 +33,18 @@ def merge(a: Column, b: Column) -> Column:
     return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(F.zip_with(a, b, lambda x, y: F.coalesce(x, F.lit(0).cast("long")).bitwiseOR(F.coalesce(y, F.lit(0).cast("long")))))
 
 
-def or_by(df: DataFrame, keys: list[str], words: str = "probes", **aggs: Column) -> DataFrame:
+def or_by(df: DataFrame, keys: list[str], words: str = "probes", width: int | None = None, **aggs: Column) -> DataFrame:
     """One row for each key (nulls group together): the OR of ``words`` and further aggregates.
 
-    Vectors of one key must be equally long; ``checked_or_by`` makes that an error.
+    With ``width``, the most words that a vector has, all are combined in one aggregation with one shuffle; a longer
+    vector is an error.  Without it words are grouped by place first.  Vectors of one key must be equally long;
+    ``checked_or_by`` makes that an error.
     """
+    if width is not None:
+        word = [F.bit_or(F.get(words, k)) for k in range(width)]
+        size = F.max(F.when(F.size(words) > width, F.raise_error(F.lit(f"a vector has more than {width} words")).cast("int")).otherwise(F.size(words)))
+        vector = F.when(size.isNotNull(), F.slice(F.array(*word), F.lit(1), size))
+        return df.groupBy(*keys).agg(vector.alias(words), *(v.alias(k) for k, v in aggs.items()))
     parts = df.select(*keys, F.posexplode_outer(words).alias("_i", "_w"), *[c for c in df.columns if c not in keys and c != words])
     extra = {f"_{k}": v for k, v in aggs.items()}
     by_word = parts.groupBy(*keys, "_i").agg(F.bit_or("_w").alias("_w"), *(v.alias(k) for k, v in extra.items()))
@@ -47,9 +54,10 @@ def or_by(df: DataFrame, keys: list[str], words: str = "probes", **aggs: Column)
     return by_word.groupBy(*keys).agg(F.when(F.count("_i") > 0, vector).alias(words), *outer)
 
 
-def checked_or_by(df: DataFrame, keys: list[str], n: str, words: str = "probes") -> DataFrame:
+def checked_or_by(df: DataFrame, keys: list[str], n: str, words: str = "probes", width: int | None = None, **aggs: Column) -> DataFrame:
     """As ``or_by``, but null vectors or unequal lengths (column ``n``) under one key raise an error."""
-    out = or_by(df.withColumn("_len", F.col(n).cast("long")), keys, words, low=F.min("_len"), high=F.max("_len"), nulls=F.max(F.col("_w").isNull().cast("long")))
+    null = F.col("_null")
+    out = or_by(df.withColumns({"_len": F.col(n).cast("long"), "_null": F.col(words).isNull().cast("long")}), keys, words, width, low=F.min("_len"), high=F.max("_len"), nulls=F.max(null), **aggs)
     bad = (F.col("low") != F.col("high")) | (F.col("nulls") > 0)
     return out.withColumn(words, F.when(bad, F.raise_error(F.lit("probes of one key are null or of unequal length"))).otherwise(F.col(words))).drop("low", "high", "nulls")
 

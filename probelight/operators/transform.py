@@ -35,23 +35,28 @@ def chain(*steps: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], Dat
 
 
 def _words(facts: DataFrame, keys: list[str]) -> DataFrame:
-    return facts.select(*dict.fromkeys([*keys, "day"]), probes.to_words(F.col("probes")).alias("probes"))
+    """Keys, day, the probe vector as words, and its length, which must be the same for all vectors of a key."""
+    return facts.select(*dict.fromkeys([*keys, "day"]), probes.to_words(F.col("probes")).alias("probes"), F.length("probes").alias("_bits"))
 
 
-def build_method_coverage(facts: DataFrame) -> DataFrame:
-    return probes.or_by(_words(facts, BUILD_KEYS), BUILD_KEYS, created_at_day=F.max("day"))
+def _fold(facts: DataFrame, keys: list[str], width: int | None, **aggs: Column) -> DataFrame:
+    return probes.checked_or_by(_words(facts, keys), keys, "_bits", "probes", width, **aggs)
 
 
-def method_daily_coverage(facts: DataFrame) -> DataFrame:
-    return probes.or_by(_words(facts, DAY_KEYS), DAY_KEYS)
+def build_method_coverage(facts: DataFrame, width: int | None = None) -> DataFrame:
+    return _fold(facts, BUILD_KEYS, width, created_at_day=F.max("day"))
 
 
-def session_coverage(facts: DataFrame) -> DataFrame:
-    return probes.or_by(_words(has_session(facts), SESSION_KEYS), SESSION_KEYS, created_at_day=F.max("day"))
+def method_daily_coverage(facts: DataFrame, width: int | None = None) -> DataFrame:
+    return _fold(facts, DAY_KEYS, width)
 
 
-def definition_coverage(facts: DataFrame) -> DataFrame:
-    return probes.or_by(_words(has_session_and_definition(facts), DEFINITION_KEYS), DEFINITION_KEYS, created_at_day=F.max("day"))
+def session_coverage(facts: DataFrame, width: int | None = None) -> DataFrame:
+    return _fold(has_session(facts), SESSION_KEYS, width, created_at_day=F.max("day"))
+
+
+def definition_coverage(facts: DataFrame, width: int | None = None) -> DataFrame:
+    return _fold(has_session_and_definition(facts), DEFINITION_KEYS, width, created_at_day=F.max("day"))
 
 
 def test_to_code_mapping(facts: DataFrame) -> DataFrame:

@@ -20,15 +20,20 @@ def merged(old: DataFrame, new: DataFrame, keys: list[str], policy: str, columns
 
     keep: conflicts keep the old row.  replace: new values in ``columns`` (all by default), others as they were.
     or: probes are OR-ed, updated_at_day and other columns follow ``new`` only where the probes change.
-    forward: updated_at_day only advances.  Of several new rows of a key the greatest row counts (keep: the least).
+    forward: updated_at_day only advances.  Of several new rows of a key the greatest row counts (keep: the least); under
+    ``or`` their probes are OR-ed first.
     """
+    if policy == "or":
+        other = [c for c in old.columns if c not in keys and c != "probes"]
+        new = probes.or_by(new.select(*keys, "probes", *other), keys, _r=F.max(F.struct(*other))) if other else probes.or_by(new.select(*keys, "probes"), keys)
+        new = new.select(*keys, "probes", *(F.col(f"_r.{c}").alias(c) for c in other))
     rest = [c for c in old.columns if c not in keys]
     side = lambda df, n: df.select(*keys, *rest).withColumn("_new", F.lit(n))
     both = side(old, 0).unionByName(side(new, 1))
     row = F.struct(*rest)
     is_new = F.col("_new") == 1
     pick = F.min if policy == "keep" else F.max
-    g = both.groupBy(*keys).agg(F.max(F.when(~is_new, row)).alias("_o"), pick(F.when(is_new, row)).alias("_n")) if "probes" not in rest else _grouped(both, keys, row, is_new)
+    g = both.groupBy(*keys).agg(F.max(F.when(~is_new, row)).alias("_o"), pick(F.when(is_new, row)).alias("_n"))
     had = F.col("_o").isNotNull()
     value = {c: (F.col(f"_o.{c}"), F.col(f"_n.{c}")) for c in rest}
     out: dict[str, Column] = {}
@@ -47,10 +52,6 @@ def merged(old: DataFrame, new: DataFrame, keys: list[str], policy: str, columns
     return g.select(*keys, *(v.alias(k) for k, v in out.items())).select(*old.columns)
 
 
-def _grouped(both: DataFrame, keys: list[str], row: Column, is_new: Column) -> DataFrame:
-    return both.groupBy(*keys).agg(F.first(F.when(~is_new, row), ignorenulls=True).alias("_o"), F.first(F.when(is_new, row), ignorenulls=True).alias("_n"))
-
-
 def without_keys(old: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key isn't among ``gone`` (nulls are equal)."""
     g = gone.select(*(F.col(k).alias(f"_{k}") for k in keys)).distinct()

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
+from .stored import Tables
+
+#: Words of the derived probe vectors, which have at most 16 probes.
+WORDS = 1
 GIVEN = ("lineitem", "orders", "part", "customer")
 
 #: name -> query; {x} is another table
@@ -59,12 +63,10 @@ SELECT DISTINCT c.group_id, c.app_id, c.build_id, l.session_id FROM {raw_coverag
 }
 
 
-def raw(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """All tables of RAW as lazy frames."""
-    t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in GIVEN}
-    for name, sql in RAW.items():
-        t[name] = spark.sql(sql, **{x: t[x] for x in set(re.findall(r"{(\w+)}", sql))})
-    return t
+def raw(spark: SparkSession, sf_dir: str) -> Tables:
+    """All tables of RAW, made when they are asked for."""
+    maker = lambda sql: lambda t: t.spark.sql(sql, **{x: t[x] for x in set(re.findall(r"{(\w+)}", sql))})
+    return Tables(spark, {name: maker(sql) for name, sql in RAW.items()}, given={n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in GIVEN})
 
 
 def ctes(*last: tuple[str, str]) -> str:

@@ -103,11 +103,22 @@ def newest(metadata: DataFrame, keys: list[str], order: str) -> DataFrame:
     return last_of(metadata, keys, order)
 
 
-def sizes(t: Tables, *names: str) -> DataFrame:
-    """(name, n) of some tables, one row each."""
+_METRIC = ["env_id", "result", "tag"]
+#: What tells a row of each table from others.
+KEYS = {
+    "raw_coverage": ["build_id", "method_id", "env_id", "day", "launch_id", "probes"], "launches": ["launch_id"], "sessions": ["session_id"], "raw_build_methods": ["build_id", "method_id"],
+    "build_methods": ["build_id", "method_id"], "builds": ["build_id"], "methods": ["app_id", "method_id"], "session_builds": ["session_id", "build_id"],
+    "build_method_coverage": ["build_id", "method_id", *_METRIC, "task_id"], "session_coverage": ["build_id", "method_id", "session_id", *_METRIC],
+    "method_daily_coverage": ["app_id", "method_id", "day", "branch", *_METRIC, "task_id"], "mapping": ["app_id", "signature", "definition_id", "branch", "env_id", "task_id"],
+}
+
+
+def contents(t: Tables, *names: str) -> DataFrame:
+    """(name, n, digest) of some tables, one row each: rows and the sum of their keys' hashes."""
     out = None
     for k in names:
-        one = t[k].agg(F.count("*").alias("n")).select(F.lit(k).alias("name"), "n")
+        digest = F.conv(F.substring(F.md5(F.concat_ws("|", *(F.col(c).cast("string") for c in KEYS[k]))), 1, 8), 16, 10).cast("long")
+        one = t[k].agg(F.count("*").alias("n"), F.coalesce(F.sum(digest), F.lit(0)).cast("long").alias("digest")).select(F.lit(k).alias("name"), "n", "digest")
         out = one if out is None else out.union(one)
     return out
 
@@ -117,7 +128,8 @@ def _cut(t: Tables, day: str) -> DataFrame:
     return cut_offs(settings, F.date_add(F.to_date(F.lit(day)), 90))
 
 
-_N = lambda name, q: f"SELECT '{name}' AS name, (SELECT count(*) FROM {q}) AS n"
+_HASH = lambda name: f"('0x' || substr(md5(concat_ws('|', {', '.join(f'{c}::VARCHAR' for c in KEYS[name])})), 1, 8))::BIGINT"
+_N = lambda name, q: f"SELECT '{name}' AS name, count(*) AS n, coalesce(sum({_HASH(name)}), 0)::BIGINT AS digest FROM {q}"
 _NEW = "(SELECT build_id FROM builds WHERE created_day >= DATE '1997-01-01')"
 
 
@@ -136,28 +148,28 @@ def registered() -> dict:
             "SELECT build_id, sum(list_sum(list_transform(range(1, length(body_checksum) + 1), lambda i: (ascii(body_checksum[i]) - 48) * (36 ** (length(body_checksum) - i))::BIGINT)))::BIGINT AS total FROM raw_build_methods x JOIN raw_methods m ON x.app_id = m.app_id AND x.method_id = m.method_id GROUP BY build_id",
         ),
         "j3_raw_retention": (
-            lambda t: sizes(raw_retention(t, age(t)), "raw_coverage", "launches", "sessions", "raw_build_methods", "builds"),
+            lambda t: contents(raw_retention(t, age(t)), "raw_coverage", "launches", "sessions", "raw_build_methods", "builds"),
             " UNION ALL ".join(_N(n, f"{n} WHERE {c} >= DATE '1997-01-01'") for n, c in (("raw_coverage", "day"), ("launches", "created_day"), ("sessions", "started_day"), ("raw_build_methods", "created_day"), ("builds", "created_day"))),
         ),
         "j4_build_retention": (
-            lambda t: sizes(build_retention(t, age(t)), "build_method_coverage", "session_coverage", "session_builds", "build_methods", "methods", "builds"),
+            lambda t: contents(build_retention(t, age(t)), "build_method_coverage", "session_coverage", "session_builds", "build_methods", "methods", "builds"),
             " UNION ALL ".join([*(_N(n, f"{q} WHERE build_id IN {_NEW}") for n, q in (("build_method_coverage", "bmc"), ("session_coverage", "bmsc"), ("session_builds", "session_builds"), ("build_methods", "build_methods"), ("builds", "builds"))), _N("methods", f"(SELECT DISTINCT app_id, method_id FROM build_methods WHERE build_id IN {_NEW})")]),
         ),
         "j5_test_retention": (
-            lambda t: sizes(test_retention(t, age(t)), "launches", "sessions", "session_coverage", "session_builds", "mapping"),
+            lambda t: contents(test_retention(t, age(t)), "launches", "sessions", "session_coverage", "session_builds", "mapping"),
             " UNION ALL ".join([_N("launches", "launches WHERE created_day >= DATE '1997-01-01'"), *(_N(n, f"{q} WHERE session_id IN (SELECT session_id FROM sessions WHERE started_day >= DATE '1997-01-01')") for n, q in (("sessions", "sessions"), ("session_coverage", "bmsc"), ("session_builds", "session_builds"))), _N("mapping", "mapping WHERE definition_id IN (SELECT definition_id FROM launches WHERE created_day >= DATE '1997-01-01') OR definition_id NOT IN (SELECT definition_id FROM launches)")]),
         ),
-        "j6_daily_retention": (lambda t: sizes(daily_retention(t, age(t)), "method_daily_coverage"), _N("method_daily_coverage", "mdc WHERE day >= DATE '1997-01-01'")),
+        "j6_daily_retention": (lambda t: contents(daily_retention(t, age(t)), "method_daily_coverage"), _N("method_daily_coverage", "mdc WHERE day >= DATE '1997-01-01'")),
         "j7_orphan_clean_up": (
-            lambda t: sizes(orphan_clean_up(t | {"build_methods": t["build_methods"].filter("build_id LIKE '%1997'")} | {"methods": t["methods"].filter("method_name LIKE '%1'")}, "g1", F.to_date(F.lit("1998-01-01"))), "methods", "method_daily_coverage", "mapping"),
+            lambda t: contents(orphan_clean_up(t | {"build_methods": t["build_methods"].filter("build_id LIKE '%1997'")} | {"methods": t["methods"].filter("method_name LIKE '%1'")}, "g1", F.to_date(F.lit("1998-01-01"))), "methods", "method_daily_coverage", "mapping"),
             " UNION ALL ".join([_N("methods", "methods m WHERE method_name LIKE '%1' AND EXISTS (SELECT 1 FROM build_methods b WHERE build_id LIKE '%1997' AND b.app_id = m.app_id AND b.method_id = m.method_id)"), _N("method_daily_coverage", "mdc d WHERE day >= DATE '1998-01-01' OR EXISTS (SELECT 1 FROM methods m WHERE method_name LIKE '%1' AND m.app_id = d.app_id AND m.method_id = d.method_id)"), _N("mapping", "mapping d WHERE updated_at_day >= DATE '1998-01-01' OR EXISTS (SELECT 1 FROM methods m WHERE method_name LIKE '%1' AND m.app_id = d.app_id AND m.signature = d.signature)")]),
         ),
         "j8_delete_build": (
-            lambda t: sizes(delete_build(t, "g1:app-0:1997"), "build_method_coverage", "build_methods", "builds", "raw_coverage"),
+            lambda t: contents(delete_build(t, "g1:app-0:1997"), "build_method_coverage", "build_methods", "builds", "raw_coverage"),
             " UNION ALL ".join(_N(n, f"{q} WHERE build_id <> 'g1:app-0:1997'") for n, q in (("build_method_coverage", "bmc"), ("build_methods", "build_methods"), ("builds", "builds"), ("raw_coverage", "raw_coverage"))),
         ),
         "j9_delete_session": (
-            lambda t: sizes(delete_session(t, "s1997-3"), "session_coverage", "session_builds", "launches", "raw_coverage"),
+            lambda t: contents(delete_session(t, "s1997-3"), "session_coverage", "session_builds", "launches", "raw_coverage"),
             " UNION ALL ".join([*(_N(n, f"{q} WHERE session_id <> 's1997-3'") for n, q in (("session_coverage", "bmsc"), ("session_builds", "session_builds"), ("launches", "launches"))), _N("raw_coverage", "raw_coverage WHERE launch_id IS NULL OR launch_id NOT IN (SELECT launch_id FROM launches WHERE session_id = 's1997-3')")]),
         ),
         "j10_cut_offs": (

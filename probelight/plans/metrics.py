@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 
 from probelight.operators import extract, transform
 
-from .derive import ctes
+from .derive import WORDS, ctes
+from .stored import Tables
 
 
 def facts(t: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
@@ -16,22 +17,31 @@ def facts(t: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     return plain, tests
 
 
-def metrics(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Raw tables and the metric tables over them; all lazy."""
-    plain, tests = facts(t)
-    both = plain.unionByName(tests)
-    m = extract.not_ignored(t["raw_methods"].filter("probes_count > 0"), t["rules"])
-    return t | {
-        "methods": m,
-        "build_methods": t["raw_build_methods"].join(m.select("group_id", "app_id", "method_id"), ["group_id", "app_id", "method_id"]),
-        "builds": extract.builds(t["builds"], t["instances"]),
-        "test_launches": extract.test_launches(t["launches"]),
-        "build_method_coverage": transform.build_method_coverage(both),
-        "method_daily_coverage": transform.method_daily_coverage(both),
-        "session_coverage": transform.session_coverage(both),
-        "definition_coverage": transform.definition_coverage(tests),
-        "mapping": transform.test_to_code_mapping(tests),
-    }
+METHOD = ["group_id", "app_id", "method_id"]
+MAKERS = {
+    "methods": lambda t: extract.not_ignored(t["raw_methods"].filter("probes_count > 0"), t["rules"]),
+    "build_methods": lambda t: t["raw_build_methods"].join(t["methods"].select(*METHOD), METHOD),
+    "builds": lambda t: extract.builds(t["raw_builds"], t["instances"]),
+    "test_launches": lambda t: extract.test_launches(t["launches"]),
+    "plain_facts": lambda t: facts(t)[0],
+    "test_facts": lambda t: facts(t)[1],
+    "build_method_coverage": lambda t: transform.build_method_coverage(both(t), WORDS),
+    "method_daily_coverage": lambda t: transform.method_daily_coverage(both(t), WORDS),
+    "session_coverage": lambda t: transform.session_coverage(both(t), WORDS),
+    "definition_coverage": lambda t: transform.definition_coverage(t["test_facts"], WORDS),
+    "mapping": lambda t: transform.test_to_code_mapping(t["test_facts"]),
+}
+
+
+def both(t: Tables) -> DataFrame:
+    return t["plain_facts"].unionByName(t["test_facts"])
+
+
+def metrics(t: Tables) -> Tables:
+    """Raw tables and the metric tables over them, made when they are asked for."""
+    raw_builds = t.makers["builds"]
+    t.makers |= {**MAKERS, "raw_builds": raw_builds}
+    return t
 
 
 #: (name, DuckDB query) over derive.RAW

@@ -12,7 +12,8 @@ from probelight.operators import extract, transform, upsert
 
 from . import coverage, impact, ingest_queries, jobs, report, treemap, views
 from .derive import raw
-from .metrics import facts, metrics, sql
+from .metrics import metrics, sql
+from .stored import tables
 
 BUILD, BASE = "g1:app-0:1997", "g1:app-0:1996"
 _Q: dict[str, tuple[Callable, str | None]] = {}
@@ -20,7 +21,7 @@ _Q: dict[str, tuple[Callable, str | None]] = {}
 
 def _add(name: str, f: Callable[[dict[str, DataFrame]], DataFrame], query: str | None = None, *more: tuple[str, str]) -> None:
     """Registers a query over the metric tables, with DuckDB SQL over the same tables."""
-    _Q[name] = (lambda spark, sf_dir: f(metrics(raw(spark, sf_dir))), sql(query, *more) if query else None)
+    _Q[name] = (lambda spark, sf_dir: f(tables(spark, sf_dir, lambda: metrics(raw(spark, sf_dir)))), sql(query, *more) if query else None)
 
 
 def _text(df: DataFrame, *days: str) -> DataFrame:
@@ -135,18 +136,23 @@ _add("e7_test_definitions", lambda t: extract.test_definitions(t["definitions"])
 _add("e8_test_sessions", lambda t: _text(extract.test_sessions(t["sessions"], *_bound()).select("session_id", "task_id", "started_day"), "started_day"), f"SELECT session_id, task_id, started_day::VARCHAR AS started_day FROM sessions WHERE {_between('started_day')}")
 _add("e9_test_session_builds", lambda t: extract.test_session_builds(t["session_builds"], t["builds"]).select("session_id", "app_id", "build_id"), "SELECT session_id, app_id, build_id FROM session_builds")
 
-_cov = lambda df: df.select([c for c in df.columns if c not in ("group_id", "probes")] + [probes.popcount(F.col("probes")).alias("covered")])
+def _cov(df: DataFrame) -> DataFrame:
+    """Probe vectors as strings of 60 bits for each word, which the derived vectors of at most 16 probes fill with zeros."""
+    return df.select(*(c for c in df.columns if c not in ("group_id", "probes")), probes.to_bits(F.col("probes"), F.size("probes") * probes.WORD).alias("bits"))
+
+
+_BITS = "lpad(bit_or(probes)::VARCHAR, 60, '0')"
 for _name, _f, _t, _days in (
-    ("p9_build_method_coverage", lambda t: transform.build_method_coverage(facts(t)[0]), "SELECT app_id, build_id, method_id, env_id, result, tag, task_id, max(day)::VARCHAR AS created_at_day, bit_count(bit_or(probes))::BIGINT AS covered FROM f3 GROUP BY app_id, build_id, method_id, env_id, result, tag, task_id", ("created_at_day",)),
-    ("p14_build_method_coverage_from_launches", lambda t: transform.build_method_coverage(facts(t)[1]), "SELECT app_id, build_id, method_id, env_id, result, tag, task_id, max(day)::VARCHAR AS created_at_day, bit_count(bit_or(probes))::BIGINT AS covered FROM f4 GROUP BY app_id, build_id, method_id, env_id, result, tag, task_id", ("created_at_day",)),
-    ("p10_method_daily_coverage", lambda t: transform.method_daily_coverage(facts(t)[0]), "SELECT app_id, method_id, day::VARCHAR AS day, branch, env_id, result, tag, task_id, bit_count(bit_or(probes))::BIGINT AS covered FROM f3 GROUP BY app_id, method_id, f3.day, branch, env_id, result, tag, task_id", ("day",)),
-    ("p15_method_daily_coverage_from_launches", lambda t: transform.method_daily_coverage(facts(t)[1]), "SELECT app_id, method_id, day::VARCHAR AS day, branch, env_id, result, tag, task_id, bit_count(bit_or(probes))::BIGINT AS covered FROM f4 GROUP BY app_id, method_id, f4.day, branch, env_id, result, tag, task_id", ("day",)),
-    ("p13_session_coverage_from_launches", lambda t: transform.session_coverage(facts(t)[1]), "SELECT app_id, build_id, method_id, session_id, env_id, result, tag, created_at_day::VARCHAR AS created_at_day, bit_count(probes)::BIGINT AS covered FROM bmsc", ("created_at_day",)),
-    ("p12_definition_coverage", lambda t: transform.definition_coverage(facts(t)[1]), "SELECT app_id, build_id, method_id, session_id, definition_id, env_id, result, created_at_day::VARCHAR AS created_at_day, bit_count(probes)::BIGINT AS covered FROM bmdc", ("created_at_day",)),
+    ("p9_build_method_coverage", lambda t: transform.build_method_coverage(t["plain_facts"]), "SELECT app_id, build_id, method_id, env_id, result, tag, task_id, max(day)::VARCHAR AS created_at_day, " + _BITS + " AS bits FROM f3 GROUP BY app_id, build_id, method_id, env_id, result, tag, task_id", ("created_at_day",)),
+    ("p14_build_method_coverage_from_launches", lambda t: transform.build_method_coverage(t["test_facts"]), "SELECT app_id, build_id, method_id, env_id, result, tag, task_id, max(day)::VARCHAR AS created_at_day, " + _BITS + " AS bits FROM f4 GROUP BY app_id, build_id, method_id, env_id, result, tag, task_id", ("created_at_day",)),
+    ("p10_method_daily_coverage", lambda t: transform.method_daily_coverage(t["plain_facts"]), "SELECT app_id, method_id, day::VARCHAR AS day, branch, env_id, result, tag, task_id, " + _BITS + " AS bits FROM f3 GROUP BY app_id, method_id, f3.day, branch, env_id, result, tag, task_id", ("day",)),
+    ("p15_method_daily_coverage_from_launches", lambda t: transform.method_daily_coverage(t["test_facts"]), "SELECT app_id, method_id, day::VARCHAR AS day, branch, env_id, result, tag, task_id, " + _BITS + " AS bits FROM f4 GROUP BY app_id, method_id, f4.day, branch, env_id, result, tag, task_id", ("day",)),
+    ("p13_session_coverage_from_launches", lambda t: transform.session_coverage(t["test_facts"]), "SELECT app_id, build_id, method_id, session_id, env_id, result, tag, created_at_day::VARCHAR AS created_at_day, lpad(probes::VARCHAR, 60, '0') AS bits FROM bmsc", ("created_at_day",)),
+    ("p12_definition_coverage", lambda t: transform.definition_coverage(t["test_facts"]), "SELECT app_id, build_id, method_id, session_id, definition_id, env_id, result, created_at_day::VARCHAR AS created_at_day, lpad(probes::VARCHAR, 60, '0') AS bits FROM bmdc", ("created_at_day",)),
 ):
     _add(_name, lambda t, f=_f, d=_days: _text(_cov(f(t)), *d), _t)
 _add("p17_test_to_code_mapping", lambda t: _text(t["mapping"].drop("group_id"), "updated_at_day"), "SELECT app_id, signature, definition_id, branch, env_id, task_id, updated_at_day::VARCHAR AS updated_at_day FROM mapping")
-_add("p18_session_builds_from_launches", lambda t: transform.has_session(facts(t)[1]).select("app_id", "build_id", "session_id").distinct(), "SELECT DISTINCT app_id, build_id, session_id FROM f4")
+_add("p18_session_builds_from_launches", lambda t: transform.has_session(t["test_facts"]).select("app_id", "build_id", "session_id").distinct(), "SELECT DISTINCT app_id, build_id, session_id FROM f4")
 _add("p3_methods", lambda t: transform.last_of(extract.build_methods(t["raw_build_methods"], t["raw_methods"], t["rules"]).select("app_id", "method_id", "signature", "probes_count", "created_day"), ["app_id", "method_id"], "created_day").drop("created_day"), "SELECT DISTINCT m.app_id, m.method_id, signature, probes_count FROM build_methods b JOIN methods m ON b.app_id = m.app_id AND b.method_id = m.method_id")
 
 # --- upserts ------------------------------------------------------------------------------------------------------
@@ -156,16 +162,18 @@ _KEYS = transform.BUILD_KEYS
 def _halves(t) -> tuple[DataFrame, DataFrame]:
     out = []
     for old in (True, False):
-        f = facts(t)[0].unionByName(facts(t)[1]).filter((F.month("day") <= 6) == old)
+        f = t["plain_facts"].unionByName(t["test_facts"]).filter((F.month("day") <= 6) == old)
         out.append(transform.build_method_coverage(f).withColumnRenamed("created_at_day", "updated_at_day"))
     return out[0], out[1]
 
 
-_add("u4_or_upsert", lambda t: _cov(upsert.merged(*_halves(t), _KEYS, "or")).drop("updated_at_day"), "SELECT app_id, build_id, method_id, env_id, result, tag, task_id, bit_count(probes)::BIGINT AS covered FROM bmc")
+_OR_SQL = f"SELECT app_id, build_id, method_id, env_id, result, tag, task_id, lpad(probes::VARCHAR, 60, '0') AS bits FROM bmc"
+_add("u4_or_upsert", lambda t: _cov(upsert.merged(*_halves(t), _KEYS, "or")).drop("updated_at_day"), _OR_SQL)
+_add("u4_or_upsert_of_repeated_keys", lambda t: _cov(upsert.merged(_halves(t)[0].limit(0), _halves(t)[0].unionByName(_halves(t)[1]), _KEYS, "or")).drop("updated_at_day"), _OR_SQL)
 
 
 def _mapping_halves(t):
-    f = facts(t)[1]
+    f = t["test_facts"]
     return tuple(transform.test_to_code_mapping(f.filter((F.month("day") <= 6) == old)) for old in (True, False))
 
 
