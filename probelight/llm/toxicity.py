@@ -36,7 +36,7 @@ from . import linear
 from .common import free_name, materialize, slices, table, utf8, without
 from .decontaminate import norm_words
 
-MOST_ROWS, MOST_WORDS, FOLDS, L2, STEM = 4000, 512, 5, 1.0, 6
+MOST_ROWS, MOST_WORDS, FOLDS, L2, STEM = 2500, 256, 5, 1.0, 6
 #: Label columns in order of the chain.
 CATEGORIES = ("quality", "toxic")
 
@@ -162,8 +162,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     every = np.zeros((len(got), len(number)), np.float32)
     for k, r in enumerate(got):
         every[k, np.array(r.w, np.int64)] = np.log1p(r.n)
-    parts = [every[:, [number[w] for w in ws]].astype(float) for ws in chosen]
-    words, whole = {w.encode("latin-1"): k for k, w in enumerate(chosen[-1])}, parts[-1]
+    of_words = lambda ws: every[:, [number[w] for w in ws]].astype(float)
+    words, whole = {w.encode("latin-1"): k for k, w in enumerate(chosen[-1])}, of_words(chosen[-1])
     models: list[tuple[np.ndarray, float] | None] = []
     feed = np.zeros((len(got), 0))
     for c in range(len(categories)):
@@ -172,7 +172,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for f in range(FOLDS):
             there = fold != f
             if len(got) and t[there].size and t[there].min() < t[there].max() and (~there).any():
-                x = np.column_stack((parts[f], feed)) if fed else parts[f]
+                x = of_words(chosen[f])
+                x = np.column_stack((x, feed)) if fed else x
                 w, b = linear.logistic(x[there], t[there], L2)
                 oof[~there] = linear.sigmoid(x[~there] @ w + b)
         if not t.size or t.min() == t.max() or not words:
