@@ -1,6 +1,6 @@
-"""Keyed upserts of Parquet tables: the new content of the touched partitions is computed, staged, then swapped in.
+"""Keyed upserts of Parquet tables: a table's new content is computed, written beside the old one, then pointed to.
 
-Parquet tables know no MERGE.  ``merged`` is the relational part: old and new rows of a key meet in one grouping over
+Parquet tables know no MERGE, so an upsert rewrites its table.  ``merged`` is the relational part: old and new rows of a key meet in one grouping over
 their union, nulls in keys compared as equal.  ``Store`` writes a table's new version into a folder of its own and
 switches a pointer file last, so readers see old or new, never half, and a table may be rebuilt from itself.
 """
@@ -60,10 +60,10 @@ def without_keys(old: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
 
 
 class Store:
-    """Tables as versioned Parquet folders below ``root`` on any file system Spark writes to."""
+    """Tables as versioned Parquet folders below ``root`` on any file system Spark writes to; the last ``versions`` are kept."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, versions: int = 3):
+        self.spark, self.root, self.versions = spark, root.rstrip("/"), versions
 
     def _fs(self):
         jvm = self.spark._jvm
@@ -86,11 +86,19 @@ class Store:
         version = uuid.uuid4().hex
         df.write.partitionBy(*partition_by).parquet(f"{self.root}/{table}/{version}")
         folder = f"{self.root}/{table}/_current"
-        n = len(fs.listStatus(jvm.org.apache.hadoop.fs.Path(folder))) if fs.exists(jvm.org.apache.hadoop.fs.Path(folder)) else 0
-        fs.create(jvm.org.apache.hadoop.fs.Path(f"{folder}/{n:08d}-{version}")).close()
-
-    def upsert(self, table: str, new: DataFrame, keys: list[str], policy: str, columns: list[str] | None = None) -> None:
+        where = jvm.org.apache.hadoop.fs.Path(folder)
+        names = sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
+        number = int(names[-1].split("-", 1)[0]) + 1 if names else 0
+        fs.create(jvm.org.apache.hadoop.fs.Path(f"{folder}/{number:08d}-{version}")).close()
+        for name in names[: max(0, len(names) + 1 - self.versions)]:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/{name.split('-', 1)[1]}"), True)
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}"), False)
+
+    def upsert(self, table: str, new: DataFrame, keys: list[str], policy: str, columns: list[str] | None = None, without: Column | None = None) -> None:
+        """Merges ``new`` into the table, of whose old rows those for which ``without`` is true go in the same write."""
         old = self.read(table)
+        if old is not None and without is not None:
+            old = old.filter(~F.coalesce(without, F.lit(False)))
         self.write(table, merged(old if old is not None else new.limit(0), new, keys, policy, columns))
 
     def delete(self, table: str, condition: Column | str) -> None:

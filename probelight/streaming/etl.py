@@ -43,9 +43,9 @@ def extractors(t: Mapping[str, DataFrame]) -> dict[str, Callable[[date | None, d
         "coverage": lambda a, b: extract.coverage(t["raw_coverage"], t["raw_methods"], t["rules"], t["builds"], a, b),
         "test_launch_coverage": lambda a, b: extract.test_launch_coverage(t["raw_coverage"], t["launches"], t["definitions"], t["sessions"], t["raw_methods"], t["rules"], t["builds"], a, b),
         "test_launches": lambda a, b: extract.test_launches(t["launches"], a, b),
-        "test_definitions": lambda a, b: extract.test_definitions(t["definitions"]),
+        "test_definitions": lambda a, b: extract.test_definitions(t["definitions"], a, b),
         "test_sessions": lambda a, b: extract.test_sessions(t["sessions"], a, b),
-        "test_session_builds": lambda a, b: extract.test_session_builds(t["session_builds"], t["builds"]),
+        "test_session_builds": lambda a, b: extract.test_session_builds(t["session_builds"], t["builds"], a, b),
         **({"requested_coverage": lambda a, b: extract.requested_coverage(t["requests"], t["raw_coverage"], t["launches"], t["definitions"], t["sessions"], t["raw_methods"], t["rules"], t["builds"], a, b)} if "requests" in t else {}),
     }
 
@@ -94,16 +94,18 @@ def watermarks(store: Store, group: str) -> dict[str, date]:
 def run_etl(store: Store, t: Mapping[str, DataFrame], group: str, names: list[str] | None = None, until: date | None = None, lookback: timedelta = timedelta(0), delay: timedelta = timedelta(0), today: date | None = None, full_refresh: bool = False) -> dict[str, dict]:
     """Runs pipelines for a group; returns each one's status (SUCCESS, FAILED or SKIPPED), rows and error.
 
-    Pipelines with one extractor share one scan from the least of their starts, each filtering what it has seen.  A
-    pipeline that fails keeps its watermark, the others go on.
+    Pipelines with one extractor and start share one scan.  A pipeline that fails, even one whose source can't be planned,
+    keeps its watermark and the others go on.  A full refresh takes in all pipelines that write the same tables; the
+    group's old rows go in the same write that brings the first new ones, so a failure leaves them.
     """
     spark = store.spark
     wanted = [PIPELINES[n] for n in (names or [n for n in PIPELINES if n not in ON_DEMAND])]
     end = until or ((today or date.today()) - delay)
     marks = {} if full_refresh else watermarks(store, group)
+    stale: set[str] = set()
     if full_refresh:
-        for table in {p.table for p in wanted}:
-            store.delete(table, F.col("group_id") == group)
+        stale = {p.table for p in wanted}
+        wanted += [p for p in PIPELINES.values() if p.table in stale and p not in wanted and p.name not in ON_DEMAND]
     mine = {k: (v.filter(F.col("group_id") == group) if "group_id" in v.columns else v) for k, v in t.items()}
     make, out = extractors(mine), {}
     since = {p.name: (marks[p.name] - lookback if p.name in marks else EPOCH) for p in wanted}
@@ -112,14 +114,19 @@ def run_etl(store: Store, t: Mapping[str, DataFrame], group: str, names: list[st
     for source in dict.fromkeys(p.source for p in due):
         group_of = [p for p in due if p.source == source]
         starts = {since[p.name] for p in group_of}
-        shared = {s: make[source](s, end).persist() for s in starts} if len(group_of) > 1 else {s: make[source](s, end) for s in starts}
+        shared: dict[date, DataFrame] = {}
         for p in group_of:
             begun = time.time()
             try:
-                new = p.steps(shared[since[p.name]])
+                if (start := since[p.name]) not in shared:
+                    shared[start] = make[source](start, end)
+                    if len(group_of) > len(starts):
+                        shared[start].persist()
+                new = p.steps(shared[start])
                 n = new.count()
-                if n:
-                    store.upsert(p.table, new, p.keys, p.policy, p.columns)
+                if n or p.table in stale:
+                    store.upsert(p.table, new, p.keys, p.policy, p.columns, F.col("group_id") == group if p.table in stale else None)
+                    stale.discard(p.table)
                 out[p.name] = {"status": "SUCCESS", "rows": n, "error": None}
             except Exception as e:  # any failure of this pipeline; the others go on
                 out[p.name] = {"status": "FAILED", "rows": 0, "error": str(e)[:500]}

@@ -231,3 +231,35 @@ def test_isolated_at_most_aggregated(spark):
             w.test(n, t, **{f"m{k}": "".join(rng.choice("01") for _ in range(5))})
     for r in coverage.methods_with_coverage(w.tables(), ["g:a:2", "g:a:3"]).collect():
         assert 0 <= r.isolated_covered <= r.aggregated_covered <= r.probes_count
+
+
+def test_or_upsert_keeps_all_bits_of_repeated_incoming_keys(spark):
+    ddl = "k string, probes array<bigint>, updated_at_day int"
+    rows = [("a", [1], 1), ("a", [2], 3), ("a", [4], 2), ("b", [8], 1), (None, [1], 1), (None, [2], 1)]
+    new, old = spark.createDataFrame(rows, ddl), spark.createDataFrame([("b", [8], 0), ("c", [1], 0), (None, [4], 0)], ddl)
+    fold = {}
+    for k, p, d in rows:
+        bits, day = fold.get(k, (0, 0))
+        fold[k] = (bits | p[0], max(day, d))
+    got = {r.k: (r.probes[0], r.updated_at_day) for r in upsert.merged(old.limit(0), new, ["k"], "or").collect()}
+    assert got == fold
+    got = {r.k: (r.probes[0], r.updated_at_day) for r in upsert.merged(old, new, ["k"], "or").collect()}
+    assert got == {"a": (7, 3), "b": (8, 0), "c": (1, 0), None: (7, 1)}  # b's bits don't change, so its day stays
+
+
+def test_or_by_in_one_shuffle(spark):
+    df = spark.createDataFrame([("a", [1, 2]), ("a", [4, 8]), ("b", None), ("b", [3]), ("c", None), (None, [])], "k string, probes array<bigint>")
+    wide = {r.k: r.probes for r in probes.or_by(df, ["k"], width=2).collect()}
+    assert wide == {r.k: r.probes for r in probes.or_by(df, ["k"]).collect() if r.k is not None} | {None: []} and wide["a"] == [5, 10]
+    with pytest.raises(Exception, match="more than 1 words"):
+        probes.or_by(df, ["k"], width=1).collect()
+    assert probes.or_by(df, ["k"], width=2)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_store_keeps_the_last_versions(spark, tmp_path):
+    store = upsert.Store(spark, f"file://{tmp_path}", versions=2)
+    for n in range(4):
+        store.write("t", spark.range(n))
+    assert store.read("t").count() == 3 and len([p for p in (tmp_path / "t").iterdir() if p.name != "_current"]) == 2
+    store.upsert("t", spark.range(10, 12), ["id"], "keep", without=F.col("id") < 2)
+    assert sorted(r.id for r in store.read("t").collect()) == [2, 10, 11]
