@@ -1,16 +1,20 @@
-"""Keyed upserts of Parquet tables: a table's new content is computed, written beside the old one, then pointed to.
+"""Keyed upserts of Parquet tables: new partitions are computed, written beside the old ones, then pointed to.
 
-Parquet tables know no MERGE, so an upsert rewrites its table.  ``merged`` is the relational part: old and new rows of a key meet in one grouping over
-their union, nulls in keys compared as equal.  ``Store`` writes a table's new version into a folder of its own and
-switches a pointer file last, so readers see old or new, never half, and a table may be rebuilt from itself.
+``merged`` is the relational part: old and new rows of a key meet in one grouping over their union, nulls in keys
+compared as equal.  ``Store`` keeps a table as partition folders.  A version is a manifest, the list of its folders: a
+write puts the partitions it changes into new folders and the manifest last, so readers see old or new, never half, a
+failed write changes nothing, and what an upsert costs goes with the partitions it touches, not with the table.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from probelight.functions import probes
 
@@ -59,50 +63,115 @@ def without_keys(old: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(g, on, "left_anti")
 
 
+#: Columns that the metric tables are partitioned by, all of them keys.  Others are one partition.
+PARTITIONS = {
+    "method_daily_coverage": ("group_id", "day"), "build_method_coverage": ("group_id", "build_id"), "session_coverage": ("group_id", "build_id"),
+    "definition_coverage": ("group_id", "build_id"), "build_methods": ("group_id", "build_id"), "methods": ("group_id", "app_id"),
+    "test_to_code_mapping": ("group_id", "app_id"),
+}
+_NULL = "__HIVE_DEFAULT_PARTITION__"
+
+
 class Store:
-    """Tables as versioned Parquet folders below ``root`` on any file system Spark writes to; the last ``versions`` are kept."""
+    """Tables below ``root`` on any file system Spark writes to, partitioned by ``partitions``; the last ``versions`` are kept.
+
+    Partition columns are strings that aren't empty, or dates; nulls are a partition of their own.  One writer a table.
+    """
 
-    def __init__(self, spark: SparkSession, root: str, versions: int = 3):
+    def __init__(self, spark: SparkSession, root: str, versions: int = 3, partitions: dict[str, tuple[str, ...]] | None = None):
         self.spark, self.root, self.versions = spark, root.rstrip("/"), versions
+        self.partitions = PARTITIONS if partitions is None else partitions
+
+    def _path(self, *parts: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.root, *parts)))
 
     def _fs(self):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        return jvm, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _manifests(self, table: str) -> list[str]:
+        fs, folder = self._fs(), self._path(table, "_current")
+        return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+
+    def _manifest(self, table: str, name: str) -> dict:
+        return json.loads(self.spark.read.text(f"{self.root}/{table}/_current/{name}", wholetext=True).first().value)
+
+    def _latest(self, table: str) -> dict | None:
+        names = self._manifests(table)
+        return self._manifest(table, names[-1]) if names else None
 
-    def _version(self, table: str) -> str | None:
-        jvm, fs = self._fs()
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/_current")
-        names = sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
-        return names[-1].split("-", 1)[1] if names else None
+    def _load(self, table: str, m: dict, folders: list[str]) -> DataFrame:
+        schema = StructType.fromJson(m["schema"])
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        base = f"{self.root}/{table}"
+        return self.spark.read.schema(schema).option("basePath", base).parquet(*(f"{base}/{x}" for x in folders)).select(*schema.names)
 
     def read(self, table: str) -> DataFrame | None:
-        v = self._version(table)
-        return self.spark.read.parquet(f"{self.root}/{table}/{v}") if v else None
-
-    def write(self, table: str, df: DataFrame, partition_by: tuple[str, ...] = ()) -> None:
-        """Writes a new version, then points to it: readers of the old one go on, a failed write changes nothing."""
-        jvm, fs = self._fs()
-        version = uuid.uuid4().hex
-        df.write.partitionBy(*partition_by).parquet(f"{self.root}/{table}/{version}")
-        folder = f"{self.root}/{table}/_current"
-        where = jvm.org.apache.hadoop.fs.Path(folder)
-        names = sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
+        m = self._latest(table)
+        return self._load(table, m, m["folders"]) if m else None
+
+    def _add(self, table: str, df: DataFrame, by: tuple[str, ...], kept: list[str]) -> None:
+        """Writes ``df`` into new folders and a version of these and the ``kept`` ones."""
+        fs, version = self._fs(), f"_v={uuid.uuid4().hex}"
+        schema = StructType([f for f in df.schema if f.name not in by] + [f for f in df.schema if f.name in by]) if by else df.schema
+        # each partition in few files; adaptive execution splits those that are too large for a task
+        (df.hint("rebalance", *by).write.partitionBy(*by) if by else df.write).parquet(f"{self.root}/{table}/{version}")
+        new = [version]
+        if by:
+            found = fs.globStatus(self._path(table, version, *("*=*" for _ in by))) or []
+            new = [version + s.getPath().toString().split(version, 1)[1] for s in found]
+        names = self._manifests(table)
         number = int(names[-1].split("-", 1)[0]) + 1 if names else 0
-        fs.create(jvm.org.apache.hadoop.fs.Path(f"{folder}/{number:08d}-{version}")).close()
-        for name in names[: max(0, len(names) + 1 - self.versions)]:
-            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/{name.split('-', 1)[1]}"), True)
-            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}"), False)
+        text = json.dumps({"by": list(by), "schema": json.loads(schema.json()), "folders": kept + new})
+        out = fs.create(self._path(table, "_current", f"{number:08d}-{uuid.uuid4().hex}"))
+        out.write(bytearray(text.encode()))
+        out.close()
+        self._expire(table)
+
+    def _expire(self, table: str) -> None:
+        """Deletes the oldest versions, and the folders that no later one names."""
+        fs, names = self._fs(), self._manifests(table)
+        old, live = names[: -self.versions], names[-self.versions :]
+        used = {x for n in live for x in self._manifest(table, n)["folders"]} if old else set()
+        for name in old:
+            for x in set(self._manifest(table, name)["folders"]) - used:
+                fs.delete(self._path(table, x), True)
+            fs.delete(self._path(table, "_current", name), False)
+
+    def write(self, table: str, df: DataFrame) -> None:
+        """Replaces the table's content; readers of the old one go on."""
+        m = self._latest(table)
+        self._add(table, df, tuple(m["by"]) if m else tuple(self.partitions.get(table, ())), [])
+
+    @staticmethod
+    def _values(folder: str) -> tuple[str, ...]:
+        return tuple(unquote(x.split("=", 1)[1]) for x in folder.split("/")[1:])
+
+    def _touched(self, m: dict, *rows: DataFrame) -> tuple[list[str], list[str]]:
+        """(folders of partitions that ``rows`` have, the others); the driver sees partition values only."""
+        if not m["by"]:
+            return m["folders"], []
+        hit = set()
+        for df in rows:
+            hit |= {tuple(_NULL if v is None else str(v) for v in r) for r in df.select(*m["by"]).distinct().collect()}
+        return [x for x in m["folders"] if self._values(x) in hit], [x for x in m["folders"] if self._values(x) not in hit]
 
     def upsert(self, table: str, new: DataFrame, keys: list[str], policy: str, columns: list[str] | None = None, without: Column | None = None) -> None:
         """Merges ``new`` into the table, of whose old rows those for which ``without`` is true go in the same write."""
-        old = self.read(table)
-        if old is not None and without is not None:
+        m = self._latest(table)
+        if m is None:
+            by = tuple(c for c in self.partitions.get(table, ()) if c in keys)
+            return self._add(table, merged(new.limit(0), new, keys, policy, columns), by, [])
+        gone = [] if without is None else [self._load(table, m, m["folders"]).filter(without)]
+        touched, kept = self._touched(m, new, *gone)
+        old = self._load(table, m, touched)
+        if without is not None:
             old = old.filter(~F.coalesce(without, F.lit(False)))
-        self.write(table, merged(old if old is not None else new.limit(0), new, keys, policy, columns))
+        self._add(table, merged(old, new, keys, policy, columns), tuple(m["by"]), kept)
 
     def delete(self, table: str, condition: Column | str) -> None:
-        """Deletes the rows for which the condition is true."""
-        if (old := self.read(table)) is not None:
+        """Deletes the rows for which the condition is true; partitions without such rows stay as they are."""
+        if (m := self._latest(table)) is not None:
             c = F.expr(condition) if isinstance(condition, str) else condition
-            self.write(table, old.filter(~F.coalesce(c, F.lit(False))))
+            touched, kept = self._touched(m, self._load(table, m, m["folders"]).filter(c))
+            self._add(table, self._load(table, m, touched).filter(~F.coalesce(c, F.lit(False))), tuple(m["by"]), kept)

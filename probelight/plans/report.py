@@ -65,6 +65,27 @@ def build_diff_report(t: Tables, build: str, baseline: str, threshold: int = 0)
     return counts.crossJoin(tested).crossJoin(cov).crossJoin(impacted)  # one row each
 
 
+def coverage_by_session(t: Tables, build: str, session: str, number: int = 1, size: int = 100, **filters) -> DataFrame:
+    """A page of a build's methods with a test session's coverage, which counts as isolated and as aggregated."""
+    return _by(t, "session_coverage", build, number, size, session=session, **filters)
+
+
+def coverage_by_definition(t: Tables, build: str, definition: str, session: str | None = None, number: int = 1, size: int = 100, **filters) -> DataFrame:
+    """As ``coverage_by_session`` for a test definition."""
+    return _by(t, "definition_coverage", build, number, size, session=session, definition=definition, **filters)
+
+
+def _by(t: Tables, table: str, build: str, number: int, size: int, **filters) -> DataFrame:
+    m = coverage.methods_by(t, table, build, **filters)
+    both = [F.col(c).alias(f"{k}_{c}") for k in ("isolated", "aggregated") for c in ("covered", "missed", "ratio")]
+    return page(m.select("build_id", "signature", "method_id", "class_name", "method_name", "probes_count", *both).orderBy("signature", "method_id"), number, size)
+
+
+def methods_count(t: Tables, build: str, **filters) -> DataFrame:
+    """The number of a build's methods."""
+    return coverage.get_methods(t, build, **filters).agg(F.count("*").alias("n"))
+
+
 def refresh_status(metadata: DataFrame) -> DataFrame:
     """Per group the worst status, the last watermark, summed durations and rows, and joined errors."""
     order = F.expr("CASE status WHEN 'FAILED' THEN 1 WHEN 'EXTRACTING' THEN 2 WHEN 'LOADING' THEN 3 ELSE 4 END")

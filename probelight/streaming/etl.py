@@ -116,13 +116,13 @@ def run_etl(store: Store, t: Mapping[str, DataFrame], group: str, names: list[st
         starts = {since[p.name] for p in group_of}
         shared: dict[date, DataFrame] = {}
         for p in group_of:
-            begun = time.time()
+            begun, new = time.time(), None
             try:
                 if (start := since[p.name]) not in shared:
                     shared[start] = make[source](start, end)
                     if len(group_of) > len(starts):
                         shared[start].persist()
-                new = p.steps(shared[start])
+                new = p.steps(shared[start]).persist()
                 n = new.count()
                 if n or p.table in stale:
                     store.upsert(p.table, new, p.keys, p.policy, p.columns, F.col("group_id") == group if p.table in stale else None)
@@ -131,6 +131,8 @@ def run_etl(store: Store, t: Mapping[str, DataFrame], group: str, names: list[st
             except Exception as e:  # any failure of this pipeline; the others go on
                 out[p.name] = {"status": "FAILED", "rows": 0, "error": str(e)[:500]}
             out[p.name]["duration"] = time.time() - begun
+            if new is not None:
+                new.unpersist()
         for df in shared.values():
             df.unpersist()
     rows = [(n, group, end if r["status"] == "SUCCESS" else marks.get(n), r["status"], r["error"], float(r["duration"]), int(r["rows"])) for n, r in out.items() if r["status"] != "SKIPPED"]

@@ -263,3 +263,20 @@ def test_store_keeps_the_last_versions(spark, tmp_path):
     assert store.read("t").count() == 3 and len([p for p in (tmp_path / "t").iterdir() if p.name != "_current"]) == 2
     store.upsert("t", spark.range(10, 12), ["id"], "keep", without=F.col("id") < 2)
     assert sorted(r.id for r in store.read("t").collect()) == [2, 10, 11]
+
+
+def test_an_upsert_rewrites_only_the_partitions_it_touches(spark, tmp_path):
+    store = upsert.Store(spark, f"file://{tmp_path}", partitions={"t": ("g", "day")})
+    rows = lambda *r: spark.createDataFrame([(g, d and dt.date(2024, 1, d), k, v) for g, d, k, v in r], "g string, day date, k long, v string")
+    store.upsert("t", rows(("a/b=1", 1, 1, "x"), ("a/b=1", 2, 1, "x"), ("7", None, 1, "x")), ["g", "day", "k"], "replace")
+    before = set(store._latest("t")["folders"])
+    store.upsert("t", rows(("a/b=1", 2, 1, "y"), ("a/b=1", 2, 2, "z"), ("7", None, 2, "n")), ["g", "day", "k"], "replace")
+    after = store._latest("t")["folders"]
+    assert len(before) == 3 and len(after) == 3 and len(before & set(after)) == 1
+    got = sorted((r.g, r.day and r.day.day, r.k, r.v) for r in store.read("t").filter("day IS NOT NULL").collect())
+    assert got == [("a/b=1", 1, 1, "x"), ("a/b=1", 2, 1, "y"), ("a/b=1", 2, 2, "z")]
+    assert sorted((r.k, r.v) for r in store.read("t").filter("day IS NULL AND g = '7'").collect()) == [(1, "x"), (2, "n")]
+    store.delete("t", "k = 2 AND day IS NOT NULL")
+    assert len(set(after) & set(store._latest("t")["folders"])) == 2 and store.read("t").count() == 4
+    store.delete("t", "g IS NOT NULL")
+    assert store.read("t").count() == 0 and store.read("t").columns == ["k", "v", "g", "day"]
