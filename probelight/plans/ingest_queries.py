@@ -11,6 +11,8 @@ from probelight.functions import probes
 from probelight.functions.formats import format_duration, format_duration_rounded, method_pattern
 from probelight.sources import payloads
 
+from .stored import shared_dir
+
 TS = "TIMESTAMP_NTZ '2001-01-01 00:00:00'"
 
 
@@ -176,15 +178,20 @@ WHERE event_type NOT IN ('signup', 'view') OR event_type = 'view' AND event_id %
 
 
 def daily_stream(spark, sf_dir: str) -> DataFrame:
-    """Daily counts of the events as a stream, drained into memory."""
+    """Daily counts of the events as a stream; each micro-batch's table replaces the one before in the shared folder."""
+    from probelight.operators.upsert import Store
     from probelight.streaming.ingest_stream import daily_counts
 
     path = f"{sf_dir}/events*.parquet"  # a glob: a stream reads no single file
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
-    name = f"daily_{uuid.uuid4().hex}"
-    q = daily_counts(stream.withColumn("ts", F.col("ts").cast("timestamp"))).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    root = f"{shared_dir(spark)}/daily-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    store = Store(spark, root)
+    counts = daily_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")))
+    q = counts.writeStream.outputMode("complete").foreachBatch(lambda df, _: store.write("daily", df)).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("value", 2).alias("value"))
+    return store.read("daily").select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("value", 2).alias("value"))
 
 
 DAILY_SQL = "SELECT ts::DATE::VARCHAR AS day, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY ts::DATE, event_type"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from probelight.functions import probes
 from probelight.operators import extract, transform, upsert
 
-from . import coverage, impact, ingest_queries, jobs, report, treemap, views
+from . import coverage, etl_queries, impact, ingest_queries, jobs, report, treemap, views
 from .derive import raw
 from .metrics import metrics, sql
 from .stored import tables
@@ -73,7 +73,7 @@ _add("f7_impacted_tests", lambda t: impact.impacted_tests(t, BUILD, BASE).select
 _add("f7_impact_of_all_tests", lambda t: impact.impacted_tests(t, BUILD, BASE, statuses=None).select("definition_id", "test_path", "test_name", "impacted_methods", "status"), "SELECT * FROM imp", _CHANGES, _MAP, _IMP)
 _add("f8_impacted_methods", lambda t: impact.impacted_methods(t, BUILD, BASE, tags=["t1", "b"]).select("signature", "change", "impacted_tests"),
      "SELECT ch.signature, change, count(DISTINCT definition_id) AS impacted_tests FROM ch JOIN mp ON ch.signature = mp.signature WHERE change <> 'equal' AND definition_id IN (SELECT definition_id FROM tags WHERE tag IN ('t1', 'b')) GROUP BY ALL", _CHANGES, _MAP)
-SESSION = "s1997-3"
+SESSION, DEFINITION = "s1997-3", "d1"
 for _n, _table, _src, _key in (("session", "session_coverage", "bmsc", "session_id"), ("definition", "definition_coverage", "bmdc", "definition_id")):
     _keys = "session_id" if _n == "session" else "session_id, definition_id"
     _j = (("base", _f2(f"'{BUILD}'")[0][1]), ("own", f"SELECT {_keys}, method_id, bit_or(probes) AS p FROM {_src} WHERE build_id = '{BUILD}' AND session_id = '{SESSION}' GROUP BY ALL"),
@@ -121,16 +121,9 @@ _add("e1_builds", lambda t: extract.builds(t["builds"].drop("app_env_ids"), t["i
 _add("e2_build_methods", lambda t: extract.build_methods(t["raw_build_methods"], t["raw_methods"], t["rules"], *_bound()).select("build_id", "method_id", "signature"),
      f"SELECT build_id, b.method_id, signature FROM build_methods b JOIN methods m ON b.app_id = m.app_id AND b.method_id = m.method_id WHERE {_between('created_day')}")
 _add("e3_coverage", lambda t: _text(extract.coverage(t["raw_coverage"], t["raw_methods"], t["rules"], t["builds"], *_bound()).select(*_FACT), "day"), f"SELECT {_FACT_SQL} FROM f3 WHERE {_between('day')}")
-_add("e4_test_launch_coverage", lambda t: _text(extract.test_launch_coverage(t["raw_coverage"], t["launches"], t["definitions"], t["sessions"], t["raw_methods"], t["rules"], t["builds"], session_id=SESSION).select(*_FACT), "day"), f"SELECT {_FACT_SQL} FROM f4 WHERE session_id = '{SESSION}'")
-_REQ = "SELECT DISTINCT group_id, session_id, CASE WHEN length(session_id) = 7 THEN '' ELSE definition_id END AS definition_id FROM {0} WHERE session_id LIKE 's1997-%'"
-
-
-def _requests(t):
-    return t["launches"].filter("session_id LIKE 's1997-%'").select("group_id", "session_id", F.when(F.length("session_id") == 7, "").otherwise(F.col("definition_id")).alias("definition_id"), F.lit(None).cast("date").alias("requested_day")).distinct()
-
-
-_add("e5_requested_coverage", lambda t: _text(extract.requested_coverage(_requests(t), t["raw_coverage"], t["launches"], t["definitions"], t["sessions"], t["raw_methods"], t["rules"], t["builds"]).select(*_FACT), "day"),
-     f"SELECT {_FACT_SQL} FROM f4 WHERE EXISTS (SELECT 1 FROM req WHERE req.session_id = f4.session_id AND (req.definition_id = '' OR req.definition_id = f4.definition_id))", ("req", _REQ.format("launches")))
+_add("e4_test_launch_coverage", lambda t: _text(extract.test_launch_coverage(t["raw_coverage"], t["launches"], t["definitions"], t["sessions"], t["raw_methods"], t["rules"], t["builds"]).select(*_FACT), "day"), f"SELECT {_FACT_SQL} FROM f4")
+_add("e5_requested_coverage", lambda t: _text(extract.requested_coverage(etl_queries.requests(t), t["raw_coverage"], t["launches"], t["definitions"], t["sessions"], t["raw_methods"], t["rules"], t["builds"]).select(*_FACT), "day"),
+     f"SELECT {_FACT_SQL} FROM f4 WHERE EXISTS (SELECT 1 FROM req WHERE req.session_id = f4.session_id AND (req.definition_id = '' OR req.definition_id = f4.definition_id))", ("req", etl_queries._REQ))
 _add("e6_test_launches", lambda t: extract.test_launches(t["launches"], *_bound()).select("launch_id", "definition_id", "session_id", "result", "duration", *views.FLAGS), f"SELECT launch_id, definition_id, session_id, result, duration, {', '.join(f'{c}::BIGINT AS {c}' for c in views.FLAGS)} FROM tl WHERE {_between('created_day')}", _FLAG)
 _add("e7_test_definitions", lambda t: extract.test_definitions(t["definitions"]).select("definition_id", "test_path", "test_name", "test_runner", "tags"), "SELECT definition_id, test_path, test_name, test_runner, tags FROM definitions")
 _add("e8_test_sessions", lambda t: _text(extract.test_sessions(t["sessions"], *_bound()).select("session_id", "task_id", "started_day"), "started_day"), f"SELECT session_id, task_id, started_day::VARCHAR AS started_day FROM sessions WHERE {_between('started_day')}")
@@ -192,6 +185,13 @@ _add("r2_builds", lambda t: report.page(report.builds(t, branch="main", env_ids=
 _add("r3_builds_count", lambda t: report.builds(t, branch="main", env_ids=["A"]).agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM builds b WHERE branch = 'main' AND EXISTS (SELECT 1 FROM instances i WHERE i.build_id = b.build_id AND env_id = 'A')")
 _add("r4_build_exists", lambda t: report.build_exists(t, BUILD), f"SELECT build_id FROM builds WHERE build_id = '{BUILD}'")
 _add("r5_coverage_page", lambda t: report.page(coverage.methods_with_coverage(t, [BUILD]).select("signature", "isolated_covered", "aggregated_covered").orderBy("signature"), 2, 50), "SELECT signature, isolated_covered, aggregated_covered FROM f2 ORDER BY signature LIMIT 50 OFFSET 50", *_f2(f"'{BUILD}'"))
+for _n, _r, _page in (("session", "r6", lambda t: report.coverage_by_session(t, BUILD, SESSION, 1, 200)), ("definition", "r7", lambda t: report.coverage_by_definition(t, BUILD, DEFINITION, None, 1, 200))):
+    _src, _if = ("bmsc", f"session_id = '{SESSION}'") if _n == "session" else ("bmdc", f"definition_id = '{DEFINITION}'")
+    _add(f"{_r}_coverage_by_{_n}_page", _page, "SELECT build_id, signature, method_id, class_name, method_name, probes_count, " + ", ".join(f"c AS {k}_covered, probes_count - c AS {k}_missed, c::DOUBLE / probes_count AS {k}_ratio" for k in ("isolated", "aggregated")) + " FROM m ORDER BY signature, method_id LIMIT 200",
+         _f2(f"'{BUILD}'")[0], ("own", f"SELECT method_id, bit_or(probes) AS p FROM {_src} WHERE build_id = '{BUILD}' AND {_if} GROUP BY ALL"), ("m", "SELECT base.*, coalesce(bit_count(p), 0)::BIGINT AS c FROM base LEFT JOIN own ON base.method_id = own.method_id"))
+_add("r9_methods_count", lambda t: report.methods_count(t, BUILD), f"SELECT count(*) AS n FROM build_methods WHERE build_id = '{BUILD}'")
+_add("f11_methods_of_a_definition", lambda t: coverage.methods_by(t, "definition_coverage", BUILD, definition=DEFINITION).select("signature", "definition_id", "covered", "missed"),
+     "SELECT signature, definition_id, coalesce(bit_count(p), 0)::BIGINT AS covered, probes_count - coalesce(bit_count(p), 0)::BIGINT AS missed FROM base LEFT JOIN own ON base.method_id = own.method_id", _f2(f"'{BUILD}'")[0], ("own", f"SELECT method_id, definition_id, bit_or(probes) AS p FROM bmdc WHERE build_id = '{BUILD}' AND definition_id = '{DEFINITION}' GROUP BY ALL"))
 _add("r8_changes_page", lambda t: report.page(coverage.changes_with_coverage(t, BUILD, BASE).select("signature", "change", "aggregated_covered").orderBy("signature"), 1, 100), "SELECT ch.signature, change, aggregated_covered FROM ch LEFT JOIN f2 ON ch.signature = f2.signature WHERE change IN ('new', 'modified') ORDER BY ch.signature LIMIT 100", _CHANGES, *_f2(f"'{BUILD}'", BASE))
 _add("r10_changes_count", lambda t: coverage.changes(t, BUILD, BASE, include_deleted=True).groupBy("change").agg(F.count("*").alias("n")), "SELECT change, count(*) AS n FROM ch WHERE change <> 'equal' GROUP BY change", _CHANGES)
 _add("r11_build_diff_report", lambda t: report.build_diff_report(t, BUILD, BASE),
@@ -230,7 +230,7 @@ _add("r15_changes_treemap", lambda t: treemap.treemap(coverage.changes_with_cove
      "SELECT count(*) AS n, sum(probes)::BIGINT AS probes, sum(covered)::BIGINT AS covered FROM (SELECT ch.signature, max(CASE WHEN b.build_id = '" + BUILD + "' THEN m.probes_count END) AS p1, coalesce(max(CASE WHEN b.build_id = '" + BUILD + "' THEN m.probes_count END), max(m.probes_count)) AS probes, coalesce(max(f2.isolated_covered), 0) AS covered FROM ch JOIN methods m ON m.signature = ch.signature JOIN build_methods b ON b.method_id = m.method_id AND b.app_id = m.app_id LEFT JOIN f2 ON f2.signature = ch.signature WHERE change <> 'equal' AND b.build_id IN (" + _PAIR + ") GROUP BY ch.signature)", _CHANGES, *_f2(f"'{BUILD}'", BASE))
 
 # --- ingest and streams -------------------------------------------------------------------------------------------
-for _name, (_job, _query, *_more) in ingest_queries.REGISTERED.items():
+for _name, (_job, _query, *_more) in (ingest_queries.REGISTERED | etl_queries.REGISTERED).items():
     _add(_name, _job, _query, *_more)
 _Q["i2_quarantine"] = (ingest_queries.quarantine, ingest_queries.QUARANTINE_SQL)
 _Q["s9_daily_stream"] = (ingest_queries.daily_stream, ingest_queries.DAILY_SQL)
