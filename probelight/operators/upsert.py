@@ -63,15 +63,21 @@ def without_keys(old: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(g, on, "left_anti")
 
 
-#: Columns that the metric tables are partitioned by, all of them keys.  Others are one partition.
+#: Folder columns that follow from a key: a folder for each day would be too small.
+DERIVED = {"_month": "date_format(day, 'yyyy-MM')"}
+#: Columns that the metric tables are partitioned by, keys or derived from keys.  Others are one partition.
 PARTITIONS = {
-    "method_daily_coverage": ("group_id", "day"), "build_method_coverage": ("group_id", "build_id"), "session_coverage": ("group_id", "build_id"),
+    "method_daily_coverage": ("group_id", "_month"), "build_method_coverage": ("group_id", "build_id"), "session_coverage": ("group_id", "build_id"),
     "definition_coverage": ("group_id", "build_id"), "build_methods": ("group_id", "build_id"), "methods": ("group_id", "app_id"),
     "test_to_code_mapping": ("group_id", "app_id"),
 }
 _NULL = "__HIVE_DEFAULT_PARTITION__"
 
 
+def _with_derived(df: DataFrame, by) -> DataFrame:
+    return df.withColumns({c: F.expr(DERIVED[c]) for c in by if c in DERIVED})
+
+
 class Store:
     """Tables below ``root`` on any file system Spark writes to, partitioned by ``partitions``; the last ``versions`` are kept.
 
@@ -115,7 +121,7 @@ class Store:
         fs, version = self._fs(), f"_v={uuid.uuid4().hex}"
         schema = StructType([f for f in df.schema if f.name not in by] + [f for f in df.schema if f.name in by]) if by else df.schema
         # each partition in few files; adaptive execution splits those that are too large for a task
-        (df.hint("rebalance", *by).write.partitionBy(*by) if by else df.write).parquet(f"{self.root}/{table}/{version}")
+        (_with_derived(df, by).hint("rebalance", *by).write.partitionBy(*by) if by else df.write).parquet(f"{self.root}/{table}/{version}")
         new = [version]
         if by:
             found = fs.globStatus(self._path(table, version, *("*=*" for _ in by))) or []
@@ -153,14 +159,14 @@ class Store:
             return m["folders"], []
         hit = set()
         for df in rows:
-            hit |= {tuple(_NULL if v is None else str(v) for v in r) for r in df.select(*m["by"]).distinct().collect()}
+            hit |= {tuple(_NULL if v is None else str(v) for v in r) for r in _with_derived(df, m["by"]).select(*m["by"]).distinct().collect()}
         return [x for x in m["folders"] if self._values(x) in hit], [x for x in m["folders"] if self._values(x) not in hit]
 
     def upsert(self, table: str, new: DataFrame, keys: list[str], policy: str, columns: list[str] | None = None, without: Column | None = None) -> None:
         """Merges ``new`` into the table, of whose old rows those for which ``without`` is true go in the same write."""
         m = self._latest(table)
         if m is None:
-            by = tuple(c for c in self.partitions.get(table, ()) if c in keys)
+            by = tuple(c for c in self.partitions.get(table, ()) if c in keys or c in DERIVED)
             return self._add(table, merged(new.limit(0), new, keys, policy, columns), by, [])
         gone = [] if without is None else [self._load(table, m, m["folders"]).filter(without)]
         touched, kept = self._touched(m, new, *gone)

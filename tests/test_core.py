@@ -265,6 +265,17 @@ def test_store_keeps_the_last_versions(spark, tmp_path):
     assert sorted(r.id for r in store.read("t").collect()) == [2, 10, 11]
 
 
+def test_days_are_kept_by_month(spark, tmp_path):
+    store = upsert.Store(spark, f"file://{tmp_path}")
+    rows = lambda *r: spark.createDataFrame([("g", dt.date(2024, m, d), v) for m, d, v in r], "group_id string, day date, v long")
+    for new in (rows((1, 1, 1), (1, 2, 1), (2, 1, 1)), rows((1, 2, 5), (1, 3, 5))):
+        first = store._latest("method_daily_coverage")
+        store.upsert("method_daily_coverage", new, ["group_id", "day"], "replace")
+    last = store._latest("method_daily_coverage")["folders"]
+    assert len(last) == 2 and len(set(last) & set(first["folders"])) == 1
+    assert sorted((r.day.month, r.day.day, r.v) for r in store.read("method_daily_coverage").collect()) == [(1, 1, 1), (1, 2, 5), (1, 3, 5), (2, 1, 1)]
+
+
 def test_an_upsert_rewrites_only_the_partitions_it_touches(spark, tmp_path):
     store = upsert.Store(spark, f"file://{tmp_path}", partitions={"t": ("g", "day")})
     rows = lambda *r: spark.createDataFrame([(g, d and dt.date(2024, 1, d), k, v) for g, d, k, v in r], "g string, day date, k long, v string")
