@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import spread
 
@@ -87,3 +88,16 @@ def having(df: DataFrame, key: str, filt: Broadcast, wanted: bool) -> DataFrame:
             yield batch.select(names).filter(pa.array(hit == wanted))
 
     return df.mapInArrow(run, df.drop(key).schema)
+
+
+def marked(df: DataFrame, key: str, filt: Broadcast, name: str) -> DataFrame:
+    """``df`` with the boolean column ``name`` in place of the long ``key``: whether the filter has it (nulls are in no filter).
+
+    Only the key goes to Python, so rows may be of any length.
+    """
+
+    @F.arrow_udf("boolean")
+    def hit(keys: pa.Array) -> pa.Array:
+        return pa.array(has(filt.value, keys.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)) & keys.is_valid().to_numpy(zero_copy_only=False))
+
+    return df.withColumn(name, hit(key)).drop(key)

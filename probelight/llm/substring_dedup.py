@@ -247,12 +247,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # only documents that may have spans are shuffled; a document wrongly taken for one costs its shuffle alone
     filt = docs.sparkSession.sparkContext.broadcast(bloom.key_filter(by_doc.select(F.xxhash64(mine).alias(key)), most_bits))
     keyed = docs.withColumn(key, F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col).cast("long"))))
-    joined = bloom.having(keyed, key, filt, True).join(by_doc, F.col(id_col) == F.col(mine), "left").drop(mine)
-    whole = bloom.having(keyed, key, filt, False).withColumn(listed, F.lit(None).cast(by_doc.schema[listed].dataType))
+    suspect = free_name(docs, "_suspect")
+    known = bloom.marked(keyed, key, filt, suspect)
+    joined = known.filter(F.col(suspect)).drop(suspect).join(by_doc, F.col(id_col) == F.col(mine), "left").drop(mine)
+    whole = known.filter(~F.col(suspect)).drop(suspect).withColumn(listed, F.lit(None).cast(by_doc.schema[listed].dataType))
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, BATCH_BYTES):
             texts, n_words, n_removed = [], [], []
             spans = batch.column(listed)
             for k, text in enumerate(utf8(batch.column(text_col))):
