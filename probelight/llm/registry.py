@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, line_dedup, packing, quality_rules, secrets, simhash, substring_dedup, toxicity, warc
+from . import bpe, decontaminate, licenses, line_dedup, packing, quality_rules, secrets, simhash, substring_dedup, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_packing": packing.op8_packing,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_simhash": simhash.op10_simhash,
+        "op11_bpe": bpe.op11_bpe,
     }
 
 
