@@ -25,7 +25,7 @@ from __future__ import annotations
 import codecs
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import ahocorasick
@@ -56,7 +56,7 @@ class Vocabulary:
             spec = json.load(f)
         model, pre = spec["model"], spec.get("pre_tokenizer") or {}
         odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix") if model.get(k)]
-        if model.get("type", "BPE") != "BPE" or odd or pre.get("type") != "ByteLevel" or spec.get("normalizer"):
+        if model.get("type", "BPE") != "BPE" or odd or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec.get("normalizer"):
             raise ValueError(f"not a plain byte-level BPE vocabulary: {odd or pre.get('type')}")
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         if any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")):
@@ -87,13 +87,13 @@ class Decoder:
 
 
 class Bpe:
-    MOST = 400_000
+    MOST = 100_000
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         v = Vocabulary(path)
-        self.library_split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+        self.library_split = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
         self.letters = {b: c for c, b in byte_letters().items()}
         self.special = v.special
         self.cut = re.compile("|".join(map(re.escape, sorted(v.special, key=len, reverse=True)))) if v.special else None
@@ -151,7 +151,7 @@ class Bpe:
         key = a << 32 | b
         got = self.table.get(key)
         if got is None:
-            if len(self.table) >= 4 * self.MOST:
+            if len(self.table) >= 2 * self.MOST:
                 self.table.clear()
             got = self.table[key] = self._apart(a, b)
         return got
@@ -245,34 +245,60 @@ def _of(kind: type, path: str):
     return _made[kind, path]
 
 
+def _encoded(batches: Iterable[pa.RecordBatch], vocabulary: str, text: str) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Batches and their texts' ids."""
+    bpe = _of(Bpe, vocabulary)
+    for batch in slices(batches, text, 4 << 20):
+        yield batch, pa.array([bpe.encode(x.decode("utf-8", "replace")) for x in utf8(batch.column(text))], pa.binary())
+
+
+def _decoded(ids: pa.Array, vocabulary: str) -> pa.Array:
+    decoder = _of(Decoder, vocabulary)
+    return pa.array([decoder.decode(x) for x in utf8(ids)], pa.string())
+
+
+def _two(docs: DataFrame, id_col: str, value: str, kind: str) -> tuple[DataFrame, str]:
+    """The id and one more column, and the DDL of the id."""
+    kept = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{value}`").cast(kind).alias(value))
+    return kept, f"`{id_col}` {kept.schema[id_col].dataType.simpleString()}"
+
+
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids): a text's ids as bytes, 32 bits each, little-endian."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _of(Bpe, vocabulary)
-        for batch in slices(batches, text_col, 4 << 20):
-            ids = [bpe.encode(x.decode("utf-8", "replace")) for x in utf8(batch.column(text_col))]
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(ids, pa.binary())], names=[id_col, "ids"])
+        for batch, ids in _encoded(batches, vocabulary, text_col):
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), ids], names=[id_col, "ids"])
 
-    kept = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").cast("string").alias(text_col))
-    return kept.mapInArrow(run, f"`{id_col}` {kept.schema[id_col].dataType.simpleString()}, ids binary")
+    kept, ddl = _two(docs, id_col, text_col, "string")
+    return kept.mapInArrow(run, f"{ddl}, ids binary")
 
 
 def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, ids, text) of ids as ``encode`` gives them; null ids are those of the empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = _of(Decoder, vocabulary)
         for batch in slices(batches, ids_col, 4 << 20):
-            texts = [decoder.decode(x) for x in utf8(batch.column(ids_col))]
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column(ids_col), pa.array(texts, pa.string())], names=[id_col, "ids", "text"])
+            ids = batch.column(ids_col)
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), ids, _decoded(ids, vocabulary)], names=[id_col, "ids", "text"])
+
+    kept, ddl = _two(encoded, id_col, ids_col, "binary")
+    return kept.mapInArrow(run, f"{ddl}, ids binary, text string")
+
+
+def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``decode`` of ``encode`` in one pass through Python."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, ids in _encoded(batches, vocabulary, text_col):
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), ids, _decoded(ids, vocabulary)], names=[id_col, "ids", "text"])
 
-    kept = encoded.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{ids_col}`").alias(ids_col))
-    return kept.mapInArrow(run, f"`{id_col}` {kept.schema[id_col].dataType.simpleString()}, ids binary, text string")
+    kept, ddl = _two(docs, id_col, text_col, "string")
+    return kept.mapInArrow(run, f"{ddl}, ids binary, text string")
 
 
 def op11_bpe(spark, sf_dir):
     from .packing import default_vocabulary
 
-    both = decode(encode(table(spark, sf_dir, "documents"), default_vocabulary()), default_vocabulary())
+    both = round_trip(table(spark, sf_dir, "documents"), default_vocabulary())
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
