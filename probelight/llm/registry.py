@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, licenses, line_dedup, packing, quality_rules, secrets, simhash, substring_dedup, toxicity, warc
+from . import bpe, decontaminate, licenses, line_dedup, packing, prefix_trie, quality_rules, secrets, simhash, substring_dedup, toxicity, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_simhash": simhash.op10_simhash,
         "op11_bpe": bpe.op11_bpe,
+        "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     }
 
 
@@ -29,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_quality_rules": quality_rules.SQL,
         "op7_warc": warc.SQL,
         "op9_decontaminate": decontaminate.SQL,
+        "op12_prefix_trie": prefix_trie.SQL,
     }
