@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, licenses, line_dedup, packing, prefix_trie, quality_rules, secrets, simhash, substring_dedup, toxicity, warc
+from . import bpe, decontaminate, licenses, line_dedup, packing, prefix_trie, quality_rules, secrets, simhash, spelling, substring_dedup, toxicity, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_simhash": simhash.op10_simhash,
         "op11_bpe": bpe.op11_bpe,
         "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+        "op13_spelling": spelling.op13_spelling,
     }
 
 
@@ -31,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_warc": warc.SQL,
         "op9_decontaminate": decontaminate.SQL,
         "op12_prefix_trie": prefix_trie.SQL,
+        "op13_spelling": spelling.SQL,
     }
