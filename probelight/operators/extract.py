@@ -1,19 +1,45 @@
-"""Incremental extractors: filters on a watermark column, then joins.  No paging, no order: Spark reads ranges."""
+"""Incremental extractors: a window of the watermark column, then joins.  No paging, no order: Spark reads ranges.
+
+All read the raw layer, one schema for batch tables and for what the streams ingest (``sources/raw_layer.py``), and give
+the time that their window is about as ``at``.  A window is (since, until], of instants; dates stand for their midnight.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
+from datetime import date, datetime
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 METHOD = ["group_id", "app_id", "method_id"]
+BUILD = ["group_id", "app_id", "build_id"]
+
+
+class Raw(dict):
+    """Raw tables by name, read when they are asked for; ``builds`` are the raw ones also among metric tables."""
+
+    def __init__(self, tables: Mapping[str, DataFrame]):
+        super().__init__()
+        self.tables = tables
+
+    def __missing__(self, name: str) -> DataFrame:
+        if name == "builds" and "raw_builds" in getattr(self.tables, "makers", self.tables):
+            name = "raw_builds"
+        return self.tables[name]
+
+
+def instant(x: datetime | date | Column) -> Column:
+    """A bound as a time without a zone; text, so that no session's zone shifts it."""
+    return x if isinstance(x, Column) else F.lit(x.isoformat(" ") if isinstance(x, datetime) else str(x)).cast("timestamp_ntz")
 
 
 def within(df: DataFrame, column: str, since=None, until=None) -> DataFrame:
     """Rows of (since, until]; a bound that isn't given is left out, so the filters reach the scan."""
     if since is not None:
-        df = df.filter(F.col(column) > F.lit(since))
+        df = df.filter(F.col(column) > instant(since))
     if until is not None:
-        df = df.filter(F.col(column) <= F.lit(until))
+        df = df.filter(F.col(column) <= instant(until))
     return df
 
 
@@ -26,73 +52,96 @@ def not_ignored(methods: DataFrame, rules: DataFrame) -> DataFrame:
     return m.join(r, on, "left_anti").select("m.*")
 
 
-def builds(builds: DataFrame, instances: DataFrame, since=None, until=None) -> DataFrame:
-    """Builds with the sorted distinct environments of all their instances (null if none)."""
-    envs = instances.filter(F.coalesce("env_id", F.lit("")) != "").groupBy("build_id").agg(F.array_sort(F.collect_set("env_id")).alias("app_env_ids"))
-    return within(builds, "created_day", since, until).join(envs, "build_id", "left")
+def builds(raw: Raw, since=None, until=None) -> DataFrame:
+    """Builds by their last update, with the sorted distinct environments of all their instances (null if none).
+
+    ``updated_at`` is that of the build or its newest instance in the window, whichever is later.
+    """
+    i = raw["instances"]
+    envs = i.filter(F.coalesce("env_id", F.lit("")) != "").groupBy("build_id").agg(F.array_sort(F.collect_set("env_id")).alias("app_env_ids"))
+    newest = within(i, "created_at", since, until).groupBy("build_id").agg(F.max("created_at").alias("_newest"))
+    out = within(raw["builds"], "updated_at", since, until).withColumn("at", F.col("updated_at")).join(envs, "build_id", "left").join(newest, "build_id", "left")
+    out = out.withColumn("updated_at", F.greatest("updated_at", "_newest")).drop("_newest")
+    return out.withColumns({"created_day": F.to_date("created_at"), "updated_day": F.to_date("updated_at")})
 
 
-def build_methods(build_methods: DataFrame, methods: DataFrame, rules: DataFrame, since=None, until=None) -> DataFrame:
-    m = not_ignored(methods.filter("probes_count > 0"), rules)
-    return within(build_methods, "created_day", since, until).join(m, METHOD)
+def build_methods(raw: Raw, since=None, until=None) -> DataFrame:
+    m = not_ignored(raw["raw_methods"].filter("probes_count > 0"), raw["rules"])
+    rows = within(raw["raw_build_methods"], "created_at", since, until).withColumnsRenamed({"created_at": "at"}).withColumn("created_day", F.to_date("at"))
+    return rows.join(m, METHOD)
 
 
-def _facts(coverage: DataFrame, methods: DataFrame, rules: DataFrame, builds: DataFrame) -> DataFrame:
-    m = not_ignored(methods, rules).select(*METHOD, "signature")
-    return coverage.join(m, METHOD).join(builds.select("build_id", "branch"), "build_id")
+def _facts(raw: Raw, coverage: DataFrame) -> DataFrame:
+    """Coverage with signature, branch and environment; its method, build and instance must be known."""
+    m = not_ignored(raw["raw_methods"], raw["rules"]).select(*METHOD, "signature")
+    i = raw["instances"].select("group_id", "app_id", "instance_id", "env_id")
+    return coverage.join(m, METHOD).join(raw["builds"].select(*BUILD, "branch"), BUILD).join(i, ["group_id", "app_id", "instance_id"])
 
 
-FACT = ["group_id", "app_id", "build_id", "method_id", "signature", "env_id", "branch", "session_id", "task_id", "definition_id", "result", "tag", "day", "probes", "probes_count"]
+FACT = ["group_id", "app_id", "build_id", "method_id", "signature", "env_id", "branch", "session_id", "task_id", "definition_id", "result", "tag", "day", "probes", "probes_count", "at"]
 
 
-def coverage(coverage: DataFrame, methods: DataFrame, rules: DataFrame, builds: DataFrame, since=None, until=None) -> DataFrame:
-    """Coverage that no test launch caused; its test columns are null."""
-    rows = within(coverage.filter("launch_id IS NULL"), "day", since, until)
-    none = {c: F.lit(None).cast("string") for c in ("session_id", "task_id", "definition_id", "result", "tag")}
-    return _facts(rows, methods, rules, builds).withColumns(none).select(*FACT)
+def coverage(raw: Raw, since=None, until=None) -> DataFrame:
+    """Coverage that no test launch caused, with the session and task it came with, if the session is known."""
+    rows = within(raw["raw_coverage"].filter("launch_id IS NULL"), "created_at", since, until).withColumnsRenamed({"created_at": "at", "session_id": "_session"})
+    s = raw["sessions"].select("group_id", "session_id", F.col("session_id").alias("_session"), "task_id")
+    none = {c: F.lit(None).cast("string") for c in ("definition_id", "result", "tag")}
+    return _facts(raw, rows).join(s, ["group_id", "_session"], "left").withColumns({**none, "day": F.to_date("at")}).select(*FACT)
 
 
-def _tests(launches: DataFrame, definitions: DataFrame, sessions: DataFrame) -> DataFrame:
+def _tests(raw: Raw, launches: DataFrame) -> DataFrame:
     """Launches with definition, session and one row for each tag (one with null where there is none)."""
-    d = definitions.select("group_id", "definition_id", F.explode_outer(F.split("tags", ",")).alias("tag"))
-    return launches.join(d, ["group_id", "definition_id"]).join(sessions.select("group_id", "session_id", "task_id"), ["group_id", "session_id"]).drop("duration")
+    d = raw["definitions"].select("group_id", "definition_id", F.explode_outer(F.split("tags", ",")).alias("tag"))
+    s = raw["sessions"].select("group_id", "session_id", "task_id")
+    l = launches.select("group_id", "launch_id", "definition_id", "session_id", "result", F.col("created_at").alias("at"))
+    return l.join(d, ["group_id", "definition_id"]).join(s, ["group_id", "session_id"])
+
 
+def _of_tests(raw: Raw, tests: DataFrame) -> DataFrame:
+    c = raw["raw_coverage"].filter("launch_id IS NOT NULL").withColumn("day", F.to_date("created_at")).drop("session_id", "created_at")
+    return _facts(raw, c).join(tests, ["group_id", "launch_id"]).select(*FACT)
 
-def test_launch_coverage(coverage: DataFrame, launches: DataFrame, definitions: DataFrame, sessions: DataFrame, methods: DataFrame, rules: DataFrame, builds: DataFrame, since=None, until=None, session_id: str | None = None, definition_id: str | None = None) -> DataFrame:
-    """Coverage by test launch, for each of the definition's tags; the watermark is the launch's day."""
-    l = within(launches, "created_day", since, until)
+
+def test_launch_coverage(raw: Raw, since=None, until=None, session_id: str | None = None, definition_id: str | None = None) -> DataFrame:
+    """Coverage by test launch, for each of the definition's tags; the window is of the launch's time."""
+    l = within(raw["launches"], "created_at", since, until)
     l = l.filter(F.col("session_id") == session_id) if session_id else l
     l = l.filter(F.col("definition_id") == definition_id) if definition_id else l
-    tests = _tests(l, definitions, sessions).drop("created_day")
-    return _facts(coverage, methods, rules, builds).join(tests, ["group_id", "launch_id"]).select(*FACT)
+    return _of_tests(raw, _tests(raw, l))
 
 
-def requested_coverage(requests: DataFrame, coverage: DataFrame, launches: DataFrame, definitions: DataFrame, sessions: DataFrame, methods: DataFrame, rules: DataFrame, builds: DataFrame, since=None, until=None) -> DataFrame:
+def requested_coverage(raw: Raw, since=None, until=None) -> DataFrame:
     """As ``test_launch_coverage`` for requested (session, definition); an empty definition asks for all of the session."""
-    q = within(requests, "requested_day", since, until).select("group_id", "session_id", F.coalesce("definition_id", F.lit("")).alias("_wanted")).distinct()
-    tests = _tests(launches, definitions, sessions).drop("created_day").join(q, ["group_id", "session_id"]).filter("_wanted = '' OR _wanted = definition_id").drop("_wanted").distinct()
-    return _facts(coverage, methods, rules, builds).join(tests, ["group_id", "launch_id"]).select(*FACT)
+    q = within(raw["requests"], "requested_at", since, until).groupBy("group_id", "session_id", F.coalesce("definition_id", F.lit("")).alias("_wanted")).agg(F.max("requested_at").alias("_at"))
+    tests = _tests(raw, raw["launches"]).join(q, ["group_id", "session_id"]).filter("_wanted = '' OR _wanted = definition_id")
+    keys = [c for c in tests.columns if c not in ("at", "_at", "_wanted")]
+    return _of_tests(raw, tests.groupBy(*keys).agg(F.max("_at").alias("at")))
 
 
-def test_launches(launches: DataFrame, since=None, until=None) -> DataFrame:
+def test_launches(raw: Raw, since=None, until=None) -> DataFrame:
     """Results as 0/1 flags; success is any result but FAILED, and a null result is no success."""
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("long")
     r = F.col("result")
-    return within(launches, "created_day", since, until).withColumns({
+    return within(raw["launches"], "created_at", since, until).withColumns({
         "passed": flag(r == "PASSED"), "failed": flag(r == "FAILED"), "skipped": flag(r == "SKIPPED"),
-        "smart_skipped": flag(r == "SMART_SKIPPED"), "success": flag(r != "FAILED")})
+        "smart_skipped": flag(r == "SMART_SKIPPED"), "success": flag(r != "FAILED"), "created_day": F.to_date("created_at"), "at": F.col("created_at")})
+
+
+def test_definitions(raw: Raw, since=None, until=None) -> DataFrame:
+    return within(raw["definitions"], "updated_at", since, until).withColumns({"updated_day": F.to_date("updated_at"), "at": F.col("updated_at")})
 
 
-def test_definitions(definitions: DataFrame, since=None, until=None) -> DataFrame:
-    out = within(definitions, "updated_at", since, until) if "updated_at" in definitions.columns else definitions
-    return out.withColumn("updated_at_day", F.date_trunc("day", "updated_at")) if "updated_at" in definitions.columns else out
+def test_sessions(raw: Raw, since=None, until=None) -> DataFrame:
+    return within(raw["sessions"], "created_at", since, until).withColumns({"started_day": F.to_date("created_at"), "at": F.col("created_at")})
 
 
-def test_sessions(sessions: DataFrame, since=None, until=None) -> DataFrame:
-    return within(sessions, "started_day", since, until)
+def test_session_builds(raw: Raw, since=None, until=None) -> DataFrame:
+    """Links of sessions and builds; the window is of the link's own time, so links to old builds count."""
+    out = within(raw["session_builds"], "created_at", since, until).withColumnsRenamed({"created_at": "at"})
+    return out.select("group_id", "session_id", "build_id", "at").join(raw["builds"].select("group_id", "build_id", "app_id"), ["group_id", "build_id"])
 
 
-def test_session_builds(session_builds: DataFrame, builds: DataFrame, since=None, until=None) -> DataFrame:
-    """Links of sessions and builds; windows are by the link's own day where it has one, so links to old builds count."""
-    out = within(session_builds, "created_day", since, until) if "created_day" in session_builds.columns else session_builds
-    return out.drop("app_id", "created_day").join(builds.select("build_id", "app_id"), "build_id")
+EXTRACTORS = {
+    "builds": builds, "build_methods": build_methods, "coverage": coverage, "test_launch_coverage": test_launch_coverage, "test_launches": test_launches,
+    "test_definitions": test_definitions, "test_sessions": test_sessions, "test_session_builds": test_session_builds, "requested_coverage": requested_coverage,
+}

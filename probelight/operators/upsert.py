@@ -19,25 +19,26 @@ from pyspark.sql.types import StructType
 from probelight.functions import probes
 
 
-def merged(old: DataFrame, new: DataFrame, keys: list[str], policy: str, columns: list[str] | None = None) -> DataFrame:
-    """Old content after an upsert of ``new``.
+def merged(old: DataFrame, new: DataFrame, keys: list[str], policy: str, columns: list[str] | None = None, order: str | None = None) -> DataFrame:
+    """Old content after an upsert of ``new``, whose rows come in order of the column ``order`` (which isn't kept if ``old`` lacks it).
 
     keep: conflicts keep the old row.  replace: new values in ``columns`` (all by default), others as they were.
     or: probes are OR-ed, updated_at_day and other columns follow ``new`` only where the probes change.
-    forward: updated_at_day only advances.  Of several new rows of a key the greatest row counts (keep: the least); under
-    ``or`` their probes are OR-ed first.
+    forward: updated_at_day only advances.  Of several new rows of a key the last one counts (keep: the first), ties and
+    rows without an order by the greatest (least) row; under ``or`` their probes are OR-ed first, and vectors of old and new
+    rows must have equally many words.
     """
     if policy == "or":
         other = [c for c in old.columns if c not in keys and c != "probes"]
         new = probes.or_by(new.select(*keys, "probes", *other), keys, _r=F.max(F.struct(*other))) if other else probes.or_by(new.select(*keys, "probes"), keys)
         new = new.select(*keys, "probes", *(F.col(f"_r.{c}").alias(c) for c in other))
     rest = [c for c in old.columns if c not in keys]
-    side = lambda df, n: df.select(*keys, *rest).withColumn("_new", F.lit(n))
-    both = side(old, 0).unionByName(side(new, 1))
-    row = F.struct(*rest)
+    place = F.col(order) if order and policy != "or" else F.lit(0)
+    both = old.select(*keys, *rest, F.lit(None).cast(new.select(place).schema[0].dataType).alias("_place"), F.lit(0).alias("_new"))
+    both = both.unionByName(new.select(*keys, *rest, place.alias("_place"), F.lit(1).alias("_new")))
     is_new = F.col("_new") == 1
     pick = F.min if policy == "keep" else F.max
-    g = both.groupBy(*keys).agg(F.max(F.when(~is_new, row)).alias("_o"), pick(F.when(is_new, row)).alias("_n"))
+    g = both.groupBy(*keys).agg(F.max(F.when(~is_new, F.struct(*rest))).alias("_o"), pick(F.when(is_new, F.struct("_place", *rest))).alias("_n"))
     had = F.col("_o").isNotNull()
     value = {c: (F.col(f"_o.{c}"), F.col(f"_n.{c}")) for c in rest}
     out: dict[str, Column] = {}
@@ -49,7 +50,8 @@ def merged(old: DataFrame, new: DataFrame, keys: list[str], policy: str, columns
         elif policy == "forward":
             out[c] = F.greatest(o, n) if c == "updated_at_day" else F.when(had, o).otherwise(n)
         elif policy == "or":
-            joined = probes.merge(F.col("_o.probes"), F.col("_n.probes"))
+            unequal = F.size("_o.probes") != F.size("_n.probes")
+            joined = F.when(unequal, F.raise_error(F.lit("probes of one key are of unequal length")).cast("array<bigint>")).otherwise(probes.merge(F.col("_o.probes"), F.col("_n.probes")))
             out[c] = joined if c == "probes" else F.when(had & joined.eqNullSafe(F.col("_o.probes")), o).otherwise(F.coalesce(n, o))
         else:
             raise ValueError(policy)
@@ -162,18 +164,19 @@ class Store:
             hit |= {tuple(_NULL if v is None else str(v) for v in r) for r in _with_derived(df, m["by"]).select(*m["by"]).distinct().collect()}
         return [x for x in m["folders"] if self._values(x) in hit], [x for x in m["folders"] if self._values(x) not in hit]
 
-    def upsert(self, table: str, new: DataFrame, keys: list[str], policy: str, columns: list[str] | None = None, without: Column | None = None) -> None:
+    def upsert(self, table: str, new: DataFrame, keys: list[str], policy: str, columns: list[str] | None = None, without: Column | None = None, order: str | None = None) -> None:
         """Merges ``new`` into the table, of whose old rows those for which ``without`` is true go in the same write."""
         m = self._latest(table)
         if m is None:
             by = tuple(c for c in self.partitions.get(table, ()) if c in keys or c in DERIVED)
-            return self._add(table, merged(new.limit(0), new, keys, policy, columns), by, [])
+            none = new.drop(order).limit(0) if order else new.limit(0)
+            return self._add(table, merged(none, new, keys, policy, columns, order), by, [])
         gone = [] if without is None else [self._load(table, m, m["folders"]).filter(without)]
         touched, kept = self._touched(m, new, *gone)
         old = self._load(table, m, touched)
         if without is not None:
             old = old.filter(~F.coalesce(without, F.lit(False)))
-        self._add(table, merged(old, new, keys, policy, columns), tuple(m["by"]), kept)
+        self._add(table, merged(old, new, keys, policy, columns, order), tuple(m["by"]), kept)
 
     def delete(self, table: str, condition: Column | str) -> None:
         """Deletes the rows for which the condition is true; partitions without such rows stay as they are."""

@@ -8,58 +8,67 @@ from pyspark.sql import SparkSession
 
 from .stored import Tables
 
-#: Words of the derived probe vectors, which have at most 16 probes.
-WORDS = 1
+#: Words of the derived probe vectors, which have at most 130 probes.
+WORDS = 3
 GIVEN = ("lineitem", "orders", "part", "customer")
+_SECOND = "INTERVAL '1' SECOND * CAST(({}) % 86400 AS INT)"
 
-#: name -> query; {x} is another table
+#: name -> query; {x} is another table.  Every raw table has the time that its extractor's window is about, within the day.
 RAW = {
-    "li": """
-SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag AS env_id, l_linestatus, l_shipdate AS created_at, CAST(l_shipdate AS DATE) AS day,
-       'g1' AS group_id, concat('app-', CAST(l_suppkey % 2 AS STRING)) AS app_id, year(l_shipdate) AS y,
+    "li": f"""
+SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag AS env_id, l_linestatus, l_shipdate + {_SECOND.format("l_orderkey * 7 + l_linenumber * 3571")} AS created_at, CAST(l_shipdate AS DATE) AS day,
+       'g1' AS group_id, concat('app-', CAST(l_suppkey % 2 AS STRING)) AS app_id, year(l_shipdate) AS y, l_shipdate - INTERVAL '1' DAY * CAST(dayofyear(l_shipdate) - 1 AS INT) AS year_at,
        concat('g1:app-', CAST(l_suppkey % 2 AS STRING), ':', CAST(year(l_shipdate) AS STRING)) AS build_id
-FROM {lineitem}""",
+FROM {{lineitem}}""",
     "m0": """
-SELECT DISTINCT group_id, app_id, build_id, y, p_partkey, concat('com/', replace(p_brand, '#', ''), '/', p_type) AS class_name,
+SELECT DISTINCT group_id, app_id, build_id, y, year_at, p_partkey, concat('com/', replace(p_brand, '#', ''), '/', p_type) AS class_name,
        concat('m', CAST(p_partkey AS STRING)) AS method_name, '()' AS method_params, 'void' AS return_type,
-       CAST(CAST(floor((y + p_partkey) / 3) AS BIGINT) AS STRING) AS body_checksum, CAST(1 + p_size % 16 AS BIGINT) AS probes_count
+       CAST(CAST(floor((y + p_partkey) / 3) AS BIGINT) AS STRING) AS body_checksum, CAST(1 + p_size * 7 % 130 AS BIGINT) AS probes_count
 FROM {li} JOIN {part} ON l_partkey = p_partkey""",
     "m1": """
 SELECT *, md5(concat(signature, ':', body_checksum, ':', CAST(probes_count AS STRING))) AS method_id
 FROM (SELECT *, concat(class_name, ':', method_name, ':', method_params, ':', return_type) AS signature FROM {m0})""",
     "raw_methods": """
 SELECT DISTINCT group_id, app_id, method_id, class_name, method_name, method_params, return_type, body_checksum, signature, probes_count FROM {m1}""",
-    "raw_build_methods": "SELECT group_id, app_id, build_id, method_id, make_date(y, 1, 1) AS created_day FROM {m1}",
+    "raw_build_methods": "SELECT group_id, app_id, build_id, method_id, make_date(y, 1, 1) AS created_day, year_at + INTERVAL '1' HOUR * CAST(p_partkey % 24 AS INT) AS created_at FROM {m1}",
     "builds": """
-SELECT group_id, app_id, build_id, y, make_date(y, 1, 1) AS created_day, CASE WHEN y % 2 = 0 THEN 'main' ELSE 'dev' END AS branch,
-       concat(CAST(y AS STRING), '.', CAST(y % 7 AS STRING), '.0') AS build_version, concat('c', CAST(y AS STRING)) AS commit_sha
-FROM (SELECT DISTINCT group_id, app_id, build_id, y FROM {li})""",
-    "instances": "SELECT DISTINCT group_id, app_id, build_id, env_id, concat(build_id, ':', env_id) AS instance_id FROM {li}",
-    "launches": """
+SELECT *, CAST(updated_at AS DATE) AS updated_day FROM (
+  SELECT group_id, app_id, build_id, y, make_date(y, 1, 1) AS created_day, CASE WHEN y % 2 = 0 THEN 'main' ELSE 'dev' END AS branch,
+         concat(CAST(y AS STRING), '.', CAST(y % 7 AS STRING), '.0') AS build_version, concat('c', CAST(y AS STRING)) AS commit_sha,
+         year_at AS created_at, year_at + INTERVAL '1' HOUR * CAST(y % 5 * 2200 AS INT) AS updated_at
+  FROM (SELECT DISTINCT group_id, app_id, build_id, y, year_at FROM {li}))""",
+    "instances": "SELECT group_id, app_id, build_id, env_id, concat(build_id, ':', env_id) AS instance_id, min(created_at) AS created_at FROM {li} WHERE NOT (y = 1994 AND env_id = 'R') GROUP BY group_id, app_id, build_id, env_id",
+    "launches": f"""
 SELECT 'g1' AS group_id, CAST(o_orderkey AS STRING) AS launch_id, concat('d', CAST(o_custkey AS STRING)) AS definition_id,
        concat('s', CAST(year(o_orderdate) AS STRING), '-', CAST(month(o_orderdate) AS STRING)) AS session_id,
        CASE o_orderstatus WHEN 'O' THEN 'PASSED' WHEN 'F' THEN 'FAILED' ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'SMART_SKIPPED' ELSE 'SKIPPED' END END AS result,
-       CAST(floor(o_totalprice) AS BIGINT) AS duration, CAST(o_orderdate AS DATE) AS created_day
-FROM {orders}""",
-    "definitions": """
-SELECT 'g1' AS group_id, concat('d', CAST(c_custkey AS STRING)) AS definition_id, concat('src/t', CAST(c_custkey % 10 AS STRING)) AS test_path,
-       concat('test', CAST(c_custkey AS STRING)) AS test_name, 'junit' AS test_runner,
-       CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 5 = 0 THEN 'a,b' ELSE concat('t', CAST(c_custkey % 3 AS STRING)) END AS tags
-FROM {customer}""",
+       CAST(floor(o_totalprice) AS BIGINT) AS duration, CAST(o_orderdate AS DATE) AS created_day, o_orderdate + {_SECOND.format("o_orderkey * 13")} AS created_at
+FROM {{orders}}""",
+    "definitions": f"""
+SELECT *, CAST(updated_at AS DATE) AS updated_day FROM (
+  SELECT 'g1' AS group_id, concat('d', CAST(c_custkey AS STRING)) AS definition_id, concat('src/t', CAST(c_custkey % 10 AS STRING)) AS test_path,
+         concat('test', CAST(c_custkey AS STRING)) AS test_name, 'junit' AS test_runner,
+         CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 5 = 0 THEN 'a,b' ELSE concat('t', CAST(c_custkey % 3 AS STRING)) END AS tags,
+         (SELECT min(o_orderdate) FROM {{orders}}) + INTERVAL '1' DAY * CAST(c_custkey * 31 % 2400 AS INT) + {_SECOND.format("c_custkey * 17")} AS updated_at
+  FROM {{customer}})""",
     "sessions": """
-SELECT group_id, session_id, concat('task-', CAST(length(session_id) % 2 AS STRING)) AS task_id, min(created_day) AS started_day FROM {launches} GROUP BY group_id, session_id""",
+SELECT group_id, session_id, concat('task-', CAST(length(session_id) % 2 AS STRING)) AS task_id, min(created_day) AS started_day, min(created_at) AS created_at FROM {launches} GROUP BY group_id, session_id""",
     "raw_coverage": """
-SELECT group_id, app_id, build_id, method_id, env_id, probes, probes_count, day, CASE WHEN l_linestatus = 'F' THEN NULL ELSE CAST(l_orderkey AS STRING) END AS launch_id
+SELECT group_id, app_id, build_id, instance_id, method_id, probes, probes_count, day, created_at, CASE WHEN l_linestatus = 'F' THEN NULL ELSE CAST(l_orderkey AS STRING) END AS launch_id,
+       CASE WHEN l_linenumber % 2 = 0 THEN concat('s', CAST(year(day) AS STRING), '-', CAST(month(day) + l_linenumber % 3 AS STRING)) END AS session_id
 FROM (
-  SELECT li.group_id, li.app_id, li.build_id, li.env_id, li.day, li.l_linestatus, li.l_orderkey, m1.method_id, m1.probes_count,
-         substr(repeat(CASE (li.l_orderkey + li.l_linenumber) % 3 WHEN 0 THEN '100' WHEN 1 THEN '001' ELSE '010' END, 6), 1, CAST(m1.probes_count AS INT)) AS probes
+  SELECT li.group_id, li.app_id, li.build_id, concat(li.build_id, ':', li.env_id) AS instance_id, li.day, li.created_at, li.l_linestatus, li.l_orderkey, li.l_linenumber, m1.method_id, m1.probes_count,
+         substr(repeat(CASE (li.l_orderkey + li.l_linenumber) % 3 WHEN 0 THEN '100' WHEN 1 THEN '001' ELSE '010' END, 44), 1, CAST(m1.probes_count AS INT)) AS probes
   FROM {li} li JOIN {m1} m1 ON li.build_id = m1.build_id AND li.l_partkey = m1.p_partkey)
 WHERE probes LIKE '%1%'""",
     "rules": """
 SELECT 'g1' AS group_id, 'app-1' AS app_id, 'm[0-9]*99$' AS name_pattern, CAST(NULL AS STRING) AS classname_pattern
 UNION ALL SELECT 'g1', 'app-0', NULL, 'Brand55/'""",
     "session_builds": """
-SELECT DISTINCT c.group_id, c.app_id, c.build_id, l.session_id FROM {raw_coverage} c JOIN {launches} l ON c.launch_id = l.launch_id""",
+SELECT c.group_id, c.app_id, c.build_id, l.session_id, min(l.created_at) AS created_at FROM {raw_coverage} c JOIN {launches} l ON c.launch_id = l.launch_id GROUP BY c.group_id, c.app_id, c.build_id, l.session_id""",
+    "requests": """
+SELECT group_id, session_id, CASE WHEN length(session_id) = 7 THEN '' ELSE definition_id END AS definition_id, min(created_at) AS requested_at
+FROM {launches} GROUP BY group_id, session_id, CASE WHEN length(session_id) = 7 THEN '' ELSE definition_id END""",
 }
 
 

@@ -74,7 +74,7 @@ def build_methods(t):
 def coverage(t):
     c = t["raw_coverage"].join(t["raw_methods"].select("app_id", "method_id", "signature", "body_checksum"), ["app_id", "method_id"])
     flags = F.transform(F.filter(F.split("probes", ""), lambda x: x != ""), lambda x: x == "1")
-    as_bools = F.col("env_id") == "A"
+    as_bools = F.col("instance_id").endswith("A")
     row = F.struct("signature", F.col("body_checksum").alias("bodyChecksum"), F.coalesce("launch_id", F.lit("TEST_CONTEXT_NONE")).alias("testId"), F.lit("GLOBAL").alias("testSessionId"), F.when(as_bools, flags).alias("probes"), F.when(~as_bools, F.col("probes")).alias("stringProbes"))
     p = c.groupBy("build_id", "group_id", "app_id", "day").agg(F.collect_list(row).alias("coverage")).select(*_head(), "coverage")
     return payloads.save_coverage(_parsed(p, "coverage")).select("app_id", "build_id", "method_id", "test_id", "probes")
@@ -112,7 +112,7 @@ def settings(t):
 
 def _class_parts(t) -> DataFrame:
     w = Window.partitionBy("build_id", "class_name").orderBy("p_partkey").rowsBetween(Window.unboundedPreceding, -1)
-    bits = F.expr("substr(repeat(CASE p_partkey % 3 WHEN 0 THEN '100' WHEN 1 THEN '001' ELSE '000' END, 6), 1, CAST(probes_count AS INT))")
+    bits = F.expr("substr(repeat(CASE p_partkey % 3 WHEN 0 THEN '100' WHEN 1 THEN '001' ELSE '000' END, 44), 1, CAST(probes_count AS INT))")
     return t["m1"].select("build_id", "class_name", "method_id", "p_partkey", "probes_count", F.coalesce(F.sum("probes_count").over(w), F.lit(0)).alias("probe_start_pos"), bits.alias("bits"))
 
 
@@ -136,7 +136,7 @@ def by_criteria(t):
 
 
 _PARTS = ("parts", """SELECT build_id, class_name, method_id, p_partkey, probes_count, coalesce(sum(probes_count) OVER (PARTITION BY build_id, class_name ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos,
-  substr(repeat(CASE p_partkey % 3 WHEN 0 THEN '100' WHEN 1 THEN '001' ELSE '000' END, 6), 1, probes_count::INT) AS bits FROM m1""")
+  substr(repeat(CASE p_partkey % 3 WHEN 0 THEN '100' WHEN 1 THEN '001' ELSE '000' END, 44), 1, probes_count::INT) AS bits FROM m1""")
 _MS = "(duration * 1000)"
 _TEXT = f"CASE WHEN {_MS} = 0 THEN '0ms' ELSE concat_ws(' ', " + ", ".join(f"CASE WHEN {e} > 0 THEN ({e})::VARCHAR || '{u}' END" for u, e in (("d", f"{_MS} // 86400000"), ("h", f"{_MS} // 3600000 % 24"), ("m", f"{_MS} // 60000 % 60"), ("s", f"{_MS} // 1000 % 60"), ("ms", f"{_MS} % 1000"))) + ") END"
 _ROUND = "CASE " + " ".join(f"WHEN {_MS} >= {n} THEN ({_MS} // {n})::VARCHAR || '{u}'" for u, n in (("d", 86400000), ("h", 3600000), ("m", 60000), ("s", 1000), ("ms", 1))) + " ELSE '0ms' END"

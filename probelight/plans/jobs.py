@@ -47,26 +47,29 @@ def younger(df: DataFrame, cut: DataFrame, column: str) -> DataFrame:
     return df.join(cut, "group_id", "left").filter(F.col("before").isNull() | ~F.coalesce(F.col(column) < F.col("before"), F.lit(False))).drop("before").select(df.columns)
 
 
+#: The day that the retention of a raw table goes by: builds that still get data are kept.
+RAW_AGE = {"raw_coverage": "day", "instances": "created_day", "launches": "created_day", "sessions": "started_day", "raw_build_methods": "created_day", "builds": "updated_day"}
+
+
 def raw_retention(t: Tables, cut: DataFrame) -> Tables:
-    return t | {"raw_coverage": younger(t["raw_coverage"], cut, "day"), "launches": younger(t["launches"], cut, "created_day"), "sessions": younger(t["sessions"], cut, "started_day"), "raw_build_methods": younger(t["raw_build_methods"], cut, "created_day"), "builds": younger(t["builds"], cut, "created_day")}
+    """Raw rows before the cut-off go, builds by their last update; definitions, methods and links of sessions are kept."""
+    return t | {k: younger(t[k], cut, day) for k, day in RAW_AGE.items()}
 
 
 def build_retention(t: Tables, cut: DataFrame) -> Tables:
-    """Metric rows of old builds go, then methods that no build has, then the builds; only of groups with a cut-off."""
-    old = older(t["builds"], cut, "created_day").select("build_id")
+    """Metric rows of builds without a recent update go, then old methods that no build has, then the builds."""
+    old = older(t["builds"], cut, "updated_day").select("build_id")
     out = t | {k: without_keys(t[k], old, ["build_id"]) for k in METRIC_BY_BUILD}
     held = out["build_methods"].select(*METHOD).distinct()
-    governed = cut.select("group_id")
-    orphan = t["methods"].join(governed, "group_id", "left_semi").join(held, METHOD, "left_anti")
+    orphan = older(t["methods"], cut, "created_day").join(held, METHOD, "left_anti")
     return out | {"methods": without_keys(t["methods"], orphan, METHOD), "builds": without_keys(t["builds"], old, ["build_id"])}
 
 
 def test_retention(t: Tables, cut: DataFrame) -> Tables:
-    """Old launches; coverage and links of old sessions; coverage and mapping of definitions without a launch left."""
+    """Old launches; coverage and links of old sessions; coverage and mapping of definitions without a recent update."""
     old = older(t["sessions"], cut, "started_day").select("session_id")
-    launches = younger(t["launches"], cut, "created_day")
-    gone = older(t["launches"], cut, "created_day").select("definition_id").distinct().join(launches.select("definition_id").distinct(), "definition_id", "left_anti")
-    out = t | {"launches": launches, "sessions": without_keys(t["sessions"], old, ["session_id"])}
+    gone = older(t["definitions"], cut, "updated_day").select("definition_id")
+    out = t | {"launches": younger(t["launches"], cut, "created_day"), "sessions": without_keys(t["sessions"], old, ["session_id"])}
     out |= {k: without_keys(t[k], old, ["session_id"]) for k in ("session_coverage", "definition_coverage", "session_builds")}
     return out | {"definition_coverage": without_keys(out["definition_coverage"], gone, ["definition_id"]), "mapping": without_keys(t["mapping"], gone, ["definition_id"]), "definitions": without_keys(t["definitions"], gone, ["definition_id"])}
 
@@ -76,9 +79,9 @@ def daily_retention(t: Tables, cut: DataFrame) -> Tables:
 
 
 def orphan_clean_up(t: Tables, group: str, before: Column) -> Tables:
-    """Old rows of a group without a parent go; recent ones stay.  Methods have no day, so all of the group's count."""
+    """Old rows of a group without a parent go; recent ones stay."""
     mine = F.col("group_id") == group
-    bad_methods = t["methods"].filter(mine).join(t["build_methods"], METHOD, "left_anti")
+    bad_methods = t["methods"].filter(mine & (F.col("created_day") < before)).join(t["build_methods"], METHOD, "left_anti")
     bad_days = t["method_daily_coverage"].filter(mine & (F.col("day") < before)).select(*METHOD, "day").join(t["methods"], METHOD, "left_anti")
     sig = ["group_id", "app_id", "signature"]
     bad_map = t["mapping"].filter(mine & (F.col("updated_at_day") < before)).select(*sig, "updated_at_day").join(t["methods"], sig, "left_anti")
@@ -106,9 +109,10 @@ def newest(metadata: DataFrame, keys: list[str], order: str) -> DataFrame:
 _METRIC = ["env_id", "result", "tag"]
 #: What tells a row of each table from others.
 KEYS = {
-    "raw_coverage": ["build_id", "method_id", "env_id", "day", "launch_id", "probes"], "launches": ["launch_id"], "sessions": ["session_id"], "raw_build_methods": ["build_id", "method_id"],
+    "raw_coverage": ["build_id", "method_id", "instance_id", "day", "launch_id", "probes"], "launches": ["launch_id"], "sessions": ["session_id"], "raw_build_methods": ["build_id", "method_id"],
     "build_methods": ["build_id", "method_id"], "builds": ["build_id"], "methods": ["app_id", "method_id"], "session_builds": ["session_id", "build_id"],
     "build_method_coverage": ["build_id", "method_id", *_METRIC, "task_id"], "session_coverage": ["build_id", "method_id", "session_id", *_METRIC],
+    "definition_coverage": ["build_id", "method_id", "session_id", "definition_id", "env_id", "result"], "definitions": ["definition_id"], "instances": ["instance_id"],
     "method_daily_coverage": ["app_id", "method_id", "day", "branch", *_METRIC, "task_id"], "mapping": ["app_id", "signature", "definition_id", "branch", "env_id", "task_id"],
 }
 
@@ -130,14 +134,16 @@ def _cut(t: Tables, day: str) -> DataFrame:
 
 _HASH = lambda name: f"('0x' || substr(md5(concat_ws('|', {', '.join(f'{c}::VARCHAR' for c in KEYS[name])})), 1, 8))::BIGINT"
 _N = lambda name, q: f"SELECT '{name}' AS name, count(*) AS n, coalesce(sum({_HASH(name)}), 0)::BIGINT AS digest FROM {q}"
-_NEW = "(SELECT build_id FROM builds WHERE created_day >= DATE '1997-01-01')"
-
-
-_HELD = "EXISTS (SELECT 1 FROM build_methods b WHERE build_id NOT LIKE '%:1997' AND b.app_id = m.app_id AND b.method_id = m.method_id)"
+_CUT = "1995-01-01"
+#: Builds by their last update or newest instance, as the metric table has it.
+_SEEN = "(SELECT b.*, greatest(updated_at, (SELECT max(created_at) FROM instances i WHERE i.build_id = b.build_id))::DATE AS seen_day FROM builds b)"
+_NEW = f"(SELECT build_id FROM {_SEEN} WHERE seen_day >= DATE '{_CUT}')"
+_GONE = "(build_id LIKE '%:1997' OR build_id LIKE '%:1998')"
+_HELD = f"(m.created_day >= DATE '1998-01-01' OR EXISTS (SELECT 1 FROM build_methods b WHERE NOT {_GONE} AND b.app_id = m.app_id AND b.method_id = m.method_id))"
 
 
 def _orphans(t: Tables) -> Tables:
-    t = t | {"build_methods": t["build_methods"].filter("build_id NOT LIKE '%:1997'")}
+    t = t | {"build_methods": t["build_methods"].filter(f"NOT {_GONE}")}
     for _ in range(2):
         t = orphan_clean_up(t, "g1", F.to_date(F.lit("1998-01-01")))
     return t
@@ -145,7 +151,7 @@ def _orphans(t: Tables) -> Tables:
 
 def registered() -> dict:
     """name -> (job over derived tables, DuckDB query)."""
-    age = lambda t: _cut(t, "1997-01-01")
+    age = lambda t: _cut(t, _CUT)
     expected = lambda t: build_checksums(t["raw_build_methods"], t["raw_methods"]).join(t["builds"].select("build_id", "y"), "build_id").select(
         "build_id", (F.col("methods_count") + F.when(F.col("y") % 3 == 0, 1).when(F.col("y") % 3 == 1, 0).otherwise(-1)).alias("expected_count"), F.col("methods_checksum").alias("expected_checksum"), F.to_timestamp_ntz(F.concat("y", F.lit("-01-01 00:00:00"))).alias("finalized_at"))
     return {
@@ -158,18 +164,19 @@ def registered() -> dict:
             "SELECT build_id, sum(list_sum(list_transform(range(1, length(body_checksum) + 1), lambda i: (ascii(body_checksum[i]) - 48) * (36 ** (length(body_checksum) - i))::BIGINT)))::BIGINT AS total FROM raw_build_methods x JOIN raw_methods m ON x.app_id = m.app_id AND x.method_id = m.method_id GROUP BY build_id",
         ),
         "j3_raw_retention": (
-            lambda t: contents(raw_retention(t, age(t)), "raw_coverage", "launches", "sessions", "raw_build_methods", "builds"),
-            " UNION ALL ".join(_N(n, f"{n} WHERE {c} >= DATE '1997-01-01'") for n, c in (("raw_coverage", "day"), ("launches", "created_day"), ("sessions", "started_day"), ("raw_build_methods", "created_day"), ("builds", "created_day"))),
+            lambda t: contents(raw_retention(t | {"builds": t["raw_builds"], "instances": t["instances"].withColumn("created_day", F.to_date("created_at"))}, age(t)), *RAW_AGE),
+            " UNION ALL ".join(_N(n, f"{n} WHERE {c} >= DATE '{_CUT}'") for n, c in (RAW_AGE | {"instances": "created_at::DATE"}).items()),
         ),
         "j4_build_retention": (
             lambda t: contents(build_retention(t, age(t)), "build_method_coverage", "session_coverage", "session_builds", "build_methods", "methods", "builds"),
-            " UNION ALL ".join([*(_N(n, f"{q} WHERE build_id IN {_NEW}") for n, q in (("build_method_coverage", "bmc"), ("session_coverage", "bmsc"), ("session_builds", "session_builds"), ("build_methods", "build_methods"), ("builds", "builds"))), _N("methods", f"(SELECT DISTINCT app_id, method_id FROM build_methods WHERE build_id IN {_NEW})")]),
+            " UNION ALL ".join([*(_N(n, f"{q} WHERE build_id IN {_NEW}") for n, q in (("build_method_coverage", "bmc"), ("session_coverage", "bmsc"), ("session_builds", "session_builds"), ("build_methods", "build_methods"), ("builds", "builds"))), _N("methods", f"methods m WHERE created_day >= DATE '{_CUT}' OR EXISTS (SELECT 1 FROM build_methods b WHERE build_id IN {_NEW} AND b.app_id = m.app_id AND b.method_id = m.method_id)")]),
         ),
         "j5_test_retention": (
-            lambda t: contents(test_retention(t, age(t)), "launches", "sessions", "session_coverage", "session_builds", "mapping"),
-            " UNION ALL ".join([_N("launches", "launches WHERE created_day >= DATE '1997-01-01'"), *(_N(n, f"{q} WHERE session_id IN (SELECT session_id FROM sessions WHERE started_day >= DATE '1997-01-01')") for n, q in (("sessions", "sessions"), ("session_coverage", "bmsc"), ("session_builds", "session_builds"))), _N("mapping", "mapping WHERE definition_id IN (SELECT definition_id FROM launches WHERE created_day >= DATE '1997-01-01') OR definition_id NOT IN (SELECT definition_id FROM launches)")]),
+            lambda t: contents(test_retention(t, age(t)), "launches", "sessions", "session_coverage", "definition_coverage", "session_builds", "mapping", "definitions"),
+            " UNION ALL ".join([_N("launches", f"launches WHERE created_day >= DATE '{_CUT}'"), *(_N(n, f"{q} x WHERE NOT EXISTS (SELECT 1 FROM sessions s WHERE s.session_id = x.session_id AND started_day < DATE '{_CUT}')") for n, q in (("sessions", "sessions"), ("session_coverage", "bmsc"), ("session_builds", "session_builds"))),
+                                _N("definition_coverage", f"bmdc WHERE session_id IN (SELECT session_id FROM sessions WHERE started_day >= DATE '{_CUT}') AND definition_id IN (SELECT definition_id FROM definitions WHERE updated_day >= DATE '{_CUT}')"), *(_N(n, f"{n} WHERE definition_id IN (SELECT definition_id FROM definitions WHERE updated_day >= DATE '{_CUT}')") for n in ("mapping", "definitions"))]),
         ),
-        "j6_daily_retention": (lambda t: contents(daily_retention(t, age(t)), "method_daily_coverage"), _N("method_daily_coverage", "mdc WHERE day >= DATE '1997-01-01'")),
+        "j6_daily_retention": (lambda t: contents(daily_retention(t, age(t)), "method_daily_coverage"), _N("method_daily_coverage", f"mdc WHERE day >= DATE '{_CUT}'")),
         "j7_orphan_clean_up": (  # two runs: the methods of one year's builds become orphans, then what hangs on them
             lambda t: contents(_orphans(t), "methods", "method_daily_coverage", "mapping"),
             " UNION ALL ".join([_N("methods", f"methods m WHERE {_HELD}"), _N("method_daily_coverage", f"mdc d WHERE day >= DATE '1998-01-01' OR EXISTS (SELECT 1 FROM methods m WHERE {_HELD} AND m.app_id = d.app_id AND m.method_id = d.method_id)"), _N("mapping", f"mapping d WHERE updated_at_day >= DATE '1998-01-01' OR EXISTS (SELECT 1 FROM methods m WHERE {_HELD} AND m.app_id = d.app_id AND m.signature = d.signature)")]),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from probelight.operators import extract, transform
 
@@ -12,17 +13,17 @@ from .stored import Tables
 
 def facts(t: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     """(coverage without a test, coverage by test launch)."""
-    plain = extract.coverage(t["raw_coverage"], t["raw_methods"], t["rules"], t["builds"])
-    tests = extract.test_launch_coverage(t["raw_coverage"], t["launches"], t["definitions"], t["sessions"], t["raw_methods"], t["rules"], t["builds"])
+    plain = extract.coverage(extract.Raw(t))
+    tests = extract.test_launch_coverage(extract.Raw(t))
     return plain, tests
 
 
 METHOD = ["group_id", "app_id", "method_id"]
 MAKERS = {
-    "methods": lambda t: extract.not_ignored(t["raw_methods"].filter("probes_count > 0"), t["rules"]),
+    "methods": lambda t: extract.not_ignored(t["raw_methods"].filter("probes_count > 0"), t["rules"]).join(t["raw_build_methods"].groupBy(*METHOD).agg(F.min("created_day").alias("created_day")), METHOD),
     "build_methods": lambda t: t["raw_build_methods"].join(t["methods"].select(*METHOD), METHOD),
-    "builds": lambda t: extract.builds(t["raw_builds"], t["instances"]),
-    "test_launches": lambda t: extract.test_launches(t["launches"]),
+    "builds": lambda t: extract.builds(extract.Raw(t)).drop("at"),
+    "test_launches": lambda t: extract.test_launches(extract.Raw(t)).drop("at"),
     "plain_facts": lambda t: facts(t)[0],
     "test_facts": lambda t: facts(t)[1],
     "build_method_coverage": lambda t: transform.build_method_coverage(both(t), WORDS),
@@ -46,15 +47,16 @@ def metrics(t: Tables) -> Tables:
 
 #: (name, DuckDB query) over derive.RAW
 SQL = (
-    ("methods", """SELECT m.* FROM raw_methods m WHERE probes_count > 0 AND NOT EXISTS (SELECT 1 FROM rules r WHERE r.group_id = m.group_id AND r.app_id = m.app_id
+    ("methods", """SELECT m.*, (SELECT min(created_day) FROM raw_build_methods b WHERE b.app_id = m.app_id AND b.method_id = m.method_id) AS created_day FROM raw_methods m WHERE probes_count > 0 AND NOT EXISTS (SELECT 1 FROM rules r WHERE r.group_id = m.group_id AND r.app_id = m.app_id
       AND (regexp_matches(m.method_name, r.name_pattern) OR regexp_matches(m.class_name, r.classname_pattern)))"""),
     ("build_methods", "SELECT b.* FROM raw_build_methods b WHERE EXISTS (SELECT 1 FROM methods m WHERE m.app_id = b.app_id AND m.method_id = b.method_id)"),
     ("tags", "SELECT definition_id, unnest(CASE WHEN tags IS NULL THEN [NULL] ELSE string_split(tags, ',') END) AS tag FROM definitions"),
-    ("f3", """SELECT c.group_id, c.app_id, c.build_id, c.method_id, m.signature, c.env_id, b.branch, NULL::VARCHAR AS session_id, NULL::VARCHAR AS task_id, NULL::VARCHAR AS definition_id,
-      NULL::VARCHAR AS result, NULL::VARCHAR AS tag, c.day, c.probes::BIT AS probes, c.probes_count
-      FROM raw_coverage c JOIN methods m ON c.app_id = m.app_id AND c.method_id = m.method_id JOIN builds b ON c.build_id = b.build_id WHERE c.launch_id IS NULL"""),
-    ("f4", """SELECT c.group_id, c.app_id, c.build_id, c.method_id, m.signature, c.env_id, b.branch, l.session_id, s.task_id, l.definition_id, l.result, t.tag, c.day, c.probes::BIT AS probes, c.probes_count
-      FROM raw_coverage c JOIN methods m ON c.app_id = m.app_id AND c.method_id = m.method_id JOIN builds b ON c.build_id = b.build_id
+    ("f3", """SELECT c.group_id, c.app_id, c.build_id, c.method_id, m.signature, i.env_id, b.branch, s.session_id, s.task_id, NULL::VARCHAR AS definition_id,
+      NULL::VARCHAR AS result, NULL::VARCHAR AS tag, c.day, c.created_at AS seen_at, c.probes::BIT AS probes, c.probes_count
+      FROM raw_coverage c JOIN methods m ON c.app_id = m.app_id AND c.method_id = m.method_id JOIN builds b ON c.build_id = b.build_id JOIN instances i ON c.instance_id = i.instance_id
+      LEFT JOIN sessions s ON c.session_id = s.session_id WHERE c.launch_id IS NULL"""),
+    ("f4", """SELECT c.group_id, c.app_id, c.build_id, c.method_id, m.signature, i.env_id, b.branch, l.session_id, s.task_id, l.definition_id, l.result, t.tag, c.day, l.created_at AS seen_at, c.probes::BIT AS probes, c.probes_count
+      FROM raw_coverage c JOIN methods m ON c.app_id = m.app_id AND c.method_id = m.method_id JOIN builds b ON c.build_id = b.build_id JOIN instances i ON c.instance_id = i.instance_id
       JOIN launches l ON c.launch_id = l.launch_id JOIN tags t ON t.definition_id = l.definition_id JOIN sessions s ON s.session_id = l.session_id"""),
     ("f34", "SELECT * FROM f3 UNION ALL SELECT * FROM f4"),
     ("bmc", "SELECT group_id, app_id, build_id, method_id, env_id, result, tag, task_id, bit_or(probes) AS probes, max(day) AS created_at_day FROM f34 GROUP BY ALL"),
@@ -65,6 +67,11 @@ SQL = (
 )
 
 
+def bits(e: str) -> str:
+    """DuckDB: a bit string as ``probes.to_bits`` gives whole words, each filled with zeros on its left."""
+    return f"array_to_string(list_transform(range(0, (length({e}::VARCHAR) + 59) // 60), lambda w: lpad(substr({e}::VARCHAR, 60 * w::INT + 1, 60), 60, '0')), '')"
+
+
 def sql(query: str, *more: tuple[str, str]) -> str:
     """DuckDB SQL: the derived tables, the metric tables, further CTEs and a query over them."""
     return ctes(*SQL, *more) + query

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from probelight.operators import extract, transform, upsert
 
 from . import coverage, etl_queries, impact, ingest_queries, jobs, report, treemap, views
 from .derive import raw
-from .metrics import metrics, sql
+from .metrics import bits, metrics, sql
 from .stored import tables
 
 BUILD, BASE = "g1:app-0:1997", "g1:app-0:1996"
@@ -103,50 +104,51 @@ _add("v5_session_definitions", lambda t: views.session_definitions(t).drop("grou
      f"SELECT *, {_DUR} AS duration_text FROM (SELECT session_id, d.definition_id, min(test_path) AS test_path, min(test_name) AS test_name, sum(coalesce(duration, 0))::BIGINT AS duration, {_RES}, replace(min(tags), ',', ', ') AS tags FROM tl JOIN definitions d ON tl.definition_id = d.definition_id GROUP BY session_id, d.definition_id)", _FLAG)
 
 # --- extractors, transformers, pipelines --------------------------------------------------------------------------
-SINCE, UNTIL = "1996-06-30", "1998-06-30"
+SINCE, UNTIL = "1996-06-30 11:00:00", "1998-06-30 15:30:00"
 
 
 def _between(c: str) -> str:
-    return f"{c} > DATE '{SINCE}' AND {c} <= DATE '{UNTIL}'"
+    return f"{c} > TIMESTAMP '{SINCE}' AND {c} <= TIMESTAMP '{UNTIL}'"
 
 
-def _bound() -> tuple:
-    return F.to_date(F.lit(SINCE)), F.to_date(F.lit(UNTIL))
+_BOUND = tuple(datetime.fromisoformat(x) for x in (SINCE, UNTIL))
 
 
 _FACT = ["app_id", "build_id", "method_id", "env_id", "branch", "session_id", "task_id", "definition_id", "result", "tag", "day", "probes"]
 _FACT_SQL = "app_id, build_id, method_id, env_id, branch, session_id, task_id, definition_id, result, tag, day::VARCHAR AS day, probes::VARCHAR AS probes"
-_add("e1_builds", lambda t: extract.builds(t["builds"].drop("app_env_ids"), t["instances"], *_bound()).select("build_id", "branch", F.array_join("app_env_ids", ",").alias("envs")),
-     f"SELECT build_id, branch, (SELECT string_agg(DISTINCT env_id, ',' ORDER BY env_id) FROM instances i WHERE i.build_id = b.build_id) AS envs FROM builds b WHERE {_between('created_day')}")
-_add("e2_build_methods", lambda t: extract.build_methods(t["raw_build_methods"], t["raw_methods"], t["rules"], *_bound()).select("build_id", "method_id", "signature"),
-     f"SELECT build_id, b.method_id, signature FROM build_methods b JOIN methods m ON b.app_id = m.app_id AND b.method_id = m.method_id WHERE {_between('created_day')}")
-_add("e3_coverage", lambda t: _text(extract.coverage(t["raw_coverage"], t["raw_methods"], t["rules"], t["builds"], *_bound()).select(*_FACT), "day"), f"SELECT {_FACT_SQL} FROM f3 WHERE {_between('day')}")
-_add("e4_test_launch_coverage", lambda t: _text(extract.test_launch_coverage(t["raw_coverage"], t["launches"], t["definitions"], t["sessions"], t["raw_methods"], t["rules"], t["builds"]).select(*_FACT), "day"), f"SELECT {_FACT_SQL} FROM f4")
-_add("e5_requested_coverage", lambda t: _text(extract.requested_coverage(etl_queries.requests(t), t["raw_coverage"], t["launches"], t["definitions"], t["sessions"], t["raw_methods"], t["rules"], t["builds"]).select(*_FACT), "day"),
-     f"SELECT {_FACT_SQL} FROM f4 WHERE EXISTS (SELECT 1 FROM req WHERE req.session_id = f4.session_id AND (req.definition_id = '' OR req.definition_id = f4.definition_id))", ("req", etl_queries._REQ))
-_add("e6_test_launches", lambda t: extract.test_launches(t["launches"], *_bound()).select("launch_id", "definition_id", "session_id", "result", "duration", *views.FLAGS), f"SELECT launch_id, definition_id, session_id, result, duration, {', '.join(f'{c}::BIGINT AS {c}' for c in views.FLAGS)} FROM tl WHERE {_between('created_day')}", _FLAG)
-_add("e7_test_definitions", lambda t: extract.test_definitions(t["definitions"]).select("definition_id", "test_path", "test_name", "test_runner", "tags"), "SELECT definition_id, test_path, test_name, test_runner, tags FROM definitions")
-_add("e8_test_sessions", lambda t: _text(extract.test_sessions(t["sessions"], *_bound()).select("session_id", "task_id", "started_day"), "started_day"), f"SELECT session_id, task_id, started_day::VARCHAR AS started_day FROM sessions WHERE {_between('started_day')}")
-_add("e9_test_session_builds", lambda t: extract.test_session_builds(t["session_builds"], t["builds"]).select("session_id", "app_id", "build_id"), "SELECT session_id, app_id, build_id FROM session_builds")
+_add("e1_builds", lambda t: extract.builds(extract.Raw(t), *_BOUND).select("build_id", "branch", F.array_join("app_env_ids", ",").alias("envs"), F.col("updated_at").cast("string").alias("updated_at")),
+     f"SELECT build_id, branch, (SELECT string_agg(DISTINCT env_id, ',' ORDER BY env_id) FROM instances i WHERE i.build_id = b.build_id) AS envs, greatest(updated_at, (SELECT max(created_at) FROM instances i WHERE i.build_id = b.build_id AND {_between('created_at')}))::VARCHAR AS updated_at FROM builds b WHERE {_between('updated_at')}")
+_add("e2_build_methods", lambda t: extract.build_methods(extract.Raw(t), *_BOUND).select("build_id", "method_id", "signature"),
+     f"SELECT build_id, b.method_id, signature FROM build_methods b JOIN methods m ON b.app_id = m.app_id AND b.method_id = m.method_id WHERE {_between('created_at')}")
+_add("e3_coverage", lambda t: _text(extract.coverage(extract.Raw(t), *_BOUND).select(*_FACT), "day"), f"SELECT {_FACT_SQL} FROM f3 WHERE {_between('seen_at')}")
+_add("e4_test_launch_coverage", lambda t: _text(extract.test_launch_coverage(extract.Raw(t)).select(*_FACT), "day"), f"SELECT {_FACT_SQL} FROM f4")
+_add("e5_requested_coverage", lambda t: _text(extract.requested_coverage(extract.Raw(t)).select(*_FACT), "day"),
+     f"SELECT {_FACT_SQL} FROM f4 WHERE EXISTS (SELECT 1 FROM requests q WHERE q.session_id = f4.session_id AND (q.definition_id = '' OR q.definition_id = f4.definition_id))")
+_add("e6_test_launches", lambda t: extract.test_launches(extract.Raw(t), *_BOUND).select("launch_id", "definition_id", "session_id", "result", "duration", *views.FLAGS), f"SELECT launch_id, definition_id, session_id, result, duration, {', '.join(f'{c}::BIGINT AS {c}' for c in views.FLAGS)} FROM tl WHERE {_between('created_at')}", _FLAG)
+_add("e7_test_definitions", lambda t: extract.test_definitions(extract.Raw(t)).select("definition_id", "test_path", "test_name", "test_runner", "tags"), "SELECT definition_id, test_path, test_name, test_runner, tags FROM definitions")
+_add("e8_test_sessions", lambda t: _text(extract.test_sessions(extract.Raw(t), *_BOUND).select("session_id", "task_id", "started_day"), "started_day"), f"SELECT session_id, task_id, started_day::VARCHAR AS started_day FROM sessions WHERE {_between('created_at')}")
+_add("e9_test_session_builds", lambda t: extract.test_session_builds(extract.Raw(t)).select("session_id", "app_id", "build_id"), "SELECT session_id, app_id, build_id FROM session_builds")
 
 def _cov(df: DataFrame) -> DataFrame:
-    """Probe vectors as strings of 60 bits for each word, which the derived vectors of at most 16 probes fill with zeros."""
+    """Probe vectors as strings of 60 bits for each word."""
     return df.select(*(c for c in df.columns if c not in ("group_id", "probes")), probes.to_bits(F.col("probes"), F.size("probes") * probes.WORD).alias("bits"))
 
 
-_BITS = "lpad(bit_or(probes)::VARCHAR, 60, '0')"
+_BITS = bits("bit_or(probes)")
 for _name, _f, _t, _days in (
     ("p9_build_method_coverage", lambda t: transform.build_method_coverage(t["plain_facts"]), "SELECT app_id, build_id, method_id, env_id, result, tag, task_id, max(day)::VARCHAR AS created_at_day, " + _BITS + " AS bits FROM f3 GROUP BY app_id, build_id, method_id, env_id, result, tag, task_id", ("created_at_day",)),
     ("p14_build_method_coverage_from_launches", lambda t: transform.build_method_coverage(t["test_facts"]), "SELECT app_id, build_id, method_id, env_id, result, tag, task_id, max(day)::VARCHAR AS created_at_day, " + _BITS + " AS bits FROM f4 GROUP BY app_id, build_id, method_id, env_id, result, tag, task_id", ("created_at_day",)),
     ("p10_method_daily_coverage", lambda t: transform.method_daily_coverage(t["plain_facts"]), "SELECT app_id, method_id, day::VARCHAR AS day, branch, env_id, result, tag, task_id, " + _BITS + " AS bits FROM f3 GROUP BY app_id, method_id, f3.day, branch, env_id, result, tag, task_id", ("day",)),
     ("p15_method_daily_coverage_from_launches", lambda t: transform.method_daily_coverage(t["test_facts"]), "SELECT app_id, method_id, day::VARCHAR AS day, branch, env_id, result, tag, task_id, " + _BITS + " AS bits FROM f4 GROUP BY app_id, method_id, f4.day, branch, env_id, result, tag, task_id", ("day",)),
-    ("p13_session_coverage_from_launches", lambda t: transform.session_coverage(t["test_facts"]), "SELECT app_id, build_id, method_id, session_id, env_id, result, tag, created_at_day::VARCHAR AS created_at_day, lpad(probes::VARCHAR, 60, '0') AS bits FROM bmsc", ("created_at_day",)),
-    ("p12_definition_coverage", lambda t: transform.definition_coverage(t["test_facts"]), "SELECT app_id, build_id, method_id, session_id, definition_id, env_id, result, created_at_day::VARCHAR AS created_at_day, lpad(probes::VARCHAR, 60, '0') AS bits FROM bmdc", ("created_at_day",)),
+    ("p13_session_coverage_from_launches", lambda t: transform.session_coverage(t["test_facts"]), "SELECT app_id, build_id, method_id, session_id, env_id, result, tag, max(day)::VARCHAR AS created_at_day, " + _BITS + " AS bits FROM f4 GROUP BY app_id, build_id, method_id, session_id, env_id, result, tag", ("created_at_day",)),
+    ("p8_session_coverage", lambda t: transform.session_coverage(t["plain_facts"]), "SELECT app_id, build_id, method_id, session_id, env_id, result, tag, max(day)::VARCHAR AS created_at_day, " + _BITS + " AS bits FROM f3 WHERE session_id IS NOT NULL GROUP BY app_id, build_id, method_id, session_id, env_id, result, tag", ("created_at_day",)),
+    ("p12_definition_coverage", lambda t: transform.definition_coverage(t["test_facts"]), "SELECT app_id, build_id, method_id, session_id, definition_id, env_id, result, created_at_day::VARCHAR AS created_at_day, " + bits("probes") + " AS bits FROM bmdc", ("created_at_day",)),
 ):
     _add(_name, lambda t, f=_f, d=_days: _text(_cov(f(t)), *d), _t)
 _add("p17_test_to_code_mapping", lambda t: _text(t["mapping"].drop("group_id"), "updated_at_day"), "SELECT app_id, signature, definition_id, branch, env_id, task_id, updated_at_day::VARCHAR AS updated_at_day FROM mapping")
 _add("p18_session_builds_from_launches", lambda t: transform.has_session(t["test_facts"]).select("app_id", "build_id", "session_id").distinct(), "SELECT DISTINCT app_id, build_id, session_id FROM f4")
-_add("p3_methods", lambda t: transform.last_of(extract.build_methods(t["raw_build_methods"], t["raw_methods"], t["rules"]).select("app_id", "method_id", "signature", "probes_count", "created_day"), ["app_id", "method_id"], "created_day").drop("created_day"), "SELECT DISTINCT m.app_id, m.method_id, signature, probes_count FROM build_methods b JOIN methods m ON b.app_id = m.app_id AND b.method_id = m.method_id")
+_add("p11_session_builds_from_coverage", lambda t: transform.has_session(t["plain_facts"]).select("app_id", "build_id", "session_id").distinct(), "SELECT DISTINCT app_id, build_id, session_id FROM f3 WHERE session_id IS NOT NULL")
+_add("p3_methods", lambda t: transform.last_of(extract.build_methods(extract.Raw(t)).select("app_id", "method_id", "signature", "probes_count", "at"), ["app_id", "method_id"], "at").drop("at"), "SELECT DISTINCT m.app_id, m.method_id, signature, probes_count FROM build_methods b JOIN methods m ON b.app_id = m.app_id AND b.method_id = m.method_id")
 
 # --- upserts ------------------------------------------------------------------------------------------------------
 _KEYS = transform.BUILD_KEYS
@@ -160,7 +162,7 @@ def _halves(t) -> tuple[DataFrame, DataFrame]:
     return out[0], out[1]
 
 
-_OR_SQL = f"SELECT app_id, build_id, method_id, env_id, result, tag, task_id, lpad(probes::VARCHAR, 60, '0') AS bits FROM bmc"
+_OR_SQL = "SELECT app_id, build_id, method_id, env_id, result, tag, task_id, " + bits("probes") + " AS bits FROM bmc"
 _add("u4_or_upsert", lambda t: _cov(upsert.merged(*_halves(t), _KEYS, "or")).drop("updated_at_day"), _OR_SQL)
 _add("u4_or_upsert_of_repeated_keys", lambda t: _cov(upsert.merged(_halves(t)[0].limit(0), _halves(t)[0].unionByName(_halves(t)[1]), _KEYS, "or")).drop("updated_at_day"), _OR_SQL)
 

@@ -40,9 +40,9 @@ def delete_rule(store: Store, rule: str) -> None:
 
 
 def request_coverage(store: Store, requests: DataFrame) -> None:
-    """Adds or renews requests (group_id, session_id, definition_id, requested_day); a null definition asks for the whole session."""
-    new = requests.select("group_id", "session_id", F.coalesce("definition_id", F.lit("")).alias("definition_id"), "requested_day", F.col("requested_day").alias("created_day"))
-    store.upsert("coverage_requests", new, REQUEST_KEYS, "replace", ["requested_day"])
+    """Adds or renews requests (group_id, session_id, definition_id, requested_at); a null definition asks for the whole session."""
+    new = requests.select("group_id", "session_id", F.coalesce("definition_id", F.lit("")).alias("definition_id"), "requested_at", F.col("requested_at").alias("created_at"))
+    store.upsert("coverage_requests", new, REQUEST_KEYS, "replace", ["requested_at"])
 
 
 def delete_request(store: Store, group: str, session: str, definition: str | None = None) -> None:

@@ -1,8 +1,9 @@
 """Incremental runs of the named pipelines: watermarks, lookback, shared extraction, failure isolation, reruns.
 
-Per (pipeline, group) the store's table etl_metadata holds last_processed_at, status and totals.  A run reads
-(watermark - lookback, until], writes with the pipeline's upsert policy, and moves the watermark only after the write.
-Upserts are idempotent, so reading a stretch again is harmless.
+Per pipeline and context (a group, or one test session or definition of it) the store's table etl_metadata holds
+last_processed_at, status and totals.  A run reads (watermark - lookback, until], writes with the pipeline's upsert
+policy, and moves the watermark only after the write.  Watermarks are instants: what arrives later on a day that was
+processed before is read by the next run.  Upserts are idempotent, so reading a stretch again is harmless.
 """
 
 from __future__ import annotations
@@ -10,16 +11,16 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
-from datetime import date, timedelta
+from datetime import UTC, datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probelight.functions import probes
 from probelight.operators import extract, transform
 from probelight.operators.upsert import Store
 
-EPOCH = date(1970, 1, 1)
+EPOCH = datetime(1970, 1, 1)
 
 
 @dataclass(frozen=True)
@@ -35,21 +36,6 @@ class Pipeline:
     columns: list[str] | None = None
 
 
-def extractors(t: Mapping[str, DataFrame]) -> dict[str, Callable[[date | None, date | None], DataFrame]]:
-    """Extractors of the raw tables ``t`` by name, as functions of (since, until]."""
-    return {
-        "builds": lambda a, b: extract.builds(t["builds"], t["instances"], a, b),
-        "build_methods": lambda a, b: extract.build_methods(t["raw_build_methods"], t["raw_methods"], t["rules"], a, b),
-        "coverage": lambda a, b: extract.coverage(t["raw_coverage"], t["raw_methods"], t["rules"], t["builds"], a, b),
-        "test_launch_coverage": lambda a, b: extract.test_launch_coverage(t["raw_coverage"], t["launches"], t["definitions"], t["sessions"], t["raw_methods"], t["rules"], t["builds"], a, b),
-        "test_launches": lambda a, b: extract.test_launches(t["launches"], a, b),
-        "test_definitions": lambda a, b: extract.test_definitions(t["definitions"], a, b),
-        "test_sessions": lambda a, b: extract.test_sessions(t["sessions"], a, b),
-        "test_session_builds": lambda a, b: extract.test_session_builds(t["session_builds"], t["builds"], a, b),
-        **({"requested_coverage": lambda a, b: extract.requested_coverage(t["requests"], t["raw_coverage"], t["launches"], t["definitions"], t["sessions"], t["raw_methods"], t["rules"], t["builds"], a, b)} if "requests" in t else {}),
-    }
-
-
 _METHOD = ["group_id", "app_id", "method_id"]
 _day = lambda f: lambda df: f(df).withColumnRenamed("created_at_day", "updated_at_day")
 _links = lambda df: transform.has_session(df).select("group_id", "app_id", "build_id", "session_id").distinct()
@@ -59,9 +45,9 @@ _select = lambda *c: lambda df: df.select(*c).distinct()
 PIPELINES = {
     p.name: p
     for p in (
-        Pipeline("builds", "builds", "builds", ["group_id", "app_id", "build_id"], "replace", columns=["branch", "commit_sha", "app_env_ids"]),
+        Pipeline("builds", "builds", "builds", ["group_id", "app_id", "build_id"], "replace", columns=["build_version", "branch", "commit_sha", "app_env_ids", "updated_at", "updated_day"]),
         Pipeline("build_methods", "build_methods", "build_methods", ["build_id", *_METHOD], "keep", _select("build_id", *_METHOD, "created_day")),
-        Pipeline("methods", "build_methods", "methods", _METHOD, "keep", lambda df: transform.last_of(df.drop("build_id"), _METHOD, "created_day")),
+        Pipeline("methods", "build_methods", "methods", _METHOD, "keep", lambda df: transform.last_of(df.drop("build_id"), _METHOD, "at")),
         Pipeline("test_launches", "test_launches", "test_launches", ["group_id", "launch_id"], "replace"),
         Pipeline("test_definitions", "test_definitions", "test_definitions", ["group_id", "definition_id"], "replace"),
         Pipeline("test_sessions", "test_sessions", "test_sessions", ["group_id", "session_id"], "replace"),
@@ -82,50 +68,67 @@ PIPELINES = {
 #: Run on demand only.
 ON_DEMAND = ("build_method_test_definition_coverage", "build_method_test_definition_coverage_by_request")
 
-META = "pipeline string, group_id string, last_processed_at date, status string, error string, duration double, rows long"
+CONTEXT = ["group_id", "session_id", "definition_id"]
+META = "pipeline string, group_id string, session_id string, definition_id string, last_processed_at timestamp_ntz, status string, error string, duration double, rows long"
 
 
-def watermarks(store: Store, group: str) -> dict[str, date]:
+def watermarks(store: Store, group: str, session_id: str | None = None, definition_id: str | None = None) -> dict[str, datetime]:
+    """Watermarks of a group's runs, or of those for one session or definition."""
     meta = store.read("etl_metadata")
-    rows = [] if meta is None else meta.filter((F.col("group_id") == group) & F.col("last_processed_at").isNotNull()).select("pipeline", "last_processed_at").collect()  # a row for each pipeline
-    return {r.pipeline: r.last_processed_at for r in rows}
+    if meta is None:
+        return {}
+    mine = meta.filter(_of(group, session_id or "", definition_id or "")).filter("last_processed_at IS NOT NULL")
+    return {r.pipeline: r.last_processed_at for r in mine.select("pipeline", "last_processed_at").collect()}  # a row for each pipeline
+
+
+def _of(group: str, session_id: str | None, definition_id: str | None) -> Column:
+    """Rows of a context; what isn't given doesn't matter."""
+    out = F.col("group_id") == group
+    for c, v in (("session_id", session_id), ("definition_id", definition_id)):
+        out = out if v is None else out & (F.col(c) == v)
+    return out
 
 
-def run_etl(store: Store, t: Mapping[str, DataFrame], group: str, names: list[str] | None = None, until: date | None = None, lookback: timedelta = timedelta(0), delay: timedelta = timedelta(0), today: date | None = None, full_refresh: bool = False) -> dict[str, dict]:
-    """Runs pipelines for a group; returns each one's status (SUCCESS, FAILED or SKIPPED), rows and error.
+def run_etl(store: Store, t: Mapping[str, DataFrame], group: str, names: list[str] | None = None, until: datetime | None = None, lookback: timedelta = timedelta(0), delay: timedelta = timedelta(0), now: datetime | None = None, init: datetime = EPOCH, full_refresh: bool = False, session_id: str | None = None, definition_id: str | None = None) -> dict[str, dict]:
+    """Runs pipelines over the raw tables ``t`` for a group; returns each one's status (SUCCESS, FAILED or SKIPPED), rows, error.
 
-    Pipelines with one extractor and start share one scan.  A pipeline that fails, even one whose source can't be planned,
-    keeps its watermark and the others go on.  A full refresh takes in all pipelines that write the same tables; the
-    group's old rows go in the same write that brings the first new ones, so a failure leaves them.
+    The run reads up to ``until``, or up to ``delay`` before ``now``.  With a session or definition only its launches count,
+    with watermarks of their own (pipelines of test launch coverage only).  Pipelines with one extractor share one scan from
+    the earliest of their starts, of which each takes its own stretch.  A pipeline that fails, even one whose source can't be
+    planned, keeps its watermark and the others go on.  A full refresh takes in all pipelines that write the same tables;
+    the context's old rows go in the same write that brings the first new ones, so a failure leaves them.
     """
     spark = store.spark
     wanted = [PIPELINES[n] for n in (names or [n for n in PIPELINES if n not in ON_DEMAND])]
-    end = until or ((today or date.today()) - delay)
-    marks = {} if full_refresh else watermarks(store, group)
+    narrow = {k: v for k, v in (("session_id", session_id), ("definition_id", definition_id)) if v}
+    if narrow and {p.source for p in wanted} != {"test_launch_coverage"}:
+        raise ValueError("only pipelines of test launch coverage run for a session or definition")
+    end = until or ((now or datetime.now(UTC).replace(tzinfo=None)) - delay)
+    marks = {} if full_refresh else watermarks(store, group, session_id, definition_id)
     stale: set[str] = set()
     if full_refresh:
         stale = {p.table for p in wanted}
-        wanted += [p for p in PIPELINES.values() if p.table in stale and p not in wanted and p.name not in ON_DEMAND]
-    mine = {k: (v.filter(F.col("group_id") == group) if "group_id" in v.columns else v) for k, v in t.items()}
-    make, out = extractors(mine), {}
-    since = {p.name: (marks[p.name] - lookback if p.name in marks else EPOCH) for p in wanted}
+        wanted += [p for p in PIPELINES.values() if p.table in stale and p not in wanted and p.name not in ON_DEMAND and not narrow]
+    mine = extract.Raw({k: (v.filter(F.col("group_id") == group) if "group_id" in v.columns else v) for k, v in t.items()})
+    since = {p.name: (marks[p.name] - lookback if p.name in marks else init) for p in wanted}
     due = [p for p in wanted if since[p.name] < end and marks.get(p.name, EPOCH) < end]
-    out |= {p.name: {"status": "SKIPPED", "rows": 0, "error": None, "duration": 0.0} for p in wanted if p not in due}
+    out = {p.name: {"status": "SKIPPED", "rows": 0, "error": None, "duration": 0.0} for p in wanted if p not in due}
     for source in dict.fromkeys(p.source for p in due):
         group_of = [p for p in due if p.source == source]
-        starts = {since[p.name] for p in group_of}
-        shared: dict[date, DataFrame] = {}
+        first, shared = min(since[p.name] for p in group_of), None
         for p in group_of:
             begun, new = time.time(), None
             try:
-                if (start := since[p.name]) not in shared:
-                    shared[start] = make[source](start, end)
-                    if len(group_of) > len(starts):
-                        shared[start].persist()
-                new = p.steps(shared[start]).persist()
+                if shared is None:
+                    shared = extract.EXTRACTORS[source](mine, first, end, **narrow)
+                    if len(group_of) > 1:
+                        shared.persist()
+                rows = shared if since[p.name] == first else extract.within(shared, "at", since[p.name])
+                new = p.steps(rows).persist()
                 n = new.count()
                 if n or p.table in stale:
-                    store.upsert(p.table, new, p.keys, p.policy, p.columns, F.col("group_id") == group if p.table in stale else None)
+                    gone = _of(group, session_id, definition_id) if p.table in stale else None
+                    store.upsert(p.table, new, p.keys, p.policy, p.columns, gone, order="at" if "at" in new.columns else None)
                     stale.discard(p.table)
                 out[p.name] = {"status": "SUCCESS", "rows": n, "error": None}
             except Exception as e:  # any failure of this pipeline; the others go on
@@ -133,19 +136,18 @@ def run_etl(store: Store, t: Mapping[str, DataFrame], group: str, names: list[st
             out[p.name]["duration"] = time.time() - begun
             if new is not None:
                 new.unpersist()
-        for df in shared.values():
-            df.unpersist()
-    rows = [(n, group, end if r["status"] == "SUCCESS" else marks.get(n), r["status"], r["error"], float(r["duration"]), int(r["rows"])) for n, r in out.items() if r["status"] != "SKIPPED"]
+        if shared is not None:
+            shared.unpersist()
+    rows = [(n, group, session_id or "", definition_id or "", end if r["status"] == "SUCCESS" else marks.get(n), r["status"], r["error"], float(r["duration"]), int(r["rows"])) for n, r in out.items() if r["status"] != "SKIPPED"]
     if rows:
         new, old = spark.createDataFrame(rows, META), store.read("etl_metadata")
-        total = new if old is None else _accumulated(old, new)
-        store.write("etl_metadata", total)
+        store.write("etl_metadata", new if old is None else _accumulated(old, new))
     return out
 
 
 def _accumulated(old: DataFrame, new: DataFrame) -> DataFrame:
     """Status and watermark of the new run, durations and rows added up."""
-    keys = ["pipeline", "group_id"]
+    keys = ["pipeline", *CONTEXT]
     n = new.select(*keys, *(F.col(c).alias(f"_{c}") for c in new.columns if c not in keys))
     both = old.join(n, keys, "full")
     last = lambda c: F.when(F.col("_status").isNotNull(), F.col(f"_{c}")).otherwise(F.col(c)).alias(c)
@@ -153,7 +155,7 @@ def _accumulated(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select(*keys, last("last_processed_at"), last("status"), last("error"), add("duration"), add("rows"))
 
 
-def refresh(store: Store, t: Mapping[str, DataFrame], group: str, fresh_after: date, **options) -> dict[str, dict]:
+def refresh(store: Store, t: Mapping[str, DataFrame], group: str, fresh_after: datetime, **options) -> dict[str, dict]:
     """Runs what lies before ``fresh_after`` and isn't processed yet, before a query that needs it."""
     return run_etl(store, t, group, until=fresh_after, **options)
 

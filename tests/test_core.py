@@ -188,6 +188,28 @@ def test_upsert_policies(spark):
     assert get("forward") == {"a": ("1", "d2"), None: ("n", "d3"), "b": ("9", "d1")}
 
 
+def test_upserts_follow_an_order_and_guard_lengths(spark):
+    rows = spark.createDataFrame([("a", "2", 2), ("a", "9", 1), ("b", "1", 5)], "k string, v string, at int")
+    old = spark.createDataFrame([("b", "0")], "k string, v string")
+    get = lambda p: {r.k: r.v for r in upsert.merged(old, rows, ["k"], p, order="at").collect()}
+    assert get("replace") == {"a": "2", "b": "1"} and get("keep") == {"a": "9", "b": "0"}
+    words = lambda w: spark.createDataFrame([("k", w, 1)], "k string, probes array<bigint>, updated_at_day int")
+    with pytest.raises(Exception, match="unequal"):
+        upsert.merged(words([1]), words([1, 1]), ["k"], "or").collect()
+
+
+def test_retention_goes_by_updates(spark):
+    f = spark.createDataFrame
+    day = lambda n: DAY + dt.timedelta(n)
+    cut = f([("g", day(5))], "group_id string, before date")
+    t = {"builds": f([("g", "busy", day(1), day(9)), ("g", "idle", day(1), day(2)), ("h", "other", day(1), day(1))], "group_id string, build_id string, created_day date, updated_day date"),
+         "methods": f([("g", "a", "old", day(1)), ("g", "a", "new", day(8)), ("g", "a", "held", day(1))], "group_id string, app_id string, method_id string, created_day date")}
+    t |= {k: f([("g", "a", "busy", "held"), ("g", "a", "idle", "old")], "group_id string, app_id string, build_id string, method_id string") for k in jobs.METRIC_BY_BUILD}
+    out = jobs.build_retention(t, cut)
+    assert sorted(r.build_id for r in out["builds"].collect()) == ["busy", "other"] and [r.build_id for r in out["build_methods"].collect()] == ["busy"]
+    assert sorted(r.method_id for r in out["methods"].collect()) == ["held", "new"]
+
+
 def test_or_upsert_is_idempotent_and_commutes(spark):
     frame = lambda rows: spark.createDataFrame(rows, "k string, b string, updated_at_day string").withColumn("probes", probes.to_words(F.col("b"))).drop("b")
     x, y = frame([("a", "100", "d1"), ("b", "1", "d1")]), frame([("a", "001", "d2"), ("b", "1", "d2")])

@@ -3,9 +3,11 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from probelight.functions import probes
+from probelight.operators import extract
 from probelight.operators.upsert import Store
 from probelight.streaming import etl, ingest_stream
 
@@ -46,21 +48,24 @@ def test_ingest_from_files(spark, tmp_path):
     assert [(r.id, r.commit_sha) for r in store.read("builds").collect()] == [("g:a:1", "d")]
 
 
+def at(day, hour=0):
+    return dt.datetime(2024, 1, day, hour)
+
+
 def raw(spark, days):
     """Coverage of one method on some days, with the rest of the raw layer."""
-    d = lambda n: dt.date(2024, 1, n)
     f = spark.createDataFrame
     m = "group_id string, app_id string, method_id string, class_name string, method_name string, signature string, probes_count long"
     return {
-        "builds": f([("g", "a", "g:a:1", "main", d(1))], "group_id string, app_id string, build_id string, branch string, created_day date"),
-        "instances": f([("g", "g:a:1", "e")], "group_id string, build_id string, env_id string"),
-        "raw_methods": f([("g", "a", "m", "c/K", "m", "c/K:m", 4)], m), "raw_build_methods": f([("g", "a", "g:a:1", "m", d(1))], "group_id string, app_id string, build_id string, method_id string, created_day date"),
+        "builds": f([("g", "a", "g:a:1", "v", "main", "c", at(1), at(1))], "group_id string, app_id string, build_id string, build_version string, branch string, commit_sha string, created_at timestamp_ntz, updated_at timestamp_ntz"),
+        "instances": f([("g", "a", "i", "g:a:1", "e", at(1))], "group_id string, app_id string, instance_id string, build_id string, env_id string, created_at timestamp_ntz"),
+        "raw_methods": f([("g", "a", "m", "c/K", "m", "c/K:m", 4)], m), "raw_build_methods": f([("g", "a", "g:a:1", "m", at(1))], "group_id string, app_id string, build_id string, method_id string, created_at timestamp_ntz"),
         "rules": f([], "group_id string, app_id string, name_pattern string, classname_pattern string"),
-        "raw_coverage": f([("g", "a", "g:a:1", "m", "e", b, 4, d(n), l) for n, b, l in days], "group_id string, app_id string, build_id string, method_id string, env_id string, probes string, probes_count long, day date, launch_id string"),
-        "launches": f([("g", "l", "t", "s", "PASSED", 5, d(2))], "group_id string, launch_id string, definition_id string, session_id string, result string, duration long, created_day date"),
-        "definitions": f([("g", "t", "p", "n", "junit", "x,y")], "group_id string, definition_id string, test_path string, test_name string, test_runner string, tags string"),
-        "sessions": f([("g", "s", "task", d(2))], "group_id string, session_id string, task_id string, started_day date"),
-        "session_builds": f([("g", "a", "g:a:1", "s")], "group_id string, app_id string, build_id string, session_id string"),
+        "raw_coverage": f([("g", "a", "g:a:1", "i", "m", b, 4, x if isinstance(x, dt.datetime) else at(x), l, s) for x, b, l, s in ((*d, None)[:4] for d in days)], "group_id string, app_id string, build_id string, instance_id string, method_id string, probes string, probes_count long, created_at timestamp_ntz, launch_id string, session_id string"),
+        "launches": f([("g", "l", "t", "s", "PASSED", 5, at(2))], "group_id string, launch_id string, definition_id string, session_id string, result string, duration long, created_at timestamp_ntz"),
+        "definitions": f([("g", "t", "p", "n", "junit", "x,y", at(1))], "group_id string, definition_id string, test_path string, test_name string, test_runner string, tags string, updated_at timestamp_ntz"),
+        "sessions": f([("g", "s", "task", at(2))], "group_id string, session_id string, task_id string, created_at timestamp_ntz"),
+        "session_builds": f([("g", "g:a:1", "s", at(2))], "group_id string, build_id string, session_id string, created_at timestamp_ntz"),
     }
 
 
@@ -72,33 +77,92 @@ def test_incremental_equals_rerun(spark, tmp_path):
     t = raw(spark, [(2, "1000", None), (3, "0100", "l"), (5, "0010", None)])
     store, full = Store(spark, f"file://{tmp_path}/a"), Store(spark, f"file://{tmp_path}/b")
     names = ["build_method_coverage", "build_method_coverage_from_test_launches", "test_to_code_mapping"]
-    first = etl.run_etl(store, t, "g", names, until=dt.date(2024, 1, 3))
+    first = etl.run_etl(store, t, "g", names, until=at(3))
     assert first["build_method_coverage"]["rows"] == 1 and {r["status"] for r in first.values()} == {"SUCCESS"}
-    assert etl.run_etl(store, t, "g", names, until=dt.date(2024, 1, 3))["build_method_coverage"]["status"] == "SKIPPED"
-    again = etl.run_etl(store, t, "g", names, until=dt.date(2024, 1, 9), lookback=dt.timedelta(5))
+    assert etl.run_etl(store, t, "g", names, until=at(3))["build_method_coverage"]["status"] == "SKIPPED"
+    again = etl.run_etl(store, t, "g", names, until=at(9), lookback=dt.timedelta(5))
     assert again["build_method_coverage"]["rows"] == 1
-    etl.run_etl(full, t, "g", names, until=dt.date(2024, 1, 9))
+    etl.run_etl(full, t, "g", names, until=at(9))
     key = lambda s: sorted(repr((r.env_id, r.result, r.tag, r.probes)) for r in s.read("build_method_coverage").collect())
     assert key(store) == key(full) and ones(store, "build_method_coverage") == 4
-    etl.run_etl(store, t, "g", names, until=dt.date(2024, 1, 9), full_refresh=True)
+    etl.run_etl(store, t, "g", names, until=at(9), full_refresh=True)
     assert key(store) == key(full)
     meta = {r.pipeline: r for r in store.read("etl_metadata").collect()}
-    assert meta["build_method_coverage"].last_processed_at == dt.date(2024, 1, 9) and meta["build_method_coverage"].rows == 3
+    assert meta["build_method_coverage"].last_processed_at == at(9) and meta["build_method_coverage"].rows == 3
 
 
 def test_a_failing_pipeline_keeps_its_watermark(spark, tmp_path):
     t = raw(spark, [(2, "1000", None)])
     store = Store(spark, f"file://{tmp_path}/s")
     t["definitions"] = t["definitions"].withColumn("test_name", F.raise_error(F.lit("boom")))
-    out = etl.run_etl(store, t, "g", ["test_definitions", "test_sessions"], until=dt.date(2024, 1, 9))
+    out = etl.run_etl(store, t, "g", ["test_definitions", "test_sessions"], until=at(9))
     assert (out["test_definitions"]["status"], out["test_sessions"]["status"]) == ("FAILED", "SUCCESS")
     assert set(etl.watermarks(store, "g")) == {"test_sessions"} and store.read("test_sessions").count() == 1
 
 
 def test_all_pipelines_run(spark, tmp_path):
-    t = raw(spark, [(2, "1000", None), (3, "0110", "l")])
-    t["requests"] = spark.createDataFrame([("g", "s", None, dt.date(2024, 1, 2))], "group_id string, session_id string, definition_id string, requested_day date")
+    t = raw(spark, [(2, "1000", None), (3, "0110", "l"), (4, "0001", None, "s"), (4, "1001", None, "unknown")])
+    t["requests"] = spark.createDataFrame([("g", "s", None, at(2))], "group_id string, session_id string, definition_id string, requested_at timestamp_ntz")
     store = Store(spark, f"file://{tmp_path}/s")
-    out = etl.run_etl(store, t, "g", list(etl.PIPELINES), until=dt.date(2024, 1, 9))
+    out = etl.run_etl(store, t, "g", list(etl.PIPELINES), until=at(9))
     assert {k: v["error"] for k, v in out.items() if v["status"] != "SUCCESS"} == {}
     assert len(out) == 18 and ones(store, "definition_coverage") == 2
+    # coverage of a session outside its tests counts for the session and its task; an unknown session is none
+    got = sorted((r.result or "", r.tag or "", probes_of(r)) for r in store.read("session_coverage").collect())
+    assert got == [("", "", 1), ("PASSED", "x", 6), ("PASSED", "y", 6)]
+    assert sorted((r.task_id or "", probes_of(r)) for r in store.read("build_method_coverage").filter("result IS NULL").collect()) == [("", 9), ("task", 1)]
+    assert [(r.build_id, r.session_id) for r in store.read("test_session_builds").collect()] == [("g:a:1", "s")]
+
+
+def probes_of(r):
+    return sum(w << 60 * k for k, w in enumerate(r.probes))
+
+
+def test_coverage_needs_its_instance_and_method(spark):
+    t = raw(spark, [(2, "1000", None)])
+    assert extract.coverage(extract.Raw(t)).count() == 1
+    for name in ("instances", "builds", "raw_methods"):
+        assert extract.coverage(extract.Raw(t | {name: t[name].limit(0)})).count() == 0
+    rule = spark.createDataFrame([("g", "a", None, "^c/")], "group_id string, app_id string, name_pattern string, classname_pattern string")
+    assert extract.coverage(extract.Raw(t | {"rules": rule})).count() == 0
+
+
+def test_rows_that_arrive_later_on_a_processed_day(spark, tmp_path):
+    store, t = Store(spark, f"file://{tmp_path}/s"), raw(spark, [])
+    launch = lambda *hours: spark.createDataFrame([("g", f"l{h}", "t", "s", "PASSED", h, at(5, h)) for h in hours], t["launches"].schema)
+    for hours, until in (((1,), at(5, 2)), ((1, 3), at(5, 4)), ((1, 3, 5), at(6))):
+        assert etl.run_etl(store, t | {"launches": launch(*hours)}, "g", ["test_launches"], until=until)["test_launches"]["rows"] == 1
+    assert sorted(r.launch_id for r in store.read("test_launches").collect()) == ["l1", "l3", "l5"]
+
+
+def test_lookback_delay_and_start(spark, tmp_path):
+    store, t = Store(spark, f"file://{tmp_path}/s"), raw(spark, [(at(2, 1), "1000", None), (at(2, 5), "0100", None), (at(2, 7), "0010", None)])
+    run = lambda **o: etl.run_etl(store, t, "g", ["build_method_coverage"], **o)["build_method_coverage"]
+    assert run(now=at(2, 6), delay=dt.timedelta(hours=2), init=at(2))["rows"] == 1 and ones(store, "build_method_coverage") == 1
+    assert run(now=at(2, 6), delay=dt.timedelta(hours=2))["status"] == "SKIPPED"
+    assert run(until=at(2, 6))["rows"] == 1 and ones(store, "build_method_coverage") == 2
+    t["raw_coverage"] = t["raw_coverage"].withColumn("probes", F.when(F.col("created_at") == F.lit("2024-01-02 05:00:00").cast("timestamp_ntz"), "0101").otherwise(F.col("probes")))
+    assert run(until=at(2, 8))["rows"] == 1 and ones(store, "build_method_coverage") == 3
+    assert run(until=at(2, 9), lookback=dt.timedelta(hours=4))["rows"] == 1 and ones(store, "build_method_coverage") == 4
+
+
+def test_a_session_or_definition_has_its_own_watermark_and_rows(spark, tmp_path):
+    store, t = Store(spark, f"file://{tmp_path}/s"), raw(spark, [(3, "0110", "l"), (3, "1000", "k")])
+    t["launches"] = t["launches"].union(spark.createDataFrame([("g", "k", "u", "s", "PASSED", 5, at(2))], t["launches"].schema))
+    t["definitions"] = t["definitions"].union(spark.createDataFrame([("g", "u", "p", "o", "junit", None, at(1))], t["definitions"].schema))
+    run = lambda **o: etl.run_etl(store, t, "g", ["build_method_test_definition_coverage"], until=at(9), **o)["build_method_test_definition_coverage"]["status"]
+    rows = lambda: sorted((r.definition_id, probes_of(r)) for r in store.read("definition_coverage").collect())
+    assert run(session_id="s", definition_id="t") == "SUCCESS" and rows() == [("t", 6)]
+    assert run(session_id="s", definition_id="u") == "SUCCESS" and rows() == [("t", 6), ("u", 8)]
+    assert run(session_id="s", definition_id="t") == "SKIPPED" and run(session_id="s") == "SUCCESS" and run() == "SUCCESS"
+    t["raw_coverage"] = t["raw_coverage"].filter("launch_id = 'k'")
+    assert run(session_id="s", definition_id="t", full_refresh=True) == "SUCCESS" and rows() == [("u", 8)]
+    with pytest.raises(ValueError):
+        etl.run_etl(store, t, "g", ["test_launches"], session_id="s")
+
+
+def test_the_last_of_repeated_rows_replaces(spark, tmp_path):
+    store, t = Store(spark, f"file://{tmp_path}/s"), raw(spark, [])
+    t["launches"] = spark.createDataFrame([("g", "l", "t", "s", r, 5, at(d)) for r, d in (("PASSED", 3), ("FAILED", 4), ("SKIPPED", 2))], t["launches"].schema)
+    etl.run_etl(store, t, "g", ["test_launches"], until=at(9))
+    assert [r.result for r in store.read("test_launches").collect()] == ["FAILED"]
