@@ -37,7 +37,7 @@ SELECT *, CAST(updated_at AS DATE) AS updated_day FROM (
          concat(CAST(y AS STRING), '.', CAST(y % 7 AS STRING), '.0') AS build_version, concat('c', CAST(y AS STRING)) AS commit_sha,
          year_at AS created_at, year_at + INTERVAL '1' HOUR * CAST(y % 5 * 2200 AS INT) AS updated_at
   FROM (SELECT DISTINCT group_id, app_id, build_id, y, year_at FROM {li}))""",
-    "instances": "SELECT group_id, app_id, build_id, env_id, concat(build_id, ':', env_id) AS instance_id, min(created_at) AS created_at FROM {li} WHERE NOT (y = 1994 AND env_id = 'R') GROUP BY group_id, app_id, build_id, env_id",
+    "instances": "SELECT group_id, app_id, build_id, env_id, concat(build_id, ':', env_id) AS instance_id, min(created_at) AS created_at FROM {li} WHERE NOT (y = 1998 AND env_id = 'R') GROUP BY group_id, app_id, build_id, env_id",
     "launches": f"""
 SELECT 'g1' AS group_id, CAST(o_orderkey AS STRING) AS launch_id, concat('d', CAST(o_custkey AS STRING)) AS definition_id,
        concat('s', CAST(year(o_orderdate) AS STRING), '-', CAST(month(o_orderdate) AS STRING)) AS session_id,

@@ -147,7 +147,7 @@ REGISTERED = {
     "i4_save_build_info": (build_infos, "SELECT build_id AS id, branch, y::VARCHAR || '-03-04 05:06:07' AS committed_at FROM builds"),
     "i5_save_instances": (instances, "SELECT instance_id AS id, build_id, env_id, 'RUNNING' AS status FROM instances"),
     "i5_missing_builds": (missing_builds, "SELECT build_id AS id, app_id FROM builds WHERE y % 2 <> 0"),
-    "i6_heartbeats": (heartbeats, "SELECT build_id || ':' || env_id AS id, arg_max(s, created_at) AS status, max(created_at)::DATE::VARCHAR AS day FROM (SELECT build_id, env_id, created_at, min(CASE WHEN l_linenumber % 2 = 0 THEN 'SHUTDOWN' ELSE 'RUNNING' END) AS s FROM li GROUP BY ALL) GROUP BY build_id, env_id"),
+    "i6_heartbeats": (heartbeats, "SELECT build_id || ':' || env_id AS id, arg_max(s, created_at) AS status, max(created_at)::DATE::VARCHAR AS day FROM (SELECT build_id, env_id, created_at, min(CASE WHEN l_linenumber % 2 = 0 THEN 'SHUTDOWN' ELSE 'RUNNING' END) AS s FROM li GROUP BY ALL) WHERE build_id || ':' || env_id IN (SELECT instance_id FROM instances) GROUP BY build_id, env_id"),
     "i7_save_methods": (methods, "SELECT app_id, method_id, signature, probes_count FROM raw_methods"),
     "i7_save_build_methods": (build_methods, "SELECT build_id, method_id FROM raw_build_methods WHERE build_id NOT LIKE '%:1997'"),
     "i8_save_coverage": (coverage, "SELECT app_id, build_id, method_id, launch_id AS test_id, probes FROM raw_coverage"),

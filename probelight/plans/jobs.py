@@ -134,7 +134,7 @@ def _cut(t: Tables, day: str) -> DataFrame:
 
 _HASH = lambda name: f"('0x' || substr(md5(concat_ws('|', {', '.join(f'{c}::VARCHAR' for c in KEYS[name])})), 1, 8))::BIGINT"
 _N = lambda name, q: f"SELECT '{name}' AS name, count(*) AS n, coalesce(sum({_HASH(name)}), 0)::BIGINT AS digest FROM {q}"
-_CUT = "1995-01-01"
+_CUT = "2000-01-01"
 #: Builds by their last update or newest instance, as the metric table has it.
 _SEEN = "(SELECT b.*, greatest(updated_at, (SELECT max(created_at) FROM instances i WHERE i.build_id = b.build_id))::DATE AS seen_day FROM builds b)"
 _NEW = f"(SELECT build_id FROM {_SEEN} WHERE seen_day >= DATE '{_CUT}')"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from probelight.functions import probes
 from probelight.operators import extract, transform, upsert
 
-from . import coverage, etl_queries, impact, ingest_queries, jobs, report, treemap, views
+from . import coverage, end_to_end, etl_queries, impact, ingest_queries, jobs, report, treemap, views
 from .derive import raw
 from .metrics import bits, metrics, sql
 from .stored import tables
@@ -234,6 +234,9 @@ _add("r15_changes_treemap", lambda t: treemap.treemap(coverage.changes_with_cove
 # --- ingest and streams -------------------------------------------------------------------------------------------
 for _name, (_job, _query, *_more) in (ingest_queries.REGISTERED | etl_queries.REGISTERED).items():
     _add(_name, _job, _query, *_more)
+_add("e2e_records_to_methods_with_coverage", lambda t: end_to_end.methods_with_coverage(t, BUILD).select(*_F2_COLS), _F2, *_f2(f"'{BUILD}'"))
+_add("e2e_records_to_impact_of_all_tests", lambda t: end_to_end.impacted_tests(t, BUILD, BASE).select("definition_id", "test_path", "test_name", "impacted_methods", "status"), "SELECT * FROM imp", _CHANGES, _MAP, _IMP)
+_add("e2e_refreshed_pipelines", end_to_end.refreshed, f"SELECT unnest([{', '.join(repr(p) for p in end_to_end.SCHEDULED)}]) AS pipeline, 'SUCCESS' AS status, '{etl_queries.END}' AS until")
 _Q["i2_quarantine"] = (ingest_queries.quarantine, ingest_queries.QUARANTINE_SQL)
 _Q["s9_daily_stream"] = (ingest_queries.daily_stream, ingest_queries.DAILY_SQL)
 

@@ -46,6 +46,14 @@ class Tables(dict):
         return Tables(self.spark, self.makers, self.root, {**self, **other})
 
 
+def metric_tables(store) -> dict[str, DataFrame]:
+    """The plans' tables over a store that ``run_etl`` writes; those that nothing was loaded into aren't there."""
+    names = {"mapping": "test_to_code_mapping", "definitions": "test_definitions", "launches": "test_launches", "sessions": "test_sessions", "session_builds": "test_session_builds"}
+    same = ("builds", "methods", "build_methods", "build_method_coverage", "method_daily_coverage", "session_coverage", "definition_coverage", "test_launches")
+    found = {k: store.read(name) for k, name in [*names.items(), *((x, x) for x in same)]}
+    return {k: df.withColumnRenamed("updated_at_day", "created_at_day") if k.endswith("_coverage") else df for k, df in found.items() if df is not None}
+
+
 _kept: dict[tuple[str, str], Tables] = {}
 
 

@@ -117,6 +117,12 @@ def save_test_sessions(p: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sessions, links.dropDuplicates(["test_session_id", "build_id"])
 
 
+def save_sessions(p: DataFrame) -> DataFrame:
+    """Sessions with the ids of their builds, so that a session that comes again replaces its links in one row."""
+    ids = F.transform("builds", lambda b: build_id(F.col("groupId"), b["appId"], b["buildVersion"], b["commitSha"], b["instanceId"]))
+    return p.select("id", F.col("groupId").alias("group_id"), F.col("testTaskId").alias("test_task_id"), F.col("startedAt").alias("started_at"), "created_at", F.array_distinct(ids).alias("build_ids"))
+
+
 def ignore_rule(group: str, app: str, name_pattern: str | None = None, classname_pattern: str | None = None) -> dict:
     """A rule's row; at least one pattern that isn't empty, and each a regular expression."""
     given = [x for x in (name_pattern, classname_pattern) if x]

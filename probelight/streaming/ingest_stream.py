@@ -23,15 +23,19 @@ def from_kafka(spark: SparkSession, servers: str, topic: str, **options: str) ->
     return raw.select(F.col("key").cast("string"), F.col("value").cast("string"), F.col("timestamp").cast("timestamp_ntz").alias("ts"), "headers")
 
 
-def write_batch(records: DataFrame, store: Store) -> None:
-    """One micro-batch into the raw tables.  Upserts are idempotent, so a batch that is run again changes nothing."""
+def write_batch(records: DataFrame, store: Store, stream: str | None = None, batch: int = 0) -> None:
+    """One micro-batch into the raw tables; a batch that is run again changes nothing.
+
+    Coverage and quarantined records are logs: a batch adds its rows once, by the number of the stream's batch.  The other
+    tables are upserted; repeated rows of a key follow their time.
+    """
     records = records.select("key", "value", "ts").persist()
     try:
         p, bad = payloads.split_records(records)
-        store_bad = store.read("quarantine")
-        here = {r.key for r in records.select("key").distinct().collect()}  # at most the record keys and unknown ones of a batch
-        if not here <= set(payloads.SCHEMAS) or bad.limit(1).count():
-            store.write("quarantine", bad if store_bad is None else store_bad.unionByName(bad).distinct())
+        known = records.filter(F.col("key").isin(list(payloads.SCHEMAS))).select("key").distinct()
+        here = {r.key for r in known.collect()}  # at most the known keys
+        if bad.limit(1).count():
+            store.append("quarantine", bad, stream, batch)
         up = store.upsert
         if "builds" in here:
             up("builds", payloads.save_builds(p["builds"]), ["id", "group_id", "app_id"], "replace", ["commit_sha", "build_version", "updated_at"])
@@ -48,8 +52,7 @@ def write_batch(records: DataFrame, store: Store) -> None:
             up("methods", methods, ["group_id", "app_id", "method_id"], "keep")
             up("build_methods", links, ["build_id", "group_id", "app_id", "method_id"], "keep")
         if "coverage" in here:
-            c = payloads.save_coverage(p["coverage"])
-            up("method_coverage", c, c.columns, "keep")
+            store.append("method_coverage", payloads.save_coverage(p["coverage"]), stream, batch)
         definitions = [payloads.save_test_definitions(p["test-definitions"])] if "test-definitions" in here else []
         launches = [payloads.save_test_launches(p["test-launches"])] if "test-launches" in here else []
         if "test-metadata" in here:
@@ -57,24 +60,25 @@ def write_batch(records: DataFrame, store: Store) -> None:
             launches.append(a)
             definitions.append(b)
         for x in definitions:
-            up("test_definitions", x, ["id", "group_id"], "replace")
+            up("test_definitions", x.withColumn("_at", F.col("updated_at")), ["id", "group_id"], "replace", order="_at")
         for x in launches:
-            up("test_launches", x, ["id", "group_id"], "replace")
+            up("test_launches", x.withColumn("_at", F.col("created_at")), ["id", "group_id"], "replace", order="_at")
         if "test-sessions" in here:
-            sessions, links = payloads.save_test_sessions(p["test-sessions"])
-            up("test_sessions", sessions, ["id", "group_id"], "replace")
-            old = store.read("test_session_builds")
-            if old is not None:
-                links = old.join(sessions.select(F.col("id").alias("test_session_id")), "test_session_id", "left_anti").unionByName(links)
-            store.write("test_session_builds", links)
+            up("test_sessions", payloads.save_sessions(p["test-sessions"]).withColumn("_at", F.col("created_at")), ["id", "group_id"], "replace", order="_at")
     finally:
         records.unpersist()
 
 
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark keeps in a query's checkpoint: the same after a restart, another one for a new checkpoint."""
+    return spark.read.json(f"{checkpoint.rstrip('/')}/metadata").first().id
+
+
 def run(stream: DataFrame, store: Store, checkpoint: str, **trigger) -> StreamingQuery:
     """Starts the query; ``availableNow=True`` drains what is there and stops."""
     trigger = trigger or {"availableNow": True}
-    return stream.writeStream.foreachBatch(lambda df, _: write_batch(df, store)).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    write = lambda df, n: write_batch(df, store, _stream_id(store.spark, checkpoint), n)
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def daily_counts(stream: DataFrame, delay: str = "1 day") -> DataFrame:

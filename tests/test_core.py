@@ -313,3 +313,62 @@ def test_an_upsert_rewrites_only_the_partitions_it_touches(spark, tmp_path):
     assert len(set(after) & set(store._latest("t")["folders"])) == 2 and store.read("t").count() == 4
     store.delete("t", "g IS NOT NULL")
     assert store.read("t").count() == 0 and store.read("t").columns == ["k", "v", "g", "day"]
+
+
+def folder_bytes(path):
+    return {f: f.stat().st_size for f in path.rglob("*") if f.is_file() and "_current" not in f.parts}
+
+
+def test_a_log_takes_each_batch_once_and_writes_only_it(spark, tmp_path):
+    store = upsert.Store(spark, f"file://{tmp_path}", versions=1, fan=4)
+    rows = lambda n: spark.createDataFrame([("g", f"r{n}", dt.datetime(2024, 1 + n % 2, 1))], "group_id string, v string, created_at timestamp_ntz").coalesce(1)
+    written, before = [], {}
+    for n in range(11):
+        store.append("method_coverage", rows(n), "s", n)
+        store.append("method_coverage", rows(n), "s", n)  # a batch that is run again
+        now = folder_bytes(tmp_path)
+        written.append(sum(size for f, size in now.items() if f not in before))
+        before = now
+    assert sorted(r.v for r in store.read("method_coverage").collect()) == sorted(f"r{n}" for n in range(11))
+    m = store._latest("method_coverage")
+    assert len(m["folders"]) < 11 and max(m["levels"]) == 1  # four batches of a month became one folder, once
+    plain = [w for n, w in enumerate(written) if n not in (6, 7)]  # the batches that didn't complete a tier
+    assert max(plain) < 1.5 * min(plain)  # what a batch writes doesn't grow with what is there
+    store.append("method_coverage", rows(1), "another stream", 0)
+    assert store.read("method_coverage").count() == 12
+
+
+def test_deltas_read_like_rewrites(spark, tmp_path):
+    rng = random.Random(5)
+    for case, (policy, columns) in enumerate((("replace", None), ("replace", ["v"]), ("keep", None), ("forward", None))):
+        deltas = upsert.Store(spark, f"file://{tmp_path}/{case}/d", deltas=("t",), fan=3)
+        whole = upsert.Store(spark, f"file://{tmp_path}/{case}/w", deltas=())
+        for n in range(8):
+            new = spark.createDataFrame([("g", rng.choice("abcd"), f"{n}{k}", f"d{rng.randint(0, 9)}", k) for k in range(3)] + [("g", None, str(n), "d0", 0)], "group_id string, k string, v string, updated_at_day string, at int")
+            before = folder_bytes(tmp_path / str(case) / "d")
+            for s in (deltas, whole):
+                s.upsert("t", new, ["group_id", "k"], policy, columns, order="at")
+            if n == 1:
+                assert set(before) <= set(folder_bytes(tmp_path / str(case) / "d"))  # the first delta stays as it was
+        rows = lambda s: sorted(map(repr, s.read("t").collect()))
+        assert rows(deltas) == rows(whole) and len(deltas._latest("t")["folders"]) < 5
+        for s in (deltas, whole):
+            s.delete("t", "k = 'a'")
+            s.upsert("t", spark.createDataFrame([("g", "b", "x", "d9", 1)], "group_id string, k string, v string, updated_at_day string, at int"), ["group_id", "k"], policy, columns, F.col("k") == "c", order="at")
+        assert rows(deltas) == rows(whole)
+
+
+def test_old_months_leave_the_manifest(spark, tmp_path):
+    store = upsert.Store(spark, f"file://{tmp_path}")
+    rows = [(g, dt.date(2024, m, d), m) for g in "gh" for m in (1, 2, 3) for d in (5, 20)]
+    store.upsert("method_daily_coverage", spark.createDataFrame(rows, "group_id string, day date, v long"), ["group_id", "day"], "replace")
+    before = store._latest("method_daily_coverage")["folders"]
+    store.delete_before("method_daily_coverage", "day", {"g": dt.date(2024, 2, 10)})
+    after = store._latest("method_daily_coverage")["folders"]
+    assert len(before) == 6 and len(after) == 5 and len(set(before) & set(after)) == 4  # one month gone, one rewritten
+    assert sorted((r.group_id, r.day) for r in store.read("method_daily_coverage").collect()) == sorted((g, d) for g, d, _ in rows if g == "h" or d >= dt.date(2024, 2, 10))
+    store.delete_before("method_daily_coverage", "day", {"h": dt.date(2024, 3, 1)})
+    assert len(store._latest("method_daily_coverage")["folders"]) == 3
+    store.upsert("test_launches", spark.createDataFrame([("g", "a", dt.date(2024, 1, 1)), ("g", "b", dt.date(2024, 3, 1))], "group_id string, launch_id string, created_day date"), ["group_id", "launch_id"], "replace")
+    store.delete_before("test_launches", "created_day", {"g": dt.date(2024, 2, 10)})
+    assert [r.launch_id for r in store.read("test_launches").collect()] == ["b"]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from probelight.functions import probes
 from probelight.operators import extract
 from probelight.operators.upsert import Store
+from probelight.sources import raw_layer
 from probelight.streaming import etl, ingest_stream
 
 
@@ -44,7 +45,7 @@ def test_ingest_from_files(spark, tmp_path):
         record("test-sessions", id="s", groupId="g", testTaskId="t", builds=[{"appId": "a", "buildVersion": "2"}]), record("builds", **BUILD, commitSha="d")]))
     run()
     assert [r.status for r in store.read("instances").collect()] == ["SHUTDOWN"]
-    assert [r.build_id for r in store.read("test_session_builds").collect()] == ["g:a:2"]
+    assert [r.build_id for r in raw_layer.raw_tables(store)["session_builds"].collect()] == ["g:a:2"]
     assert [(r.id, r.commit_sha) for r in store.read("builds").collect()] == [("g:a:1", "d")]
 
 
