@@ -185,7 +185,11 @@ INDEX = "path string, offset long, length long, type string, record_id string"
 
 
 def normalise(archives: DataFrame, folder: str) -> str:
-    """Rewrites the archives of column ``path`` with a member for each record; returns the folder of the index files."""
+    """Rewrites the archives of column ``path`` with a member for each record; returns the folder of the index files.
+
+    An output is named by a digest of its archive's whole path and by its last part, so archives of one name in different
+    folders stay apart; a path that is listed twice is one archive.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _open(folder)
@@ -194,7 +198,7 @@ def normalise(archives: DataFrame, folder: str) -> str:
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 src, at = _open(path)
-                name, offset, n = path.rpartition("/")[2], 0, 0
+                name, offset, n = f"{hashlib.md5(path.encode()).hexdigest()}-{path.rpartition('/')[2]}", 0, 0
                 tmp, tmp_index = f"{root}/.{name}.{attempt}", f"{root}/index/.{name}.{attempt}"
                 with src.open_input_stream(at, compression=None) as f, fs.open_output_stream(tmp, compression=None) as out, fs.open_output_stream(tmp_index, compression=None) as index:
                     for raw in split_records(inflate(f)):

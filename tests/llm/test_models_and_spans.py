@@ -193,6 +193,23 @@ def test_warc_of_others_is_normalised(spark, tmp_path):
     ]
 
 
+def test_warc_archives_of_one_name_stay_apart(spark, tmp_path):
+    paths = []
+    for folder, n in (("a", 3), ("b", 2)):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "crawl.warc.gz").write_bytes(gzip.compress(b"".join(warc.record(k, folder, folder.encode() * (5 << 20 if k else 1), None) for k in range(n))))
+        paths.append((f"file://{tmp_path}/{folder}/crawl.warc.gz",))
+    archives = spark.createDataFrame([*paths, paths[0]], "path string")
+    got = warc.read_records(warc.read_index(spark, warc.normalise(archives, f"file://{tmp_path}/m"))).collect()
+    assert sorted((r.url, len(r.payload)) for r in got) == [("a", 1), ("a", 5 << 20), ("a", 5 << 20), ("b", 1), ("b", 5 << 20)]
+
+
+def test_warc_columns_that_clash(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://h/1", "x" * 2000, "c", "c", 1), (2, "http://h/2", "x" * 2000, "c", "c", 2)], "page_id long, url string, html string, refers_to string, digest string, n long")
+    got = warc.archive_and_read(pages, f"file://{tmp_path}/c").collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to_page) for r in got) == [(1, "revisit", 2), (2, "response", None)]
+
+
 @pytest.mark.parametrize("cut", [1, 8, 9, 200])
 def test_warc_truncated_streams_are_errors(cut):
     import io
