@@ -6,7 +6,7 @@ before the shuffle and no user function is needed; a popcount is ``sum(bit_count
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WORD = 60
@@ -54,6 +54,15 @@ def or_by(df: DataFrame, keys: list[str], words: str = "probes", width: int | No
     return by_word.groupBy(*keys).agg(F.when(F.count("_i") > 0, vector).alias(words), *outer)
 
 
+def running_or(df: DataFrame, keys: list[str], order: str, words: str = "probes") -> DataFrame:
+    """The rows with ``words`` OR-ed with those of all earlier rows of their key; one row for each key and ``order``."""
+    w = Window.partitionBy(*keys, "_i").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rest = [c for c in df.columns if c not in (*keys, order, words)]
+    parts = df.select(*keys, order, *rest, F.posexplode(words).alias("_i", "_w")).withColumn("_w", F.bit_or("_w").over(w))
+    vector = F.transform(F.array_sort(F.collect_list(F.struct("_i", "_w"))), lambda x: x["_w"])
+    return parts.groupBy(*keys, order).agg(vector.alias(words), *(F.first(c).alias(c) for c in rest)).select(df.columns)
+
+
 def checked_or_by(df: DataFrame, keys: list[str], n: str, words: str = "probes", width: int | None = None, **aggs: Column) -> DataFrame:
     """As ``or_by``, but null vectors or unequal lengths (column ``n``) under one key raise an error."""
     null = F.col("_null")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from probelight.functions import probes
@@ -51,6 +51,18 @@ def method_daily_coverage(facts: DataFrame, width: int | None = None) -> DataFra
     return _fold(facts, DAY_KEYS, width)
 
 
+def coverage_snapshots(daily: DataFrame, width: int | None = None) -> DataFrame:
+    """Daily coverage summed up: for each month that a key has rows in, the OR of all its days to the month's end.
+
+    A snapshot holds from ``month`` (its first day) until before ``until``, the key's next one (null: for good).  So what a
+    key had covered before a day is one snapshot and the days of that day's month.
+    """
+    keys = [c for c in DAY_KEYS if c != "day"]
+    months = probes.or_by(daily.select(*keys, F.trunc("day", "month").alias("month"), "probes"), [*keys, "month"], width=width)
+    out = probes.running_or(months, keys, "month")
+    return out.withColumn("until", F.lead("month").over(Window.partitionBy(*keys).orderBy("month")))
+
+
 def session_coverage(facts: DataFrame, width: int | None = None) -> DataFrame:
     return _fold(has_session(facts), SESSION_KEYS, width, created_at_day=F.max("day"))
 

@@ -39,6 +39,29 @@ def _covered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     return probes.or_by(df.select(*keys, "probes"), keys).withColumnRenamed("probes", name)
 
 
+def days_before(t: Tables, wanted: DataFrame, given: Sequence[Column | None], period_from=None, before_build: bool = True) -> DataFrame:
+    """(build_id, method, probes): coverage of wanted (build, method, created_day) by any build, up to the build's day.
+
+    With snapshots (``transform.coverage_snapshots``) a key's past is one row, that of the last month before the build's,
+    and only the days of the build's own month are read beside it.  A period with a start needs the days themselves.
+    """
+    days = where_given(t["method_daily_coverage"], *given, F.col("day") >= F.lit(period_from) if period_from is not None else None)
+    if not before_build:
+        return days.select(*METHOD, "probes").join(wanted.drop("created_day"), METHOD)
+    month = F.trunc("created_day", "month")
+    if period_from is None and has(t, "coverage_snapshots"):
+        past = where_given(t["coverage_snapshots"], *given).select(*METHOD, "month", "until", "probes")
+        past = past.join(wanted.withColumn("_month", month), METHOD).filter("month < _month AND (until IS NULL OR until >= _month)")
+        now = days.withColumn("_month", F.trunc("day", "month")).select(*METHOD, "_month", "day", "probes")
+        now = now.join(wanted.withColumn("_month", month), [*METHOD, "_month"]).filter("day <= created_day")
+        return past.select("build_id", *METHOD, "probes").unionByName(now.select("build_id", *METHOD, "probes"))
+    return days.select(*METHOD, "day", "probes").join(wanted, METHOD).filter("day <= created_day").select("build_id", *METHOD, "probes")
+
+
+def has(t: Tables, name: str) -> bool:
+    return name in t or name in getattr(t, "makers", ())
+
+
 def methods_with_coverage(t: Tables, builds: Sequence[str], baseline: str | None = None, package_like=None, class_like=None, name_like=None, env_ids=None, branches=None, tags=None, task_ids=None, results=None, period_from=None, include_smart: bool = True, smart_before_build: bool = True) -> DataFrame:
     """Methods of ``builds`` (of which those new or modified against ``baseline``) with probe counts both ways."""
     if not builds:
@@ -51,10 +74,8 @@ def methods_with_coverage(t: Tables, builds: Sequence[str], baseline: str | None
     own = where_given(t["build_method_coverage"].filter(F.col("build_id").isin(list(builds))), *given, since("created_at_day"))
     out = base.join(_covered(own, ["build_id", *METHOD], "_own"), ["build_id", *METHOD], "left")
     if include_smart:
-        days = where_given(t["method_daily_coverage"], *given, among("branch", branches), since("day")).select(*METHOD, "day", "probes")
         wanted = base.select("build_id", *METHOD).join(t["builds"].select("build_id", "created_day"), "build_id")
-        hit = days.join(wanted, METHOD)
-        hit = hit.filter("day <= created_day") if smart_before_build else hit
+        hit = days_before(t, wanted, [*given, among("branch", branches)], period_from, smart_before_build)
         out = out.join(_covered(hit, ["build_id", *METHOD], "_any"), ["build_id", *METHOD], "left")
     else:
         out = out.withColumn("_any", F.lit(None).cast("array<bigint>"))

@@ -28,6 +28,7 @@ MAKERS = {
     "test_facts": lambda t: facts(t)[1],
     "build_method_coverage": lambda t: transform.build_method_coverage(both(t), WORDS),
     "method_daily_coverage": lambda t: transform.method_daily_coverage(both(t), WORDS),
+    "coverage_snapshots": lambda t: transform.coverage_snapshots(t["method_daily_coverage"], WORDS),
     "session_coverage": lambda t: transform.session_coverage(both(t), WORDS),
     "definition_coverage": lambda t: transform.definition_coverage(t["test_facts"], WORDS),
     "mapping": lambda t: transform.test_to_code_mapping(t["test_facts"]),

@@ -57,6 +57,8 @@ _add("f2_methods_with_coverage_vs_baseline", lambda t: coverage.methods_with_cov
 _ROLL = "SELECT app_id, build_id, sum(probes_count)::BIGINT AS total_probes, count(*) AS total_methods, " + ", ".join(f"sum({k}_covered)::BIGINT AS {k}_covered, count(*) FILTER ({k}_covered > 0) AS {k}_covered_methods, (sum(probes_count) - sum({k}_covered))::BIGINT AS {k}_missed, sum({k}_covered)::DOUBLE / sum(probes_count) AS {k}_ratio" for k in ("isolated", "aggregated")) + " FROM f2 GROUP BY app_id, build_id"
 _add("f3_builds_with_coverage", lambda t: coverage.builds_with_coverage(t, [BUILD, BASE]).drop("group_id"), _ROLL, *_f2(_PAIR))
 _add("f3_builds_with_coverage_isolated", lambda t: coverage.builds_with_coverage(t, [BUILD, BASE], include_smart=False, tags=["t1"]).drop("group_id"), _ROLL, *_f2(_PAIR, None, "AND d.tag = 't1'", False))
+_ALL = lambda t: sorted(r.build_id for r in t["builds"].filter("app_id = 'app-0'").select("build_id").collect())
+_add("f3_all_builds_with_coverage", lambda t: coverage.builds_with_coverage(t, _ALL(t)).drop("group_id"), _ROLL, *_f2("SELECT build_id FROM builds WHERE app_id = 'app-0'"))
 _add("f4_changes", lambda t: coverage.changes(t, BUILD, BASE, include_equal=True, include_deleted=True).select("signature", "class_name", "method_name", "change"), "SELECT * FROM ch", _CHANGES)
 _add("f4_changes_without_baseline", lambda t: coverage.changes(t, BUILD, None).select("signature", "change"), f"SELECT DISTINCT signature, 'new' AS change FROM build_methods b JOIN methods m ON b.app_id = m.app_id AND b.method_id = m.method_id WHERE build_id = '{BUILD}'")
 _add("f5_changes_with_coverage", lambda t: coverage.changes_with_coverage(t, BUILD, BASE, include_deleted=True).select("signature", "change", "isolated_covered", "aggregated_covered"),

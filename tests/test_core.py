@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from probelight.functions import formats, probes
-from probelight.operators import upsert
+from probelight.operators import transform, upsert
 from probelight.plans import coverage, impact, jobs, report, treemap
 from probelight.sources import payloads
 
@@ -372,3 +372,26 @@ def test_old_months_leave_the_manifest(spark, tmp_path):
     store.upsert("test_launches", spark.createDataFrame([("g", "a", dt.date(2024, 1, 1)), ("g", "b", dt.date(2024, 3, 1))], "group_id string, launch_id string, created_day date"), ["group_id", "launch_id"], "replace")
     store.delete_before("test_launches", "created_day", {"g": dt.date(2024, 2, 10)})
     assert [r.launch_id for r in store.read("test_launches").collect()] == ["b"]
+
+
+def test_snapshots_stand_for_the_days_before(spark):
+    rng = random.Random(9)
+    w = World(spark)
+    for n in (0, 40, 75, 200):
+        w.build(n, m1=(1, 70), m2=(n // 50, 3))
+    for n in (0, 40, 75, 200):
+        for k in range(40):
+            w.test(n, rng.choice("xy"), rng.choice(["PASSED", "FAILED"]), m1="".join(rng.choice("0000001") for _ in range(70)), m2=rng.choice(["100", "010", "001"]))
+    t = w.tables()
+    spread = t["method_daily_coverage"].withColumn("day", F.date_add("day", F.pmod(F.xxhash64("bits", "test"), F.lit(60)).cast("int")))
+    t["method_daily_coverage"] = spread
+    snaps = transform.coverage_snapshots(spread)
+    builds = [f"g:a:{n}" for n in (0, 40, 75, 200)]
+    rows = lambda x, **f: sorted((r.build_id, r.method_id, r.isolated_covered, r.aggregated_covered) for r in coverage.methods_with_coverage(x, builds, **f).collect())
+    for f in ({}, {"results": ["PASSED"]}, {"period_from": DAY + dt.timedelta(50)}, {"smart_before_build": False}):
+        assert rows(t, **f) == rows(t | {"coverage_snapshots": snaps}, **f)
+    wanted = coverage.methods_of(t, builds).select("build_id", "group_id", "app_id", "method_id").join(t["builds"].select("build_id", "created_day"), "build_id")
+    plain, fast = coverage.days_before(t, wanted, []).count(), coverage.days_before(t | {"coverage_snapshots": snaps}, wanted, []).count()
+    assert fast < plain / 2  # a key's past is one row
+    keys = [c for c in transform.DAY_KEYS if c != "day"]
+    assert snaps.groupBy(*keys, "month").count().filter("count > 1").count() == 0
