@@ -177,21 +177,41 @@ SELECT CASE event_type WHEN 'view' THEN 'methods' ELSE event_type END AS key, co
 WHERE event_type NOT IN ('signup', 'view') OR event_type = 'view' AND event_id % 2 = 0 GROUP BY ALL"""
 
 
-def daily_stream(spark, sf_dir: str) -> DataFrame:
-    """Daily counts of the events as a stream; each micro-batch's table replaces the one before in the shared folder."""
+def _stream_store(spark):
+    """(a store in the shared folder that goes when the application ends, a folder for checkpoints in it)."""
     from probelight.operators.upsert import Store
-    from probelight.streaming.ingest_stream import daily_counts
 
-    path = f"{sf_dir}/events*.parquet"  # a glob: a stream reads no single file
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
     root = f"{shared_dir(spark)}/daily-{uuid.uuid4().hex}"
     where = spark._jvm.org.apache.hadoop.fs.Path(root)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    store = Store(spark, root)
-    counts = daily_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")))
-    q = counts.writeStream.outputMode("complete").foreachBatch(lambda df, _: store.write("daily", df)).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return store.read("daily").select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("value", 2).alias("value"))
+    return Store(spark, root), f"{root}/checkpoint"
+
+
+def daily_stream(spark, sf_dir: str) -> DataFrame:
+    """Daily counts of the events as a stream, which keeps the open days as state and upserts the days that change."""
+    from probelight.streaming.ingest_stream import daily_counts, upsert_changes
+
+    path = f"{sf_dir}/events*.parquet"  # a glob: a stream reads no single file
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    store, checkpoint = _stream_store(spark)
+    counts = daily_counts(stream.withColumn("ts", F.col("ts").cast("timestamp"))).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n", "value")
+    upsert_changes(counts, store, "daily", ["day", "event_type"], "replace", checkpoint).awaitTermination()
+    return store.read("daily").select("day", "event_type", "n", F.round("value", 2).alias("value"))
+
+
+def daily_coverage_stream(t) -> DataFrame:
+    """Daily method coverage of the facts as a stream, one micro-batch a file in any order of time, with a late limit of all days."""
+    from probelight.operators import transform
+    from probelight.streaming.ingest_stream import daily_coverage, upsert_changes
+
+    from .derive import WORDS
+
+    facts = t["plain_facts"]  # written as Parquet below the tables' folder
+    stream = t.spark.readStream.schema(facts.schema).option("maxFilesPerTrigger", 2).parquet(f"{t.root}/plain_facts")
+    store, checkpoint = _stream_store(t.spark)
+    days = daily_coverage(stream, WORDS, "10000 days")
+    upsert_changes(days, store, "method_daily_coverage", transform.DAY_KEYS, "replace", checkpoint).awaitTermination()
+    return store.read("method_daily_coverage").drop("group_id")
 
 
 DAILY_SQL = "SELECT ts::DATE::VARCHAR AS day, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY ts::DATE, event_type"

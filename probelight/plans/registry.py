@@ -85,7 +85,9 @@ for _n, _table, _src, _key in (("session", "session_coverage", "bmsc", "session_
          f"SELECT signature, {_keys}, probes_count, covered, probes_count - covered AS missed, covered::DOUBLE / probes_count AS ratio FROM m", *_j)
     _add(f"f10_builds_by_{_n}", lambda t, x=_table: coverage.builds_by(t, x, BUILD, session=SESSION).drop("group_id"),
          f"SELECT app_id, build_id, {_keys}, sum(probes_count)::BIGINT AS total_probes, count(*) AS total_methods, sum(covered)::BIGINT AS covered, count(*) FILTER (covered > 0) AS covered_methods, (sum(probes_count) - sum(covered))::BIGINT AS missed, sum(covered)::DOUBLE / sum(probes_count) AS ratio FROM m GROUP BY app_id, build_id, {_keys}", *_j)
-_add("f13_metrics_period", lambda t: _text(t["builds"].select("build_id", F.date_sub("created_day", 30).alias("since")), "since"), "SELECT build_id, (created_day - INTERVAL 30 DAY)::DATE::VARCHAR AS since FROM builds")
+_PERIODS = lambda t: t["builds"].select(F.col("build_id").alias("group_id"), F.when(F.year("created_day") % 2 == 0, F.year("created_day") - 1990).alias("metrics_period_days"))
+_add("f13_metrics_period", lambda t: _text(report.metrics_period(_PERIODS(t), F.to_date(F.lit("2002-01-01"))).withColumnRenamed("group_id", "name"), "since"),
+     "SELECT build_id AS name, CASE WHEN y % 2 = 0 THEN DATE '2002-01-01' - (y - 1990)::INT ELSE DATE '1900-01-01' END::VARCHAR AS since FROM builds")
 
 # --- views --------------------------------------------------------------------------------------------------------
 _FLAG = ("tl", "SELECT *, (result = 'PASSED')::INT AS passed, (result = 'FAILED')::INT AS failed, (result = 'SKIPPED')::INT AS skipped, (result = 'SMART_SKIPPED')::INT AS smart_skipped, (result <> 'FAILED')::INT AS success FROM launches")
@@ -180,6 +182,8 @@ _later = lambda t: t["raw_methods"].select("group_id", "app_id", "method_id", F.
 _OLD = "EXISTS (SELECT 1 FROM raw_build_methods b WHERE b.app_id = m.app_id AND b.method_id = m.method_id AND b.created_day < DATE '1998-01-01')"
 _add("u2_keep_upsert", lambda t: upsert.merged(_first(t), _later(t), ["group_id", "app_id", "method_id"], "keep").drop("group_id"), f"SELECT app_id, method_id, CASE WHEN {_OLD} THEN 'old' ELSE 'new' END AS batch FROM raw_methods m")
 _add("u3_replace_upsert", lambda t: upsert.merged(_later(t), _first(t), ["group_id", "app_id", "method_id"], "replace").drop("group_id"), f"SELECT app_id, method_id, CASE WHEN {_OLD} THEN 'old' ELSE 'new' END AS batch FROM raw_methods m")
+_LAST = lambda t: t["launches"].select("group_id", F.col("definition_id").alias("id"), "launch_id", "result", F.struct("created_at", "launch_id").alias("at"))
+_add("u3_replace_upsert_of_repeated_keys", lambda t: upsert.merged(_LAST(t).drop("at").limit(0), _LAST(t), ["group_id", "id"], "replace", order="at").drop("group_id"), "SELECT definition_id AS id, arg_max(launch_id, (created_at, launch_id)) AS launch_id, arg_max(result, (created_at, launch_id)) AS result FROM launches GROUP BY definition_id")
 _add("u7_delete_by_group", lambda t: upsert.without_keys(t["raw_methods"], t["rules"].select("group_id", "app_id").filter("app_id = 'app-1'"), ["group_id", "app_id"]).select("app_id", "method_id"), "SELECT app_id, method_id FROM raw_methods WHERE app_id <> 'app-1'")
 
 # --- reports ------------------------------------------------------------------------------------------------------
@@ -222,20 +226,23 @@ _TREE = (
     ("kid", "SELECT up AS path, count(*) AS kids, bool_or(is_leaf) AS has_leaf FROM tab WHERE up IS NOT NULL GROUP BY up"),
     ("mk", "SELECT tab.*, (tab.up IS NOT NULL AND p.kids = 1 AND NOT coalesce(k.has_leaf, false)) AS merges FROM tab LEFT JOIN kid p ON tab.up = p.path LEFT JOIN kid k ON tab.path = k.path"),
 )
-_add("r14_treemap", lambda t: treemap.treemap(coverage.methods_with_coverage(t, [BUILD]), covered="aggregated_covered"),
-     """SELECT name, path AS full_name, parent, CASE WHEN is_leaf THEN 'method' ELSE 'node' END AS type, n AS probes_count, c AS covered_probes, c::DOUBLE / n AS coverage_ratio
-     FROM ch2 WHERE NOT EXISTS (SELECT 1 FROM mk x WHERE x.up = ch2.path AND x.merges)""", *_f2(f"'{BUILD}'"), *_TREE, ("ch2", """
+_TREE_SQL = """SELECT name, path AS full_name, parent, CASE WHEN is_leaf THEN 'method' ELSE 'node' END AS type, n AS probes_count, c AS covered_probes, c::DOUBLE / n AS coverage_ratio
+     FROM ch2 WHERE NOT EXISTS (SELECT 1 FROM mk x WHERE x.up = ch2.path AND x.merges)"""
+_WALK = ("ch2", """
        SELECT * FROM (WITH RECURSIVE walk AS (
          SELECT path, last AS name, up AS parent, is_leaf, n, c FROM mk WHERE NOT merges
          UNION ALL
          SELECT m.path, w.name || '/' || m.last, w.parent, m.is_leaf, m.n, m.c FROM mk m JOIN walk w ON m.up = w.path WHERE m.merges
-       ) SELECT * FROM walk)"""))
-_add("r15_changes_treemap", lambda t: treemap.treemap(coverage.changes_with_coverage(t, BUILD, BASE, include_deleted=True), covered="isolated_covered").filter("type = 'method'").agg(F.count("*").alias("n"), F.sum("probes_count").alias("probes"), F.sum("covered_probes").alias("covered")),
-     "SELECT count(*) AS n, sum(probes)::BIGINT AS probes, sum(covered)::BIGINT AS covered FROM (SELECT ch.signature, max(CASE WHEN b.build_id = '" + BUILD + "' THEN m.probes_count END) AS p1, coalesce(max(CASE WHEN b.build_id = '" + BUILD + "' THEN m.probes_count END), max(m.probes_count)) AS probes, coalesce(max(f2.isolated_covered), 0) AS covered FROM ch JOIN methods m ON m.signature = ch.signature JOIN build_methods b ON b.method_id = m.method_id AND b.app_id = m.app_id LEFT JOIN f2 ON f2.signature = ch.signature WHERE change <> 'equal' AND b.build_id IN (" + _PAIR + ") GROUP BY ch.signature)", _CHANGES, *_f2(f"'{BUILD}'", BASE))
+       ) SELECT * FROM walk)""")
+_add("r14_treemap", lambda t: treemap.treemap(coverage.methods_with_coverage(t, [BUILD]), covered="aggregated_covered"), _TREE_SQL, *_f2(f"'{BUILD}'"), *_TREE, _WALK)
+_LEAF15 = ("f15", "SELECT any_value(class_name) AS class_name, any_value(method_name) AS method_name, any_value(method_params) AS method_params, any_value(return_type) AS return_type, probes_count, aggregated_covered, signature FROM (SELECT ch.signature, m.class_name, m.method_name, m.method_params, m.return_type, coalesce(max(CASE WHEN b.build_id = '" + BUILD + "' THEN m.probes_count END), max(m.probes_count)) AS probes_count, coalesce(max(f2.isolated_covered), 0) AS aggregated_covered FROM ch JOIN methods m ON m.signature = ch.signature JOIN build_methods b ON b.method_id = m.method_id AND b.app_id = m.app_id LEFT JOIN f2 ON f2.signature = ch.signature WHERE change <> 'equal' AND b.build_id IN (" + _PAIR + ") GROUP BY ALL) GROUP BY signature, probes_count, aggregated_covered")
+_add("r15_changes_treemap", lambda t: treemap.treemap(coverage.changes_with_coverage(t, BUILD, BASE, include_deleted=True), covered="isolated_covered"),
+     _TREE_SQL, _CHANGES, *_f2(f"'{BUILD}'", BASE), _LEAF15, *((n, q.replace("FROM f2", "FROM f15")) for n, q in _TREE), _WALK)
 
 # --- ingest and streams -------------------------------------------------------------------------------------------
 for _name, (_job, _query, *_more) in (ingest_queries.REGISTERED | etl_queries.REGISTERED).items():
     _add(_name, _job, _query, *_more)
+_add("s9_daily_coverage_stream", lambda t: _text(_cov(ingest_queries.daily_coverage_stream(t).withColumn("group_id", F.lit("g1"))), "day"), "SELECT app_id, method_id, day::VARCHAR AS day, branch, env_id, result, tag, task_id, " + _BITS + " AS bits FROM f3 GROUP BY app_id, method_id, f3.day, branch, env_id, result, tag, task_id")
 _add("e2e_records_to_methods_with_coverage", lambda t: end_to_end.methods_with_coverage(t, BUILD).select(*_F2_COLS), _F2, *_f2(f"'{BUILD}'"))
 _add("e2e_records_to_impact_of_all_tests", lambda t: end_to_end.impacted_tests(t, BUILD, BASE).select("definition_id", "test_path", "test_name", "impacted_methods", "status"), "SELECT * FROM imp", _CHANGES, _MAP, _IMP)
 _add("e2e_refreshed_pipelines", end_to_end.refreshed, f"SELECT unnest([{', '.join(repr(p) for p in end_to_end.SCHEDULED)}]) AS pipeline, 'SUCCESS' AS status, '{etl_queries.END}' AS until")

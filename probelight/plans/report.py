@@ -86,6 +86,11 @@ def methods_count(t: Tables, build: str, **filters) -> DataFrame:
     return coverage.get_methods(t, build, **filters).agg(F.count("*").alias("n"))
 
 
+def metrics_period(settings: DataFrame, today: Column) -> DataFrame:
+    """(group_id, since): the first day that a group's metrics go back to; without a period of its own 1900-01-01."""
+    return settings.select("group_id", F.coalesce(F.date_sub(today, F.col("metrics_period_days").cast("int")), F.to_date(F.lit("1900-01-01"))).alias("since"))
+
+
 def refresh_status(metadata: DataFrame) -> DataFrame:
     """Per group the worst status, the last watermark, summed durations and rows, and joined errors."""
     order = F.expr("CASE status WHEN 'FAILED' THEN 1 WHEN 'EXTRACTING' THEN 2 WHEN 'LOADING' THEN 3 ELSE 4 END")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from probelight.functions import probes
+from probelight.operators import transform
 from probelight.operators.upsert import Store
 from probelight.sources import payloads
 
@@ -84,3 +86,26 @@ def run(stream: DataFrame, store: Store, checkpoint: str, **trigger) -> Streamin
 def daily_counts(stream: DataFrame, delay: str = "1 day") -> DataFrame:
     """Tumbling daily counts by event type with a watermark for late events."""
     return stream.withWatermark("ts", delay).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
+
+
+def daily_coverage(facts: DataFrame, width: int, delay: str = "1 day") -> DataFrame:
+    """The fold of method_daily_coverage over a stream of facts with their time ``at``: one state row for each open day and key.
+
+    Facts later than the watermark are dropped, and days before it leave the state.  ``width``: the most words of a vector.
+    """
+    keys = [c for c in transform.DAY_KEYS if c != "day"]
+    words = facts.select(*keys, F.col("at").cast("timestamp").alias("at"), probes.to_words(F.col("probes")).alias("probes"))
+    by_day = words.withWatermark("at", delay).groupBy(F.window("at", "1 day").alias("_window"), *keys)
+    size = F.max(F.when(F.size("probes") > width, F.raise_error(F.lit(f"a vector has more than {width} words")).cast("int")).otherwise(F.size("probes")))
+    vector = F.slice(F.array(*(F.bit_or(F.get("probes", k)) for k in range(width))), F.lit(1), size)
+    return by_day.agg(vector.alias("probes")).select(*keys, F.to_date("_window.start").alias("day"), "probes")
+
+
+def upsert_changes(changes: DataFrame, store: Store, table: str, keys: list[str], policy: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Writes the rows that each micro-batch changed (``update`` mode) into a table by key, so closed windows need no state.
+
+    A batch that is run again changes nothing, as a window's row has all that the window had so far.
+    """
+    trigger = trigger or {"availableNow": True}
+    write = lambda df, _: store.upsert(table, df, keys, policy)
+    return changes.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()

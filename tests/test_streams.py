@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from probelight.functions import probes
-from probelight.operators import extract
+from probelight.operators import extract, transform
 from probelight.operators.upsert import Store
 from probelight.sources import raw_layer
 from probelight.streaming import etl, ingest_stream
@@ -167,3 +167,20 @@ def test_the_last_of_repeated_rows_replaces(spark, tmp_path):
     t["launches"] = spark.createDataFrame([("g", "l", "t", "s", r, 5, at(d)) for r, d in (("PASSED", 3), ("FAILED", 4), ("SKIPPED", 2))], t["launches"].schema)
     etl.run_etl(store, t, "g", ["test_launches"], until=at(9))
     assert [r.result for r in store.read("test_launches").collect()] == ["FAILED"]
+
+
+def test_daily_fold_as_a_stream_drops_closed_days(spark, tmp_path):
+    ddl = "group_id string, app_id string, method_id string, branch string, env_id string, result string, tag string, task_id string, at timestamp_ntz, probes string"
+    row = lambda day, m, bits: ("g", "a", m, "main", "e", None, None, None, at(day, 5), bits)
+    batches = [[row(1, "m", "100"), row(1, "m", "001"), row(1, "n", "1" * 70)], [row(1, "m", "010"), row(2, "m", "100")], [row(9, "m", "001")], [row(9, "m", "100"), row(9, "n", "0" * 69 + "1")]]
+    store, state = Store(spark, f"file://{tmp_path}/s"), []
+    for rows in batches:
+        spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        days = ingest_stream.daily_coverage(spark.readStream.schema(ddl).parquet(f"file://{tmp_path}/in"), 2)
+        q = ingest_stream.upsert_changes(days, store, "method_daily_coverage", transform.DAY_KEYS, "replace", f"file://{tmp_path}/ck")
+        q.awaitTermination()
+        state.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
+    assert state[1] == max(state) > state[3] > state[2] > 0  # three open keys, then one of day 9 and two: days 1 and 2 are gone
+    facts = spark.createDataFrame([r for b in batches for r in b], ddl).withColumn("day", F.to_date("at"))
+    rows = lambda df: sorted((str(r.day), r.method_id, tuple(r.probes)) for r in df.collect())
+    assert rows(store.read("method_daily_coverage")) == rows(transform.method_daily_coverage(facts))
