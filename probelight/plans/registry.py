@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from datetime import datetime
 
@@ -149,9 +150,11 @@ for _name, _f, _t, _days in (
     ("p12_definition_coverage", lambda t: transform.definition_coverage(t["test_facts"]), "SELECT app_id, build_id, method_id, session_id, definition_id, env_id, result, created_at_day::VARCHAR AS created_at_day, " + bits("probes") + " AS bits FROM bmdc", ("created_at_day",)),
 ):
     _add(_name, lambda t, f=_f, d=_days: _text(_cov(f(t)), *d), _t)
-_add("p17_test_to_code_mapping", lambda t: _text(t["mapping"].drop("group_id"), "updated_at_day"), "SELECT app_id, signature, definition_id, branch, env_id, task_id, updated_at_day::VARCHAR AS updated_at_day FROM mapping")
+_add("p17_test_to_code_mapping", lambda t: _text(transform.test_to_code_mapping(t["test_facts"]).drop("group_id"), "updated_at_day"), "SELECT app_id, signature, definition_id, branch, env_id, task_id, updated_at_day::VARCHAR AS updated_at_day FROM mapping")
 _add("p18_session_builds_from_launches", lambda t: transform.has_session(t["test_facts"]).select("app_id", "build_id", "session_id").distinct(), "SELECT DISTINCT app_id, build_id, session_id FROM f4")
 _add("p11_session_builds_from_coverage", lambda t: transform.has_session(t["plain_facts"]).select("app_id", "build_id", "session_id").distinct(), "SELECT DISTINCT app_id, build_id, session_id FROM f3 WHERE session_id IS NOT NULL")
+_add("t9_chain", lambda t: transform.chain(transform.has_session_and_definition, transform.passed_only, transform.keep("tag IS NOT NULL"), lambda df: df.groupBy("app_id", "definition_id", "tag").agg(F.count_distinct("method_id").alias("n")))(t["test_facts"]),
+     "SELECT app_id, definition_id, tag, count(DISTINCT method_id) AS n FROM f4 WHERE result = 'PASSED' AND tag IS NOT NULL GROUP BY ALL")
 _add("p3_methods", lambda t: transform.last_of(extract.build_methods(extract.Raw(t)).select("app_id", "method_id", "signature", "probes_count", "at"), ["app_id", "method_id"], "at").drop("at"), "SELECT DISTINCT m.app_id, m.method_id, signature, probes_count FROM build_methods b JOIN methods m ON b.app_id = m.app_id AND b.method_id = m.method_id")
 
 # --- upserts ------------------------------------------------------------------------------------------------------
@@ -166,9 +169,13 @@ def _halves(t) -> tuple[DataFrame, DataFrame]:
     return out[0], out[1]
 
 
-_OR_SQL = "SELECT app_id, build_id, method_id, env_id, result, tag, task_id, " + bits("probes") + " AS bits FROM bmc"
-_add("u4_or_upsert", lambda t: _cov(upsert.merged(*_halves(t), _KEYS, "or")).drop("updated_at_day"), _OR_SQL)
-_add("u4_or_upsert_of_repeated_keys", lambda t: _cov(upsert.merged(_halves(t)[0].limit(0), _halves(t)[0].unionByName(_halves(t)[1]), _KEYS, "or")).drop("updated_at_day"), _OR_SQL)
+_OR_SQL = "SELECT app_id, build_id, method_id, env_id, result, tag, task_id, max(day)::VARCHAR AS updated_at_day, " + _BITS + " AS bits FROM f34 GROUP BY app_id, build_id, method_id, env_id, result, tag, task_id"
+_K = "app_id, build_id, method_id, env_id, result, tag, task_id"
+_SAME = " AND ".join(f"a.{k} IS NOT DISTINCT FROM b.{k}" for k in _K.split(", "))
+_add("u4_or_upsert", lambda t: _text(_cov(upsert.merged(*_halves(t), _KEYS, "or")), "updated_at_day"),
+     f"SELECT {', '.join(f'coalesce(a.{k}, b.{k}) AS {k}' for k in _K.split(', '))}, (CASE WHEN a.d IS NULL OR (b.d IS NOT NULL AND a.p | b.p <> a.p) THEN b.d ELSE a.d END)::VARCHAR AS updated_at_day, {bits('CASE WHEN a.p IS NULL THEN b.p WHEN b.p IS NULL THEN a.p ELSE a.p | b.p END')} AS bits FROM h1 a FULL JOIN h2 b ON {_SAME}",
+     *((n, f"SELECT {_K}, bit_or(probes) AS p, max(day) AS d FROM f34 WHERE month(day) {c} 6 GROUP BY {_K}") for n, c in (("h1", "<="), ("h2", ">"))))
+_add("u4_or_upsert_of_repeated_keys", lambda t: _text(_cov(upsert.merged(_halves(t)[0].limit(0), _halves(t)[0].unionByName(_halves(t)[1]), _KEYS, "or")), "updated_at_day"), _OR_SQL)
 
 
 def _mapping_halves(t):
@@ -190,6 +197,8 @@ _add("u7_delete_by_group", lambda t: upsert.without_keys(t["raw_methods"], t["ru
 _add("r1_applications", report.applications, "SELECT DISTINCT group_id, app_id FROM builds")
 _add("r2_builds", lambda t: report.page(report.builds(t, branch="main", env_ids=["A"]).orderBy(*report.version_order(), "build_id"), 1, 5).select("build_id", "build_version"),
      "SELECT build_id, build_version FROM builds b WHERE branch = 'main' AND EXISTS (SELECT 1 FROM instances i WHERE i.build_id = b.build_id AND env_id = 'A') ORDER BY split_part(build_version, '.', 1), split_part(build_version, '.', 2), split_part(build_version, '.', 3), build_id LIMIT 5")
+_FILTERS = (("none", {}, "true"), ("branch", {"branch": "dev"}, "branch = 'dev'"), ("commit", {"commit": "c1997"}, "commit_sha = 'c1997'"), ("app and version", {"app": "app-1", "version": "1998.3.0"}, "app_id = 'app-1' AND build_version = '1998.3.0'"), ("environment", {"env_ids": ["R"]}, "EXISTS (SELECT 1 FROM instances i WHERE i.build_id = b.build_id AND env_id = 'R')"))
+_add("r17_optional_filters", lambda t: functools.reduce(DataFrame.unionByName, [report.builds(t, **f).select(F.lit(n).alias("given"), "build_id") for n, f, _ in _FILTERS]), " UNION ALL ".join(f"SELECT '{n}' AS given, build_id FROM builds b WHERE {q}" for n, _, q in _FILTERS))
 _add("r3_builds_count", lambda t: report.builds(t, branch="main", env_ids=["A"]).agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM builds b WHERE branch = 'main' AND EXISTS (SELECT 1 FROM instances i WHERE i.build_id = b.build_id AND env_id = 'A')")
 _add("r4_build_exists", lambda t: report.build_exists(t, BUILD), f"SELECT build_id FROM builds WHERE build_id = '{BUILD}'")
 _add("r5_coverage_page", lambda t: report.page(coverage.methods_with_coverage(t, [BUILD]).select("signature", "isolated_covered", "aggregated_covered").orderBy("signature"), 2, 50), "SELECT signature, isolated_covered, aggregated_covered FROM f2 ORDER BY signature LIMIT 50 OFFSET 50", *_f2(f"'{BUILD}'"))

@@ -8,6 +8,7 @@ asks for it.  The folder goes when the application ends.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,16 +55,27 @@ def metric_tables(store) -> dict[str, DataFrame]:
     return {k: df.withColumnRenamed("updated_at_day", "created_at_day") if k.endswith("_coverage") else df for k, df in found.items() if df is not None}
 
 
-_kept: dict[tuple[str, str], Tables] = {}
+_kept: dict[tuple[str, str], tuple[tuple, Tables]] = {}
+
+
+def _files(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of an input's tables, by which a rewritten one is known."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = []
+    for s in fs.listStatus(where):
+        inside = fs.listStatus(s.getPath()) if s.isDirectory() else [s]
+        out += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in inside]
+    return tuple(sorted(out))
 
 
 def tables(spark: SparkSession, sf_dir: str, make: Callable[[], Tables]) -> Tables:
-    """The tables of an input, kept for the application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _kept:
+    """The tables of an input, kept for the application as long as the input's files are the same."""
+    key, files = (spark.sparkContext.applicationId, sf_dir), _files(spark, sf_dir)
+    if key not in _kept or _kept[key][0] != files:
         t = make()
-        t.root = f"{shared_dir(spark)}/coverage-{len(_kept)}-{key[0]}"
+        t.root = f"{shared_dir(spark)}/coverage-{uuid.uuid4().hex}"
         where = spark._jvm.org.apache.hadoop.fs.Path(t.root)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-        _kept[key] = t
-    return _kept[key]
+        _kept[key] = (files, t)
+    return _kept[key][1]
