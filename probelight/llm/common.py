@@ -46,6 +46,13 @@ def _fs(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def open_folder(path: str):
+    """(file system, path in it) of a folder that tasks share."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; whatever is there goes when the application ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -10,9 +10,10 @@ that reaches the width, or a whole short item ends, the words of that window are
   document: from the first byte of a span's first word to the last byte of its last one.
 
 Items are cut into overlapping pieces and dealt by hash into blocks of some ``block_words`` words.  Tasks build a block's
-automaton, whose moves are packed in arrays (most states have one move), so a block is some megabytes whatever the
-benchmark.  ``BLOCKS_A_SCAN`` blocks are broadcast at a time and the documents are scanned once for all of these.  Only runs
-of words that a block's items know, at least as long as its shortest window, are streamed; others can't match.
+automaton, packed in arrays (most states have one move), so a block is of bounded size whatever the benchmark (README has
+the figures).  Documents are scanned once: up to ``BLOCKS_A_SCAN`` blocks are broadcast; of more, a task holds so many at a
+time and takes each slice of its documents through all of them, reading the blocks from the shared folder.  Only runs of
+words that a block's items know, at least as long as its shortest window, are streamed; others can't match.
 
 Null or empty text has no words.  Items with null text have none either; items with a null id hit words but aren't
 counted or listed.  Repeated ids count once, repeated rows are judged alike.  Very long texts stream.  Ties don't arise.  An
@@ -28,11 +29,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import materialize, slices, table, utf8, without
+from .common import fresh_path, materialize, open_folder, slices, table, utf8, without
 
 WIDTH, SHARE, MOST_WORDS = 13, 20, 20
 BLOCK_WORDS, BLOCKS_A_SCAN, PIECE = 100_000, 8, 4096
@@ -49,8 +52,8 @@ def norm_words(text: bytes) -> list[bytes]:
 class Automaton:
     """Suffix automaton of several word sequences.
 
-    Per state: longest length, suffix link and one move in arrays, further moves in one dictionary by state and word; the
-    windows that end at a state, by length, with their items.
+    Per state, in arrays: longest length, suffix link, one move, and where its windows begin in two more arrays, of their
+    lengths and items; further moves in one dictionary by state and word.
     """
 
     def __init__(self, items: list[tuple[str | None, list[bytes], bool]], width: int = WIDTH):
@@ -73,7 +76,9 @@ class Automaton:
                     self.more[state * len(self.vocab) + w] = to
                 else:
                     self.word[state], self.to[state] = w, to
-        self.windows: dict[int, dict[int, set]] = {}  # state -> window length -> items
+        windows: set[tuple[int, int, int]] = set()  # (state, window length, place of the item's id)
+        self.ids = list(dict.fromkeys(item for item, _, _ in items))
+        place = {item: k for k, item in enumerate(self.ids)}
         self.shortest = width
         for (item, _, short), ids in zip(items, seqs):  # states are final now: note where each item's windows end
             state, n = 0, 0
@@ -81,12 +86,15 @@ class Automaton:
                 state, n = self.step(state, n, w)
                 size = len(ids) if short else width
                 if n >= size:
-                    self.windows.setdefault(self._of(state, size), {}).setdefault(size, set()).add(item)
+                    windows.add((self._of(state, size), size, place[item]))
                     self.shortest = min(self.shortest, size)
         # nearest state on the suffix path, itself included, at which some window ends
+        ends = np.array(sorted(windows), np.int32).reshape(-1, 3)
+        self.first = array("i", np.searchsorted(ends[:, 0], np.arange(len(link) + 1)).astype(np.int32).tobytes())  # a state's windows: from its place here to the next state's
+        self.size, self.item = array("i", ends[:, 1].tobytes()), array("i", ends[:, 2].tobytes())
         self.near = array("i", [-1]) * len(link)
         for s in sorted(range(len(link)), key=self.length.__getitem__):
-            self.near[s] = s if s in self.windows else self.near[self.link[s]] if self.link[s] >= 0 else -1
+            self.near[s] = s if self.first[s] < self.first[s + 1] else self.near[self.link[s]] if self.link[s] >= 0 else -1
 
     def _new(self, longest: int, to: int, out: dict) -> int:
         length, link, moves = self._parts
@@ -144,10 +152,10 @@ class Automaton:
             state, n = self.step(state, n, w)
             s, longest = self.near[state], 0
             while s >= 0:
-                for k, who in self.windows[s].items():
-                    if k <= n:
-                        longest = max(longest, k)
-                        items |= who
+                for e in range(self.first[s], self.first[s + 1]):
+                    if self.size[e] <= n:
+                        longest = max(longest, self.size[e])
+                        items.add(self.ids[self.item[e]])
                 s = self.near[self.link[s]] if self.link[s] >= 0 else -1
             if longest:
                 spans.append((at + 1 - longest, at + 1))
@@ -180,8 +188,8 @@ def _known_runs(known: np.ndarray, least: int) -> list[tuple[int, int]]:
     return runs[runs[:, 1] - runs[:, 0] >= least].tolist()
 
 
-def automata(benchmark: DataFrame, id_col: str, text_col: str, width: int, block_words: int) -> tuple[DataFrame, int]:
-    """(block, automaton) as rows in the shared folder, and the number of blocks; tasks build them."""
+def automata(benchmark: DataFrame, id_col: str, text_col: str, width: int, block_words: int) -> tuple[str, int]:
+    """The folder of the automata by block, in the shared folder, and the number of blocks; tasks build them."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t"):
@@ -205,30 +213,46 @@ def automata(benchmark: DataFrame, id_col: str, text_col: str, width: int, block
 
     # several items may be equal: the item's id takes part in the hash
     dealt = pieces.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(max(n_blocks, 1))))
-    return materialize(dealt.groupBy("block").applyInArrow(build, "block long, automaton binary"), "automata"), n_blocks
+    made = dealt.groupBy("block").applyInArrow(build, "block long, automaton binary")
+    folder = fresh_path(benchmark.sparkSession, "automata")
+    made.write.partitionBy("block").parquet(folder)  # a folder for each block, that tasks can open
+    return folder, n_blocks
+
+
+def _opened(folder: str, blocks: range) -> list[Automaton]:
+    """Automata of some blocks from the shared folder; a block that no item fell into has none."""
+    out = []
+    for k in blocks:
+        fs, root = open_folder(f"{folder}/block={k}")
+        for f in fs.get_file_info(pyarrow.fs.FileSelector(root, allow_not_found=True)):
+            if f.path.endswith(".parquet"):
+                out += [pickle.loads(x) for x in pq.read_table(f.path, filesystem=fs, columns=["automaton"]).column(0).to_pylist()]
+    return out
 
 
 FOUND = "n_words long, starts array<long>, ends array<long>, items array<string>"
 
 
-def _scan(shared, text_col: str, names: list[str], into: str):
-    """Adds column ``into`` (of FOUND), or adds to it where it is there already."""
+def _scan(groups: list, load, text_col: str, names: list[str], into: str):
+    """Adds column ``into`` (of FOUND); ``load`` gives a group's automata, which are kept if there is one group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        autos: list[Automaton] = [pickle.loads(x) for x in shared.value]
+        kept = load(groups[0]) if len(groups) == 1 else None
         kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()))
         for batch in slices(batches, text_col):
-            rows = []
-            before = batch.column(into).to_pylist() if into in batch.schema.names else [None] * batch.num_rows
-            for text, old in zip(utf8(batch.column(text_col)), before):
-                ws = norm_words(text)
-                spans, who = (list(zip(old["starts"], old["ends"])), set(old["items"])) if old else ([], set())
-                for auto in autos:
-                    found, mine = auto.find(ws)
-                    spans += found
-                    who |= mine
-                spans = merge(spans)
-                rows.append((len(ws), [a for a, _ in spans], [b for _, b in spans], sorted(x for x in who if x is not None)))
+            texts = utf8(batch.column(text_col))
+            sizes, spans, who = [0] * len(texts), [[] for _ in texts], [set() for _ in texts]
+            for g in groups:
+                autos = load(g) if kept is None else kept
+                for k, text in enumerate(texts):
+                    ws = norm_words(text)
+                    sizes[k] = len(ws)
+                    for auto in autos:
+                        found, mine = auto.find(ws)
+                        spans[k] += found
+                        who[k] |= mine
+                    spans[k] = merge(spans[k])
+            rows = [(n, [a for a, _ in x], [b for _, b in x], sorted(i for i in w if i is not None)) for n, x, w in zip(sizes, spans, who)]
             cols = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
             struct = pa.StructArray.from_arrays(cols, names=["n_words", "starts", "ends", "items"])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), struct], names=[*names, into])
@@ -240,18 +264,20 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     """``docs`` with n_words, the hit spans in words (starts, ends; merged) and items (sorted strings)."""
     added = StructType.fromDDL(FOUND)
     docs = without(docs, *added.names)
-    names, sc = docs.columns, docs.sparkSession.sparkContext
+    names, spark = docs.columns, docs.sparkSession
     into = "_found"
     while into in {n.lower() for n in names}:
         into += "_"
     schema = StructType([*docs.schema.fields, StructField(into, added)])
-    built, n_blocks = automata(benchmark, item_id, item_text, width, block_words)
-    out = docs
-    for first in range(0, max(n_blocks, 1), blocks_a_scan):
-        mine = built.filter(F.col("block").between(first, first + blocks_a_scan - 1)).select("automaton")
-        some = sc.broadcast([bytes(r.automaton) for r in mine.collect()])  # blocks_a_scan blocks of bounded size
-        out = materialize(out, "decontaminate") if first else out
-        out = out.mapInArrow(_scan(some, text_col, names, into), schema)
+    folder, n_blocks = automata(benchmark, item_id, item_text, width, block_words)
+    groups = [range(a, min(a + blocks_a_scan, n_blocks)) for a in range(0, n_blocks, blocks_a_scan)] or [range(0)]
+    if len(groups) == 1:
+        rows = spark.read.schema("automaton binary, block long").parquet(folder).select("automaton").collect() if n_blocks else []
+        some = spark.sparkContext.broadcast([bytes(r.automaton) for r in rows])  # blocks_a_scan blocks of bounded size
+        load = lambda _: [pickle.loads(x) for x in some.value]
+    else:
+        load = lambda blocks: _opened(folder, blocks)
+    out = docs.mapInArrow(_scan(groups, load, text_col, names, into), schema)
     return out.select(*(F.col(f"`{c}`") for c in names), f"{into}.*")
 
 

@@ -111,6 +111,30 @@ def test_decontaminate_by_brute_force(spark, docs, monkeypatch):
             assert got[(i, t)] == (len(w), len(hit), len(who), tuple(sorted(who)), bool(hit) and 20 * len(hit) >= len(w))
 
 
+def test_full_blocks_stay_small():
+    """Eight blocks of the largest size, loaded together, under 250 MB of a worker."""
+    import subprocess
+    import sys
+
+    code = """
+import pickle, random, sys
+from probelight.llm import decontaminate as d
+rng = random.Random(1)
+words = [b"w%d" % k for k in range(40000)]
+items = [(str(k), [rng.choice(words) for _ in range(50)], False) for k in range(d.BLOCK_WORDS // 50)]
+raw = pickle.dumps(d.Automaton(items), protocol=5)
+rss = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096 >> 20
+del items, words
+before = rss()
+kept = [pickle.loads(raw) for _ in range(d.BLOCKS_A_SCAN)]
+print(len(raw) >> 20, rss() - before, sum(len(a.length) for a in kept))
+"""
+    root = __file__.rsplit("/tests/", 1)[0]
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=root, check=True).stdout.split()
+    print("MB pickled a block, MB of eight loaded:", out[:2])
+    assert int(out[0]) < 40 and int(out[1]) < 250
+
+
 def test_decontaminate_removes_spans_beyond_the_limits(spark):
     item = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen".split()
     rest = [f"w{k}" for k in range(400)]
