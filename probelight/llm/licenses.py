@@ -3,10 +3,11 @@
 The unit is a line.  Multinomial logistic regression over its word 1- to 3-grams tells ``none`` from the licence
 families of ``TEMPLATES``.  Training paragraphs come by rule from the templates (parts of them, dropped words, words
 around them) and from short marks (``FORMS`` of ``NAMES``); ``none`` is at most ``MOST_LINES`` lines of the corpus without
-a template's phrase, at most ``MOST_MENTIONS`` lines that have a licence's words but no notice, both chosen by hash, and
+a template's phrase, of 3 to 2,000 characters, at most ``MOST_MENTIONS`` lines that have a licence's words but no notice, both chosen by hash, and
 ``HARD``.  Templates, names and sentences are dealt whole into ``FOLDS``; what the folds' models say of those that they
 haven't seen sets the temperature of the probabilities and the least probability at which families are right
-``PRECISION`` of the time; a licence-like paragraph below it is ``unknown``.  A predicted family is confirmed if enough of
+``PRECISION`` of the time; a licence-like paragraph below it is ``unknown``.  If none does, the largest one tried is taken
+with a warning; ``Model.curve`` has (probability, precision, recall) of what was tried.  A predicted family is confirmed if enough of
 one of its templates' n-grams, or of the paragraph's own, are shared; else it is unknown as well.
 
 A longer line is judged in the overlapping ``WINDOWS``, so a notice within it isn't diluted;
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import random
 import re
+import warnings
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -171,6 +173,7 @@ class Model:
 
     def __init__(self, vocab: dict[bytes, int], w: np.ndarray, b: np.ndarray, heat: float = 1.0, least: float = 0.5, held: int | None = None, common: Counter | None = None):
         self.vocab, self.w, self.b, self.heat, self.least = vocab, w.astype(np.float32), b, heat, least
+        self.curve: list[tuple[float, float, float]] = []
         self.templates = {f: [] for f in TEMPLATES}
         for c, name, texts in sources():
             if c > 1 and fold(name) != held:
@@ -321,12 +324,15 @@ def fit(rows: list[tuple[list[bytes], int, int]]) -> Model:
     model = part(np.ones(len(rows), bool), None)
     model.heat = linear.temperature(z, y)
     p = linear.softmax(z / model.heat)
-    best, model.least = p.argmax(axis=1), 0.95
+    best = p.argmax(axis=1)
+    right, named = best == y, y > 1
     for c in np.linspace(0.3, 0.95, 27):
         sure = fine & (p.max(axis=1) >= c)
-        if sure.any() and (best == y)[sure].mean() >= PRECISION:
-            model.least = float(c)
-            break
+        model.curve.append((float(c), float(right[sure].mean()) if sure.any() else 0.0, float((right & sure & named).sum() / max(named.sum(), 1))))
+    good = [c for c, precision, _ in model.curve if precision >= PRECISION]
+    model.least = good[0] if good else model.curve[-1][0]
+    if not good:
+        warnings.warn(f"no probability gives held-out precision {PRECISION}; at {model.least:.2f} it is {model.curve[-1][1]:.3f} with recall {model.curve[-1][2]:.3f}", stacklevel=2)
     return model
 
 
