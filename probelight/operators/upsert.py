@@ -84,7 +84,7 @@ PARTITIONS = {
     "test_to_code_mapping": ("group_id", "app_id"), "method_coverage": ("group_id", "_created_month"),
 }
 #: Tables without a partition that most upserts would stay in: they are kept as deltas.
-DELTAS = ("test_launches", "test_definitions", "test_sessions", "test_session_builds")
+DELTAS = ("builds", "build_infos", "instances", "test_launches", "test_definitions", "test_sessions", "test_session_builds")
 FAN = 16
 _NULL = "__HIVE_DEFAULT_PARTITION__"
 SEQ = "_seq"

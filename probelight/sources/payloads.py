@@ -69,6 +69,14 @@ def heartbeats(p: DataFrame, instances: DataFrame) -> DataFrame:
     return instances.join(last, "id", "left").withColumns({"status": F.coalesce("_s", "status"), "last_heartbeat_at": F.coalesce("_t", old)}).drop("_s", "_t")
 
 
+def kept_from(known: DataFrame | None, rows: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` with the columns that a known row of their id keeps, so that they can replace it whole."""
+    if known is None:
+        return rows
+    old = known.select("id", *(F.col(c).alias(f"_{c}") for c in columns)).dropDuplicates(["id"])
+    return rows.join(old, "id", "left").withColumns({c: F.coalesce(f"_{c}", F.col(c)) for c in columns}).select(rows.columns)
+
+
 def save_methods(p: DataFrame, finalized: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(methods, build methods); payloads of builds that are VALID already are rejected whole."""
     rows = _build(p)

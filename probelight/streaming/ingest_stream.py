@@ -40,15 +40,18 @@ def write_batch(records: DataFrame, store: Store, stream: str | None = None, bat
             store.append("quarantine", bad, stream, batch)
         up = store.upsert
         if "builds" in here:
-            up("builds", payloads.save_builds(p["builds"]), ["id", "group_id", "app_id"], "replace", ["commit_sha", "build_version", "updated_at"])
+            new = payloads.kept_from(store.read("builds"), payloads.save_builds(p["builds"]), "created_at")
+            up("builds", new.withColumn("_at", F.col("updated_at")), ["id", "group_id", "app_id"], "replace", order="_at")
         if "builds-info" in here:
             up("build_infos", payloads.save_build_info(p["builds-info"]), ["id", "group_id", "app_id"], "replace")
         if "instances" in here:
             instances, builds = payloads.save_instances(p["instances"], store.read("builds"))
-            up("instances", instances.withColumn("last_heartbeat_at", F.lit(None).cast("timestamp_ntz")), ["id"], "replace", ["build_id", "env_id"])
-            up("builds", builds, ["id", "group_id", "app_id"], "keep")
+            instances = payloads.kept_from(store.read("instances"), instances.withColumn("last_heartbeat_at", F.lit(None).cast("timestamp_ntz")), "status", "created_at", "last_heartbeat_at")
+            up("instances", instances, ["id"], "replace")
+            up("builds", builds, ["id", "group_id", "app_id"], "replace")
         if "heartbeats" in here and (known := store.read("instances")) is not None:
-            store.write("instances", payloads.heartbeats(p["heartbeats"], known))
+            mine = known.join(p["heartbeats"].select(F.col("instanceId").alias("id")).distinct(), "id", "left_semi")
+            up("instances", payloads.heartbeats(p["heartbeats"], mine), ["id"], "replace")
         if "methods" in here:
             methods, links = payloads.save_methods(p["methods"], store.read("finalized"))
             up("methods", methods, ["group_id", "app_id", "method_id"], "keep")

@@ -49,6 +49,27 @@ def test_ingest_from_files(spark, tmp_path):
     assert [(r.id, r.commit_sha) for r in store.read("builds").collect()] == [("g:a:1", "d")]
 
 
+def test_batches_add_what_they_bring(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}")
+    rows = lambda *x: spark.createDataFrame([tuple(json.loads(r)[k] for k in ("key", "value")) + (dt.datetime.fromisoformat(json.loads(r)["ts"]),) for r in x], ingest_stream.RECORD)
+    cov = {"signature": "c/K:m:():void", "bodyChecksum": "1", "testId": "l", "testSessionId": "s", "stringProbes": "101"}
+    launch = lambda n, result: record("test-launches", f"2024-01-0{n}T00:00:00", groupId="g", testSessionId="s", launches=[{"id": "l", "testDefinitionId": "d", "result": result, "duration": n}])
+    first = rows(record("builds", **BUILD, commitSha="c"), record("instances", **BUILD, instanceId="i", envId="e"), record("coverage", **BUILD, instanceId="i", coverage=[cov, cov]), launch(3, "FAILED"), launch(2, "PASSED"), record("unknown", x=1))
+    for _ in range(2):  # the second time is a batch that is run again
+        ingest_stream.write_batch(first, store, "one", 0)
+    assert store.read("method_coverage").count() == 2 and store.read("quarantine").count() == 1
+    assert [(r.result, r.duration) for r in store.read("test_launches").collect()] == [("FAILED", 3)]
+    before = {f for f in tmp_path.rglob("part-*")}
+    ingest_stream.write_batch(rows(record("heartbeats", "2024-01-02T00:00:00", groupId="g", appId="a", instanceId="i", status="SHUTDOWN"), record("heartbeats", groupId="g", appId="a", instanceId="nobody", status="RUNNING"), record("builds", "2024-01-02T00:00:00", **BUILD, commitSha="d"), record("coverage", **BUILD, instanceId="i", coverage=[cov])), store, "one", 1)
+    ingest_stream.write_batch(rows(record("instances", "2024-01-03T00:00:00", **BUILD, instanceId="i", envId="f")), store, "one", 2)
+    assert before <= {f for f in tmp_path.rglob("part-*")}  # nothing old was rewritten or dropped
+    assert [(r.id, r.status, r.env_id, r.created_at) for r in store.read("instances").collect()] == [("i", "SHUTDOWN", "f", at(1))]
+    assert [(r.commit_sha, r.created_at, r.updated_at) for r in store.read("builds").collect()] == [("d", at(1), at(2))]
+    assert store.read("method_coverage").count() == 3
+    raw = raw_layer.raw_tables(store)
+    assert {k: v.count() for k, v in raw.items()} == {"builds": 1, "instances": 1, "raw_methods": 0, "raw_build_methods": 0, "raw_coverage": 3, "definitions": 0, "launches": 1, "sessions": 0, "session_builds": 0, "rules": 0, "requests": 0}
+
+
 def at(day, hour=0):
     return dt.datetime(2024, 1, day, hour)
 
