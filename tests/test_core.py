@@ -3,6 +3,7 @@
 import datetime as dt
 import itertools
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -395,3 +396,31 @@ def test_snapshots_stand_for_the_days_before(spark):
     assert fast < plain / 2  # a key's past is one row
     keys = [c for c in transform.DAY_KEYS if c != "day"]
     assert snaps.groupBy(*keys, "month").count().filter("count > 1").count() == 0
+
+
+def test_class_vectors_of_many_methods_are_joined_and_cut_in_proportion(spark):
+    n, width = 40_000, 60
+    parts = spark.range(n).select(F.lit("c").alias("k"), (F.col("id") * (width + 1)).alias("pos"), F.expr(f"rpad(concat(bin(id), '1'), {width}, '0')").alias("bits"))
+    begun = time.time()
+    whole = probes.concat_by_position(parts, ["k"], "pos", "bits").withColumnRenamed("bits", "class_probes")
+    m = parts.select("k", F.col("pos").cast("int").alias("probe_start_pos"), F.lit(width).alias("probes_count"), F.col("bits").alias("want"))
+    got = probes.split_class_probes(whole, m, ["k"])
+    assert got.filter("probes = want").count() == n
+    assert time.time() - begun < 60
+
+
+def test_joined_and_cut_class_vectors_equal_those_made_bit_by_bit(spark, monkeypatch):
+    monkeypatch.setattr(probes, "BLOCK", 8)
+    rnd, rows, want = random.Random(1), [], {}
+    for k in range(20):
+        mine = [(rnd.randrange(60), "".join(rnd.choice("01") for _ in range(rnd.randrange(12)))) for _ in range(rnd.randrange(1, 9))]
+        rows += [(k, s, b) for s, b in mine]
+        acc = ""
+        for s, b in sorted(mine):
+            acc = acc.ljust(s, "0") + b
+        want[k] = acc
+    got = probes.concat_by_position(spark.createDataFrame(rows, "k int, s int, b string"), ["k"], "s", "b")
+    assert {r.k: r.b for r in got.collect()} == want
+    cuts = [(k, s, n) for k in want for s in range(0, 70, 3) for n in (0, 1, 7, 8, 9, 20)]
+    out = probes.split_class_probes(got.withColumnRenamed("b", "class_probes"), spark.createDataFrame(cuts, "k int, probe_start_pos int, probes_count int"), ["k"])
+    assert sorted((r.k, r.probe_start_pos, r.probes_count, r.probes) for r in out.collect()) == sorted((k, s, n, x) for k, s, n in cuts if len(x := want[k][s : s + n]) == n and "1" in x)
