@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from probelight.functions import formats, probes
 from probelight.operators import transform, upsert
-from probelight.plans import coverage, impact, jobs, report, treemap
+from probelight.plans import coverage, impact, ingest_queries, jobs, report, treemap
 from probelight.sources import payloads
 
 DAY = dt.date(2024, 1, 1)
@@ -424,3 +424,11 @@ def test_joined_and_cut_class_vectors_equal_those_made_bit_by_bit(spark, monkeyp
     cuts = [(k, s, n) for k in want for s in range(0, 70, 3) for n in (0, 1, 7, 8, 9, 20)]
     out = probes.split_class_probes(got.withColumnRenamed("b", "class_probes"), spark.createDataFrame(cuts, "k int, probe_start_pos int, probes_count int"), ["k"])
     assert sorted((r.k, r.probe_start_pos, r.probes_count, r.probes) for r in out.collect()) == sorted((k, s, n, x) for k, s, n in cuts if len(x := want[k][s : s + n]) == n and "1" in x)
+
+
+def test_payloads_of_a_build_are_bounded(spark):
+    n = 2500
+    m1 = spark.range(n).selectExpr("'g:a:1' AS build_id", "'g' AS group_id", "'a' AS app_id", "id AS p_partkey", "'c/K' AS class_name", "concat('m', id) AS method_name", "'()' AS method_params", "'void' AS return_type", "1L AS probes_count", "'1' AS body_checksum")
+    p = ingest_queries._methods({"m1": m1})
+    assert p.agg(F.max(F.size("methods"))).first()[0] <= ingest_queries.A_PAYLOAD
+    assert [x.count() for x in payloads.save_methods(p)] == [n, n]
