@@ -205,3 +205,23 @@ def test_daily_fold_as_a_stream_drops_closed_days(spark, tmp_path):
     facts = spark.createDataFrame([r for b in batches for r in b], ddl).withColumn("day", F.to_date("at"))
     rows = lambda df: sorted((str(r.day), r.method_id, tuple(r.probes)) for r in df.collect())
     assert rows(store.read("method_daily_coverage")) == rows(transform.method_daily_coverage(facts))
+
+
+def test_requests_meet_launches_by_all_of_their_keys(spark):
+    at = lambda h: dt.datetime(2024, 1, 1, h)
+    ts = "timestamp_ntz"
+    t = {
+        "raw_coverage": spark.createDataFrame([("g", "a", "b", "i", "m", "01", 2, f"l{k}", "x", at(1)) for k in range(4)], f"group_id string, app_id string, build_id string, instance_id string, method_id string, probes string, probes_count long, launch_id string, session_id string, created_at {ts}"),
+        "raw_methods": spark.createDataFrame([("g", "a", "m", "c:m", "m", "c")], "group_id string, app_id string, method_id string, signature string, method_name string, class_name string"),
+        "rules": spark.createDataFrame([], "group_id string, app_id string, name_pattern string, classname_pattern string"),
+        "builds": spark.createDataFrame([("g", "a", "b", "main")], "group_id string, app_id string, build_id string, branch string"),
+        "instances": spark.createDataFrame([("g", "a", "i", "e")], "group_id string, app_id string, instance_id string, env_id string"),
+        "launches": spark.createDataFrame([("g", f"l{k}", f"d{k % 2}", f"s{k // 2}", "PASSED", at(1)) for k in range(4)], f"group_id string, launch_id string, definition_id string, session_id string, result string, created_at {ts}"),
+        "definitions": spark.createDataFrame([("g", "d0", None), ("g", "d1", None)], "group_id string, definition_id string, tags string"),
+        "sessions": spark.createDataFrame([("g", "s0", "t"), ("g", "s1", "t")], "group_id string, session_id string, task_id string"),
+        "requests": spark.createDataFrame([("g", "s0", "d1", at(3)), ("g", "s1", "", at(4)), ("g", "s1", "d0", at(5)), ("g", "s1", None, at(2))], f"group_id string, session_id string, definition_id string, requested_at {ts}"),
+    }
+    got = extract.requested_coverage(extract.Raw(t))
+    assert sorted((r.session_id, r.definition_id, r["at"].hour) for r in got.collect()) == [("s0", "d1", 3), ("s1", "d0", 5), ("s1", "d1", 4)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Join" in x and " OR " in x and "rlike" not in x.lower()]
