@@ -117,8 +117,10 @@ def _fold(bits: int, as_hashes: bool):
                 one, more = np.frombuffer(one, np.uint64), np.frombuffer(more, np.uint64)
                 again = np.concatenate((more, one[bloom.has(once, one)]))
                 if as_hashes:
-                    yield pa.RecordBatch.from_pydict({"h": pa.array(again[~bloom.has(twice, again)].view(np.int64))})
-                bloom.put(twice, again)
+                    # all of them: one that the twice-seen bits have by chance was given by no earlier row
+                    yield pa.RecordBatch.from_pydict({"h": pa.array(again.view(np.int64))})
+                else:
+                    bloom.put(twice, again)
                 bloom.put(once, np.concatenate((one, more)))
         if at is not None and not as_hashes and twice.any():
             yield whole()

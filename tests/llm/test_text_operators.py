@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -309,3 +310,10 @@ def test_empty_table(spark, f):
 def test_ids_of_a_long_white_space_run(text):
     enc = packing.Encoder(packing.default_vocabulary())
     assert enc.encode(text) == np.array(enc.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+def test_hashes_seen_again_are_all_given_however_full_the_filter_is():
+    h = np.random.default_rng(1).integers(0, 1 << 63, 300).astype(np.uint64)
+    row = lambda x: pa.RecordBatch.from_pydict({"part": pa.array([0]), "one": pa.array([x.tobytes()], pa.binary()), "more": pa.array([b""], pa.binary())})
+    out = line_dedup._fold(512, True)(iter([row(h[k : k + 1]) for _ in range(2) for k in range(h.size)]))
+    assert set(h.tolist()) <= {x & (1 << 64) - 1 for b in out for x in b.column("h").to_pylist()}
