@@ -434,12 +434,14 @@ def test_payloads_of_a_build_are_bounded(spark):
     assert [x.count() for x in payloads.save_methods(p)] == [n, n]
 
 
-def test_snapshots_of_a_known_width_are_the_same_with_one_shuffle(spark):
+def test_snapshots_of_a_known_width_are_the_same_with_one_shuffle(spark, tmp_path):
     rng = random.Random(3)
     w = World(spark).build(0, m1=(1, 70), m2=(1, 3))
     for _ in range(60):
         w.test(0, rng.choice("xy"), m1="".join(rng.choice("0000001") for _ in range(70)), m2=rng.choice(["100", "010", "001"]))
     daily = w.tables()["method_daily_coverage"].withColumn("day", F.date_add("day", F.pmod(F.xxhash64("bits", "test"), F.lit(200)).cast("int")))
+    daily.write.parquet(f"{tmp_path}/daily")
+    daily = spark.read.parquet(f"{tmp_path}/daily")  # constant keys would be folded away
     plain, wide = transform.coverage_snapshots(daily), transform.coverage_snapshots(daily, 2)
     rows = lambda df: sorted(map(repr, df.select(sorted(plain.columns)).collect()))
     assert rows(plain) == rows(wide) and plain.count() == len(rows(wide)) > 5
