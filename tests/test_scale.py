@@ -4,6 +4,8 @@ import datetime as dt
 
 import pytest
 
+from probelight.llm.common import settings
+from probelight.operators import transform
 from probelight.operators.upsert import Store
 from probelight.plans import derive, etl_queries, metrics
 from probelight.streaming import etl
@@ -29,3 +31,17 @@ def test_given_tables_stand_for_made_ones(tables):
     x = etl_queries.raw(tables)
     y = x | {"launches": x["launches"].limit(1)}
     assert y["launches"].count() == 1 and x["launches"].count() > 1 and y["sessions"].count() == x["sessions"].count() > 1
+
+
+def test_facts_and_metric_tables_are_not_written(tables, tmp_path):
+    assert tables["build_method_coverage"].filter("build_id = 'g1:app-0:1997'").count()
+    assert {p.name for p in (tmp_path / "tables").iterdir()} == {"m0", "raw_methods", "raw_builds", "instances", "sessions"}
+
+
+def test_folds_of_facts_add_no_exchange(spark, tables):
+    """Facts come by method, of which all folds' keys have one."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    with settings(spark, conf):
+        exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+        for f, x in ((transform.build_method_coverage, "test_facts"), (transform.method_daily_coverage, "test_facts"), (transform.session_coverage, "plain_facts"), (transform.definition_coverage, "test_facts")):
+            assert exchanges(f(tables[x], derive.WORDS)) == exchanges(tables[x])
