@@ -63,4 +63,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES[:-1]:
         with settings(spark, BATCHES):
             docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with settings(spark, BATCHES):  # the texts are read inside; what is left for later has none
+        return STAGES[-1][1](spark, docs, sf_dir)

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import bisect
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -40,25 +41,31 @@ class Encoder:
     latter and texts with a run of ``LONG_RUN`` white space by ``tokenizers``, as the stack of ``tiktoken`` overflows.
     """
 
-    MOST = 400_000
+    MOST = 200_000
     LONG_RUN = 100_000
     LONG = re.compile(r"\s{%d}" % LONG_RUN)
 
     def __init__(self, vocabulary: str):
         import json
 
+        import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        spec = json.load(open(vocabulary))
-        self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.whole = Tokenizer.from_file(vocabulary)
-        import public_tokenizers
+        self.vocabulary = vocabulary
+        with open(vocabulary, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f).get("added_tokens", [])]
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(vocabulary.replace(".json", ".tiktoken"), "rb"))}
         self.plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.new, self.old = {}, {}
 
+    @functools.cached_property
+    def whole(self):
+        """The library's encoder; few texts need it, so most workers never hold it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.vocabulary)
+
     def _piece(self, key: str) -> bytes:
         if not key or key[0].isspace():
             raise KeyError(key)
@@ -110,7 +117,7 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen, enc = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64), encoder(vocabulary)
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, 4 << 20):
             ids, rows = [], []
             for i, text in zip(batch.column(id_col).to_pylist(), batch.column(text_col).to_pylist()):
                 raw = enc.encode(text or "") + end_bytes

@@ -97,3 +97,22 @@ def test_registered():
     names = __spark_entry__.queries()
     assert {f"op{n}_" for n in range(1, 11)} <= {re.match(r"op\d+_|", n)[0] for n in names} and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_all_stages_read_texts_in_bounded_batches(spark, monkeypatch):
+    """Also the last one, whose texts are read while it is called."""
+    import corpus_pipeline
+
+    seen = {}
+
+    def stage(name):
+        def run(spark, docs, sf_dir):
+            seen[name] = {k: spark.conf.get(k) for k in corpus_pipeline.BATCHES}
+            return docs.limit(1)
+
+        return run
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, stage(n)) for n, _ in corpus_pipeline.STAGES])
+    corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert len(seen) == 5 and all(x == corpus_pipeline.BATCHES for x in seen.values())
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") != "1000"
