@@ -25,6 +25,7 @@ from __future__ import annotations
 import codecs
 import json
 import re
+import struct
 from collections.abc import Iterable, Iterator
 from itertools import repeat
 
@@ -87,7 +88,7 @@ class Decoder:
 
 
 class Bpe:
-    MOST = 100_000
+    MOST = 200_000
 
     def __init__(self, path: str):
         from tokenizers.pre_tokenizers import ByteLevel
@@ -151,30 +152,40 @@ class Bpe:
         key = a << 32 | b
         got = self.table.get(key)
         if got is None:
-            if len(self.table) >= 2 * self.MOST:
+            if len(self.table) >= self.MOST:
                 self.table.clear()
             got = self.table[key] = self._apart(a, b)
         return got
 
     def merge(self, text: str) -> list[int]:
         """The ids of one pre-token in byte letters."""
-        n, longest = len(text), [-1] * len(text)
+        size, shorter, known = self.size, self.shorter, self.table.get
+        n, last = len(text), len(text) - 1
+        longest = [-1] * n
         for end, token in self.starts.iter(text[::-1]):  # of the tokens that end at a place the longest comes first
-            if longest[n - 1 - end] < 0 or self.size[token] > self.size[longest[n - 1 - end]]:
-                longest[n - 1 - end] = token
+            there = longest[last - end]
+            if there < 0 or size[token] > size[there]:
+                longest[last - end] = token
         out, at, dead = [], 0, bytearray(n + 1)
-        token = longest[0] if n else -1
+        before, token = -1, longest[0] if n else -1
         while at < n:
-            while token >= 0 and (dead[at + self.size[token]] or (out and not self.compatible(out[-1], token))):
-                token = self.shorter[token]
+            while token >= 0:
+                if not dead[at + size[token]]:
+                    if before < 0:
+                        break
+                    fits = known(before << 32 | token)
+                    if self.compatible(before, token) if fits is None else fits:
+                        break
+                token = shorter[token]
             if token >= 0:
                 out.append(token)
-                at += self.size[token]
-                token = longest[at] if at < n else -1
+                at += size[token]
+                before, token = token, longest[at] if at < n else -1
             else:
                 dead[at] = 1
-                at -= self.size[out[-1]]
-                token = self.shorter[out.pop()]
+                token = out.pop()
+                at -= size[token]
+                before, token = out[-1] if out else -1, shorter[token]
         return out
 
     #: How the byte-level pre-tokenizer splits texts below U+0250, where letters and digits are the same in all versions.
@@ -189,7 +200,8 @@ class Bpe:
     def _word(self, token: str) -> bytes:
         got = self.known.get(token) or self.words.get(token)
         if got is None:
-            got = np.array(self.merge(token), "<u4").tobytes()
+            ids = self.merge(token)
+            got = struct.pack(f"<{len(ids)}I", *ids)
             if len(token) <= 256:
                 if len(self.words) >= self.MOST:
                     self.words.clear()
@@ -203,7 +215,10 @@ class Bpe:
         if got is None:
             got = self.old.get(key)
             if got is None:
-                got = b"".join(map(self._word, self._split(" " + text if space else text)))
+                if text.isascii() and text.isalpha():  # one pre-token
+                    got = self._word(self.letters[32] + text if space else text)
+                else:
+                    got = b"".join(map(self._word, self._split(" " + text if space else text)))
             if len(text) > 256:
                 return got
             if len(self.new) >= self.MOST:

@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from probelight.llm import bpe, prefix_trie, spelling
+from probelight.llm import bpe, packing, prefix_trie, spelling
 
 
 def vocabulary():
@@ -258,3 +258,17 @@ def test_pivots_reach_every_near_pair():
                 found += 1
                 assert pivot[a] & partner[b], (a, b)
     assert found > 100
+
+
+def test_words_of_letters_are_one_pre_token():
+    """Pieces of letters skip the split; ids are the library's, and a piece's pairs come from the table."""
+    from tokenizers import Tokenizer
+
+    path = packing.default_vocabulary()
+    enc, library = bpe.Bpe(path), Tokenizer.from_file(path)
+    split = []
+    enc._split = lambda text, f=enc._split: split.append(text) or f(text)
+    texts = ["word", "Plain words of letters only", "zqxjkvwyzqxjkv xqzzqx" * 3, "it's don't s t re", "größer als x", "a" * 3000, " lead", "tail ", "a  b", "x1 y2"]
+    for t in texts:
+        assert enc.encode(t) == np.array(library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    assert "word" not in split and " words" not in split and " y2" in split
