@@ -3,11 +3,13 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from probelight.llm.common import settings
-from probelight.operators import transform
+from probelight.operators import transform, upsert
 from probelight.operators.upsert import Store
-from probelight.plans import derive, etl_queries, metrics
+from probelight.plans import derive, end_to_end, etl_queries, ingest_queries, metrics
+from probelight.plans.stored import Tables
 from probelight.streaming import etl
 
 SF = "/root/testdata/sf0.001"
@@ -45,3 +47,13 @@ def test_folds_of_facts_add_no_exchange(spark, tables):
         exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
         for f, x in ((transform.build_method_coverage, "test_facts"), (transform.method_daily_coverage, "test_facts"), (transform.session_coverage, "plain_facts"), (transform.definition_coverage, "test_facts")):
             assert exchanges(f(tables[x], derive.WORDS)) == exchanges(tables[x])
+
+
+def test_a_stream_of_daily_coverage_rewrites_no_month(spark, tmp_path, monkeypatch):
+    ddl = "group_id string, app_id string, method_id string, branch string, env_id string, result string, tag string, task_id string, at timestamp_ntz, day date, probes string, signature string"
+    bits = ["100", "010", "001"]
+    facts = spark.createDataFrame([("g", "a", f"m{k % 4}", "main", "e", None, None, None, dt.datetime(2024, 1 + k % 2, 5, k % 24), dt.date(2024, 1 + k % 2, 5), bits[k % 3], "s") for k in range(60)], ddl)
+    t = Tables(spark, {}, f"file://{tmp_path}/t", {"plain_facts": facts.repartition(6)})
+    monkeypatch.setattr(Store, "_touched", lambda *a: pytest.fail("rewritten"))
+    rows = lambda df: sorted((str(r.day), r.method_id, tuple(r.probes)) for r in df.collect())
+    assert rows(ingest_queries.daily_coverage_stream(t)) == rows(transform.method_daily_coverage(facts))
