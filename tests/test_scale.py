@@ -49,6 +49,23 @@ def test_folds_of_facts_add_no_exchange(spark, tables):
             assert exchanges(f(tables[x], derive.WORDS)) == exchanges(tables[x])
 
 
+def test_pipelines_fold_and_upsert_at_known_width(spark, tables, tmp_path, monkeypatch):
+    """A fold and an upsert by OR take one shuffle each."""
+    widths, plain = [], Store.upsert
+    monkeypatch.setattr(Store, "upsert", lambda self, *a, **k: (widths.append(k.get("width")), plain(self, *a, **k))[1])
+    name = "build_method_test_definition_coverage"
+    etl_queries.run(Store(spark, f"file://{tmp_path}/s"), etl_queries.raw(tables), [name], until=dt.datetime(1996, 1, 1))
+    assert widths == [derive.WORDS]
+    ddl = "group_id string, k string, probes array<bigint>, updated_at_day string"
+    old = spark.createDataFrame([("g", "a", [1, 0], "1"), ("g", None, [4, 4], "1"), ("g", "c", [1], "1")], ddl)
+    new = spark.createDataFrame([("g", "a", [1, 0], "2"), ("g", None, [2, 0], "2"), ("g", None, [0, 1], "3"), ("g", "d", [7], "2")], ddl)
+    rows = lambda **w: upsert.merged(old, new, ["group_id", "k"], "or", **w)
+    assert sorted(map(str, rows(width=2).collect())) == sorted(map(str, rows().collect()))
+    assert rows(width=2)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    with pytest.raises(Exception, match="unequal length"):
+        upsert.merged(old, new.filter("k = 'd'").withColumn("k", F.lit("a")), ["group_id", "k"], "or", width=2).collect()
+
+
 def test_a_stream_of_daily_coverage_rewrites_no_month(spark, tmp_path, monkeypatch):
     ddl = "group_id string, app_id string, method_id string, branch string, env_id string, result string, tag string, task_id string, at timestamp_ntz, day date, probes string, signature string"
     bits = ["100", "010", "001"]
