@@ -74,3 +74,11 @@ def test_a_stream_of_daily_coverage_rewrites_no_month(spark, tmp_path, monkeypat
     monkeypatch.setattr(Store, "_touched", lambda *a: pytest.fail("rewritten"))
     rows = lambda df: sorted((str(r.day), r.method_id, tuple(r.probes)) for r in df.collect())
     assert rows(ingest_queries.daily_coverage_stream(t)) == rows(transform.method_daily_coverage(facts))
+
+
+def test_records_are_written_compressed(tables, tmp_path, monkeypatch):
+    monkeypatch.setattr(end_to_end.ingest_stream, "run", lambda *a: (_ for _ in ()).throw(InterruptedError))
+    with pytest.raises(InterruptedError):
+        end_to_end.loaded(tables)
+    files = [p.name for p in (tmp_path / "tables").rglob("in/*") if p.name.startswith("part")]
+    assert files and all(f.endswith(".json.gz") for f in files)
