@@ -1,6 +1,7 @@
 """What queries make and shuffle, by the tables that are made and the exchanges of their plans."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from probelight.llm.common import settings
 from probelight.operators import transform, upsert
 from probelight.operators.upsert import Store
-from probelight.plans import derive, end_to_end, etl_queries, ingest_queries, metrics
+from probelight.plans import coverage, derive, end_to_end, etl_queries, ingest_queries, metrics
 from probelight.plans.stored import Tables
 from probelight.streaming import etl
 
@@ -82,3 +83,42 @@ def test_records_are_written_compressed(tables, tmp_path, monkeypatch):
         end_to_end.loaded(tables)
     files = [p.name for p in (tmp_path / "tables").rglob("in/*") if p.name.startswith("part")]
     assert files and all(f.endswith(".json.gz") for f in files)
+
+
+@pytest.mark.parametrize("hours", [0, 5])
+def test_planned_tables_have_the_rows_of_their_sql(spark, tmp_path, hours):
+    """Also with unknown apps, days and parts, parts that differ or repeat under one key, and ship dates within the day."""
+    given = {n: spark.read.parquet(f"{SF}/{n}.parquet") for n in derive.GIVEN}
+    li, part = given["lineitem"].limit(300), given["part"]
+    odd = lambda df, c, k: df.withColumn(c, F.when(F.col("l_orderkey") % 7 == k, F.lit(None)).otherwise(F.col(c)))
+    li = odd(odd(odd(li, "l_suppkey", 1), "l_shipdate", 2), "l_partkey", 3).withColumn("l_shipdate", F.col("l_shipdate") + F.expr(f"INTERVAL '1' HOUR * (l_linenumber % 2 * {hours})"))
+    part = part.unionByName(part.limit(20)).unionByName(part.limit(20).withColumn("p_size", F.col("p_size") + 1)).unionByName(part.limit(5).withColumn("p_brand", F.lit(None).cast("string")))
+    for n, df in (given | {"lineitem": li, "part": part}).items():
+        df.write.parquet(f"file://{tmp_path}/in/{n}.parquet")
+    t = derive.raw(spark, f"file://{tmp_path}/in")
+    for n in ("raw_coverage", "raw_methods"):
+        want = spark.sql(derive.RAW[n], **{x: t[x] for x in ("li", "m1", "lineitem", "part")})
+        assert t[n].columns == want.columns and want.count()
+        assert t[n].exceptAll(want).isEmpty() and want.exceptAll(t[n]).isEmpty()
+
+
+def test_coverage_of_a_build_moves_its_days_once(spark, tables):
+    """Daily coverage stays by method for the join with the build's methods, links of builds meet the methods once, later days aren't folded."""
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}):
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        n = lambda df: plan(df).count("Exchange hashpartitioning")
+        build, days = "g1:app-0:1997", tables["method_daily_coverage"]
+        made = lambda t: n(coverage.methods_of(t, [build]).drop("created_day"))
+        assert made(tables) < made(tables | {"build_methods": tables["build_methods"]})
+        wanted = coverage.methods_of(tables, [build]).select("build_id", *coverage.METHOD).withColumn("created_day", F.lit("1996-12-31").cast("date"))
+        hit = coverage.days_before(tables, wanted, [], group_app=("g1", "app-0"), latest=dt.date(1997, 1, 1))
+        assert n(hit) <= n(days) + n(wanted) + 1
+        assert len(re.findall(r"1997-01-0[12]", hit._jdf.queryExecution().optimizedPlan().toString())) >= 2
+        plain = coverage.days_before(tables, wanted, [])
+        assert sorted(map(str, hit.collect())) == sorted(map(str, plain.collect())) != []
+
+
+def test_given_links_of_builds_stand_for_the_raw_ones(tables):
+    build = "g1:app-0:1997"
+    assert tables["build_methods"].count() and coverage.methods_of(tables, [build]).count() > 1
+    assert coverage.methods_of(tables | {"build_methods": tables["build_methods"].filter(F.col("build_id") == build).limit(1)}, [build]).count() == 1
