@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probelight.llm import decontaminate, line_dedup, packing, quality_rules, simhash
-from probelight.llm.common import materialize, settings, table
+from probelight.llm.common import BATCHES, materialize, settings, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +54,6 @@ STAGES = [
 ORACLE_SQL = None
 
 
-#: Whole texts go to Python workers in batches of at most so many rows and bytes, as JVM and worker each hold copies.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bloom
-from .common import discard, free_name, materialize, slices, spread, table, utf8, without
+from .common import BATCHES, discard, free_name, materialize, settings, slices, spread, table, utf8, without
 
 MIN_CHARS, MIN_DOCS, MOST_BITS = 40, 5, 1 << 30
 #: Bytes of text that a task cuts into lines at a time.
@@ -168,7 +168,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with the kept lines as text, and the added columns n_lines and n_dropped (long)."""
     docs = without(docs, "n_lines", "n_dropped")
     names, key, mine, listed = docs.columns, free_name(docs, "_key"), free_name(docs, "_line_id"), free_name(docs, "_drop")
-    lines = materialize(line_digests(docs, id_col, text_col, min_chars), "line-digests")
+    hit = free_name(docs, "_hit")
+    with settings(docs.sparkSession, BATCHES):
+        lines = materialize(line_digests(docs, id_col, text_col, min_chars), "line-digests")
     seen = materialize(suspects(lines, most_bits), "line-suspects")
     discard(lines)
     confirmed = seen.groupBy("hi", "lo").agg(F.count_distinct("id").alias("n"), F.max("id").alias("keep")).filter(F.col("n") >= min_docs)
@@ -178,9 +180,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drops = materialize(drops, "line-drops")
     discard(seen, confirmed)
     filt = docs.sparkSession.sparkContext.broadcast(bloom.key_filter(drops.select(F.xxhash64(mine).alias(key))))
-    keyed = docs.withColumn(key, F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col).cast("long"))))
-    joined = bloom.having(keyed, key, filt, True).join(drops, F.col(id_col) == F.col(mine), "left").drop(mine)
-    whole = bloom.having(keyed, key, filt, False).withColumn(listed, F.lit(None).cast(drops.schema[listed].dataType))
+    keyed = bloom.marked(docs.withColumn(key, F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col).cast("long")))), key, filt, hit)
+    joined = keyed.filter(hit).drop(hit).join(drops, F.col(id_col) == F.col(mine), "left").drop(mine)
+    # documents that lose nothing don't go to Python
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    n_lines = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    whole = keyed.filter(~F.col(hit)).select(*(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in names), n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     word = lambda x: (x & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "little")
 
@@ -199,7 +204,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             cols = [pa.array(texts, pa.binary()).cast(pa.string()) if c == text_col else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*names, "n_lines", "n_dropped"])
 
-    return joined.mapInArrow(run, schema).union(whole.mapInArrow(run, schema))
+    return joined.mapInArrow(run, schema).union(whole)
 
 
 def op4_line_dedup(spark, sf_dir):

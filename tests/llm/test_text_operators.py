@@ -317,3 +317,14 @@ def test_hashes_seen_again_are_all_given_however_full_the_filter_is():
     row = lambda x: pa.RecordBatch.from_pydict({"part": pa.array([0]), "one": pa.array([x.tobytes()], pa.binary()), "more": pa.array([b""], pa.binary())})
     out = line_dedup._fold(512, True)(iter([row(h[k : k + 1]) for _ in range(2) for k in range(h.size)]))
     assert set(h.tolist()) <= {x & (1 << 64) - 1 for b in out for x in b.column("h").to_pylist()}
+
+
+def test_line_dedup_sends_small_batches_and_only_documents_that_lose_lines(spark, monkeypatch):
+    line, seen = "a line of more than forty characters, in all of them", []
+    docs = spark.createDataFrame([*((k, f"{line}\n{k}\n") for k in range(6)), (6, "\n\n é"), (7, None), (None, line), (8, "")], "doc_id long, text string")
+    digests = line_dedup.line_digests
+    monkeypatch.setattr(line_dedup, "line_digests", lambda *a: (seen.append(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")), digests(*a))[1])
+    out = line_dedup.dedup_lines(docs)
+    assert seen == ["1000"] and out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in out.collect()}
+    assert got == {**{k: (f"{k}\n", 3, 1) for k in range(5)}, 5: (f"{line}\n5\n", 3, 0), 6: ("\n\n é", 3, 0), 7: ("", 1, 0), None: (line, 1, 0), 8: ("", 1, 0)}
