@@ -1,6 +1,7 @@
 """What queries make and shuffle, by the tables that are made and the exchanges of their plans."""
 
 import datetime as dt
+import json
 import re
 
 import pytest
@@ -11,11 +12,16 @@ from probelight.operators import transform, upsert
 from probelight.operators.upsert import Store
 from probelight.plans import coverage, derive, end_to_end, etl_queries, ingest_queries, metrics
 from probelight.plans.stored import Tables
-from probelight.streaming import etl
+from probelight.sources import payloads
+from probelight.streaming import etl, ingest_stream
 
 SF = "/root/testdata/sf0.001"
 
 
+def _key(df):
+    return sorted(map(str, df.collect()))
+
+
 @pytest.fixture
 def tables(spark, tmp_path):
     t = metrics.metrics(derive.raw(spark, SF))
@@ -85,6 +91,34 @@ def test_records_are_written_compressed(tables, tmp_path, monkeypatch):
     assert files and all(f.endswith(".json.gz") for f in files)
 
 
+def test_records_are_parsed_once_and_not_cached(spark, tmp_path, monkeypatch):
+    heads = {"groupId": "g", "appId": "a", "buildVersion": "1"}
+    rows = [("builds", json.dumps(heads)), ("builds", "{"), (None, "{}"), ("nonsense", "{}"), ("builds-info", json.dumps(heads | {"branch": "b"})), ("coverage", None),
+            ("coverage", json.dumps(heads | {"coverage": [{"signature": "s", "bodyChecksum": "1", "stringProbes": "01"}]})), ("heartbeats", '{"instanceId": 5, "status": "RUNNING", "x": 1}'), ("methods", '{"methods": 1}')]
+    records = spark.createDataFrame([(k, v, dt.datetime(2024, 1, 1)) for k, v in rows], ingest_stream.RECORD)
+    good, bad = payloads.split_records(records)
+    with Store(spark, f"file://{tmp_path}/t").staged(payloads.parsed(records)) as staged:
+        got, others = payloads.split_parsed(staged)
+        assert {k: _key(x) for k, x in got.items()} == {k: _key(x) for k, x in good.items()} and got["coverage"].columns == good["coverage"].columns
+        assert _key(others) == _key(bad) and others.count() >= 4
+    assert not list((tmp_path / "t").iterdir())  # gone after use
+    plan = payloads.parsed(records)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == len(payloads.SCHEMAS)
+    cached, plain = [], Store.append
+    monkeypatch.setattr(Store, "append", lambda self, *a: (cached.append(spark.sparkContext._jsc.getPersistentRDDs().size()), plain(self, *a)))
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    ingest_stream.write_batch(records, Store(spark, f"file://{tmp_path}/s"), "one", 0)
+    assert cached == [before, before]
+
+
+def test_payloads_of_methods_are_bounded(tables):
+    """Also where all methods are of one class."""
+    x = tables | {"m1": tables["m1"].withColumn("class_name", F.lit("c"))}
+    methods = payloads.split_records(end_to_end.records(x).filter("key = 'methods'"))[0]["methods"]
+    most, n = methods.agg(F.max(F.size("methods")), F.sum(F.size("methods"))).first()
+    assert most <= 100 and n == tables["m1"].count()
+
+
 @pytest.mark.parametrize("hours", [0, 5])
 def test_planned_tables_have_the_rows_of_their_sql(spark, tmp_path, hours):
     """Also with unknown apps, days and parts, parts that differ or repeat under one key, and ship dates within the day."""
