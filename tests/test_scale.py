@@ -119,6 +119,13 @@ def test_payloads_of_methods_are_bounded(tables):
     assert most <= 100 and n == tables["m1"].count()
 
 
+def test_runs_keep_facts_and_folds_on_disk(spark, tables, tmp_path, monkeypatch):
+    levels, plain = [], Store.upsert
+    monkeypatch.setattr(Store, "upsert", lambda self, table, new, *a, **k: (levels.append(new.storageLevel), plain(self, table, new, *a, **k))[1])
+    etl_queries.run(Store(spark, f"file://{tmp_path}/s"), etl_queries.raw(tables), ["build_method_coverage", "method_daily_coverage"], until=dt.datetime(1996, 1, 1))
+    assert len(levels) == 2 and all(x.useDisk and not x.useMemory for x in levels)
+
+
 @pytest.mark.parametrize("hours", [0, 5])
 def test_planned_tables_have_the_rows_of_their_sql(spark, tmp_path, hours):
     """Also with unknown apps, days and parts, parts that differ or repeat under one key, and ship dates within the day."""
