@@ -73,6 +73,24 @@ def test_pipelines_fold_and_upsert_at_known_width(spark, tables, tmp_path, monke
         upsert.merged(old, new.filter("k = 'd'").withColumn("k", F.lit("a")), ["group_id", "k"], "or", width=2).collect()
 
 
+def test_an_upsert_by_or_takes_one_shuffle_with_its_layout(spark, tmp_path, monkeypatch):
+    ddl = "group_id string, app_id string, build_id string, method_id string, day date, probes array<bigint>"
+    rows = lambda n, bit: spark.createDataFrame([("g", "a", f"b{k % 3}", f"m{k}", dt.date(2024, 1 + k % 2, 5), [bit]) for k in range(n)], ddl)
+    plans, plain = [], Store._write
+    monkeypatch.setattr(Store, "_write", lambda self, t, df, by, *a: (plans.append((df._jdf.queryExecution().executedPlan().toString(), a)), plain(self, t, df, by, *a))[1])
+    for table, keys in (("session_coverage", ["group_id", "app_id", "build_id", "method_id", "day"]), ("method_daily_coverage", ["group_id", "app_id", "build_id", "method_id", "day"])):
+        one, two = Store(spark, f"file://{tmp_path}/one"), Store(spark, f"file://{tmp_path}/two")
+        for new in (rows(40, 1), rows(60, 2)):
+            one.upsert(table, new, keys, "or", width=1)
+            two.upsert(table, new, keys, "or")
+        assert _key(one.read(table)) == _key(two.read(table)) and one.read(table).count() == 60
+        assert {tuple(r.probes) for r in one.read(table).filter("method_id = 'm1'").collect()} == {(3,)}
+        for plan, laid_out in plans[::2]:
+            assert laid_out == (True,) and plan.count("Exchange hashpartitioning") == 1
+        assert len(list((tmp_path / "one" / table).rglob("part-*"))) <= 2 * 3 * upsert.SLICES
+        plans.clear()
+
+
 def test_a_stream_of_daily_coverage_rewrites_no_month(spark, tmp_path, monkeypatch):
     ddl = "group_id string, app_id string, method_id string, branch string, env_id string, result string, tag string, task_id string, at timestamp_ntz, day date, probes string, signature string"
     bits = ["100", "010", "001"]
@@ -113,12 +131,23 @@ def test_records_are_parsed_once_and_not_cached(spark, tmp_path, monkeypatch):
 
 def test_payloads_of_methods_are_bounded(tables):
     """Also where all methods are of one class."""
-    x = tables | {"m1": tables["m1"].withColumn("class_name", F.lit("c"))}
+    x = tables | {"m1": tables["m1"].withColumn("class_name", F.lit("c")), "ended_launches": end_to_end.ended_launches(tables)}
     methods = payloads.split_records(end_to_end.records(x).filter("key = 'methods'"))[0]["methods"]
     most, n = methods.agg(F.max(F.size("methods")), F.sum(F.size("methods"))).first()
     assert most <= 100 and n == tables["m1"].count()
 
 
+@pytest.mark.parametrize("hours", [0, 5])
+def test_told_coverage_is_the_join_with_methods(spark, tables, hours):
+    li = tables["lineitem"].limit(500).withColumn("l_shipdate", F.col("l_shipdate") + F.expr(f"INTERVAL '1' HOUR * (l_linenumber % 2 * {hours})"))
+    part = tables["part"].withColumn("p_brand", F.when(F.col("p_partkey") % 3 > 0, F.col("p_brand")))
+    t = metrics.metrics(derive.raw(spark, SF)) | {"lineitem": li, "part": part}
+    told = t["told_coverage"].filter("method_id IS NOT NULL")
+    want = t["raw_coverage"].join(t["raw_methods"].select("app_id", "method_id", "signature", "body_checksum"), ["app_id", "method_id"])
+    assert _key(told.select(want.columns)) == _key(want) != []
+    assert hours or told._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
 def test_runs_keep_facts_and_folds_on_disk(spark, tables, tmp_path, monkeypatch):
     levels, plain = [], Store.upsert
     monkeypatch.setattr(Store, "upsert", lambda self, table, new, *a, **k: (levels.append(new.storageLevel), plain(self, table, new, *a, **k))[1])
