@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from probelight.llm.common import settings
 from probelight.operators import transform, upsert
 from probelight.operators.upsert import Store
-from probelight.plans import coverage, derive, end_to_end, etl_queries, ingest_queries, metrics
+from probelight.plans import coverage, derive, end_to_end, etl_queries, ingest_queries, jobs, metrics
 from probelight.plans.stored import Tables
 from probelight.sources import payloads
 from probelight.streaming import etl, ingest_stream
@@ -101,6 +101,23 @@ def test_a_stream_of_daily_coverage_rewrites_no_month(spark, tmp_path, monkeypat
     assert rows(ingest_queries.daily_coverage_stream(t)) == rows(transform.method_daily_coverage(facts))
 
 
+def test_orphans_go_with_one_reading_of_each_table(spark, tables):
+    out = jobs.contents(jobs._orphans(tables), "method_daily_coverage", "mapping")
+    assert len(re.findall(r"FileScan parquet .*lineitem", out._jdf.queryExecution().executedPlan().toString())) <= 3  # coverage without a test, and by tests for each table
+    key = "group_id string, app_id string, method_id string"
+    f, day = spark.createDataFrame, lambda n: dt.date(1997 + n, 6, 1)
+    t = {
+        "methods": f([("g", "a", m, f"s{m}", day(n)) for m, n in (("1", 0), ("2", 0), ("3", 1), ("4", 0))] + [("h", "a", "1", "s1", day(0))], f"{key}, signature string, created_day date"),
+        "build_methods": f([("g", "a", "1"), ("g", "a", "1")], key),
+        "method_daily_coverage": f([("g", "a", m, day(n)) for m in ("1", "2", "9", None) for n in (0, 1)] + [("g", "a", "9", None), ("h", "a", "9", day(0))], f"{key}, day date"),
+        "mapping": f([("g", "a", s, day(n)) for s in ("s1", "s9", None) for n in (0, 1)], "group_id string, app_id string, signature string, updated_at_day date"),
+    }
+    got = jobs.orphan_clean_up(t, "g", F.to_date(F.lit("1998-01-01")))
+    assert sorted(got["methods"].select("group_id", "method_id").collect()) == [("g", "1"), ("g", "3"), ("h", "1")]
+    assert sorted((r.group_id, str(r.method_id), str(r.day)[:4]) for r in got["method_daily_coverage"].collect()) == [("g", "1", "1997"), ("g", "1", "1998"), ("g", "2", "1997"), ("g", "2", "1998"), ("g", "9", "1998"), ("g", "9", "None"), ("g", "None", "1998"), ("h", "9", "1997")]
+    assert sorted((str(r.signature), r.updated_at_day.year) for r in got["mapping"].collect()) == [("None", 1998), ("s1", 1997), ("s1", 1998), ("s9", 1998)]
+
+
 def test_records_are_written_compressed(tables, tmp_path, monkeypatch):
     monkeypatch.setattr(end_to_end.ingest_stream, "run", lambda *a: (_ for _ in ()).throw(InterruptedError))
     with pytest.raises(InterruptedError):
