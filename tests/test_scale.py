@@ -118,6 +118,22 @@ def test_orphans_go_with_one_reading_of_each_table(spark, tables):
     assert sorted((str(r.signature), r.updated_at_day.year) for r in got["mapping"].collect()) == [("None", 1998), ("s1", 1997), ("s1", 1998), ("s9", 1998)]
 
 
+def test_a_stream_of_any_lateness_holds_no_state(spark, tmp_path):
+    ddl = "group_id string, app_id string, method_id string, branch string, env_id string, result string, tag string, task_id string, at timestamp_ntz, probes string"
+    facts = spark.createDataFrame([("g", "a", f"m{k % 4}", "main", None, None, None, None, dt.datetime(2024, 1 + k % 3, 5, k % 24), ("1" * 70, "0" * 69 + "1")[k % 2]) for k in range(70)], ddl)
+    facts.repartition(7).write.parquet(f"file://{tmp_path}/in")
+    store = Store(spark, f"file://{tmp_path}/s", deltas=("method_daily_coverage",), fan=2)
+    for again in ("one", "two"):  # all over again changes nothing
+        stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 2).parquet(f"file://{tmp_path}/in")
+        q = ingest_stream.or_daily_coverage(stream, store, "method_daily_coverage", 2, f"file://{tmp_path}/{again}")
+        q.awaitTermination()
+        assert len(q.recentProgress) >= 4 and not q.lastProgress["stateOperators"]
+        assert _key(store.read("method_daily_coverage")) == _key(transform.method_daily_coverage(facts.withColumn("day", F.to_date("at")))) != []
+    with pytest.raises(Exception, match="unequal length"):
+        store.upsert("method_daily_coverage", store.read("method_daily_coverage").withColumn("probes", F.slice("probes", 1, 1)), transform.DAY_KEYS, "or", width=2)
+        store.read("method_daily_coverage").collect()
+
+
 def test_records_are_written_compressed(tables, tmp_path, monkeypatch):
     monkeypatch.setattr(end_to_end.ingest_stream, "run", lambda *a: (_ for _ in ()).throw(InterruptedError))
     with pytest.raises(InterruptedError):
